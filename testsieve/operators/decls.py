@@ -15,40 +15,54 @@ FILE_KEY = ["project", "path"]
 DECL_KEY = ["project", "path", "start_line"]
 
 
-def declarations(lines: DataFrame) -> DataFrame:
-    """One row per top-level declaration (func/type/var/const/import).
+def decl_groups(lines: DataFrame) -> DataFrame:
+    """One row per top-level declaration plus one row per file for the lines
+    before the first declaration (``start_line`` NULL).
 
     ``end_line`` = first line at or after the start where both brace and
     parenthesis depth are back to 0. ``header`` = masked text of the first line
     plus continuation lines inside the parameter list, joined by a blank.
+    ``max_code`` = last line of the group whose masked text is not blank, so a
+    file's line count (F7) is read from these rows without a second pass over
+    the lines.
     """
     in_header = (F.col("line_no") == F.col("decl_line")) | (
         (F.col("depth_before") == 0) & (F.col("paren_before") > 0))
     closed = (F.col("depth_after") == 0) & (F.col("paren_after") == 0)
-    g = (lines.filter(F.col("decl_line").isNotNull())
+    code = F.when(F.trim(F.col("masked")) != "", F.col("line_no"))
+    g = (lines
          .groupBy("project", "path", F.col("decl_line").alias("start_line"))
          .agg(F.max("decl_kind").alias("kind"),
               F.min(F.when(closed, F.col("line_no"))).alias("end_line"),
-              F.array_sort(F.collect_list(F.when(in_header, F.struct("line_no", "masked", "text"))))
+              F.max(code).alias("max_code"),
+              F.array_sort(F.collect_list(F.when(in_header & F.col("decl_line").isNotNull(),
+                                                 F.struct("line_no", "masked", "text"))))
               .alias("hdr")))
-    # Continuation lines after the declaration end belong to the next gap, not to it.
     g = g.withColumn("end_line", F.coalesce("end_line", "start_line"))
+    # Continuation lines after the declaration end belong to the gap, not to it.
     hdr = F.filter("hdr", lambda h: h["line_no"] <= F.col("end_line"))
     return g.select(
-        *DECL_KEY, "kind", "end_line",
+        *DECL_KEY, "kind", "end_line", "max_code",
         F.array_join(F.transform(hdr, lambda h: h["masked"]), " ").alias("header"),
         F.array_join(F.transform(hdr, lambda h: h["text"]), " ").alias("header_text"),
     )
 
 
+def declarations(lines: DataFrame) -> DataFrame:
+    """One row per top-level declaration (func/type/var/const/import)."""
+    return decl_groups(lines).filter(F.col("start_line").isNotNull()).drop("max_code")
+
+
+def with_func_names(decls: DataFrame) -> DataFrame:
+    return decls.withColumn("name", F.when(F.col("kind") == "func",
+                                           F.regexp_extract("header", lx.FUNC_NAME_PATTERN, 1))) \
+        .withColumn("is_method", F.col("header").rlike(lx.RECEIVER_PATTERN))
+
+
 def func_decls(lines: DataFrame) -> DataFrame:
     """top-level function declarations with name, receiver flag and line span."""
-    d = declarations(lines).filter(F.col("kind") == "func")
-    return d.select(
-        *DECL_KEY, "end_line", "header", "header_text",
-        F.regexp_extract("header", lx.FUNC_NAME_PATTERN, 1).alias("name"),
-        F.col("header").rlike(lx.RECEIVER_PATTERN).alias("is_method"),
-    )
+    d = with_func_names(declarations(lines).filter(F.col("kind") == "func"))
+    return d.select(*DECL_KEY, "end_line", "header", "header_text", "name", "is_method")
 
 
 def with_test_flags(funcs: DataFrame) -> DataFrame:
@@ -62,11 +76,26 @@ def with_test_flags(funcs: DataFrame) -> DataFrame:
         "bad_format", valid & ~name.rlike("^Test[A-Z]"))
 
 
+def test_lines_col():
+    """lines of a test, ``func`` line to closing brace (doc comment excluded)."""
+    return (F.col("end_line") - F.col("start_line") + 1).cast("long")
+
+
 def valid_tests(funcs: DataFrame) -> DataFrame:
-    """one row per valid test with its line count (``func`` line to the
-    closing brace; doc comments excluded)."""
+    """one row per valid test with its line count."""
     t = with_test_flags(funcs).filter("is_valid")
-    return t.withColumn("test_lines", (F.col("end_line") - F.col("start_line") + 1).cast("long"))
+    return t.withColumn("test_lines", test_lines_col())
+
+
+def file_facts(lines: DataFrame) -> DataFrame:
+    """Per file, in one pass over the lines: ``file_lines`` (F7), ``n_tests`` and
+    ``test_lines`` (A3). Both aggregates keep the (project, path) partitioning."""
+    g = with_test_flags(with_func_names(decl_groups(lines)))
+    valid = F.coalesce(F.col("is_valid"), F.lit(False))
+    return g.groupBy(*FILE_KEY).agg(
+        F.coalesce(F.max("max_code"), F.lit(0)).cast("long").alias("file_lines"),
+        F.count_if(valid).cast("long").alias("n_tests"),
+        F.coalesce(F.sum(F.when(valid, test_lines_col())), F.lit(0)).cast("long").alias("test_lines"))
 
 
 def file_packages(lines: DataFrame) -> DataFrame:

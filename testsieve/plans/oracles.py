@@ -64,6 +64,95 @@ SELECT p.project AS projectDir,
 FROM projects p LEFT JOIN agg a ON a.pn = p.pn LEFT JOIN tagg t ON t.pn = p.pn
 """
 
+# ---------------------------------------------------------------- direct (DT)
+
+PATH_ROOT = """
+SELECT CASE WHEN length(url) - length(replace(url, '/', '')) >= 3
+            THEN array_to_string(string_split(url, '/')[1:3], '/') ELSE url END AS root_path,
+       count(*) AS n_pages
+FROM pages GROUP BY 1
+"""
+
+UNIT_SHARE = """
+WITH t AS (
+  SELECT conv_id, role = 'assistant' AS is_unit,
+         length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS lines
+  FROM conversations
+), g AS (
+  SELECT conv_id, CAST(sum(CASE WHEN is_unit THEN 1 ELSE 0 END) AS BIGINT) AS units,
+         CAST(coalesce(sum(CASE WHEN is_unit THEN lines END), 0) AS BIGINT) AS unit_lines,
+         CAST(sum(lines) AS BIGINT) AS total_lines
+  FROM t GROUP BY conv_id
+)
+SELECT conv_id, units, unit_lines, total_lines,
+       CASE WHEN units > 0 THEN CAST(unit_lines AS DOUBLE) / units ELSE 0.0 END AS avg_unit_lines,
+       CASE WHEN units > 0 THEN CAST(unit_lines AS DOUBLE) / total_lines * 100 ELSE 0.0 END
+         AS percent_unit_lines
+FROM g
+"""
+
+# Expected outcome per event type of the generated run log (fixed mapping).
+_RESULT_BY_TYPE = """CASE event_type WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'compilationError'
+  WHEN 'click' THEN 'skip' WHEN 'view' THEN 'notRun' WHEN 'purchase' THEN 'pass' END"""
+
+CLASSIFY_RUNS = f"""
+SELECT event_id AS run_id, event_id // 2 AS test_id,
+       CASE WHEN event_id % 2 = 0 THEN 'original' ELSE 'refactored' END AS phase,
+       {_RESULT_BY_TYPE} AS result
+FROM events
+"""
+
+RUN_MESSAGES = f"""
+SELECT event_id AS run_id, {_RESULT_BY_TYPE} AS result,
+  CASE event_type
+    WHEN 'error' THEN 'test failed: ' || CASE WHEN event_id % 3 = 0 THEN '[no stderr output]'
+                                              ELSE 'exit status 1: error' END
+    WHEN 'signup' THEN 'compilation error: ' || CASE WHEN event_id % 3 = 0 THEN '[no stderr output]'
+                                                     ELSE 'exit status 1: signup' END
+    WHEN 'view' THEN 'no tests to run for pattern "^TestK' || CAST(event_id // 2 AS VARCHAR)
+                     || '$" in file "/src/proj' || lpad(CAST((event_id // 2) % 25 AS VARCHAR), 2, '0')
+                     || '/pkg0/f' || CAST(event_id // 2 AS VARCHAR) || '_test.go"'
+  END AS message
+FROM events
+"""
+
+OUTCOME_COMPARE = f"""
+WITH r AS (SELECT event_id // 2 AS test_id, event_id % 2 AS ph, {_RESULT_BY_TYPE} AS result FROM events),
+t AS (
+  SELECT test_id, coalesce(max(CASE WHEN ph = 0 THEN result END), 'notRun') AS o,
+         coalesce(max(CASE WHEN ph = 1 THEN result END), 'notRun') AS f
+  FROM r GROUP BY test_id
+)
+SELECT o AS originalExecutionResult, f AS refactoredExecutionResult, o <> f AS changed,
+       count(*) AS n_tests
+FROM t GROUP BY 1, 2, 3
+"""
+
+DETECT_FORMAT = """
+SELECT doc_id,
+       source || CASE doc_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.CSV' WHEN 2 THEN '.json'
+                                 WHEN 3 THEN '.md' ELSE '' END AS file_name,
+       CASE doc_id % 5 WHEN 0 THEN 'Txt' WHEN 1 THEN 'CSV' WHEN 2 THEN 'JSON' ELSE 'Unknown' END AS format
+FROM documents
+"""
+
+ENUM_DECODE = """
+SELECT event_id,
+  CASE event_type WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'compilationError' WHEN 'click' THEN 'skip'
+                  ELSE 'notRun' END AS execution_result,
+  CASE event_type WHEN 'error' THEN 'badFields' WHEN 'signup' THEN 'noTester' WHEN 'click' THEN 'success'
+                  WHEN 'view' THEN 'error' ELSE 'none' END AS generation_status,
+  CASE event_type WHEN 'error' THEN 'subtest' WHEN 'click' THEN 'subtest' ELSE 'none' END AS strategy
+FROM events
+"""
+
 ORACLES: dict[str, str] = {
     "statistics": STATISTICS,
+    "path_root": PATH_ROOT,
+    "unit_share": UNIT_SHARE,
+    "classify_runs": CLASSIFY_RUNS,
+    "run_messages": RUN_MESSAGES,
+    "outcome_compare": OUTCOME_COMPARE,
+    "detect_format": DETECT_FORMAT,
+    "enum_decode": ENUM_DECODE,
 }

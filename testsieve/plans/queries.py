@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from testsieve.plans import direct as dt
 from testsieve.plans import statistics as st
 from testsieve.sources import fixtures as fx
 
@@ -27,4 +28,11 @@ def q_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "statistics": q_statistics,
+    "path_root": dt.path_root,
+    "unit_share": dt.unit_share,
+    "classify_runs": dt.classify_runs,
+    "run_messages": dt.run_messages,
+    "outcome_compare": dt.outcome_compare,
+    "detect_format": dt.detect_format,
+    "enum_decode": dt.enum_decode,
 }

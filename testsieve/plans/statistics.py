@@ -38,13 +38,11 @@ def group_column(by: str):
 
 
 def statistics_facts(files: DataFrame, load_errors: DataFrame | None = None,
-                     strict_vendor: bool = False):
-    """Per-file and per-test facts used by the statistics report."""
+                     strict_vendor: bool = False) -> DataFrame:
+    """Per visited file: ``file_lines``, ``n_tests``, ``test_lines``, ``is_test_file``."""
     visited = cp.prepare_files(files.select("project", "path", "content"), load_errors, strict_vendor)
-    lines = ln.file_lines(visited)
-    per_file = ln.file_line_counts(lines).withColumn("is_test_file", F.col("path").endswith("_test.go"))
-    tests = dc.valid_tests(dc.func_decls(lines))
-    return per_file, tests
+    return dc.file_facts(ln.file_lines(visited)).withColumn(
+        "is_test_file", F.col("path").endswith("_test.go"))
 
 
 def statistics(files: DataFrame, load_errors: DataFrame | None = None, by: str = "project",
@@ -52,18 +50,16 @@ def statistics(files: DataFrame, load_errors: DataFrame | None = None, by: str =
     """The statistics report: columns :data:`STATISTICS_COLUMNS`."""
     g = group_column(by)
     groups = files.select(g.alias("projectDir")).filter(F.col("projectDir").isNotNull()).distinct()
-    per_file, tests = statistics_facts(files, load_errors, strict_vendor)
-    fagg = (per_file.select(g.alias("projectDir"), "is_test_file", "file_lines")
-            .filter(F.col("projectDir").isNotNull())
-            .groupBy("projectDir")
-            .agg(F.count(F.lit(1)).alias("totalFiles"),
-                 F.count_if("is_test_file").alias("testFiles"),
-                 F.sum("file_lines").alias("totalLines")))
-    tagg = (tests.select(g.alias("projectDir"), "test_lines")
-            .filter(F.col("projectDir").isNotNull())
-            .groupBy("projectDir")
-            .agg(F.count(F.lit(1)).alias("testCases"), F.sum("test_lines").alias("testLines")))
-    j = groups.join(fagg, "projectDir", "left").join(tagg, "projectDir", "left")
+    per_file = statistics_facts(files, load_errors, strict_vendor)
+    agg = (per_file.select(g.alias("projectDir"), "is_test_file", "file_lines", "n_tests", "test_lines")
+           .filter(F.col("projectDir").isNotNull())
+           .groupBy("projectDir")
+           .agg(F.count(F.lit(1)).alias("totalFiles"),
+                F.count_if("is_test_file").alias("testFiles"),
+                F.sum("file_lines").alias("totalLines"),
+                F.sum("n_tests").alias("testCases"),
+                F.sum("test_lines").alias("testLines")))
+    j = groups.join(agg, "projectDir", "left")
     n = F.coalesce(F.col("testCases"), F.lit(0)).cast("long")
     tl = F.coalesce(F.col("testLines"), F.lit(0)).cast("long")
     total = F.coalesce(F.col("totalLines"), F.lit(0)).cast("long")

@@ -197,3 +197,43 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(eid % 3 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("exit status 1: "), F.col("event_type"))).alias("stderr"),
     )
+
+
+# ---------------------------------------------------------------- enum texts
+
+# Fixed raw enum texts per event type: (execution result, generation status,
+# refactor strategy) as they could appear in JSON written by other tools.
+ENUM_TEXTS = {
+    "error": ("Fail", "BadFields", "SubTest"),
+    "signup": ("compilationerror", "NOTESTER", "none"),
+    "click": ("SKIP", "success", "SUBTEST"),
+    "view": ("NotRun", "Error", "other"),
+    "purchase": ("passed", "weird", " subtest "),
+}
+
+
+def enum_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(event_id, raw_result, raw_status, raw_strategy)`` from ``events``."""
+    ev = _table(spark, sf_dir, "events").select("event_id", "event_type")
+    cols = []
+    for i, name in enumerate(["raw_result", "raw_status", "raw_strategy"]):
+        c = F.lit(None).cast("string")
+        for et, texts in ENUM_TEXTS.items():
+            c = F.when(F.col("event_type") == et, F.lit(texts[i])).otherwise(c)
+        cols.append(c.alias(name))
+    return ev.select("event_id", *cols)
+
+
+# Fixed extension per doc_id % 5.
+DOC_EXTENSIONS = ["txt", "CSV", "json", "md", None]
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, file_name)`` from ``documents``: ``<source>.<ext>``."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    ext = F.lit(None).cast("string")
+    for i, e in enumerate(DOC_EXTENSIONS):
+        if e is not None:
+            ext = F.when(F.col("doc_id") % 5 == i, F.lit(e)).otherwise(ext)
+    name = F.when(ext.isNull(), F.col("source")).otherwise(F.concat(F.col("source"), F.lit("."), ext))
+    return d.select("doc_id", name.alias("file_name"))
