@@ -64,6 +64,101 @@ SELECT p.project AS projectDir,
 FROM projects p LEFT JOIN agg a ON a.pn = p.pn LEFT JOIN tagg t ON t.pn = p.pn
 """
 
+# ---------------------------------------------------------------- round trip, file level
+
+def _files_per_project(where: str) -> str:
+    return f"""
+WITH {SHAPES_CTE}
+SELECT project, count(*) AS n_files, CAST(sum(CASE WHEN is_test_file THEN 1 ELSE 0 END) AS BIGINT) AS n_test_files
+FROM fl WHERE {where} GROUP BY project
+"""
+
+
+SCAN_SOURCES = _files_per_project("TRUE")
+SKIP_VENDOR = _files_per_project("f % 17 <> 16")
+SKIP_ERROR_FILES = _files_per_project("visited")
+
+STATISTICS_BY_DIR = f"""
+WITH {SHAPES_CTE},
+fd AS (SELECT *, project || '/' || CASE WHEN f % 17 = 16 THEN 'vendor' ELSE package END AS dir FROM fl),
+fnd AS (SELECT fn.*, project || '/' || CASE WHEN f % 17 = 16 THEN 'vendor' ELSE package END AS dir FROM fn),
+agg AS (
+  SELECT dir, count(*) AS nf, sum(CASE WHEN is_test_file THEN 1 ELSE 0 END) AS ntf, sum(file_lines) AS tl
+  FROM fd WHERE visited GROUP BY dir
+),
+tagg AS (SELECT dir, count(*) AS nt, sum(lines) AS ntl FROM fnd WHERE visited AND valid GROUP BY dir),
+dirs AS (SELECT DISTINCT dir FROM fd)
+SELECT d.dir AS projectDir,
+       CAST(coalesce(t.nt, 0) AS BIGINT) AS testCases,
+       CAST(coalesce(a.ntf, 0) AS BIGINT) AS testFiles,
+       CAST(coalesce(a.nf, 0) AS BIGINT) AS totalFiles,
+       CAST(coalesce(t.ntl, 0) AS BIGINT) AS testLines,
+       CASE WHEN coalesce(t.nt, 0) > 0 THEN CAST(t.ntl AS DOUBLE) / t.nt ELSE 0.0 END AS avgLinesPerTest,
+       CASE WHEN coalesce(t.nt, 0) > 0 THEN CAST(t.ntl AS DOUBLE) / a.tl * 100 ELSE 0.0 END AS percentTestLines
+FROM dirs d LEFT JOIN agg a ON a.dir = d.dir LEFT JOIN tagg t ON t.dir = d.dir
+"""
+
+# Function spans: functions follow the 7 header lines in key order, one blank line apart.
+SPANS_CTE = SHAPES_CTE + """,
+sp AS (
+  SELECT fn.*,
+         8 + coalesce(sum(lines) OVER (PARTITION BY f ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+           + (row_number() OVER (PARTITION BY f ORDER BY k) - 1) AS start_line
+  FROM fn
+)
+"""
+
+FUNC_DECLS = f"""
+WITH {SPANS_CTE}
+SELECT project, path, name, CAST(start_line AS INTEGER) AS start_line,
+       CAST(start_line + lines - 1 AS INTEGER) AS end_line, v = 6 AS is_method
+FROM sp WHERE visited
+"""
+
+VALID_TESTS = f"""
+WITH {SHAPES_CTE}
+SELECT project, path, name, v = 4 AS bad_format FROM fn WHERE visited AND valid
+"""
+
+BAD_FORMAT = f"""
+WITH {SHAPES_CTE}
+SELECT project, CAST(sum(CASE WHEN v = 4 THEN 1 ELSE 0 END) AS BIGINT) AS n_bad_format, count(*) AS n_tests
+FROM fn WHERE visited AND valid GROUP BY project
+"""
+
+TEST_CASES = f"""
+WITH {SHAPES_CTE}
+SELECT project, path AS filePath, package, name FROM fn WHERE visited AND valid
+"""
+
+TEST_LINES = f"""
+WITH {SHAPES_CTE}
+SELECT path, name, CAST(lines AS BIGINT) AS test_lines FROM fn WHERE visited AND valid
+"""
+
+TEST_LABEL = f"""
+WITH {SHAPES_CTE}
+SELECT 'TestCase{{Name: ' || name || ', Package: ' || package || ', FilePath: ' || path
+       || ', Project: ' || project || '}}' AS label
+FROM fn WHERE visited AND valid
+"""
+
+LINE_DEPTH = f"""
+WITH {SHAPES_CTE}
+SELECT fl.path, CAST(fl.file_lines + 3 AS BIGINT) AS n_lines,
+       CAST(CASE WHEN max(CASE WHEN fn.v = 1 THEN 1 ELSE 0 END) = 1 THEN 3
+                 WHEN max(CASE WHEN fn.v IN (0, 2) THEN 1 ELSE 0 END) = 1 THEN 2 ELSE 1 END AS BIGINT) AS max_depth
+FROM fl JOIN fn ON fn.f = fl.f
+WHERE fl.visited GROUP BY fl.path, fl.file_lines
+"""
+
+IMPORTS = f"""
+WITH {SHAPES_CTE}
+SELECT path, 1 AS import_ord, 'testing' AS import_path FROM fl WHERE visited
+UNION ALL
+SELECT path, 2 AS import_ord, 'strings' AS import_path FROM fl WHERE visited
+"""
+
 # ---------------------------------------------------------------- direct (DT)
 
 PATH_ROOT = """
@@ -148,6 +243,19 @@ FROM events
 
 ORACLES: dict[str, str] = {
     "statistics": STATISTICS,
+    "scan_sources": SCAN_SOURCES,
+    "skip_vendor": SKIP_VENDOR,
+    "skip_error_files": SKIP_ERROR_FILES,
+    "distinct_files": SKIP_ERROR_FILES,
+    "statistics_by_dir": STATISTICS_BY_DIR,
+    "func_decls": FUNC_DECLS,
+    "valid_tests": VALID_TESTS,
+    "bad_format": BAD_FORMAT,
+    "test_cases": TEST_CASES,
+    "test_lines": TEST_LINES,
+    "test_label": TEST_LABEL,
+    "line_depth": LINE_DEPTH,
+    "imports": IMPORTS,
     "path_root": PATH_ROOT,
     "unit_share": UNIT_SHARE,
     "classify_runs": CLASSIFY_RUNS,

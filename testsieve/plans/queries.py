@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from testsieve.plans import direct as dt
+from testsieve.plans import roundtrip as rt
 from testsieve.plans import statistics as st
 from testsieve.sources import fixtures as fx
 
@@ -28,6 +29,19 @@ def q_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "statistics": q_statistics,
+    "scan_sources": rt.scan_sources,
+    "skip_vendor": rt.skip_vendor,
+    "skip_error_files": rt.skip_error_files,
+    "distinct_files": rt.distinct_files,
+    "statistics_by_dir": rt.statistics_by_dir,
+    "func_decls": rt.func_decls,
+    "valid_tests": rt.valid_tests,
+    "bad_format": rt.bad_format,
+    "test_cases": rt.test_cases,
+    "test_lines": rt.test_lines,
+    "test_label": rt.test_label,
+    "line_depth": rt.line_depth,
+    "imports": rt.imports,
     "path_root": dt.path_root,
     "unit_share": dt.unit_share,
     "classify_runs": dt.classify_runs,
