@@ -127,3 +127,21 @@ def file_imports(lines: DataFrame) -> DataFrame:
     return im.groupBy(*FILE_KEY).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("line_no", "import_path"))),
                     lambda x: x["import_path"]).alias("imports"))
+
+
+def decl_texts(lines: DataFrame, kinds=("type", "var")) -> DataFrame:
+    """Full masked text of package-level declarations of the given kinds:
+    ``(project, path, start_line, kind, masked, text)``."""
+    sel = lines.filter(F.col("cur_kind").isin(list(kinds)) & F.col("decl_line").isNotNull())
+    g = sel.groupBy("project", "path", F.col("decl_line").alias("start_line")).agg(
+        F.max("decl_kind").alias("kind"),
+        F.array_sort(F.collect_list(F.struct("line_no", "masked", "text"))).alias("ls"))
+    return g.select(
+        *DECL_KEY, "kind",
+        F.array_join(F.transform("ls", lambda x: x["masked"]), "\n").alias("masked"),
+        F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("text"))
+
+
+def package_dir(path_col):
+    """Package key of a file: its directory."""
+    return F.regexp_extract(path_col, r"^(.*)/[^/]*$", 1)

@@ -34,7 +34,7 @@ def file_lines(files: DataFrame, keep=()) -> DataFrame:
     ``decl_line`` is the first line of the enclosing top-level declaration
     (NULL between declarations); ``decl_kind`` is set on that first line only.
     """
-    m = masked_files(files)
+    m = files if "masked" in files.columns else masked_files(files)
     text_arr = F.split(F.col("content"), "\n", -1)
     mask_arr = F.split(F.col("masked"), "\n", -1)
     pairs = F.transform(text_arr, lambda t, i: F.struct(

@@ -159,6 +159,95 @@ UNION ALL
 SELECT path, 2 AS import_ord, 'strings' AS import_path FROM fl WHERE visited
 """
 
+# ---------------------------------------------------------------- round trip, analysis
+
+# Expected scenario facts per shape v (FIXTURES B.1): 0/1 struct list, 2 map.
+ANALYSIS_CTE = SHAPES_CTE + """,
+an AS (
+  SELECT fn.*,
+         CASE WHEN v IN (0, 1) THEN 'structList' WHEN v = 2 THEN 'map' ELSE 'none' END AS ds,
+         CASE WHEN v IN (0, 1, 2) THEN n ELSE 0 END AS cnt,
+         v IN (0, 1, 2) AND n > 0 AS table_driven,
+         CASE WHEN v IN (0, 1) THEN 'name' WHEN v = 2 THEN 'map key' ELSE '' END AS name_field,
+         CASE WHEN v IN (0, 1, 2) THEN 'want' ELSE '' END AS expected,
+         v = 1 AS subtest
+  FROM fn WHERE visited AND valid
+)
+"""
+
+ANALYZE_REPORT = f"""
+WITH {ANALYSIS_CTE}
+SELECT project, path AS filePath, package, name, table_driven AS isTableDriven,
+       ds AS scenarioDataStructure, CAST(cnt AS BIGINT) AS scenarioCount, name_field AS scenarioNameField,
+       expected AS scenarioExpectedFields, false AS scenarioHasFunctionFields, subtest AS scenarioUsesSubtest,
+       'none' AS refactorStrategy, 'none' AS refactorGenerationStatus,
+       'notRun' AS originalExecutionResult, 'notRun' AS refactoredExecutionResult,
+       'testing, strings' AS importedPackages
+FROM an
+"""
+
+ANALYZE_SUMMARY = f"""
+WITH {ANALYSIS_CTE}
+SELECT project, count(*) AS n_tests, CAST(sum(CASE WHEN table_driven THEN 1 ELSE 0 END) AS BIGINT) AS n_table_driven
+FROM an GROUP BY project
+"""
+
+TABLE_DRIVEN = f"""
+WITH {ANALYSIS_CTE}
+SELECT path, name, table_driven AS is_table_driven FROM an
+"""
+
+CONTAINER_KIND = f"""
+WITH {ANALYSIS_CTE}
+SELECT path, name, ds AS data_structure FROM an
+"""
+
+SCENARIO_COUNTS = f"""
+WITH {ANALYSIS_CTE}
+SELECT path, name, CAST(cnt AS BIGINT) AS scenario_count FROM an
+"""
+
+NAME_FIELD = f"""
+WITH {ANALYSIS_CTE}
+SELECT path, name, name_field FROM an
+"""
+
+EXPECTED_FIELDS = f"""
+WITH {ANALYSIS_CTE}
+SELECT path, name, expected AS expected_fields FROM an
+"""
+
+USES_SUBTEST = f"""
+WITH {ANALYSIS_CTE}
+SELECT path, name, subtest AS uses_subtest FROM an
+"""
+
+# Runner loop: the range statement is the 2nd top-level statement of shapes 0-2.
+RUNNER_LOOP = f"""
+WITH {ANALYSIS_CTE}
+SELECT path, name, 2 AS runner_ord, CASE WHEN v = 2 THEN 'name' ELSE '_' END AS key_var, 'tt' AS value_var
+FROM an WHERE v IN (0, 1, 2)
+"""
+
+STMT_COUNTS = f"""
+WITH {SHAPES_CTE}
+SELECT path, name, CAST(CASE WHEN v IN (0, 1, 2) THEN 2 WHEN v IN (3, 4, 5, 8) THEN 1 END AS BIGINT) AS n_statements
+FROM fn WHERE visited AND v IN (0, 1, 2, 3, 4, 5, 8)
+"""
+
+TESTER_PARAM = f"""
+WITH {SHAPES_CTE}
+SELECT path, name, CASE WHEN v = 9 THEN NULL ELSE 't' END AS tester FROM fn WHERE visited
+"""
+
+SCENARIO_SOURCE = f"""
+WITH {ANALYSIS_CTE}
+SELECT path, name, CAST(cnt AS BIGINT) AS n_scenarios,
+       CASE WHEN v IN (0, 1) THEN '{{' || repeat(chr(34), 5) || ', 1}}'
+            ELSE repeat(chr(34), 5) || ': {{1}}' END AS first_scenario
+FROM an WHERE v IN (0, 1, 2) AND n > 0
+"""
+
 # ---------------------------------------------------------------- direct (DT)
 
 PATH_ROOT = """
@@ -256,6 +345,18 @@ ORACLES: dict[str, str] = {
     "test_label": TEST_LABEL,
     "line_depth": LINE_DEPTH,
     "imports": IMPORTS,
+    "analyze_report": ANALYZE_REPORT,
+    "analyze_summary": ANALYZE_SUMMARY,
+    "table_driven": TABLE_DRIVEN,
+    "container_kind": CONTAINER_KIND,
+    "scenario_counts": SCENARIO_COUNTS,
+    "name_field": NAME_FIELD,
+    "expected_fields": EXPECTED_FIELDS,
+    "uses_subtest": USES_SUBTEST,
+    "runner_loop": RUNNER_LOOP,
+    "stmt_counts": STMT_COUNTS,
+    "tester_param": TESTER_PARAM,
+    "scenario_source": SCENARIO_SOURCE,
     "path_root": PATH_ROOT,
     "unit_share": UNIT_SHARE,
     "classify_runs": CLASSIFY_RUNS,

@@ -42,6 +42,18 @@ QUERIES: dict[str, Query] = {
     "test_label": rt.test_label,
     "line_depth": rt.line_depth,
     "imports": rt.imports,
+    "analyze_report": rt.analyze_report,
+    "analyze_summary": rt.analyze_summary,
+    "table_driven": rt.table_driven,
+    "container_kind": rt.container_kind,
+    "scenario_counts": rt.scenario_counts,
+    "name_field": rt.name_field,
+    "expected_fields": rt.expected_fields,
+    "uses_subtest": rt.uses_subtest,
+    "runner_loop": rt.runner_loop,
+    "stmt_counts": rt.stmt_counts,
+    "tester_param": rt.tester_param,
+    "scenario_source": rt.scenario_source,
     "path_root": dt.path_root,
     "unit_share": dt.unit_share,
     "classify_runs": dt.classify_runs,

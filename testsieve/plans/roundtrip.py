@@ -115,3 +115,88 @@ def imports(spark, sf_dir):
     from pyspark.sql import Window
     w = Window.partitionBy("project", "path").orderBy("line_no")
     return im.select("path", F.row_number().over(w).alias("import_ord"), "import_path")
+
+
+# ---------------------------------------------------------------- analysis
+
+def facts(spark, sf_dir):
+    from testsieve.plans.analyze import Facts
+    files, errs = shapes(spark, sf_dir)
+    return Facts(files, errs)
+
+
+def analyze_report(spark, sf_dir):
+    """The analyze report (16 columns) of every valid test."""
+    from testsieve.plans import analyze as an
+    return an.analyze_report(an.analysis(facts(spark, sf_dir)))
+
+
+def _analysed(spark, sf_dir):
+    from testsieve.plans import analyze as an
+    return an.analysis(facts(spark, sf_dir))
+
+
+def analyze_summary(spark, sf_dir):
+    """Tests and table-driven tests per project."""
+    from testsieve.plans import analyze as an
+    return an.analyze_summary(_analysed(spark, sf_dir))
+
+
+def table_driven(spark, sf_dir):
+    """F17 per test."""
+    return _analysed(spark, sf_dir).select("path", "name", F.col("is_table_driven"))
+
+
+def container_kind(spark, sf_dir):
+    """C1 per test."""
+    return _analysed(spark, sf_dir).select("path", "name", "data_structure")
+
+
+def scenario_counts(spark, sf_dir):
+    """A8 per test."""
+    return _analysed(spark, sf_dir).select("path", "name", "scenario_count")
+
+
+def name_field(spark, sf_dir):
+    """W4 per test."""
+    return _analysed(spark, sf_dir).select("path", "name", "name_field")
+
+
+def expected_fields(spark, sf_dir):
+    """A9 per test, joined with ', '."""
+    return _analysed(spark, sf_dir).select("path", "name",
+                                           F.array_join("expected_fields", ", ").alias("expected_fields"))
+
+
+def uses_subtest(spark, sf_dir):
+    """A11 per test."""
+    return _analysed(spark, sf_dir).select("path", "name", "uses_subtest")
+
+
+def runner_loop(spark, sf_dir):
+    """Statement ordinal and loop variables of each test's runner loop."""
+    a = _analysed(spark, sf_dir).filter(F.col("runner_ord").isNotNull())
+    return a.select("path", "name", F.col("runner_ord").cast("int").alias("runner_ord"),
+                    "key_var", "value_var")
+
+
+def stmt_counts(spark, sf_dir):
+    """top-level statements per function (functions with a body)."""
+    from testsieve.operators import statements as sm
+    fx_ = facts(spark, sf_dir)
+    n = sm.count_statements(fx_.stmts)
+    return (fx_.funcs.join(n, ["project", "path", "func_line"])
+            .select("path", "name", F.col("n_statements").cast("long")))
+
+
+def tester_param(spark, sf_dir):
+    """name of the `*testing.T` parameter of every function."""
+    from testsieve.operators import statements as sm
+    return facts(spark, sf_dir).funcs.select("path", "name", sm.tester_param(F.col("header")).alias("tester"))
+
+
+def scenario_source(spark, sf_dir):
+    """The matched scenario literal: count and first element (masked)."""
+    a = _analysed(spark, sf_dir).filter(F.col("scenario_count") > 0)
+    return a.select("path", "name", F.col("scenario_count").alias("n_scenarios"),
+                    F.try_element_at("scenarios", F.lit(1)).alias("first_scenario"))

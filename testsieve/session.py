@@ -18,6 +18,9 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Fact tables are all hash-partitioned by (project, path); joins on a finer
+    # key, e.g. (project, path, func_line), reuse that partitioning.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
