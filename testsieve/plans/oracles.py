@@ -248,6 +248,32 @@ SELECT path, name, CAST(cnt AS BIGINT) AS n_scenarios,
 FROM an WHERE v IN (0, 1, 2) AND n > 0
 """
 
+# ---------------------------------------------------------------- round trip, call chains from part
+
+CHAINS_CTE = """
+ch AS (
+  SELECT p_partkey AS p, p_partkey % 6 AS l, p_partkey % 4 = 0 AS cyc,
+         '/src/chain/pkg' || CAST(p_partkey % 50 AS VARCHAR) || '/c' || CAST(p_partkey AS VARCHAR) || '_test.go' AS path,
+         'TestC' || CAST(p_partkey AS VARCHAR) AS name
+  FROM part
+)
+"""
+
+EXPAND_CALLS = f"""
+WITH {CHAINS_CTE}
+SELECT path, name, CAST(1 + l AS BIGINT) AS n_nodes, CAST(l AS BIGINT) AS max_level FROM ch
+"""
+
+EXPANSION_PREORDER = f"""
+WITH {CHAINS_CTE}
+SELECT path, name,
+       CASE WHEN l = 0 THEN 't.Log()'
+            ELSE array_to_string(list_transform(range(0, l), lambda i: 'h' || CAST(p AS VARCHAR) || '_' || CAST(i AS VARCHAR) || '(t)'), ' > ')
+                 || ' > ' || CASE WHEN cyc THEN 'h' || CAST(p AS VARCHAR) || '_0(t)' ELSE 't.Log()' END
+       END AS preorder
+FROM ch
+"""
+
 # ---------------------------------------------------------------- direct (DT)
 
 PATH_ROOT = """
@@ -357,6 +383,8 @@ ORACLES: dict[str, str] = {
     "stmt_counts": STMT_COUNTS,
     "tester_param": TESTER_PARAM,
     "scenario_source": SCENARIO_SOURCE,
+    "expand_calls": EXPAND_CALLS,
+    "expansion_preorder": EXPANSION_PREORDER,
     "path_root": PATH_ROOT,
     "unit_share": UNIT_SHARE,
     "classify_runs": CLASSIFY_RUNS,

@@ -54,6 +54,8 @@ QUERIES: dict[str, Query] = {
     "stmt_counts": rt.stmt_counts,
     "tester_param": rt.tester_param,
     "scenario_source": rt.scenario_source,
+    "expand_calls": rt.expand_calls,
+    "expansion_preorder": rt.expansion_preorder,
     "path_root": dt.path_root,
     "unit_share": dt.unit_share,
     "classify_runs": dt.classify_runs,

@@ -200,3 +200,37 @@ def scenario_source(spark, sf_dir):
     a = _analysed(spark, sf_dir).filter(F.col("scenario_count") > 0)
     return a.select("path", "name", F.col("scenario_count").alias("n_scenarios"),
                     F.try_element_at("scenarios", F.lit(1)).alias("first_scenario"))
+
+
+# ---------------------------------------------------------------- call expansion (chains from part)
+
+def chain_facts(spark, sf_dir):
+    from testsieve.plans.analyze import Facts
+    return Facts(fx.chain_corpus(spark, sf_dir), None)
+
+
+def _expansion(spark, sf_dir):
+    from testsieve.operators import expand as ex
+    f = chain_facts(spark, sf_dir)
+    tests = f.tests()
+    nodes = ex.expand(tests, f.stmts, f.funcs, spark)
+    return tests, nodes
+
+
+def expand_calls(spark, sf_dir):
+    """Expanded nodes and deepest level per test."""
+    from testsieve.operators import expand as ex
+    tests, nodes = _expansion(spark, sf_dir)
+    s = ex.expansion_summary(nodes)
+    return (tests.select("project", "path", "func_line", "name").join(s, ["project", "path", "func_line"])
+            .select("path", "name", F.col("n_nodes").cast("long"), F.col("max_level").cast("long")))
+
+
+def expansion_preorder(spark, sf_dir):
+    """Node texts of each expansion tree in pre-order (order by path)."""
+    tests, nodes = _expansion(spark, sf_dir)
+    seq = nodes.groupBy("project", "path", "func_line").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_path", F.regexp_replace("text", r"^\s+|\s+$", "").alias("t")))),
+                                 lambda x: x["t"]), " > ").alias("preorder"))
+    return (tests.select("project", "path", "func_line", "name").join(seq, ["project", "path", "func_line"])
+            .select("path", "name", "preorder"))
