@@ -30,12 +30,15 @@ def outcomes_per_test(run_log: DataFrame) -> DataFrame:
     """One row per test with both outcomes (pivot on the known phases:
     one aggregation, no extra job to discover pivot values). A phase without a
     run stays ``notRun``; ``changed`` is C12's warning condition."""
-    c = classify_runs(run_log)
-    p = (c.groupBy("test_id").pivot("phase", PHASES)
+    c = run_log.select("run_id", "test_id", "project", "path", "test", "phase",
+                       cl.run_result(F.col("exit_ok"), F.col("output"), F.col("path"), F.col("test"))
+                       .alias("result"))
+    p = (c.groupBy("test_id", "project", "path", "test").pivot("phase", PHASES)
          .agg(F.max_by("result", "run_id")))
     orig = F.coalesce(F.col("original"), F.lit("notRun"))
     ref = F.coalesce(F.col("refactored"), F.lit("notRun"))
-    return p.select("test_id", orig.alias("originalExecutionResult"),
+    return p.select("test_id", "project", "path", F.col("test").alias("name"),
+                    orig.alias("originalExecutionResult"),
                     ref.alias("refactoredExecutionResult"), (orig != ref).alias("changed"))
 
 

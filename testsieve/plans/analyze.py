@@ -95,3 +95,29 @@ def analyze_summary(analysed: DataFrame) -> DataFrame:
     return analysed.groupBy("project").agg(
         F.count(F.lit(1)).alias("n_tests"),
         F.count_if(F.coalesce("is_table_driven", F.lit(False))).alias("n_table_driven"))
+
+
+def refactoring(facts: Facts, analysed: DataFrame, strategy: str = "subtest"):
+    """P3 plan: per-test refactor plan and the rewritten functions."""
+    from testsieve.operators import refactor as rf
+    plan = rf.plan_refactoring(analysed, strategy)
+    rewritten = rf.rewrite_tests(plan, facts.stmts, facts.lines)
+    return plan, rewritten
+
+
+def refactor_results(plan: DataFrame, run_log: DataFrame | None) -> DataFrame:
+    """Refactor columns of the report: outcomes only for generated rewrites
+    (the reference runs a test only after a successful generation)."""
+    from testsieve.operators import runs as rn
+    r = plan.select(*TEST_KEY, "name", "strategy", "generation_status")
+    if run_log is not None:
+        o = rn.outcomes_per_test(run_log).select(
+            "project", "path", "name", F.col("originalExecutionResult").alias("o"),
+            F.col("refactoredExecutionResult").alias("r"))
+        r = r.join(o, ["project", "path", "name"], "left")
+    else:
+        r = r.withColumn("o", F.lit(None).cast("string")).withColumn("r", F.lit(None).cast("string"))
+    ok = F.col("generation_status") == "success"
+    return r.select(*TEST_KEY, "strategy", "generation_status",
+                    F.when(ok, F.coalesce("o", F.lit("notRun"))).otherwise(F.lit("notRun")).alias("original_result"),
+                    F.when(ok, F.coalesce("r", F.lit("notRun"))).otherwise(F.lit("notRun")).alias("refactored_result"))

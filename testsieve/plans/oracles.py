@@ -248,6 +248,89 @@ SELECT path, name, CAST(cnt AS BIGINT) AS n_scenarios,
 FROM an WHERE v IN (0, 1, 2) AND n > 0
 """
 
+# ---------------------------------------------------------------- round trip, refactoring
+
+_RUNS = """
+runs AS (
+  SELECT event_id // 2 AS k,
+         max(CASE WHEN event_id % 2 = 0 THEN event_type END) AS o_type,
+         max(CASE WHEN event_id % 2 = 1 THEN event_type END) AS r_type
+  FROM events GROUP BY 1
+)"""
+
+_TYPE_RESULT = """CASE {c} WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'compilationError'
+  WHEN 'click' THEN 'skip' WHEN 'view' THEN 'notRun' WHEN 'purchase' THEN 'pass' ELSE 'notRun' END"""
+
+REFACTOR_CTE = ANALYSIS_CTE + """,
+rf AS (SELECT an.*, v IN (0, 2) AND n > 0 AS ok FROM an)
+"""
+
+REFACTOR_CANDIDATES = f"""
+WITH {REFACTOR_CTE}
+SELECT path, name FROM rf WHERE ok
+"""
+
+REFACTOR_STATUS = f"""
+WITH {REFACTOR_CTE}
+SELECT path, name, CASE WHEN ok THEN 'success' ELSE 'none' END AS generation_status FROM rf
+"""
+
+REFACTOR_NAMES = f"""
+WITH {REFACTOR_CTE}
+SELECT path, name, CASE WHEN v = 0 THEN 'tt.name' ELSE 'name' END AS name_expr FROM rf WHERE ok
+"""
+
+SUBTEST_REWRITE = f"""
+WITH {REFACTOR_CTE}
+SELECT path, name,
+  CASE WHEN v = 0 THEN
+    'func TestK' || CAST(k AS VARCHAR) || '(t *testing.T) {{ tests := []struct {{ name string want int }}{{ '
+    || array_to_string(list_transform(range(0, n), lambda i: '{{"s{{' || CAST(i AS VARCHAR) || '", 1}}, // }}'), ' ')
+    || ' }} for _, tt := range tests {{ t.Run(tt.name, func(t *testing.T) {{ t.Log(tt.name, tt.want) }}) }} }}'
+  ELSE
+    'func TestK' || CAST(k AS VARCHAR) || '(t *testing.T) {{ tests := map[string]struct {{ want int }}{{ '
+    || array_to_string(list_transform(range(0, n), lambda i: '"s{{' || CAST(i AS VARCHAR) || '": {{1}},'), ' ')
+    || ' }} for name, tt := range tests {{ t.Run(name, func(t *testing.T) {{ t.Log(name, tt.want) }}) }} }}'
+  END AS refactored_ws
+FROM rf WHERE ok
+"""
+
+AFFECTED_FILES = f"""
+WITH {REFACTOR_CTE}
+SELECT project, count(DISTINCT path) AS n_files FROM rf WHERE ok GROUP BY project
+"""
+
+APPLY_PATCHES = f"""
+WITH {REFACTOR_CTE}
+SELECT path, count(*) AS n_patched FROM rf WHERE ok GROUP BY path
+"""
+
+RUNNER_LOCATION = f"""
+WITH {ANALYSIS_CTE}
+SELECT path, name, true AS runner_in_test FROM an WHERE v IN (0, 1, 2)
+"""
+
+REFACTOR_SUMMARY = f"""
+WITH {REFACTOR_CTE}, {_RUNS}
+SELECT project, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS refactor_attempts,
+       CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS generation_successes,
+       CAST(sum(CASE WHEN ok AND o_type = 'purchase' AND r_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT)
+         AS refactor_successes
+FROM rf LEFT JOIN runs ON runs.k = rf.k GROUP BY project
+"""
+
+ANALYZE_REFACTOR_REPORT = f"""
+WITH {REFACTOR_CTE}, {_RUNS}
+SELECT project, path AS filePath, package, name, table_driven AS isTableDriven,
+       ds AS scenarioDataStructure, CAST(cnt AS BIGINT) AS scenarioCount, name_field AS scenarioNameField,
+       expected AS scenarioExpectedFields, false AS scenarioHasFunctionFields, subtest AS scenarioUsesSubtest,
+       'subtest' AS refactorStrategy, CASE WHEN ok THEN 'success' ELSE 'none' END AS refactorGenerationStatus,
+       CASE WHEN ok THEN {_TYPE_RESULT.format(c='o_type')} ELSE 'notRun' END AS originalExecutionResult,
+       CASE WHEN ok THEN {_TYPE_RESULT.format(c='r_type')} ELSE 'notRun' END AS refactoredExecutionResult,
+       'testing, strings' AS importedPackages
+FROM rf LEFT JOIN runs ON runs.k = rf.k
+"""
+
 # ---------------------------------------------------------------- round trip, call chains from part
 
 CHAINS_CTE = """
@@ -313,17 +396,16 @@ FROM events
 """
 
 RUN_MESSAGES = f"""
+WITH {SHAPES_CTE}
 SELECT event_id AS run_id, {_RESULT_BY_TYPE} AS result,
   CASE event_type
     WHEN 'error' THEN 'test failed: ' || CASE WHEN event_id % 3 = 0 THEN '[no stderr output]'
                                               ELSE 'exit status 1: error' END
     WHEN 'signup' THEN 'compilation error: ' || CASE WHEN event_id % 3 = 0 THEN '[no stderr output]'
                                                      ELSE 'exit status 1: signup' END
-    WHEN 'view' THEN 'no tests to run for pattern "^TestK' || CAST(event_id // 2 AS VARCHAR)
-                     || '$" in file "/src/proj' || lpad(CAST((event_id // 2) % 25 AS VARCHAR), 2, '0')
-                     || '/pkg0/f' || CAST(event_id // 2 AS VARCHAR) || '_test.go"'
+    WHEN 'view' THEN 'no tests to run for pattern "^' || fn.name || '$" in file "' || fn.path || '"'
   END AS message
-FROM events
+FROM events JOIN fn ON fn.k = events.event_id // 2
 """
 
 OUTCOME_COMPARE = f"""
@@ -384,6 +466,15 @@ ORACLES: dict[str, str] = {
     "tester_param": TESTER_PARAM,
     "scenario_source": SCENARIO_SOURCE,
     "expand_calls": EXPAND_CALLS,
+    "refactor_candidates": REFACTOR_CANDIDATES,
+    "refactor_status": REFACTOR_STATUS,
+    "refactor_names": REFACTOR_NAMES,
+    "subtest_rewrite": SUBTEST_REWRITE,
+    "affected_files": AFFECTED_FILES,
+    "apply_patches": APPLY_PATCHES,
+    "runner_location": RUNNER_LOCATION,
+    "refactor_summary": REFACTOR_SUMMARY,
+    "analyze_refactor_report": ANALYZE_REFACTOR_REPORT,
     "expansion_preorder": EXPANSION_PREORDER,
     "path_root": PATH_ROOT,
     "unit_share": UNIT_SHARE,

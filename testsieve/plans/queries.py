@@ -55,6 +55,15 @@ QUERIES: dict[str, Query] = {
     "tester_param": rt.tester_param,
     "scenario_source": rt.scenario_source,
     "expand_calls": rt.expand_calls,
+    "refactor_candidates": rt.refactor_candidates,
+    "refactor_status": rt.refactor_status,
+    "refactor_names": rt.refactor_names,
+    "subtest_rewrite": rt.subtest_rewrite,
+    "affected_files": rt.affected_files,
+    "apply_patches": rt.apply_patches,
+    "runner_location": rt.runner_location,
+    "refactor_summary": rt.refactor_summary,
+    "analyze_refactor_report": rt.analyze_refactor_report,
     "expansion_preorder": rt.expansion_preorder,
     "path_root": dt.path_root,
     "unit_share": dt.unit_share,

@@ -234,3 +234,84 @@ def expansion_preorder(spark, sf_dir):
                                  lambda x: x["t"]), " > ").alias("preorder"))
     return (tests.select("project", "path", "func_line", "name").join(seq, ["project", "path", "func_line"])
             .select("path", "name", "preorder"))
+
+
+# ---------------------------------------------------------------- refactoring
+
+def _refactor(spark, sf_dir):
+    from testsieve.plans import analyze as an
+    f = facts(spark, sf_dir)
+    a = an.analysis(f)
+    plan, rewritten = an.refactoring(f, a, "subtest")
+    return f, a, plan, rewritten
+
+
+def refactor_candidates(spark, sf_dir):
+    """Table-driven tests without subtests."""
+    _, _, plan, _ = _refactor(spark, sf_dir)
+    return plan.filter(F.col("generation_status") != "none").select("path", "name")
+
+
+def refactor_status(spark, sf_dir):
+    """Generation status of every valid test under strategy `subtest`."""
+    _, _, plan, _ = _refactor(spark, sf_dir)
+    return plan.select("path", "name", "generation_status")
+
+
+def refactor_names(spark, sf_dir):
+    """Subtest name expression of each successful rewrite."""
+    _, _, plan, _ = _refactor(spark, sf_dir)
+    return plan.filter(F.col("generation_status") == "success").select("path", "name", "name_expr")
+
+
+def subtest_rewrite(spark, sf_dir):
+    """Rewritten functions, compared modulo layout."""
+    _, _, _, rewritten = _refactor(spark, sf_dir)
+    return rewritten.select("path", "name", F.trim(F.regexp_replace("refactored", r"\s+", " "))
+                            .alias("refactored_ws"))
+
+
+def affected_files(spark, sf_dir):
+    """Distinct files touched by successful rewrites, per project."""
+    _, _, _, rewritten = _refactor(spark, sf_dir)
+    return rewritten.select("project", "path").dropDuplicates(["project", "path"]) \
+        .groupBy("project").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def apply_patches(spark, sf_dir):
+    """Functions replaced by their rewrite (new table), counted per file."""
+    from testsieve.operators import refactor as rf
+    f, _, _, rewritten = _refactor(spark, sf_dir)
+    funcs = f.funcs.select("project", "path", "func_line", F.col("header_text").alias("text"))
+    patched = rf.apply_patches(funcs, rewritten)
+    return (patched.groupBy("path").agg(F.count_if("patched").alias("n_patched"))
+            .filter(F.col("n_patched") > 0))
+
+
+def runner_location(spark, sf_dir):
+    """The runner loop lies inside the test's own body."""
+    a = _analysed(spark, sf_dir).filter(F.col("runner_ord").isNotNull())
+    f = facts(spark, sf_dir)
+    st_ = f.stmts.select("project", "path", "func_line", F.col("stmt_ord").alias("runner_ord"), "stmt_line")
+    j = a.join(st_, ["project", "path", "func_line", "runner_ord"])
+    inside = (F.col("stmt_line") > F.col("func_line")) & (F.col("stmt_line") < F.col("end_line"))
+    return j.select("path", "name", inside.alias("runner_in_test"))
+
+
+def refactor_summary(spark, sf_dir):
+    """Attempts, generation successes, successes (both runs pass), per project."""
+    from testsieve.operators import refactor as rf
+    from testsieve.operators import runs as rn
+    _, _, plan, _ = _refactor(spark, sf_dir)
+    o = rn.outcomes_per_test(fx.run_log(spark, sf_dir)).select(
+        "project", "path", "name", F.col("originalExecutionResult").alias("original_result"),
+        F.col("refactoredExecutionResult").alias("refactored_result"))
+    return rf.refactor_summary(plan, o)
+
+
+def analyze_refactor_report(spark, sf_dir):
+    """The analyze report with strategy `subtest` and run outcomes."""
+    from testsieve.plans import analyze as an
+    f, a, plan, _ = _refactor(spark, sf_dir)
+    res = an.refactor_results(plan, fx.run_log(spark, sf_dir))
+    return an.analyze_report(a, res)

@@ -28,12 +28,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shape_keys(orders: DataFrame) -> DataFrame:
+def _shape_keys(orders: DataFrame, *keep: str) -> DataFrame:
     k = F.col("o_orderkey")
     f = F.floor(k / FUNCS_PER_FILE)
     base_v = (k + f) % 10
     proj_no = f % N_PROJECTS
     return orders.select(
+        *keep,
         k.alias("k"),
         f.alias("f"),
         F.when(proj_no == ZERO_TEST_PROJECT, 5 + base_v % 5).otherwise(base_v).alias("v"),
@@ -80,17 +81,27 @@ END
 """.replace("@STRUCT_ROWS@", _rows(_STRUCT_ROW)).replace("@MAP_ROWS@", _rows(_MAP_ROW))
 
 
-def shape_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One generated function per order: keys + function text."""
-    keys = _shape_keys(_table(spark, sf_dir, "orders").select("o_orderkey"))
+def _shape_path():
     vendored = (F.col("f") % VENDOR_MOD) == VENDOR_REM
-    path = F.concat(
+    return F.concat(
         F.lit("/src/"), F.col("project"), F.lit("/"),
         F.when(vendored, F.lit("vendor/")).otherwise(F.lit("")),
         F.col("package"), F.lit("/f"), F.col("f").cast("string"),
         F.when(F.col("f") % 3 == 0, F.lit(".go")).otherwise(F.lit("_test.go")),
     )
-    return keys.withColumn("path", path).withColumn("func_text", F.expr(_FUNC_SQL))
+
+
+def _shape_name():
+    k = F.col("k").cast("string")
+    return (F.when(F.col("v") == 4, F.concat(F.lit("Test_"), k))
+            .when(F.col("v") == 5, F.concat(F.lit("helper"), k))
+            .otherwise(F.concat(F.lit("TestK"), k)))
+
+
+def shape_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One generated function per order: keys + function text."""
+    keys = _shape_keys(_table(spark, sf_dir, "orders").select("o_orderkey"))
+    return keys.withColumn("path", _shape_path()).withColumn("func_text", F.expr(_FUNC_SQL))
 
 
 def shape_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,17 +191,22 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _table(spark, sf_dir, "events").select("event_id", "event_type")
     out = F.lit(None).cast("string")
     ok = F.lit(None).cast("boolean")
+    eid = F.col("event_id")
+    keyed = _shape_keys(ev.withColumn("o_orderkey", F.floor(eid / 2)), "event_id", "event_type")
+    ev = keyed.select("event_id", "event_type", "project", _shape_path().alias("path"),
+                      _shape_name().alias("test"))
     for et, (text, exit_ok) in RUN_OUTPUT.items():
         out = F.when(F.col("event_type") == et, F.lit(text)).otherwise(out)
         ok = F.when(F.col("event_type") == et, F.lit(exit_ok)).otherwise(ok)
-    eid = F.col("event_id")
+    # The run of event e is a run of the generated function k = e div 2, so run
+    # logs join the round-trip corpus on (project, path, test name).
     test_id = F.floor(eid / 2)
     return ev.select(
         eid.alias("run_id"),
         test_id.alias("test_id"),
-        F.format_string("proj%02d", test_id % N_PROJECTS).alias("project"),
-        F.format_string("/src/proj%02d/pkg0/f%d_test.go", test_id % N_PROJECTS, test_id).alias("path"),
-        F.concat(F.lit("TestK"), test_id.cast("string")).alias("test"),
+        "project",
+        "path",
+        "test",
         F.when(eid % 2 == 0, F.lit("original")).otherwise(F.lit("refactored")).alias("phase"),
         ok.alias("exit_ok"),
         out.alias("output"),
