@@ -331,6 +331,37 @@ SELECT project, path AS filePath, package, name, table_driven AS isTableDriven,
 FROM rf LEFT JOIN runs ON runs.k = rf.k
 """
 
+# ---------------------------------------------------------------- sinks
+
+REPORT_TEXT = f"""
+SELECT projectDir,
+  '=============  Statistics Report for "' || projectDir || '":  =============' || chr(10) || chr(10) ||
+  CASE WHEN testCases = 0 THEN 'No test cases found in the specified project.' || chr(10)
+  ELSE 'Total number of test cases: ' || CAST(testCases AS VARCHAR) || chr(10) || chr(10)
+    || 'Number of ''_test.go'' files: ' || CAST(testFiles AS VARCHAR) || chr(10)
+    || 'Total number of Go files: ' || CAST(totalFiles AS VARCHAR) || chr(10) || chr(10)
+    || 'Total lines of test code: ' || CAST(testLines AS VARCHAR) || chr(10)
+    || 'Average lines per test case: ' || printf('%.1f', round(avgLinesPerTest, 1)) || chr(10)
+    || 'Percentage of total lines for test cases: ' || printf('%.1f', round(percentTestLines, 1)) || '%' || chr(10)
+  END AS value
+FROM ({STATISTICS}) s
+"""
+
+JSON_ROUNDTRIP = f"""
+WITH {ANALYSIS_CTE}
+SELECT path, name, package, project || '/' || project || '_' || package || '_' || name || '.json' AS doc_key,
+       ds AS data_structure, CAST(cnt AS BIGINT) AS scenario_count, table_driven AS is_table_driven,
+       'testing, strings' AS imports, 'none' AS strategy
+FROM an
+"""
+
+JSON_FLATTEN = f"""
+WITH {ANALYSIS_CTE}
+SELECT 'testing' AS import_path, count(*) AS n_elements FROM an
+UNION ALL
+SELECT 'strings' AS import_path, count(*) AS n_elements FROM an
+"""
+
 # ---------------------------------------------------------------- round trip, call chains from part
 
 CHAINS_CTE = """
@@ -466,6 +497,9 @@ ORACLES: dict[str, str] = {
     "tester_param": TESTER_PARAM,
     "scenario_source": SCENARIO_SOURCE,
     "expand_calls": EXPAND_CALLS,
+    "report_text": REPORT_TEXT,
+    "json_roundtrip": JSON_ROUNDTRIP,
+    "json_flatten": JSON_FLATTEN,
     "refactor_candidates": REFACTOR_CANDIDATES,
     "refactor_status": REFACTOR_STATUS,
     "refactor_names": REFACTOR_NAMES,

@@ -55,6 +55,10 @@ QUERIES: dict[str, Query] = {
     "tester_param": rt.tester_param,
     "scenario_source": rt.scenario_source,
     "expand_calls": rt.expand_calls,
+    "report_text": rt.report_text,
+    "json_roundtrip": rt.json_roundtrip,
+    "append_contract": rt.append_contract,
+    "json_flatten": rt.json_flatten,
     "refactor_candidates": rt.refactor_candidates,
     "refactor_status": rt.refactor_status,
     "refactor_names": rt.refactor_names,

@@ -315,3 +315,59 @@ def analyze_refactor_report(spark, sf_dir):
     f, a, plan, _ = _refactor(spark, sf_dir)
     res = an.refactor_results(plan, fx.run_log(spark, sf_dir))
     return an.analyze_report(a, res)
+
+
+# ---------------------------------------------------------------- sinks and contracts
+
+def report_text(spark, sf_dir):
+    """The statistics text report per project."""
+    return st.statistics_report_text(q_stats(spark, sf_dir))
+
+
+def q_stats(spark, sf_dir):
+    files, errs = shapes(spark, sf_dir)
+    return st.statistics(files, errs, by="project")
+
+
+def json_roundtrip(spark, sf_dir):
+    """Analysis documents written as JSON, read back with the
+    declared schema; the flat view must equal the analysis."""
+    from testsieve.sources import sinks as sk
+    a = _analysed(spark, sf_dir)
+    out = sk.scratch_dir(spark, "json")
+    sk.write_json_documents(sk.json_documents(a), out)
+    d = sk.read_json_documents(spark, out)
+    return d.select(
+        F.col("TestCase.filePath").alias("path"), F.col("TestCase.name").alias("name"),
+        F.col("TestCase.package").alias("package"), "doc_key",
+        F.col("ScenarioSet.dataStructure").alias("data_structure"),
+        F.size("ScenarioSet.scenarios").cast("long").alias("scenario_count"),
+        F.col("ScenarioSet.isTableDriven").alias("is_table_driven"),
+        F.array_join("ImportedPackages", ", ").alias("imports"),
+        F.col("RefactorResult.strategy").alias("strategy"))
+
+
+def append_contract(spark, sf_dir):
+    """Two appends with the same header are kept, an append with a
+    reordered header is refused; the CSV read back holds both batches."""
+    from testsieve.sources import sinks as sk
+    stats = q_stats(spark, sf_dir)
+    out = sk.scratch_dir(spark, "csv")
+    sk.write_csv(stats, out)
+    sk.write_csv(stats, out, append=True)
+    try:
+        sk.write_csv(stats.select(*reversed(stats.columns)), out, append=True)
+        refused = False
+    except sk.ContractError:
+        refused = True
+    back = spark.read.option("header", True).csv(out)
+    return back.withColumn("reordered_refused", F.lit(refused))
+
+
+def json_flatten(spark, sf_dir):
+    """Appending each test's import list flattened one level gives one
+    element per import; counted per import path."""
+    from testsieve.sources import sinks as sk
+    a = _analysed(spark, sf_dir).select("path", "name", "imports")
+    flat = sk.flatten_one_level(a, "imports")
+    return flat.groupBy(F.col("imports").alias("import_path")).agg(F.count(F.lit(1)).alias("n_elements"))

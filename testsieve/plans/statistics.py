@@ -89,6 +89,7 @@ def statistics_report_text(stats: DataFrame, title_col: str = "projectDir") -> D
         "Total number of test cases: %d\n\nNumber of '_test.go' files: %d\n"
         "Total number of Go files: %d\n\nTotal lines of test code: %d\n"
         "Average lines per test case: %.1f\nPercentage of total lines for test cases: %.1f%%\n",
-        "testCases", "testFiles", "totalFiles", "testLines", "avgLinesPerTest", "percentTestLines"))
+        "testCases", "testFiles", "totalFiles", "testLines",
+        F.round("avgLinesPerTest", 1), F.round("percentTestLines", 1)))
     head = F.format_string("=============  Statistics Report for \"%s\":  =============\n\n", F.col(title_col))
     return stats.select(title_col, F.concat(head, body).alias("value"))
