@@ -362,6 +362,15 @@ UNION ALL
 SELECT 'strings' AS import_path, count(*) AS n_elements FROM an
 """
 
+CUSTOM_TASK = f"""
+WITH {SHAPES_CTE},
+h AS (SELECT f, pn, max(CASE WHEN v = 5 THEN 1 ELSE 0 END) AS has_h, sum(CASE WHEN v = 5 THEN 1 ELSE 0 END) AS n_h
+      FROM fn GROUP BY f, pn),
+vis AS (SELECT fl.project, h.has_h, h.n_h FROM fl JOIN h ON h.f = fl.f WHERE fl.visited)
+SELECT project, CAST(sum(n_h) AS BIGINT) AS helper_calls, CAST(sum(has_h) AS BIGINT) AS files_with_helpers
+FROM vis GROUP BY project
+"""
+
 # ---------------------------------------------------------------- round trip, call chains from part
 
 CHAINS_CTE = """
@@ -497,6 +506,8 @@ ORACLES: dict[str, str] = {
     "tester_param": TESTER_PARAM,
     "scenario_source": SCENARIO_SOURCE,
     "expand_calls": EXPAND_CALLS,
+    "custom_task": CUSTOM_TASK,
+    "stream_append": "SELECT run_id, result, message FROM (" + RUN_MESSAGES + ")",
     "report_text": REPORT_TEXT,
     "json_roundtrip": JSON_ROUNDTRIP,
     "json_flatten": JSON_FLATTEN,

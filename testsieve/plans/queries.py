@@ -55,6 +55,8 @@ QUERIES: dict[str, Query] = {
     "tester_param": rt.tester_param,
     "scenario_source": rt.scenario_source,
     "expand_calls": rt.expand_calls,
+    "custom_task": rt.custom_task,
+    "stream_append": rt.stream_append,
     "report_text": rt.report_text,
     "json_roundtrip": rt.json_roundtrip,
     "append_contract": rt.append_contract,

@@ -371,3 +371,24 @@ def json_flatten(spark, sf_dir):
     a = _analysed(spark, sf_dir).select("path", "name", "imports")
     flat = sk.flatten_one_level(a, "imports")
     return flat.groupBy(F.col("imports").alias("import_path")).agg(F.count(F.lit(1)).alias("n_elements"))
+
+
+# ---------------------------------------------------------------- extension and incremental
+
+def custom_task(spark, sf_dir):
+    """An example user task (``t.Helper()`` calls per project)."""
+    from testsieve.plans import task as tk
+    files, errs = shapes(spark, sf_dir)
+    return tk.run_task(tk.HELPER_CALLS, files, errs).withColumnRenamed("group", "project")
+
+
+def stream_append(spark, sf_dir):
+    """Run logs written as several Parquet batches, classified by an
+    availableNow stream and appended; the result equals the batch job."""
+    from testsieve.sources import sinks as sk
+    from testsieve.streaming import append as sa
+    base = sk.scratch_dir(spark, "stream")
+    runs = fx.run_log(spark, sf_dir)
+    runs.repartition(4, "test_id").write.mode("overwrite").parquet(f"{base}/in")
+    sa.classified_runs_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    return sa.read_appended(spark, f"{base}/out").select("run_id", "result", "message")
