@@ -46,6 +46,7 @@ class Facts:
         self.stmts = sm.statements(self.lines)
         if persist:
             self.stmts = self.stmts.persist(StorageLevel.MEMORY_AND_DISK)
+        self.persisted = [self.lines, self.stmts] if persist else []
 
     def tests(self) -> DataFrame:
         t = dc.valid_tests(self.funcs.withColumnRenamed("func_line", "start_line"))

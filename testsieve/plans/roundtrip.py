@@ -119,21 +119,46 @@ def imports(spark, sf_dir):
 
 # ---------------------------------------------------------------- analysis
 
+# Fact store: the fact tables of one corpus are built once per session and read
+# by every report on it (reports never touch the source text again).
+_STORE: dict = {}
+
+
+def _stored(spark, sf_dir, kind, build):
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _STORE:
+        _STORE[key] = build()
+    return _STORE[key]
+
+
+def clear_store() -> None:
+    """Unpersist every stored fact table."""
+    for v in _STORE.values():
+        for df in getattr(v, "persisted", []):
+            df.unpersist()
+    _STORE.clear()
+
+
 def facts(spark, sf_dir):
     from testsieve.plans.analyze import Facts
-    files, errs = shapes(spark, sf_dir)
-    return Facts(files, errs)
+
+    def build():
+        files, errs = shapes(spark, sf_dir)
+        return Facts(files, errs)
+    return _stored(spark, sf_dir, "shapes", build)
 
 
 def analyze_report(spark, sf_dir):
     """The analyze report (16 columns) of every valid test."""
     from testsieve.plans import analyze as an
-    return an.analyze_report(an.analysis(facts(spark, sf_dir)))
+    return an.analyze_report(_analysed(spark, sf_dir))
 
 
 def _analysed(spark, sf_dir):
     from testsieve.plans import analyze as an
-    return an.analysis(facts(spark, sf_dir))
+    from pyspark import StorageLevel
+    return _stored(spark, sf_dir, "analysis",
+                   lambda: an.analysis(facts(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK))
 
 
 def analyze_summary(spark, sf_dir):
@@ -206,14 +231,14 @@ def scenario_source(spark, sf_dir):
 
 def chain_facts(spark, sf_dir):
     from testsieve.plans.analyze import Facts
-    return Facts(fx.chain_corpus(spark, sf_dir), None)
+    return _stored(spark, sf_dir, "chains", lambda: Facts(fx.chain_corpus(spark, sf_dir), None))
 
 
 def _expansion(spark, sf_dir):
     from testsieve.operators import expand as ex
     f = chain_facts(spark, sf_dir)
     tests = f.tests()
-    nodes = ex.expand(tests, f.stmts, f.funcs, spark)
+    nodes = _stored(spark, sf_dir, "expansion", lambda: ex.expand(tests, f.stmts, f.funcs, spark))
     return tests, nodes
 
 
@@ -241,7 +266,7 @@ def expansion_preorder(spark, sf_dir):
 def _refactor(spark, sf_dir):
     from testsieve.plans import analyze as an
     f = facts(spark, sf_dir)
-    a = an.analysis(f)
+    a = _analysed(spark, sf_dir)
     plan, rewritten = an.refactoring(f, a, "subtest")
     return f, a, plan, rewritten
 

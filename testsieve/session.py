@@ -21,6 +21,9 @@ _DEFAULTS = {
     # Fact tables are all hash-partitioned by (project, path); joins on a finer
     # key, e.g. (project, path, func_line), reuse that partitioning.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Source text is CPU-heavy per byte (tokeniser, windows): do not let AQE
+    # coalesce small shuffles into a handful of partitions.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
 }
 
 

@@ -110,7 +110,10 @@ def shape_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     Assembled with one bounded group per file (at most five rows each).
     """
     funcs = shape_functions(spark, sf_dir)
-    grouped = funcs.groupBy("project", "path", "package").agg(
+    # Grouped by the file key alone, so the engine's per-file steps reuse this
+    # partitioning instead of shuffling the text a second time.
+    grouped = funcs.groupBy("project", "path").agg(
+        F.first("package").alias("package"),
         F.array_sort(F.collect_list(F.struct("k", "func_text"))).alias("fs"))
     header = F.concat(F.lit("package "), F.col("package"),
                       F.lit('\n\nimport (\n\t"testing"\n\tstr "strings"\n)\n\n'))
