@@ -382,6 +382,61 @@ ch AS (
 )
 """
 
+SELECTOR_CALLS = f"""
+WITH {SHAPES_CTE}
+SELECT path, name, CAST(CASE WHEN v IN (3, 4, 5) THEN 1 ELSE 0 END AS BIGINT) AS n_selector_calls
+FROM fn WHERE visited AND v IN (0, 1, 2, 3, 4, 5, 8)
+"""
+
+STRUCT_FIELDS = f"""
+WITH {ANALYSIS_CTE}
+SELECT path, name, CASE WHEN v = 2 THEN 'want int' ELSE 'name string, want int' END AS fields
+FROM an WHERE v IN (0, 1, 2)
+"""
+
+_STRUCT_ROWS = "CASE WHEN n > 0 THEN ' ' || array_to_string(list_transform(range(0, n), lambda i: '{\"s{' || CAST(i AS VARCHAR) || '\", 1}, // }'), ' ') ELSE '' END"
+_MAP_ROWS = "CASE WHEN n > 0 THEN ' ' || array_to_string(list_transform(range(0, n), lambda i: '\"s{' || CAST(i AS VARCHAR) || '\": {1},'), ' ') ELSE '' END"
+
+FUNC_TEXT = f"""
+WITH {SHAPES_CTE}
+SELECT path, name,
+  CASE v
+    WHEN 0 THEN name || '(t *testing.T) {{ tests := []struct {{ name string want int }}{{' || {_STRUCT_ROWS}
+                || ' }} for _, tt := range tests {{ t.Log(tt.name, tt.want) }} }}'
+    WHEN 1 THEN name || '(t *testing.T) {{ tests := []struct {{ name string want int }}{{' || {_STRUCT_ROWS}
+                || ' }} for _, tt := range tests {{ t.Run(tt.name, func(t *testing.T) {{ t.Log(tt.want) }}) }} }}'
+    WHEN 2 THEN name || '(t *testing.T) {{ tests := map[string]struct {{ want int }}{{' || {_MAP_ROWS}
+                || ' }} for name, tt := range tests {{ t.Log(name, tt.want) }} }}'
+    WHEN 3 THEN name || '(t *testing.T) {{ t.Log("}}") }}'
+    ELSE name || '(t *testing.T) {{ t.Skip() }}'
+  END AS text_ws0
+FROM fn WHERE visited AND valid
+"""
+FUNC_TEXT = "SELECT path, name, 'func ' || text_ws0 AS text_ws FROM (" + FUNC_TEXT + ")"
+
+RESOLVE_CALLS = f"""
+WITH {CHAINS_CTE}
+SELECT path, name, CASE WHEN l >= 1 THEN 'h' || CAST(p AS VARCHAR) || '_0' ELSE 'Log' END AS callee,
+       CASE WHEN l >= 1 THEN 'resolved' ELSE 'unresolved' END AS resolution
+FROM ch
+"""
+
+ENCLOSING_FUNCTION = f"""
+WITH {SHAPES_CTE}
+SELECT path, name, CAST(1 AS BIGINT) AS n_log_lines FROM fn WHERE visited AND v IN (0, 1, 2, 3)
+"""
+
+RANGE_TYPES = f"""
+WITH {ANALYSIS_CTE}
+SELECT path, name, CASE WHEN v = 2 THEN 'struct{{want int}}' ELSE 'struct{{name string;want int}}' END AS scenario_type
+FROM an WHERE v IN (0, 1, 2)
+"""
+
+FUNCTION_FIELDS = f"""
+WITH {ANALYSIS_CTE}
+SELECT path, name, false AS has_function_fields FROM an
+"""
+
 EXPAND_CALLS = f"""
 WITH {CHAINS_CTE}
 SELECT path, name, CAST(1 + l AS BIGINT) AS n_nodes, CAST(l AS BIGINT) AS max_level FROM ch
@@ -506,6 +561,13 @@ ORACLES: dict[str, str] = {
     "tester_param": TESTER_PARAM,
     "scenario_source": SCENARIO_SOURCE,
     "expand_calls": EXPAND_CALLS,
+    "selector_calls": SELECTOR_CALLS,
+    "struct_fields": STRUCT_FIELDS,
+    "func_text": FUNC_TEXT,
+    "resolve_calls": RESOLVE_CALLS,
+    "enclosing_function": ENCLOSING_FUNCTION,
+    "range_types": RANGE_TYPES,
+    "function_fields": FUNCTION_FIELDS,
     "custom_task": CUSTOM_TASK,
     "stream_append": "SELECT run_id, result, message FROM (" + RUN_MESSAGES + ")",
     "report_text": REPORT_TEXT,

@@ -55,6 +55,13 @@ QUERIES: dict[str, Query] = {
     "tester_param": rt.tester_param,
     "scenario_source": rt.scenario_source,
     "expand_calls": rt.expand_calls,
+    "selector_calls": rt.selector_calls,
+    "struct_fields": rt.struct_fields,
+    "func_text": rt.func_text,
+    "resolve_calls": rt.resolve_calls,
+    "enclosing_function": rt.enclosing_function,
+    "range_types": rt.range_types,
+    "function_fields": rt.function_fields,
     "custom_task": rt.custom_task,
     "stream_append": rt.stream_append,
     "report_text": rt.report_text,

@@ -417,3 +417,72 @@ def stream_append(spark, sf_dir):
     runs.repartition(4, "test_id").write.mode("overwrite").parquet(f"{base}/in")
     sa.classified_runs_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
     return sa.read_appended(spark, f"{base}/out").select("run_id", "result", "message")
+
+
+# ---------------------------------------------------------------- more fact queries
+
+def selector_calls(spark, sf_dir):
+    """top-level statements that are calls ``<tester>.<name>(...)``, per function."""
+    from testsieve.operators import expand as ex
+    from testsieve.operators import statements as sm
+    f = facts(spark, sf_dir)
+    fn = f.funcs.select("project", "path", "func_line", "name", sm.tester_param(F.col("header")).alias("tv"))
+    s = f.stmts.join(fn, ["project", "path", "func_line"])
+    pat = F.concat(F.lit(r"^\s*"), F.col("tv"), F.lit(r"\s*\.\s*\w+\s*\("))
+    hit = F.coalesce(F.rlike(F.col("flat"), pat) & ex.is_expr_stmt(F.col("flat")), F.lit(False))
+    return s.groupBy("path", "name").agg(F.count_if(hit).alias("n_selector_calls"))
+
+
+def struct_fields(spark, sf_dir):
+    """fields of each test's scenario struct, declaration order."""
+    a = _analysed(spark, sf_dir).filter(F.size("fields") > 0)
+    return a.select("path", "name", F.array_join(F.transform(
+        "fields", lambda x: F.concat(x["name"], F.lit(" "), x["type"])), ", ").alias("fields"))
+
+
+def func_text(spark, sf_dir):
+    """source text of each valid test (lines from `func` to the closing
+    brace), compared modulo layout."""
+    f = facts(spark, sf_dir)
+    t = f.tests().select("project", "path", "func_line", "end_line", "name")
+    ls = f.lines.select("project", "path", F.col("decl_line").alias("func_line"), "line_no", "text")
+    j = ls.join(t, ["project", "path", "func_line"]).filter(F.col("line_no") <= F.col("end_line"))
+    g = j.groupBy("path", "name").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("ls"))
+    return g.select("path", "name", F.trim(F.regexp_replace(
+        F.array_join(F.transform("ls", lambda x: x["text"]), "\n"), r"\s+", " ")).alias("text_ws"))
+
+
+def resolve_calls(spark, sf_dir):
+    """Calls of each chain test's own statements resolved inside the package."""
+    from testsieve.operators import expand as ex
+    from testsieve.operators import decls as dc_
+    f = chain_facts(spark, sf_dir)
+    tests = f.tests().select("project", "path", "func_line", "name")
+    s = f.stmts.join(tests, ["project", "path", "func_line"])
+    calls = s.select("project", "path", "name", F.explode(ex.statement_calls(F.col("flat"))).alias("c"))
+    calls = calls.select("project", "path", "name", F.col("c.callee").alias("callee"),
+                         F.col("c.is_selector").alias("is_selector"),
+                         dc_.package_dir(F.col("path")).alias("pkg_dir"))
+    r = calls.join(ex.definitions(f.funcs), ["project", "pkg_dir", "callee", "is_selector"], "left")
+    return r.select("path", "name", "callee", F.coalesce("resolution", F.lit("unresolved")).alias("resolution"))
+
+
+def enclosing_function(spark, sf_dir):
+    """Lines calling ``t.Log`` attributed to their enclosing top-level function."""
+    f = facts(spark, sf_dir)
+    ls = f.lines.filter(F.col("masked").rlike(r"\bt\s*\.\s*Log\s*\(")).select(
+        "project", "path", F.col("decl_line").alias("func_line"), "line_no")
+    fn = f.funcs.select("project", "path", "func_line", "end_line", "name")
+    j = ls.join(fn, ["project", "path", "func_line"]).filter(F.col("line_no") <= F.col("end_line"))
+    return j.groupBy("path", "name").agg(F.count(F.lit(1)).alias("n_log_lines"))
+
+
+def range_types(spark, sf_dir):
+    """Normalised type of the runner loop's ranged expression."""
+    a = _analysed(spark, sf_dir).filter(F.col("runner_ord").isNotNull())
+    return a.select("path", "name", "scenario_type")
+
+
+def function_fields(spark, sf_dir):
+    """A10: does the scenario struct have a function-typed field."""
+    return _analysed(spark, sf_dir).select("path", "name", "has_function_fields")
