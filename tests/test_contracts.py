@@ -60,3 +60,23 @@ def test_run_classification_order(spark):
     df = spark.createDataFrame(rows, "ok boolean, out string")
     got = [r[0] for r in df.select(cl.run_result(F.col("ok"), F.col("out"))).collect()]
     assert got == ["compilationError", "fail", "fail", "notRun", "skip", "pass", "fail"]
+
+
+def test_scan_go_tree_and_text_sink(spark, tmp_path):
+    root = tmp_path / "proj"
+    (root / "pkg").mkdir(parents=True)
+    (root / "pkg" / "a_test.go").write_text('package pkg\n\nimport "testing"\n\nfunc TestA(t *testing.T) {\n}\n')
+    (root / "pkg" / "b.go").write_text("package pkg\n")
+    (root / "pkg" / "notes.txt").write_text("not go")
+    files = cp.read_go_tree(spark, str(root))
+    rows = {r["path"].split("/")[-1]: r for r in files.collect()}
+    assert set(rows) == {"a_test.go", "b.go"} and rows["b.go"]["project"] == "proj"
+    from testsieve.plans import statistics as st
+    stats = st.statistics(files).first()
+    assert (stats["testCases"], stats["testFiles"], stats["totalFiles"]) == (1, 1, 2)
+    out = sk.scratch_dir(spark, "t-text")
+    sk.write_text(st.statistics_report_text(st.statistics(files)).select("value"), out)
+    text = "".join(r[0] + "\n" for r in spark.read.text(out).collect())
+    assert "Total number of test cases: 1" in text
+    with pytest.raises(sk.ContractError):
+        sk.write_text(files, out)

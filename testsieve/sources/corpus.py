@@ -20,16 +20,14 @@ def read_go_tree(spark: SparkSession, root: str, project: str | None = None) ->
     many projects, call :func:`read_go_projects`.
     """
     name = project or root.rstrip("/").split("/")[-1]
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", "*.go").text(root))
+    df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.go")
     path = F.regexp_replace(F.col("_metadata.file_path"), r"^file:(//)?", "")
     return df.select(F.lit(name).alias("project"), path.alias("path"), F.col("value").alias("content"))
 
 
 def read_go_projects(spark: SparkSession, root: str) -> DataFrame:
     """S1 for a folder of projects: ``root/<project>/...``; project = first folder."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", "*.go").text(root))
+    df = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.go")
     path = F.regexp_replace(F.col("_metadata.file_path"), r"^file:(//)?", "")
     rel = F.substring(path, len(root.rstrip("/")) + 2, 1 << 30)
     return df.select(F.substring_index(rel, "/", 1).alias("project"), path.alias("path"),
