@@ -105,3 +105,24 @@ func TestK(t *testing.T) {
     by = {r["name"]: r for r in plan}
     assert by["TestB"]["generation_status"] == "badFields"
     assert by["TestK"]["generation_status"] == "success" and by["TestK"]["name_expr"] == "testName"
+
+
+def test_argument_calls_come_before_the_body(spark):
+    nodes = _expand(spark, """func TestA(t *testing.T) {
+	outer(inner(t), t.Name(), 1+other())
+}
+
+func outer(x, y, z int) {
+	println(x)
+}
+
+func inner(t *testing.T) int {
+	return 1
+}
+
+func other() int {
+	return 2
+}
+""")
+    assert nodes == [([0], "outer(inner(t), t.Name(), 1+other())"), ([0, 0], "inner(t)"),
+                     ([0, 0, 0], "return 1"), ([0, 1], "t.Name()"), ([0, 2], "println(x)")]

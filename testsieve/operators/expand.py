@@ -16,8 +16,9 @@ Semantics kept from the reference:
   ``test_only``, in a ``_test.go`` file) and its name is not on the call stack
   (R2); callees entered by earlier calls of the same statement stay on the
   stack for the later ones (sibling rule, evaluated with ``aggregate``);
-* function literals passed as arguments are not entered (R4); calls nested
-  inside call arguments are not visited.
+* arguments that are calls become nodes before the callee's body (R3); calls
+  nested deeper inside an argument expression are not visited; function
+  literals passed as arguments are not entered (R4).
 """
 
 from __future__ import annotations
@@ -46,15 +47,38 @@ def hide_parens(flat, passes: int = 16):
     return s
 
 
+def _balanced_parens(levels: int = 10) -> str:
+    b = r"[^()]*+"
+    for _ in range(levels):
+        b = r"(?:[^()]++|\(" + b + r"\))*+"
+    return b
+
+
+BALP = _balanced_parens()
+# A whole call: callee expression and its balanced argument list. Scanning left
+# to right, non-overlapping matches are exactly the outermost calls.
+CALL_SPAN = r"(?<![\w.])[A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*\s*\(" + BALP + r"\)"
+CALL_PARTS = r"^([A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*)\s*\((.*)\)$"
+WHOLE_CALL = r"^\s*" + CALL_SPAN + r"\s*$"
+
+
 def statement_calls(flat):
-    """``ARRAY<STRUCT<callee, is_selector>>`` of the calls of one statement, in
-    text order (the outer call before the calls after it)."""
-    hidden = hide_parens(flat)
-    found = F.regexp_extract_all(hidden, F.lit(CALL_PATTERN), 1)
-    found = F.filter(found, lambda c: ~c.isin(NOT_CALLEES))
-    return F.transform(found, lambda c: F.struct(
-        F.regexp_extract(c, r"(\w+)$", 1).alias("callee"),
-        c.contains(".").alias("is_selector")))
+    """``ARRAY<STRUCT<callee, is_selector, arg_calls>>`` of the calls of one
+    statement in text order; ``arg_calls`` are the arguments that are
+    themselves calls (R3), as text."""
+    from testsieve.operators import statements as sm
+    spans = F.regexp_extract_all(flat, F.lit(CALL_SPAN), 0)
+
+    def one(span):
+        callee_expr = F.regexp_extract(span, CALL_PARTS, 1)
+        args = F.regexp_extract_all(F.regexp_extract(span, CALL_PARTS, 2), F.lit(sm.ITEM_PATTERN), 0)
+        arg_calls = F.filter(F.transform(args, lambda a: F.trim(a)), lambda a: a.rlike(WHOLE_CALL))
+        return F.struct(F.regexp_extract(callee_expr, r"(\w+)$", 1).alias("callee"),
+                        callee_expr.contains(".").alias("is_selector"),
+                        F.filter(arg_calls, lambda a: ~F.regexp_extract(a, r"^\s*(\w+)", 1).isin(NOT_CALLEES))
+                        .alias("arg_calls"))
+    calls = F.transform(spans, one)
+    return F.filter(calls, lambda c: ~c["callee"].isin(NOT_CALLEES) | c["is_selector"])
 
 
 def is_expr_stmt(flat):
@@ -85,15 +109,17 @@ def _fold_stack(calls):
     """R2 sibling rule over the ordered resolved calls of one node."""
     start = F.struct(F.col("stack").alias("stack"),
                      F.array().cast("array<struct<call_ord:int,callee:string,entered:boolean,"
-                                    "inner_stack:array<string>,def_path:string,def_line:int>>")
+                                    "outer_stack:array<string>,inner_stack:array<string>,def_path:string,"
+                                    "def_line:int,arg_calls:array<string>>>")
                      .alias("out"))
 
     def step(acc, c):
         enter = (F.coalesce(c["resolution"], F.lit("")) == "resolved") & ~F.array_contains(acc["stack"], c["callee"])
         new_stack = F.when(enter, F.concat(acc["stack"], F.array(c["callee"]))).otherwise(acc["stack"])
         rec = F.struct(c["call_ord"].cast("int").alias("call_ord"), c["callee"].alias("callee"),
-                       enter.alias("entered"), new_stack.alias("inner_stack"),
-                       c["def_path"].alias("def_path"), c["def_line"].cast("int").alias("def_line"))
+                       enter.alias("entered"), acc["stack"].alias("outer_stack"), new_stack.alias("inner_stack"),
+                       c["def_path"].alias("def_path"), c["def_line"].cast("int").alias("def_line"),
+                       c["arg_calls"].alias("arg_calls"))
         return F.struct(new_stack.alias("stack"), F.concat(acc["out"], F.array(rec)).alias("out"))
 
     return F.aggregate(calls, start, step)["out"]
@@ -134,12 +160,12 @@ def _next_level(frontier: DataFrame, defs: DataFrame, body: DataFrame) -> DataFr
         .withColumn("calls", statement_calls(F.col("flat")))
     calls = nodes.select(*node_key, "stack", "expr_stmt", F.posexplode("calls").alias("call_ord", "c"))
     calls = calls.select(*node_key, "stack", "expr_stmt", "call_ord", F.col("c.callee").alias("callee"),
-                         F.col("c.is_selector").alias("is_selector"),
+                         F.col("c.is_selector").alias("is_selector"), F.col("c.arg_calls").alias("arg_calls"),
                          dc.package_dir(F.col("path")).alias("pkg_dir"))
     resolved = calls.join(defs, ["project", "pkg_dir", "callee", "is_selector"], "left")
     per_node = resolved.groupBy(*node_key, "stack", "expr_stmt").agg(
-        F.array_sort(F.collect_list(F.struct("call_ord", "callee", "resolution", "def_path", "def_line")))
-        .alias("rc"))
+        F.array_sort(F.collect_list(F.struct("call_ord", "callee", "resolution", "def_path", "def_line",
+                                             "arg_calls"))).alias("rc"))
     folded = per_node.select(*node_key, "expr_stmt", F.explode(_fold_stack(F.col("rc"))).alias("c"))
     c = folded.select(*node_key, "expr_stmt", "c.*")
     # A non-call statement gets one node per call, below it.
@@ -149,16 +175,25 @@ def _next_level(frontier: DataFrame, defs: DataFrame, body: DataFrame) -> DataFr
         F.concat(F.col("callee"), F.lit("(...)")).alias("text"), F.lit("").alias("flat"), "callee")
     base_path = F.when(F.col("expr_stmt"), F.col("node_path")).otherwise(
         F.concat("node_path", F.array(F.col("call_ord"))))
+    # Argument calls come first below the call, as statements of their own,
+    # with the stack as it was when the call was reached.
+    arg_nodes = c.select(*TEST_KEY, base_path.alias("base_path"), "outer_stack",
+                         F.posexplode("arg_calls").alias("arg_ord", "arg"))
+    arg_nodes = arg_nodes.select(
+        *TEST_KEY, F.concat("base_path", F.array(F.col("arg_ord"))).alias("node_path"),
+        F.col("outer_stack").alias("stack"), F.lit("stmt").alias("kind"), F.col("arg").alias("text"),
+        F.col("arg").alias("flat"), F.lit(None).cast("string").alias("callee"))
     entered = c.filter("entered").select(*TEST_KEY, base_path.alias("base_path"), "inner_stack",
-                                         "callee", "def_path", "def_line")
+                                         "callee", "def_path", "def_line",
+                                         F.size("arg_calls").alias("n_args"))
     children = entered.join(body, (entered["project"] == body["b_project"])
                             & (entered["def_path"] == body["def_path"])
                             & (entered["def_line"] == body["def_line"]))
     children = children.select(
-        *TEST_KEY, F.concat("base_path", F.array(F.col("b_ord") - 1)).alias("node_path"),
+        *TEST_KEY, F.concat("base_path", F.array(F.col("b_ord") - 1 + F.col("n_args"))).alias("node_path"),
         F.col("inner_stack").alias("stack"), F.lit("stmt").alias("kind"),
         F.col("b_text").alias("text"), F.col("b_flat").alias("flat"), "callee")
-    return call_nodes.unionByName(children)
+    return call_nodes.unionByName(arg_nodes).unionByName(children)
 
 
 def expansion_summary(nodes: DataFrame) -> DataFrame:
