@@ -23,6 +23,7 @@ Semantics kept from the reference:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,26 +135,39 @@ def expand(tests: DataFrame, stmts: DataFrame, funcs: DataFrame, spark: SparkSes
     function (``flat`` text); ``funcs`` the declarations (``func_line``).
     """
     checkpoint_dir(spark)
-    defs = definitions(funcs, test_only)
+    # Both sides are read once per level: keep them for the whole loop.
+    defs = definitions(funcs, test_only).persist(StorageLevel.MEMORY_AND_DISK)
     body = stmts.select(F.col("project").alias("b_project"), F.col("path").alias("def_path"),
                         F.col("func_line").alias("def_line"), F.col("stmt_ord").alias("b_ord"),
-                        F.col("text").alias("b_text"), F.col("flat").alias("b_flat"))
+                        F.col("text").alias("b_text"), F.col("flat").alias("b_flat")
+                        ).persist(StorageLevel.MEMORY_AND_DISK)
     level0 = (stmts.join(tests.select(*TEST_KEY), TEST_KEY, "left_semi")
               .select(*TEST_KEY, F.array(F.col("stmt_ord") - 1).alias("node_path"),
                       F.array().cast("array<string>").alias("stack"),
                       F.lit("stmt").alias("kind"), "text", "flat", F.lit(None).cast("string").alias("callee")))
-    frontier = level0.checkpoint()
+    frontier = _cut(level0)
     levels = [frontier.drop("stack", "flat")]
     while not frontier.isEmpty():
-        nxt = _next_level(frontier, defs, body).checkpoint()
+        nxt = _cut(_next_level(frontier, defs, body))
         levels.append(nxt.drop("stack", "flat"))
         frontier = nxt.filter(F.col("kind") == "stmt")
+    defs.unpersist()
+    body.unpersist()
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)
     return out.withColumn("level", (F.size("node_path") - 1).cast("int"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of one level. The level is persisted first so the
+    checkpoint write reads it instead of computing it a second time."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out
+
+
 def _next_level(frontier: DataFrame, defs: DataFrame, body: DataFrame) -> DataFrame:
     node_key = TEST_KEY + ["node_path"]
     nodes = frontier.withColumn("expr_stmt", is_expr_stmt(F.col("flat"))) \
