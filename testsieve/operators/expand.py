@@ -160,12 +160,9 @@ def expand(tests: DataFrame, stmts: DataFrame, funcs: DataFrame, spark: SparkSes
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of one level. The level is persisted first so the
-    checkpoint write reads it instead of computing it a second time."""
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = kept.checkpoint(eager=True)
-    kept.unpersist()
-    return out
+    """Reliable checkpoint of one level (see :func:`testsieve.session.cut_lineage`)."""
+    from testsieve.session import cut_lineage
+    return cut_lineage(df)
 
 
 def _next_level(frontier: DataFrame, defs: DataFrame, body: DataFrame) -> DataFrame:
@@ -214,3 +211,35 @@ def expansion_summary(nodes: DataFrame) -> DataFrame:
     """Per test: node count and deepest level."""
     return nodes.groupBy(*TEST_KEY).agg(F.count(F.lit(1)).alias("n_nodes"),
                                         F.max("level").alias("max_level"))
+
+
+def expansion_json(nodes: DataFrame) -> DataFrame:
+    """The nested ``[{"stmt": ..., "children": [...]}]`` text of each tree,
+    assembled bottom-up one level at a time (children grouped by parent path);
+    ``children`` is omitted when empty."""
+    def node_json(text_col, children_col):
+        base = F.to_json(F.struct(F.regexp_replace(text_col, r"^\s+|\s+$", "").alias("stmt")))
+        with_children = F.concat(F.substring(base, F.lit(1), F.length(base) - 1),
+                                 F.lit(',"children":['), F.array_join(children_col, ","), F.lit("]}"))
+        return F.when(F.size(children_col) > 0, with_children).otherwise(base)
+
+    max_level = nodes.agg(F.max("level")).first()[0]
+    if max_level is None:
+        return nodes.select(*TEST_KEY).limit(0).withColumn("json", F.lit(""))
+    done = None
+    for d in range(max_level, -1, -1):
+        lv = nodes.filter(F.col("level") == d).select(*TEST_KEY, "node_path", "text")
+        if done is None:
+            lv = lv.withColumn("kids", F.array().cast("array<string>"))
+        else:
+            lv = lv.join(done, TEST_KEY + ["node_path"], "left").withColumn(
+                "kids", F.coalesce("kids", F.array().cast("array<string>")))
+        lv = lv.select(*TEST_KEY, "node_path", node_json(F.col("text"), F.col("kids")).alias("j"))
+        if d == 0:
+            return lv.groupBy(*TEST_KEY).agg(F.concat(F.lit("["), F.array_join(F.transform(
+                F.array_sort(F.collect_list(F.struct("node_path", "j"))), lambda x: x["j"]), ","),
+                F.lit("]")).alias("json"))
+        parent = F.slice("node_path", 1, F.size("node_path") - 1)
+        done = (lv.groupBy(*TEST_KEY, parent.alias("node_path"))
+                .agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("node_path").alias("p"), "j"))),
+                                 lambda x: x["j"]).alias("kids")))

@@ -114,12 +114,14 @@ def rewrite_tests(plan: DataFrame, stmts: DataFrame, lines: DataFrame) -> DataFr
           .groupBy(*TEST_KEY)
           .agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("fl")))
     j = r.join(fl, TEST_KEY)
+    keep = ["end_line", "masked"]
     before = F.transform(F.filter("fl", lambda x: x["line_no"] < F.col("stmt_line")), lambda x: x["text"])
     # Lines after the function's closing brace (gap before the next declaration) are not part of it.
     after = F.transform(F.filter("fl", lambda x: (x["line_no"] > F.col("stmt_end"))
                                  & (x["line_no"] <= F.col("end_line"))), lambda x: x["text"])
     body = F.array_join(F.concat(before, F.array(F.col("new_runner")), after), "\n")
-    return j.select(*TEST_KEY, "name", body.alias("refactored"))
+    return j.select(*TEST_KEY, "name", body.alias("refactored"), "end_line", "runner_ord",
+                    F.col("masked").alias("runner_masked"))
 
 
 def apply_patches(funcs_text: DataFrame, patches: DataFrame) -> DataFrame:
@@ -144,3 +146,34 @@ def refactor_summary(plan: DataFrame, outcomes: DataFrame | None) -> DataFrame:
         F.count_if(attempted).alias("refactor_attempts"),
         F.count_if(gen_ok).alias("generation_successes"),
         F.count_if(passed).alias("refactor_successes"))
+
+
+def patched_files(lines: DataFrame, rewritten: DataFrame) -> DataFrame:
+    """J10 at file level: the corpus with every rewritten function replaced by
+    its new text, as a new ``(project, path, content)`` table. One aggregation
+    per file on the line facts' own partitioning."""
+    p = rewritten.select("project", "path", F.col("func_line").alias("decl_line"), "refactored", "end_line")
+    j = lines.select("project", "path", "decl_line", "line_no", "text").join(
+        p, ["project", "path", "decl_line"], "left")
+    inside = F.col("refactored").isNotNull() & (F.col("line_no") <= F.col("end_line"))
+    txt = (F.when(inside & (F.col("line_no") == F.col("decl_line")), F.col("refactored"))
+           .when(inside, F.lit(None)).otherwise(F.col("text")))
+    j = j.select("project", "path", "line_no", txt.alias("t")).filter(F.col("t").isNotNull())
+    return j.groupBy("project", "path").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("line_no", "t"))), lambda x: x["t"]), "\n").alias("content"))
+
+
+def stmt_at_same_position(stmts_a: DataFrame, key_a: DataFrame, stmts_b: DataFrame,
+                          key=("project", "path", "name")) -> DataFrame:
+    """Find each statement of ``key_a`` (``key`` + ``stmt_masked``) in its
+    body by content (hash of the layout-free masked text; first match), then
+    take the statement with the same index in the other body ``stmts_b``.
+    Both statement tables carry the ``key`` columns."""
+    key = list(key)
+    h = F.xxhash64(F.regexp_replace(F.col("flat"), r"\s+", ""))
+    a = stmts_a.select(*key, "stmt_ord", h.alias("h"))
+    k = key_a.select(*key, F.xxhash64(F.regexp_replace(sm.flatten(F.col("stmt_masked")), r"\s+", ""))
+                     .alias("h"))
+    idx = a.join(k, key + ["h"]).groupBy(*key).agg(F.min("stmt_ord").alias("stmt_ord"))
+    b = stmts_b.select(*key, "stmt_ord", F.col("flat").alias("other_flat"), F.col("text").alias("other_text"))
+    return idx.join(b, key + ["stmt_ord"], "left")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from testsieve.functions import lexical as lx
 from testsieve.operators import decls as dc
 from testsieve.operators import statements as sm
+from testsieve.session import cut_lineage
 
 TEST_KEY = ["project", "path", "func_line"]
 
@@ -146,9 +147,10 @@ def range_loops(stmts: DataFrame) -> DataFrame:
 
 
 def _keep(df: DataFrame) -> DataFrame:
-    """Persist an intermediate table that several joins of one plan read (its
-    size is proportional to the number of statements, not to the text)."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Materialise an intermediate table that several joins of one plan read
+    (its size is proportional to the number of statements, not to the text)
+    as a reliable checkpoint, so the plans that read it stay small."""
+    return cut_lineage(df)
 
 
 def _match(container_col, elem_col, elem_id_col, n_col, first_ok_col, lit_container_col):

@@ -15,6 +15,7 @@ from testsieve.operators import decls as dc
 from testsieve.operators import lines as ln
 from testsieve.operators import scenarios as sc
 from testsieve.operators import statements as sm
+from testsieve.session import cut_lineage
 from testsieve.sources import corpus as cp
 
 TEST_KEY = ["project", "path", "func_line"]
@@ -30,9 +31,9 @@ class Facts:
     """Fact tables of one corpus.
 
     Masking runs on the scan side of the single file exchange; the line and
-    statement facts, read by several joins of the analysis, are persisted
-    (memory, spilling to disk) so each is computed once per job. Lost blocks are
-    recomputed from lineage.
+    statement facts, read by several joins of the analysis, are materialised
+    once as reliable checkpoints in the shared checkpoint folder: later plans
+    start from them (short lineage, small plans) and survive lost executors.
     """
 
     def __init__(self, files: DataFrame, load_errors: DataFrame | None = None, strict_vendor: bool = False,
@@ -41,12 +42,12 @@ class Facts:
         self.visited = cp.prepare_files(masked, load_errors, strict_vendor)
         self.lines = ln.file_lines(self.visited)
         if persist:
-            self.lines = self.lines.persist(StorageLevel.MEMORY_AND_DISK)
+            self.lines = cut_lineage(self.lines)
         self.funcs = dc.func_decls(self.lines).withColumnRenamed("start_line", "func_line")
         self.stmts = sm.statements(self.lines)
         if persist:
-            self.stmts = self.stmts.persist(StorageLevel.MEMORY_AND_DISK)
-        self.persisted = [self.lines, self.stmts] if persist else []
+            self.stmts = cut_lineage(self.stmts)
+        self.persisted = []
 
     def tests(self) -> DataFrame:
         t = dc.valid_tests(self.funcs.withColumnRenamed("func_line", "start_line"))

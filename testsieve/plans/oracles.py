@@ -331,6 +331,12 @@ SELECT project, path AS filePath, package, name, table_driven AS isTableDriven,
 FROM rf LEFT JOIN runs ON runs.k = rf.k
 """
 
+REWRITE_REANALYSIS = f"""
+WITH {REFACTOR_CTE}
+SELECT path, name, true AS uses_subtest_after, 2 AS runner_index, true AS same_index_is_wrapped_loop
+FROM rf WHERE ok
+"""
+
 # ---------------------------------------------------------------- sinks
 
 REPORT_TEXT = f"""
@@ -382,6 +388,18 @@ ch AS (
 )
 """
 
+EXPANSION_JSON = f"""
+WITH {CHAINS_CTE}
+SELECT path, name,
+  CASE WHEN l = 0 THEN '[{{"stmt":"t.Log()"}}]'
+  ELSE '[' || array_to_string(list_transform(range(0, l), lambda i:
+              '{{"stmt":"h' || CAST(p AS VARCHAR) || '_' || CAST(i AS VARCHAR) || '(t)","children":['), '')
+       || '{{"stmt":"' || CASE WHEN cyc THEN 'h' || CAST(p AS VARCHAR) || '_0(t)' ELSE 't.Log()' END || '"}}'
+       || repeat(']}}', CAST(l AS INTEGER)) || ']'
+  END AS json
+FROM ch
+"""
+
 SELECTOR_CALLS = f"""
 WITH {SHAPES_CTE}
 SELECT path, name, CAST(CASE WHEN v IN (3, 4, 5) THEN 1 ELSE 0 END AS BIGINT) AS n_selector_calls
@@ -561,6 +579,8 @@ ORACLES: dict[str, str] = {
     "tester_param": TESTER_PARAM,
     "scenario_source": SCENARIO_SOURCE,
     "expand_calls": EXPAND_CALLS,
+    "expansion_json": EXPANSION_JSON,
+    "rewrite_reanalysis": REWRITE_REANALYSIS,
     "selector_calls": SELECTOR_CALLS,
     "struct_fields": STRUCT_FIELDS,
     "func_text": FUNC_TEXT,

@@ -55,6 +55,8 @@ QUERIES: dict[str, Query] = {
     "tester_param": rt.tester_param,
     "scenario_source": rt.scenario_source,
     "expand_calls": rt.expand_calls,
+    "expansion_json": rt.expansion_json,
+    "rewrite_reanalysis": rt.rewrite_reanalysis,
     "selector_calls": rt.selector_calls,
     "struct_fields": rt.struct_fields,
     "func_text": rt.func_text,

@@ -156,9 +156,8 @@ def analyze_report(spark, sf_dir):
 
 def _analysed(spark, sf_dir):
     from testsieve.plans import analyze as an
-    from pyspark import StorageLevel
-    return _stored(spark, sf_dir, "analysis",
-                   lambda: an.analysis(facts(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK))
+    from testsieve.session import cut_lineage
+    return _stored(spark, sf_dir, "analysis", lambda: cut_lineage(an.analysis(facts(spark, sf_dir))))
 
 
 def analyze_summary(spark, sf_dir):
@@ -486,3 +485,38 @@ def range_types(spark, sf_dir):
 def function_fields(spark, sf_dir):
     """A10: does the scenario struct have a function-typed field."""
     return _analysed(spark, sf_dir).select("path", "name", "has_function_fields")
+
+
+def expansion_json(spark, sf_dir):
+    """Nested JSON text of each chain test's expansion tree."""
+    from testsieve.operators import expand as ex
+    tests, nodes = _expansion(spark, sf_dir)
+    j = ex.expansion_json(nodes)
+    return (tests.select("project", "path", "func_line", "name").join(j, ["project", "path", "func_line"])
+            .select("path", "name", "json"))
+
+
+def rewrite_reanalysis(spark, sf_dir):
+    """The corpus with rewritten functions patched in is analysed
+    again; every rewritten test now uses subtests, and the statement found by
+    content at the runner's position in the original body is a loop in the new
+    body too."""
+    from testsieve.operators import refactor as rf
+    from testsieve.plans import analyze as an
+    f, _, _, rewritten = _refactor(spark, sf_dir)
+    files = rf.patched_files(f.lines, rewritten)
+    f2 = an.Facts(files, None, persist=False)
+    # Functions after a rewritten one move down, so the patched corpus is
+    # joined back by name (unique per file for functions without receiver).
+    fk = ["project", "path", "func_line"]
+    nk = ["project", "path", "name"]
+    a2 = an.analysis(f2).select(*nk, F.col("uses_subtest").alias("uses_subtest_after"))
+    named_a = f.stmts.join(f.funcs.select(*fk, "name"), fk)
+    named_b = f2.stmts.join(f2.funcs.select(*fk, "name"), fk)
+    keys = rewritten.select(*nk, F.col("runner_masked").alias("stmt_masked"))
+    pos = rf.stmt_at_same_position(named_a, keys, named_b)
+    out = rewritten.select(*nk).join(a2, nk, "left").join(pos, nk, "left")
+    return out.select("path", "name", F.coalesce("uses_subtest_after", F.lit(False)).alias("uses_subtest_after"),
+                      F.col("stmt_ord").cast("int").alias("runner_index"),
+                      F.coalesce(F.col("other_flat").rlike(r"^\s*for\b.*\.Run\("), F.lit(False))
+                      .alias("same_index_is_wrapped_loop"))

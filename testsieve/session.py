@@ -24,9 +24,24 @@ _DEFAULTS = {
     # Source text is CPU-heavy per byte (tokeniser, windows): do not let AQE
     # coalesce small shuffles into a handful of partitions.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
+    # Plan descriptions are rendered for every execution; keep them bounded.
+    "spark.sql.maxPlanStringLength": "200000",
 }
 
 
+def cut_lineage(df):
+    """Materialise ``df`` as a reliable checkpoint in the shared checkpoint
+    folder (never a local one). It is persisted first so the checkpoint write
+    reads it instead of computing it a second time; the checkpoint keeps the
+    physical partitioning, so later per-file steps still need no exchange."""
+    from pyspark import StorageLevel
+    checkpoint_dir(df.sparkSession)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "testsieve") -> SparkSession:
     """Build (or reuse) a session with the UI off and AQE on."""
