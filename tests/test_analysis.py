@@ -111,3 +111,43 @@ func TestU(*testing.T) {
 }""")
     assert not rows["TestN"]["uses_subtest"]
     assert rows["TestU"]["tester"] is None and rows["TestU"]["is_table_driven"]
+
+
+def test_keyed_array_array_type_and_map_of_bool(spark):
+    rows = _analyse(spark, """func TestKeyed(t *testing.T) {
+	tests := []struct{ name string }{0: {"a"}, 1: {"b"}}
+	for _, tt := range tests {
+		_ = tt
+	}
+}
+
+func TestArray(t *testing.T) {
+	tests := [2]struct{ name string }{{"a"}, {"b"}}
+	for _, tt := range tests {
+		_ = tt
+	}
+}
+
+func TestBool(t *testing.T) {
+	tests := map[string]bool{"a": true, "b": false}
+	for name, ok := range tests {
+		_, _ = name, ok
+	}
+}
+
+func TestNamedString(t *testing.T) {
+	tests := []struct {
+		name label
+		desc string
+	}{{"a", "x"}}
+	for _, tt := range tests {
+		_ = tt
+	}
+}""", extra="type label string\n\n")
+    assert rows["TestKeyed"]["data_structure"] == "structList" and rows["TestKeyed"]["scenario_count"] == 0
+    assert rows["TestArray"]["data_structure"] == "structList" and rows["TestArray"]["scenario_count"] == 2
+    b = rows["TestBool"]
+    assert b["data_structure"] == "map" and b["scenario_count"] == 2 and b["name_field"] == "map key"
+    assert b["expected_fields"] == [] and b["is_table_driven"]
+    # a named string type is not the basic `string`: the `desc` field is chosen
+    assert rows["TestNamedString"]["name_field"] == "desc"

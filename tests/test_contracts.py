@@ -80,3 +80,17 @@ def test_scan_go_tree_and_text_sink(spark, tmp_path):
     assert "Total number of test cases: 1" in text
     with pytest.raises(sk.ContractError):
         sk.write_text(files, out)
+
+
+def test_shorter_header_refused_and_same_named_packages(spark):
+    out = sk.scratch_dir(spark, "t-csv2")
+    df = spark.createDataFrame([("a", 1)], "p string, n long")
+    sk.write_csv(df, out)
+    with pytest.raises(sk.ContractError):
+        sk.write_csv(df.select("p"), out, append=True)
+    from testsieve.plans import analyze as an
+    src = 'package util\n\nimport "testing"\n\nfunc TestX(t *testing.T) {\n}\n'
+    files = corpus(spark, {"/r/a/util/x_test.go": src, "/r/b/util/x_test.go": src})
+    docs = sk.json_documents(an.analysis(an.Facts(files, persist=False)))
+    rows = docs.select("path", "doc_key").collect()
+    assert len(rows) == 2 and len({r["doc_key"] for r in rows}) == 1 and len({r["path"] for r in rows}) == 2
