@@ -145,3 +145,15 @@ def decl_texts(lines: DataFrame, kinds=("type", "var")) -> DataFrame:
 def package_dir(path_col):
     """Package key of a file: its directory."""
     return F.regexp_extract(path_col, r"^(.*)/[^/]*$", 1)
+
+
+def file_info(lines: DataFrame) -> DataFrame:
+    """Package clause and ordered imports of each file in one aggregation over
+    the lines (same partitioning, no exchange)."""
+    pk = F.regexp_extract(F.col("masked"), r"^\s*package\s+(\w+)", 1)
+    is_imp = (F.col("cur_kind") == "import") & (F.col("depth_before") == 0)
+    spec = F.regexp_extract(F.col("text"), IMPORT_SPEC, 2)
+    imp = F.when(is_imp & (spec != ""), F.struct(F.col("line_no"), F.trim(spec, F.lit('"')).alias("p")))
+    return lines.groupBy(*FILE_KEY).agg(
+        F.min_by(F.when(pk != "", pk), F.when(pk != "", F.col("line_no"))).alias("package"),
+        F.transform(F.array_sort(F.collect_list(imp)), lambda x: x["p"]).alias("imports"))

@@ -44,6 +44,8 @@ class Facts:
         if persist:
             self.lines = cut_lineage(self.lines)
         self.funcs = dc.func_decls(self.lines).withColumnRenamed("start_line", "func_line")
+        if persist:
+            self.funcs = cut_lineage(self.funcs)
         self.stmts = sm.statements(self.lines)
         if persist:
             self.stmts = cut_lineage(self.stmts)
@@ -58,12 +60,10 @@ def analysis(facts: Facts) -> DataFrame:
     """Per valid test: test case columns + scenario set + imports."""
     tests = facts.tests()
     ss = sc.scenario_sets(tests, facts.stmts, facts.lines)
-    pk = dc.file_packages(facts.lines)
-    im = dc.file_imports(facts.lines)
-    return (tests.select(*TEST_KEY, "name", "end_line", "header", "bad_format", "test_lines")
+    info = dc.file_info(facts.lines)
+    return (tests.select(*TEST_KEY, "name", "end_line", "header", "header_text", "bad_format", "test_lines")
             .join(ss, TEST_KEY, "left")
-            .join(pk, ["project", "path"], "left")
-            .join(im, ["project", "path"], "left"))
+            .join(info, ["project", "path"], "left"))
 
 
 def analyze_report(analysed: DataFrame, refactor: DataFrame | None = None) -> DataFrame:
