@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from testsieve.plans import direct as dt
 from testsieve.plans import roundtrip as rt
 from testsieve.plans import statistics as st
+from testsieve.session import apply_defaults
 from testsieve.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +28,7 @@ def q_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.statistics(files, errs, by="project")
 
 
-QUERIES: dict[str, Query] = {
+_QUERIES: dict[str, Query] = {
     "statistics": q_statistics,
     "scan_sources": rt.scan_sources,
     "skip_vendor": rt.skip_vendor,
@@ -88,3 +89,15 @@ QUERIES: dict[str, Query] = {
     "detect_format": dt.detect_format,
     "enum_decode": dt.enum_decode,
 }
+
+
+def _with_defaults(q: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        apply_defaults(spark)
+        return q(spark, sf_dir)
+    run.__name__ = getattr(q, "__name__", "query")
+    run.__doc__ = q.__doc__
+    return run
+
+
+QUERIES: dict[str, Query] = {name: _with_defaults(q) for name, q in _QUERIES.items()}

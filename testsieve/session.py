@@ -53,10 +53,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", os.environ.get("TESTSIEVE_DRIVER_MEM", "16g"))
     spark = builder.getOrCreate()
+    apply_defaults(spark)
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
+def apply_defaults(spark: SparkSession) -> SparkSession:
+    """Set the engine's session defaults that the session does not set itself."""
     for k, v in _DEFAULTS.items():
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
-    spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
