@@ -126,3 +126,54 @@ func other() int {
 """)
     assert nodes == [([0], "outer(inner(t), t.Name(), 1+other())"), ([0, 0], "inner(t)"),
                      ([0, 0, 0], "return 1"), ([0, 1], "t.Name()"), ([0, 2], "println(x)")]
+
+
+def test_method_helper_and_function_literals(spark):
+    nodes = _expand(spark, """func TestM(t *testing.T) {
+	s := suite{}
+	s.check(t)
+	t.Run("x", func(t *testing.T) { helper(t) })
+}
+
+type suite struct{}
+
+func (s suite) check(t *testing.T) {
+	t.Log()
+}
+
+func helper(t *testing.T) {
+	t.Log()
+}
+""")
+    texts = [t for _, t in nodes]
+    assert "t.Log()" in texts                      # the method body was entered
+    assert texts.count("t.Log()") == 1             # the literal passed to t.Run was not entered
+
+
+def test_labelled_and_direct_continue(spark):
+    src = HEAD + """func TestC(t *testing.T) {
+	tests := []struct{ name string }{{"a"}}
+	for _, tt := range tests {
+	inner:
+		for i := 0; i < 2; i++ {
+			continue inner
+		}
+		continue
+	}
+}
+
+func TestL(t *testing.T) {
+	tests := []struct{ name string }{{"a"}}
+outer:
+	for _, tt := range tests {
+		continue outer
+	}
+}
+"""
+    f = an.Facts(corpus(spark, {"/x/a_test.go": src}), persist=False)
+    a = an.analysis(f)
+    # a labelled loop is a labelled statement, not a range statement: no runner
+    assert not {r["name"]: r for r in a.collect()}["TestL"]["is_table_driven"]
+    plan, rewritten = an.refactoring(f, a)
+    text = rewritten.filter("name = 'TestC'").first()["refactored"]
+    assert "continue inner" in text and text.count("return") == 1
