@@ -16,6 +16,7 @@ from testsieve.operators import lines as ln
 from testsieve.operators import scenarios as sc
 from testsieve.operators import statements as sm
 from testsieve.session import cut_lineage
+from testsieve.sources.factstore import store_bucketed
 from testsieve.sources import corpus as cp
 
 TEST_KEY = ["project", "path", "func_line"]
@@ -37,11 +38,13 @@ class Facts:
     """
 
     def __init__(self, files: DataFrame, load_errors: DataFrame | None = None, strict_vendor: bool = False,
-                 persist: bool = True):
+                 persist: bool = True, store: str = "bucketed"):
         masked = ln.masked_files(files.select("project", "path", "content"))
         self.visited = cp.prepare_files(masked, load_errors, strict_vendor)
         self.lines = ln.file_lines(self.visited)
-        if persist:
+        if persist and store == "bucketed":
+            self.lines = store_bucketed(self.lines, "lines", sort=("project", "path", "line_no"))
+        elif persist:
             self.lines = cut_lineage(self.lines)
         self.funcs = dc.func_decls(self.lines).withColumnRenamed("start_line", "func_line")
         if persist:
