@@ -68,22 +68,3 @@ def brace_delta(masked_line: Column) -> Column:
 
 def paren_delta(masked_line: Column) -> Column:
     return count_char(masked_line, "(") - count_char(masked_line, ")")
-
-
-def collapse_ws(s: Column) -> Column:
-    """Whitespace runs collapsed to one blank and trimmed (text compared modulo layout)."""
-    return F.trim(F.regexp_replace(s, r"\s+", " "))
-
-
-def flatten_groups(s: Column, passes: int = 12) -> Column:
-    """Replace innermost (), [] and {} groups by a placeholder, ``passes`` times.
-
-    After enough passes only the top nesting level of the text is left, so that
-    top-level commas can be counted. ``passes`` bounds the nesting depth read;
-    deeper nesting keeps its inner commas hidden inside the last group anyway
-    because groups are removed innermost first.
-    """
-    out = s
-    for _ in range(passes):
-        out = F.regexp_replace(out, r"\([^()\[\]{}]*\)|\[[^()\[\]{}]*\]|\{[^()\[\]{}]*\}", "#")
-    return out

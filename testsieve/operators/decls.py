@@ -121,12 +121,6 @@ def imports(lines: DataFrame) -> DataFrame:
         F.trim(F.col("spec"), F.lit('"')).alias("import_path"))
 
 
-def file_imports(lines: DataFrame) -> DataFrame:
-    """Ordered import paths per file (``ARRAY<STRING>``)."""
-    im = imports(lines)
-    return im.groupBy(*FILE_KEY).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "import_path"))),
-                    lambda x: x["import_path"]).alias("imports"))
 
 
 def decl_texts(lines: DataFrame, kinds=("type", "var")) -> DataFrame:

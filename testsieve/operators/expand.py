@@ -36,7 +36,6 @@ PAREN_HIDE = "\u0001"
 # Fixed list: Go keywords and forms that look like calls but are not.
 NOT_CALLEES = ["func", "if", "for", "switch", "select", "go", "defer", "return", "range", "case",
                "else", "struct", "interface", "map", "chan", "type", "var"]
-CALL_PATTERN = r"(?<![\w.])([A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*)\s*" + PAREN_HIDE
 
 
 def hide_parens(flat, passes: int = 16):

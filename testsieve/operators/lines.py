@@ -63,10 +63,3 @@ def file_lines(files: DataFrame, keep=()) -> DataFrame:
             .withColumn("decl_line", F.last(F.when(F.col("decl_kind").isNotNull(), F.col("line_no")),
                                             ignorenulls=True).over(run))
             .withColumn("cur_kind", F.last(F.col("decl_kind"), ignorenulls=True).over(run)))
-
-
-def file_line_counts(lines: DataFrame) -> DataFrame:
-    """lines of a file = last line holding code (masked text not blank);
-    trailing comments do not count. Same partitioning as ``lines``: no shuffle."""
-    code = F.when(F.trim(F.col("masked")) != "", F.col("line_no"))
-    return lines.groupBy(*FILE_KEY).agg(F.coalesce(F.max(code), F.lit(0)).cast("long").alias("file_lines"))

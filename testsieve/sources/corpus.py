@@ -87,12 +87,6 @@ def relative_path(path_col, project_col):
                   ).otherwise(path_col)
 
 
-def with_top_dir(files: DataFrame) -> DataFrame:
-    """Top-level directory of each file below the project root; NULL for
-    files at the root (they are ignored when splitting by directory)."""
-    rel = relative_path(F.col("path"), F.col("project"))
-    return files.withColumn(
-        "top_dir", F.when(F.instr(rel, "/") > 0, F.substring_index(rel, "/", 1)))
 
 
 def prepare_files(files: DataFrame, load_errors: DataFrame | None = None,

@@ -21,8 +21,6 @@ VENDOR_MOD, VENDOR_REM = 17, 16
 ERROR_MOD, ERROR_REM = 19, 18
 ZERO_TEST_PROJECT = 24
 
-FILE_HEADER_LINES = 7  # package, blank, import (, "testing", str "strings", ), blank
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
