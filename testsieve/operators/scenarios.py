@@ -7,11 +7,9 @@ types resolved through the package's ``type`` declarations (one level).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from testsieve.functions import lexical as lx
 from testsieve.operators import decls as dc
 from testsieve.operators import statements as sm
 from testsieve.session import cut_lineage
