@@ -177,3 +177,21 @@ outer:
     plan, rewritten = an.refactoring(f, a)
     text = rewritten.filter("name = 'TestC'").first()["refactored"]
     assert "continue inner" in text and text.count("return") == 1
+
+
+def test_immediately_invoked_literal_is_entered(spark):
+    nodes = _expand(spark, """func TestI(t *testing.T) {
+	func() {
+		helper(t)
+		t.Log()
+	}()
+}
+
+func helper(t *testing.T) {
+	println()
+}
+""")
+    paths = [p for p, _ in nodes]
+    texts = [t for _, t in nodes]
+    assert paths == [[0], [0, 0], [0, 0, 0], [0, 1]]
+    assert texts[1] == "helper(t)" and texts[2] == "println()" and texts[3] == "t.Log()"

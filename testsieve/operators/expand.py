@@ -18,7 +18,8 @@ Semantics kept from the reference:
   stack for the later ones (sibling rule, evaluated with ``aggregate``);
 * arguments that are calls become nodes before the callee's body (R3); calls
   nested deeper inside an argument expression are not visited; function
-  literals passed as arguments are not entered (R4).
+  literals passed as arguments are not entered, an immediately invoked literal
+  is (R4), with the statements of its own body as children.
 """
 
 from __future__ import annotations
@@ -62,28 +63,51 @@ CALL_PARTS = r"^([A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*)\s*\((.*)\)$"
 WHOLE_CALL = r"^\s*" + CALL_SPAN + r"\s*$"
 
 
+def _balanced_mixed(levels: int = 8) -> str:
+    b = r"[^{}()]*+"
+    for _ in range(levels):
+        b = r"(?:[^{}()]++|\{" + b + r"\}|\(" + b + r"\))*+"
+    return b
+
+
+BALX = _balanced_mixed()
+# An immediately invoked function literal `func(...) ... { body }(...)`.
+IIFE_SPAN = r"(?<![\w.])func\s*\(" + BALP + r"\)[^{}()]*(?:\(" + BALP + r"\)[^{}()]*)?\{" + BALX + r"\}\s*\(" + BALP + r"\)"
+IIFE_BODY = r"^func\s*\(" + BALP + r"\)[^{}()]*(?:\(" + BALP + r"\)[^{}()]*)?\{(" + BALX + r")\}\s*\(" + BALP + r"\)$"
+# One statement of a literal body in the flat text (`;` separates statements).
+BODY_STMT = r"(?:[^{}();]++|\{" + BALX + r"\}|\(" + BALX + r"\))++"
+LITERAL_CALLEE = "funcLit"
+
+
 def statement_calls(flat):
     """``ARRAY<STRUCT<callee, is_selector, arg_calls>>`` of the calls of one
     statement in text order; ``arg_calls`` are the arguments that are
     themselves calls (R3), as text."""
     from testsieve.operators import statements as sm
-    spans = F.regexp_extract_all(flat, F.lit(CALL_SPAN), 0)
+    spans = F.regexp_extract_all(flat, F.lit("(?:" + IIFE_SPAN + ")|(?:" + CALL_SPAN + ")"), 0)
 
     def one(span):
+        iife = span.rlike(r"^func\b")
         callee_expr = F.regexp_extract(span, CALL_PARTS, 1)
         args = F.regexp_extract_all(F.regexp_extract(span, CALL_PARTS, 2), F.lit(sm.ITEM_PATTERN), 0)
         arg_calls = F.filter(F.transform(args, lambda a: F.trim(a)), lambda a: a.rlike(WHOLE_CALL))
-        return F.struct(F.regexp_extract(callee_expr, r"(\w+)$", 1).alias("callee"),
-                        callee_expr.contains(".").alias("is_selector"),
-                        F.filter(arg_calls, lambda a: ~F.regexp_extract(a, r"^\s*(\w+)", 1).isin(NOT_CALLEES))
-                        .alias("arg_calls"))
+        body = F.regexp_extract_all(F.regexp_extract(span, IIFE_BODY, 1), F.lit(BODY_STMT), 0)
+        body = F.filter(F.transform(body, lambda b: F.trim(b)), lambda b: b != "")
+        return F.struct(F.when(iife, F.lit(LITERAL_CALLEE)).otherwise(
+                            F.regexp_extract(callee_expr, r"(\w+)$", 1)).alias("callee"),
+                        (~iife & callee_expr.contains(".")).alias("is_selector"),
+                        F.when(iife, F.array().cast("array<string>")).otherwise(F.filter(
+                            arg_calls, lambda a: ~F.regexp_extract(a, r"^\s*(\w+)", 1).isin(NOT_CALLEES)))
+                        .alias("arg_calls"),
+                        F.when(iife, body).otherwise(F.array().cast("array<string>")).alias("literal_body"))
     calls = F.transform(spans, one)
     return F.filter(calls, lambda c: ~c["callee"].isin(NOT_CALLEES) | c["is_selector"])
 
 
 def is_expr_stmt(flat):
     """The whole statement is a single call expression."""
-    return hide_parens(flat).rlike(r"^\s*[A-Za-z_]\w*(?:\s*\.\s*\w+)*\s*" + PAREN_HIDE + r"\s*$")
+    return (hide_parens(flat).rlike(r"^\s*[A-Za-z_]\w*(?:\s*\.\s*\w+)*\s*" + PAREN_HIDE + r"\s*$")
+            | flat.rlike(r"^\s*" + IIFE_SPAN + r"\s*$"))
 
 
 def definitions(funcs: DataFrame, test_only: bool = True) -> DataFrame:
@@ -110,16 +134,21 @@ def _fold_stack(calls):
     start = F.struct(F.col("stack").alias("stack"),
                      F.array().cast("array<struct<call_ord:int,callee:string,entered:boolean,"
                                     "outer_stack:array<string>,inner_stack:array<string>,def_path:string,"
-                                    "def_line:int,arg_calls:array<string>>>")
+                                    "def_line:int,arg_calls:array<string>,literal_body:array<string>>>")
                      .alias("out"))
 
     def step(acc, c):
-        enter = (F.coalesce(c["resolution"], F.lit("")) == "resolved") & ~F.array_contains(acc["stack"], c["callee"])
-        new_stack = F.when(enter, F.concat(acc["stack"], F.array(c["callee"]))).otherwise(acc["stack"])
+        # A literal is entered under a name unique to its position (never on the stack).
+        is_lit = c["callee"] == LITERAL_CALLEE
+        name = F.when(is_lit, F.concat(F.lit(LITERAL_CALLEE + "@"), F.array_join(F.col("node_path").cast(
+            "array<string>"), "."), F.lit(":"), c["call_ord"].cast("string"))).otherwise(c["callee"])
+        enter = is_lit | ((F.coalesce(c["resolution"], F.lit("")) == "resolved")
+                          & ~F.array_contains(acc["stack"], name))
+        new_stack = F.when(enter, F.concat(acc["stack"], F.array(name))).otherwise(acc["stack"])
         rec = F.struct(c["call_ord"].cast("int").alias("call_ord"), c["callee"].alias("callee"),
                        enter.alias("entered"), acc["stack"].alias("outer_stack"), new_stack.alias("inner_stack"),
                        c["def_path"].alias("def_path"), c["def_line"].cast("int").alias("def_line"),
-                       c["arg_calls"].alias("arg_calls"))
+                       c["arg_calls"].alias("arg_calls"), c["literal_body"].alias("literal_body"))
         return F.struct(new_stack.alias("stack"), F.concat(acc["out"], F.array(rec)).alias("out"))
 
     return F.aggregate(calls, start, step)["out"]
@@ -171,11 +200,12 @@ def _next_level(frontier: DataFrame, defs: DataFrame, body: DataFrame) -> DataFr
     calls = nodes.select(*node_key, "stack", "expr_stmt", F.posexplode("calls").alias("call_ord", "c"))
     calls = calls.select(*node_key, "stack", "expr_stmt", "call_ord", F.col("c.callee").alias("callee"),
                          F.col("c.is_selector").alias("is_selector"), F.col("c.arg_calls").alias("arg_calls"),
+                         F.col("c.literal_body").alias("literal_body"),
                          dc.package_dir(F.col("path")).alias("pkg_dir"))
     resolved = calls.join(defs, ["project", "pkg_dir", "callee", "is_selector"], "left")
     per_node = resolved.groupBy(*node_key, "stack", "expr_stmt").agg(
         F.array_sort(F.collect_list(F.struct("call_ord", "callee", "resolution", "def_path", "def_line",
-                                             "arg_calls"))).alias("rc"))
+                                             "arg_calls", "literal_body"))).alias("rc"))
     folded = per_node.select(*node_key, "expr_stmt", F.explode(_fold_stack(F.col("rc"))).alias("c"))
     c = folded.select(*node_key, "expr_stmt", "c.*")
     # A non-call statement gets one node per call, below it.
@@ -193,9 +223,17 @@ def _next_level(frontier: DataFrame, defs: DataFrame, body: DataFrame) -> DataFr
         *TEST_KEY, F.concat("base_path", F.array(F.col("arg_ord"))).alias("node_path"),
         F.col("outer_stack").alias("stack"), F.lit("stmt").alias("kind"), F.col("arg").alias("text"),
         F.col("arg").alias("flat"), F.lit(None).cast("string").alias("callee"))
-    entered = c.filter("entered").select(*TEST_KEY, base_path.alias("base_path"), "inner_stack",
-                                         "callee", "def_path", "def_line",
-                                         F.size("arg_calls").alias("n_args"))
+    # An entered literal's own body statements become its children.
+    lit_children = (c.filter(F.col("entered") & (F.col("callee") == LITERAL_CALLEE))
+                    .select(*TEST_KEY, base_path.alias("base_path"), "inner_stack", "callee",
+                            F.posexplode("literal_body").alias("b_ord", "b")))
+    lit_children = lit_children.select(
+        *TEST_KEY, F.concat("base_path", F.array(F.col("b_ord"))).alias("node_path"),
+        F.col("inner_stack").alias("stack"), F.lit("stmt").alias("kind"), F.col("b").alias("text"),
+        F.col("b").alias("flat"), "callee")
+    entered = c.filter(F.col("entered") & (F.col("callee") != LITERAL_CALLEE)).select(
+        *TEST_KEY, base_path.alias("base_path"), "inner_stack", "callee", "def_path", "def_line",
+        F.size("arg_calls").alias("n_args"))
     children = entered.join(body, (entered["project"] == body["b_project"])
                             & (entered["def_path"] == body["def_path"])
                             & (entered["def_line"] == body["def_line"]))
@@ -203,7 +241,7 @@ def _next_level(frontier: DataFrame, defs: DataFrame, body: DataFrame) -> DataFr
         *TEST_KEY, F.concat("base_path", F.array(F.col("b_ord") - 1 + F.col("n_args"))).alias("node_path"),
         F.col("inner_stack").alias("stack"), F.lit("stmt").alias("kind"),
         F.col("b_text").alias("text"), F.col("b_flat").alias("flat"), "callee")
-    return call_nodes.unionByName(arg_nodes).unionByName(children)
+    return call_nodes.unionByName(arg_nodes).unionByName(lit_children).unionByName(children)
 
 
 def expansion_summary(nodes: DataFrame) -> DataFrame:
