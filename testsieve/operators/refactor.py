@@ -114,7 +114,6 @@ def rewrite_tests(plan: DataFrame, stmts: DataFrame, lines: DataFrame) -> DataFr
           .groupBy(*TEST_KEY)
           .agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("fl")))
     j = r.join(fl, TEST_KEY)
-    keep = ["end_line", "masked"]
     before = F.transform(F.filter("fl", lambda x: x["line_no"] < F.col("stmt_line")), lambda x: x["text"])
     # Lines after the function's closing brace (gap before the next declaration) are not part of it.
     after = F.transform(F.filter("fl", lambda x: (x["line_no"] > F.col("stmt_end"))
