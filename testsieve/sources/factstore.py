@@ -6,7 +6,7 @@ compressed, lets later reports read only the columns they use, and keeps the
 file-key partitioning: a bucketed scan reports ``HashPartitioning(project,
 path)``, so per-file windows, aggregates and joins on the file key still need
 no exchange. The data is already hash-partitioned by that key with the same
-hash as bucketing, so each task writes exactly one file per bucket.
+hash as bucketing, so the write produces about one file per bucket.
 """
 
 from __future__ import annotations
