@@ -151,3 +151,16 @@ func TestNamedString(t *testing.T) {
     assert b["expected_fields"] == [] and b["is_table_driven"]
     # a named string type is not the basic `string`: the `desc` field is chosen
     assert rows["TestNamedString"]["name_field"] == "desc"
+
+
+def test_named_function_field_type(spark):
+    r = _analyse(spark, """func TestF(t *testing.T) {
+	tests := []struct {
+		name  string
+		check checkFn
+	}{{"a", nil}}
+	for _, tt := range tests {
+		_ = tt
+	}
+}""", extra="type checkFn func(int) bool\n\n")["TestF"]
+    assert r["has_function_fields"] and r["name_field"] == "name"

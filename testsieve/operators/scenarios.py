@@ -246,6 +246,13 @@ def scenario_sets(tests: DataFrame, stmts: DataFrame, lines: DataFrame) -> DataF
     base = tests.select(*TEST_KEY, "header").join(chosen, TEST_KEY, "left")
     fields = struct_fields(F.col("scenario_type"))
     base = base.withColumn("fields", fields)
+    # A10 looks at the underlying type: named field types are resolved through
+    # the package's type declarations before testing for a function type.
+    ft = base.select(*TEST_KEY, F.explode("fields").alias("f")).select(
+        *TEST_KEY, F.col("f.type").alias("ftype"))
+    ft = _resolve(ft, "ftype", types, "ftype_u")
+    func_fields = ft.groupBy(*TEST_KEY).agg(F.bool_or(F.col("ftype_u").startswith("func")).alias("func_field"))
+    base = base.join(func_fields, TEST_KEY, "left")
 
     # A11 uses subtest, J6 first Run argument ------------------------------------
     tvar = sm.tester_param(F.col("header"))
@@ -268,7 +275,7 @@ def scenario_sets(tests: DataFrame, stmts: DataFrame, lines: DataFrame) -> DataF
     expected = F.when(is_struct, F.transform(F.filter("fields", lambda f: F.lower(f["name"]).contains(
         EXPECTED_WORDS[0]) | F.lower(f["name"]).contains(EXPECTED_WORDS[1]) | F.lower(f["name"]).contains(
         EXPECTED_WORDS[2])), lambda f: f["name"])).otherwise(F.array().cast("array<string>"))
-    has_func = is_struct & F.exists("fields", lambda f: f["type"].startswith("func"))
+    has_func = is_struct & F.coalesce(F.col("func_field"), F.lit(False))
     count = F.coalesce(F.col("sc.n_elems"), F.lit(0)).cast("long")
     ds = F.coalesce(F.col("container"), F.lit("none"))
     return base.select(
