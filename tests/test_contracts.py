@@ -94,3 +94,24 @@ def test_shorter_header_refused_and_same_named_packages(spark):
     docs = sk.json_documents(an.analysis(an.Facts(files, persist=False)))
     rows = docs.select("path", "doc_key").collect()
     assert len(rows) == 2 and len({r["doc_key"] for r in rows}) == 1 and len({r["path"] for r in rows}) == 2
+
+
+def test_user_defined_task_by_top_dir(spark):
+    from pyspark.sql import functions as F
+    from testsieve.plans import task as tk
+    src = ('package p\n\nimport "testing"\n\nfunc TestA(t *testing.T) {\n\tt.Fatal("x // t.Fatal(")\n'
+           '\tt.Fatal()\n}\n')
+    files = corpus(spark, {"/r/proj/a/x_test.go": src, "/r/proj/b/y_test.go": src, "/r/proj/z.go": src},
+                   project="proj")
+
+    def extract(lines):
+        hit = F.col("masked").rlike(r"\bt\s*\.\s*Fatal\s*\(")
+        return lines.groupBy("project", "path").agg(F.count_if(hit).alias("fatals"))
+
+    def report(rows):
+        return rows.filter(F.col("group").isNotNull()).groupBy("group").agg(F.sum("fatals").alias("fatals"))
+
+    out = {r["group"]: r["fatals"] for r in tk.run_task(tk.CorpusTask("fatals", extract, report), files,
+                                                         by="top_dir").collect()}
+    # the call inside the string literal does not count; the file at the root is ignored
+    assert out == {"proj/a": 2, "proj/b": 2}
