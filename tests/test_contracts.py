@@ -115,3 +115,15 @@ def test_user_defined_task_by_top_dir(spark):
                                                          by="top_dir").collect()}
     # the call inside the string literal does not count; the file at the root is ignored
     assert out == {"proj/a": 2, "proj/b": 2}
+
+
+def test_json_documents_append_and_read_back(spark):
+    from testsieve.plans import analyze as an
+    src = 'package util\n\nimport "testing"\n\nfunc TestX(t *testing.T) {\n}\n'
+    docs = sk.json_documents(an.analysis(an.Facts(corpus(spark, {"/r/u/x_test.go": src}), persist=False)))
+    out = sk.scratch_dir(spark, "t-json")
+    sk.write_json_documents(docs, out)
+    sk.write_json_documents(docs, out, append=True)
+    back = sk.read_json_documents(spark, out).collect()
+    assert len(back) == 2 and back[0]["RefactorResult"]["originalTestResult"] == "notRun"
+    assert back[0]["TestCase"]["name"] == "TestX" and back[0]["ImportedPackages"] == ["testing"]
