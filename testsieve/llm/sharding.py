@@ -3,9 +3,9 @@
 Rows are ordered by a key (hash of the text, then id), so that equal texts lie side by
 side. A size-weighted sample of keys gives fine range boundaries at its quantiles; the
 exact bytes of every range are counted, ranges that hold more than their share are
-subdivided by a denser sample of their own, and consecutive ranges are dealt to shards
-by their place in the running total of bytes. A group of equal texts is cut only where a
-boundary between two shards falls into it and the group is larger than one fine range.
+subdivided by a denser sample of their own, and rows are dealt to shards by their place
+in the running total of bytes over the ranges. A group of equal texts is cut only where
+a boundary between two shards falls into it and it holds over a hundredth of a shard.
 
 Defined results: null text has no bytes (size 1) and the checksum of empty text; null
 ids sort first; repeated rows are rows of their own; an empty table gives no rows; other
@@ -106,25 +106,34 @@ def choose_splitters(rows: DataFrame, n_shards: int) -> list[tuple[int, int]]:
     return splitters
 
 
-def shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot and range of every row, shards near equal in bytes."""
+def shards(docs: DataFrame, n_shards: int = 8, whole_group: float = 0.01) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot and range of every row, shards near equal in
+    bytes. A group of equal texts of at most ``whole_group`` of a shard's bytes stays whole."""
     spark = docs.sparkSession
     rows = written(keyed(docs.select("doc_id", "text")), "shard-keys")
     ranged = written(with_range(rows, choose_splitters(rows, n_shards)), "shard-ranges")
     sizes = range_sizes(ranged)
-    total, done, plan, filled = sum(s[0] for s in sizes.values()), 0, [], [0] * n_shards
+    total, before, count, plan = sum(s[0] for s in sizes.values()), 0, 0, []
     for r in sorted(sizes):
-        size, count = sizes[r][:2]
-        shard = min(n_shards - 1, int((done + size / 2) * n_shards / total))
-        plan.append((r, shard, filled[shard]))
-        filled[shard] += count
-        done += size
+        plan.append((r, before, count))
+        before, count = before + sizes[r][0], count + sizes[r][1]
     # one row for each range: their number is a parameter, not a matter of the input
-    places = spark.createDataFrame(plan, "range int, shard int, base bigint")
+    places = spark.createDataFrame(plan, "range int, bytes_before bigint, rows_before bigint")
     order = Window.partitionBy("range").orderBy("h", "k", "doc_id", "size", "text_crc32")
-    return (ranged.withColumn("at", F.row_number().over(order).cast("long") - 1)
-            .join(F.broadcast(places), "range")
-            .select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("at")).alias("slot"), "range"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    group = Window.partitionBy("range", "h")
+    here = (ranged.withColumn("end", F.sum("size").over(upto))
+            .withColumn("row", F.row_number().over(order).cast("long") - 1)
+            .withColumn("group_size", F.sum("size").over(group)).withColumn("group_end", F.max("end").over(group))
+            .join(F.broadcast(places), "range"))
+    small = F.col("group_size") <= int(whole_group * total / n_shards)
+    middle = F.col("bytes_before") + F.when(small, F.col("group_end") - F.col("group_size") / 2).otherwise(F.col("end") - F.col("size") / 2)
+    placed = (here.withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / F.lit(float(max(total, 1))))).cast("int"))
+              .select("doc_id", "size", "text_crc32", "shard", (F.col("rows_before") + F.col("row")).alias("place"), "range"))
+    placed = written(placed, "shard-places")
+    first = placed.groupBy("shard").agg(F.min("place").alias("first"))  # one row for each shard
+    return (placed.join(F.broadcast(first), "shard")
+            .select("doc_id", "size", "text_crc32", "shard", (F.col("place") - F.col("first")).alias("slot"), "range"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
