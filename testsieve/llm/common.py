@@ -8,7 +8,10 @@ Hashes are 64-bit and the same on every machine (no use of Python's ``hash``).
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,30 @@ SLICE_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors once for each application (Spark's own file
+    server hands it out), so that tasks can import it wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` of a function that uses this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -143,10 +170,3 @@ def chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Order-sensitive hash of two hash columns."""
     with np.errstate(over="ignore"):
         return mix(a * np.uint64(0xD6E8FEB86659FD93) + b)
-
-
-def sub_batches(batches, columns: list[str]):
-    """Yield (pa arrays by name) of every record batch that has rows."""
-    for batch in batches:
-        if batch.num_rows:
-            yield {c: batch.column(batch.schema.get_field_index(c)) for c in columns}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from testsieve.llm.common import table, written
+from testsieve.llm.common import map_arrow, table, written
 
 RANGES_PER_SHARD = 64
 SAMPLES_PER_RANGE = 16
@@ -61,7 +61,7 @@ def with_range(rows: DataFrame, splitters: list[tuple[int, int]]) -> DataFrame:
                 out[i] = bisect.bisect_right(splitters, (int(h[i]), int(k[i])))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "range"])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def range_sizes(rows: DataFrame) -> dict[int, tuple[int, int, int, int]]:

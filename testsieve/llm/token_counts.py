@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from testsieve.llm.common import SLICE_BYTES, mix, power_tables, table
+from testsieve.llm.common import SLICE_BYTES, map_arrow, mix, power_tables, table
 
 CONTRACTIONS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}  # fixed values of the tokenizer
 UNIT = regex.compile(r"(?:\s*[^\S ])?'(?:s|t|re|ve|m|ll|d)|\s*(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)|\s+")
@@ -320,7 +320,7 @@ def token_counts(docs: DataFrame, vocabulary: str, budget: int | None = None, pr
             names = ["doc_id", "n_bytes", "n_tokens"] + ["keep_chars"] * (budget is not None) + ["prefix_counts"] * prefixes
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, limit: int = 512) -> DataFrame:
