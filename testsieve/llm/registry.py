@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from testsieve.llm import fingerprints, packing, quality, sharding, token_counts, toxicity
+from testsieve.llm import chat, fingerprints, packing, quality, sharding, token_counts, toxicity
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_chat": chat.op6_chat,
     "op8_quality": quality.op8_quality,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_sharding": sharding.op10_sharding,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_chat": chat.OP6_SQL,
+}
