@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from testsieve.llm import chat, fingerprints, packing, quality, sharding, token_counts, toxicity
+from testsieve.llm import chat, decontam, fingerprints, packing, quality, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op2_decontamination": decontam.op2_decontamination,
     "op3_packing": packing.op3_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_counts": token_counts.op5_token_counts,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_decontamination": decontam.OP2_SQL,
     "op6_chat": chat.OP6_SQL,
 }
