@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from testsieve.llm import chat, decontam, fingerprints, packing, quality, sharding, token_counts, toxicity
+from testsieve.llm import chat, decontam, fingerprints, lm_score, packing, quality, sharding, token_counts, toxicity
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_packing": packing.op3_packing,
     "op4_toxicity": toxicity.op4_toxicity,
