@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from testsieve.llm import chat, decontam, fingerprints, lm_score, packing, quality, sharding, token_counts, toxicity
+from testsieve.llm import chat, decontam, fingerprints, lm_score, near_dup, packing, quality, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_chat": chat.op6_chat,
+    "op7_near_duplicates": near_dup.op7_near_duplicates,
     "op8_quality": quality.op8_quality,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_sharding": sharding.op10_sharding,
