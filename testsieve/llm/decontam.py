@@ -86,7 +86,7 @@ def offsets(postings: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def phrase_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words and matches (item_id, hits: positions of the document's words inside
+    """doc_id, k, n_words and matches (item_id, hits: positions of the document's words inside
     occurrences of the item's windows) of every document."""
     items = written(items_of(benchmark), "decontam-items")
     postings, windows = build_index(docs, items)
@@ -104,7 +104,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = keyed(docs).join(small(survivors), "k", "left")
     matches = F.filter(F.transform(F.coalesce("found", F.array().cast(survivors.schema["found"].dataType)), lambda f: F.struct(
         f["item"].alias("item"), f["item_id"].alias("item_id"), hits(f).alias("hits"))), lambda m: F.size(m["hits"]) > 0)
-    return found.select("doc_id", F.size("words").cast("long").alias("n_words"), matches.alias("matches"))
+    return found.select("doc_id", "k", F.size("words").cast("long").alias("n_words"), matches.alias("matches"))
 
 
 def near_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 5) -> DataFrame:
@@ -122,11 +122,12 @@ def near_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 5) -> DataFr
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, item_ids (sorted as strings) of every document."""
+    """doc_id, k (hash of id and text), n_words, n_hit, n_items, item_ids (sorted as strings)
+    of every document."""
     m = phrase_matches(docs, benchmark)
     ids = F.array_compact(F.transform("matches", lambda x: x["item_id"].cast("string")))
     return m.select(
-        "doc_id", "n_words", F.size(F.array_distinct(F.flatten("matches.hits"))).cast("long").alias("n_hit"),
+        "doc_id", "k", "n_words", F.size(F.array_distinct(F.flatten("matches.hits"))).cast("long").alias("n_hit"),
         F.size(F.array_distinct(F.col("matches.item_id"))).cast("long").alias("n_items"), F.array_sort(F.array_distinct(ids)).alias("item_ids"))
 
 

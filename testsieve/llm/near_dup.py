@@ -68,8 +68,8 @@ def class_of(shingles: np.ndarray) -> int | None:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, t (hash of the text), c (class), n (shingles), sketch."""
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    """doc_id, t (hash of id and text), c (class), n (shingles), sketch."""
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("t"))
 
     def run(batches):
         for b in batches:
@@ -119,7 +119,7 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """c, members (sorted hashes) of the wanted classes (c, doc_id, t: one row of each)."""
     wanted = wanted.select("c", F.col("doc_id").alias("rep"), F.col("t").alias("rep_t"))
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("t"))
     rows = docs.join(small(wanted), (F.col("t") == F.col("rep_t")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("c", "text")
 
     def run(batches):
@@ -212,7 +212,7 @@ def links_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+    """doc_id, t (hash of id and text), n_shingles, component_id, kept of every row."""
     rows = written(sketches(docs, width), "dup-sketches")
     classes = written(rows.filter("c is not null").groupBy("c").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
@@ -221,10 +221,10 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
     placed = classes.select("c", "doc_id").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     names = placed.join(least, "root").select("c", "component_id")
-    out = rows.select("doc_id", "c", F.col("n").alias("n_shingles")).join(names, "c", "left")
+    out = rows.select("doc_id", "t", "c", F.col("n").alias("n_shingles")).join(names, "c", "left")
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "t", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), 4)
+    return near_duplicates(table(spark, sf_dir, "documents"), 4).drop("t")
