@@ -29,7 +29,7 @@ def decl_groups(lines: DataFrame) -> DataFrame:
     in_header = (F.col("line_no") == F.col("decl_line")) | (
         (F.col("depth_before") == 0) & (F.col("paren_before") > 0))
     closed = (F.col("depth_after") == 0) & (F.col("paren_after") == 0)
-    code = F.when(F.trim(F.col("masked")) != "", F.col("line_no"))
+    code = F.when(F.col("masked").rlike(r"\S"), F.col("line_no"))
     g = (lines
          .groupBy("project", "path", F.col("decl_line").alias("start_line"))
          .agg(F.max("decl_kind").alias("kind"),
@@ -105,15 +105,22 @@ def file_packages(lines: DataFrame) -> DataFrame:
         F.min_by(pk, F.col("line_no")).alias("package"))
 
 
-IMPORT_SPEC = r"""^\s*(?:import\s*\(?\s*)?(?:([\w.]+)\s+)?(["`][^"`]*["`])\s*\)?\s*;?\s*$"""
+# On the masked line a path is a run of filler quotes; comments are blanks there.
+IMPORT_SPEC = r"""^(\s*(?:import\b\s*\(?\s*)?(?:([\w.]+)\s+)?)("+)\s*\)?\s*;?\s*$"""
+
+
+def import_spec(masked, text):
+    """(alias, path as written) of an import line: found in the masked text, read from the
+    original at the same place; empty where the line holds none."""
+    lead, quoted = (F.length(F.regexp_extract(masked, IMPORT_SPEC, i)) for i in (1, 3))
+    return F.regexp_extract(masked, IMPORT_SPEC, 2), F.substring(text, lead + 1, quoted)
 
 
 def imports(lines: DataFrame) -> DataFrame:
     """``import_decl(project, path, import_ord, alias, import_path)`` in file
     order; only ``"`` is trimmed (back-quoted paths keep their quotes)."""
     il = lines.filter((F.col("cur_kind") == "import") & (F.col("depth_before") == 0))
-    spec = F.regexp_extract(F.col("text"), IMPORT_SPEC, 2)
-    alias = F.regexp_extract(F.col("text"), IMPORT_SPEC, 1)
+    alias, spec = import_spec(F.col("masked"), F.col("text"))
     il = il.select(*FILE_KEY, "line_no", spec.alias("spec"), alias.alias("alias")).filter(F.col("spec") != "")
     return il.select(
         *FILE_KEY, "line_no",
@@ -146,7 +153,7 @@ def file_info(lines: DataFrame) -> DataFrame:
     the lines (same partitioning, no exchange)."""
     pk = F.regexp_extract(F.col("masked"), r"^\s*package\s+(\w+)", 1)
     is_imp = (F.col("cur_kind") == "import") & (F.col("depth_before") == 0)
-    spec = F.regexp_extract(F.col("text"), IMPORT_SPEC, 2)
+    _, spec = import_spec(F.col("masked"), F.col("text"))
     imp = F.when(is_imp & (spec != ""), F.struct(F.col("line_no"), F.trim(spec, F.lit('"')).alias("p")))
     return lines.groupBy(*FILE_KEY).agg(
         F.min_by(F.when(pk != "", pk), F.when(pk != "", F.col("line_no"))).alias("package"),

@@ -29,85 +29,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from testsieve.operators import decls as dc
+from testsieve.operators import statements as sm
 from testsieve.session import checkpoint_dir
 
 TEST_KEY = ["project", "path", "func_line"]
-PAREN_HIDE = "\u0001"
-
 # Fixed list: Go keywords and forms that look like calls but are not.
 NOT_CALLEES = ["func", "if", "for", "switch", "select", "go", "defer", "return", "range", "case",
                "else", "struct", "interface", "map", "chan", "type", "var"]
 
 
-def hide_parens(flat, passes: int = 16):
-    """Innermost ``( ... )`` groups replaced by one placeholder, ``passes`` times,
-    so only calls at the statement's own level keep a visible call site."""
-    s = flat
-    for _ in range(passes):
-        s = F.regexp_replace(s, r"\([^()]*\)", PAREN_HIDE)
-    return s
-
-
-def _balanced_parens(levels: int = 10) -> str:
-    b = r"[^()]*+"
-    for _ in range(levels):
-        b = r"(?:[^()]++|\(" + b + r"\))*+"
-    return b
-
-
-BALP = _balanced_parens()
-# A whole call: callee expression and its balanced argument list. Scanning left
-# to right, non-overlapping matches are exactly the outermost calls.
-CALL_SPAN = r"(?<![\w.])[A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*\s*\(" + BALP + r"\)"
-CALL_PARTS = r"^([A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*)\s*\((.*)\)$"
-WHOLE_CALL = r"^\s*" + CALL_SPAN + r"\s*$"
-
-
-def _balanced_mixed(levels: int = 8) -> str:
-    b = r"[^{}()]*+"
-    for _ in range(levels):
-        b = r"(?:[^{}()]++|\{" + b + r"\}|\(" + b + r"\))*+"
-    return b
-
-
-BALX = _balanced_mixed()
-# An immediately invoked function literal `func(...) ... { body }(...)`.
-IIFE_SPAN = r"(?<![\w.])func\s*\(" + BALP + r"\)[^{}()]*(?:\(" + BALP + r"\)[^{}()]*)?\{" + BALX + r"\}\s*\(" + BALP + r"\)"
-IIFE_BODY = r"^func\s*\(" + BALP + r"\)[^{}()]*(?:\(" + BALP + r"\)[^{}()]*)?\{(" + BALX + r")\}\s*\(" + BALP + r"\)$"
-# One statement of a literal body in the flat text (`;` separates statements).
-BODY_STMT = r"(?:[^{}();]++|\{" + BALX + r"\}|\(" + BALX + r"\))++"
 LITERAL_CALLEE = "funcLit"
 
 
-def statement_calls(flat):
-    """``ARRAY<STRUCT<callee, is_selector, arg_calls>>`` of the calls of one
-    statement in text order; ``arg_calls`` are the arguments that are
-    themselves calls (R3), as text."""
-    from testsieve.operators import statements as sm
-    spans = F.regexp_extract_all(flat, F.lit("(?:" + IIFE_SPAN + ")|(?:" + CALL_SPAN + ")"), 0)
+class CallPatterns:
+    """Patterns for calls whose brackets nest up to ``levels`` deep (see
+    :func:`testsieve.operators.statements.deepest`)."""
+
+    def __init__(self, levels: int):
+        group = r"\(" + sm.balanced(levels, "()") + r"\)"
+        callee = r"[A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*"
+        # A whole call: callee expression and its balanced argument list. Scanning left
+        # to right, non-overlapping matches are exactly the outermost calls.
+        self.call = r"(?<![\w.])" + callee + r"\s*" + group
+        self.parts = r"^(" + callee + r")\s*\((.*)\)$"
+        self.whole = r"^\s*" + self.call + r"\s*$"
+        # An immediately invoked function literal `func(...) ... { body }(...)`.
+        head = r"func\s*" + group + r"[^{}()]*(?:" + group + r"[^{}()]*)?"
+        body = r"\{(" + sm.balanced(levels) + r")\}\s*" + group
+        self.literal = r"(?<![\w.])" + head + body.replace("(" + sm.balanced(levels) + ")", sm.balanced(levels))
+        self.literal_body = "^" + head + body + "$"
+        self.whole_literal = r"^\s*" + self.literal + r"\s*$"
+        self.item = sm.item_pattern(levels)
+        # One statement of a literal body in the flat text (`;` separates statements).
+        self.statement = sm.item_pattern(levels, ";")
+
+
+def statement_calls(flat, levels: int):
+    """``ARRAY<STRUCT<callee, owner, is_selector, arg_calls, literal_body>>`` of the calls of one
+    statement in text order; ``arg_calls`` are the arguments that are themselves calls (R3), as
+    text; ``owner`` is what stands before the last dot of a selector."""
+    pt = CallPatterns(levels)
+    spans = F.regexp_extract_all(flat, F.lit("(?:" + pt.literal + ")|(?:" + pt.call + ")"), 0)
+    none = F.array().cast("array<string>")
 
     def one(span):
         iife = span.rlike(r"^func\b")
-        callee_expr = F.regexp_extract(span, CALL_PARTS, 1)
-        args = F.regexp_extract_all(F.regexp_extract(span, CALL_PARTS, 2), F.lit(sm.ITEM_PATTERN), 0)
-        arg_calls = F.filter(F.transform(args, lambda a: F.trim(a)), lambda a: a.rlike(WHOLE_CALL))
-        body = F.regexp_extract_all(F.regexp_extract(span, IIFE_BODY, 1), F.lit(BODY_STMT), 0)
+        callee_expr = F.regexp_extract(span, pt.parts, 1)
+        args = F.regexp_extract_all(F.regexp_extract(span, pt.parts, 2), F.lit(pt.item), 0)
+        arg_calls = F.filter(F.transform(args, lambda a: F.trim(a)), lambda a: a.rlike(pt.whole))
+        body = F.regexp_extract_all(F.regexp_extract(span, pt.literal_body, 1), F.lit(pt.statement), 0)
         body = F.filter(F.transform(body, lambda b: F.trim(b)), lambda b: b != "")
         return F.struct(F.when(iife, F.lit(LITERAL_CALLEE)).otherwise(
                             F.regexp_extract(callee_expr, r"(\w+)$", 1)).alias("callee"),
+                        F.when(iife, F.lit("")).otherwise(F.regexp_replace(
+                            F.regexp_extract(callee_expr, r"^(.*)\.\s*\w+$", 1), r"\s+", "")).alias("owner"),
                         (~iife & callee_expr.contains(".")).alias("is_selector"),
-                        F.when(iife, F.array().cast("array<string>")).otherwise(F.filter(
+                        F.when(iife, none).otherwise(F.filter(
                             arg_calls, lambda a: ~F.regexp_extract(a, r"^\s*(\w+)", 1).isin(NOT_CALLEES)))
                         .alias("arg_calls"),
-                        F.when(iife, body).otherwise(F.array().cast("array<string>")).alias("literal_body"))
+                        F.when(iife, body).otherwise(none).alias("literal_body"))
     calls = F.transform(spans, one)
     return F.filter(calls, lambda c: ~c["callee"].isin(NOT_CALLEES) | c["is_selector"])
 
 
-def is_expr_stmt(flat):
+def is_expr_stmt(flat, levels: int):
     """The whole statement is a single call expression."""
-    return (hide_parens(flat).rlike(r"^\s*[A-Za-z_]\w*(?:\s*\.\s*\w+)*\s*" + PAREN_HIDE + r"\s*$")
-            | flat.rlike(r"^\s*" + IIFE_SPAN + r"\s*$"))
+    pt = CallPatterns(levels)
+    return flat.rlike(pt.whole) | flat.rlike(pt.whole_literal)
 
 
 def definitions(funcs: DataFrame, test_only: bool = True) -> DataFrame:
@@ -163,6 +151,8 @@ def expand(tests: DataFrame, stmts: DataFrame, funcs: DataFrame, spark: SparkSes
     function (``flat`` text); ``funcs`` the declarations (``func_line``).
     """
     checkpoint_dir(spark)
+    # every text of the tree is a piece of some statement, so this depth holds for all levels
+    levels_deep = sm.deepest(stmts)
     # Both sides are read once per level: keep them for the whole loop.
     defs = definitions(funcs, test_only).persist(StorageLevel.MEMORY_AND_DISK)
     body = stmts.select(F.col("project").alias("b_project"), F.col("path").alias("def_path"),
@@ -176,7 +166,7 @@ def expand(tests: DataFrame, stmts: DataFrame, funcs: DataFrame, spark: SparkSes
     frontier = _cut(level0)
     levels = [frontier.drop("stack", "flat")]
     while not frontier.isEmpty():
-        nxt = _cut(_next_level(frontier, defs, body))
+        nxt = _cut(_next_level(frontier, defs, body, levels_deep))
         levels.append(nxt.drop("stack", "flat"))
         frontier = nxt.filter(F.col("kind") == "stmt")
     defs.unpersist()
@@ -193,10 +183,10 @@ def _cut(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def _next_level(frontier: DataFrame, defs: DataFrame, body: DataFrame) -> DataFrame:
+def _next_level(frontier: DataFrame, defs: DataFrame, body: DataFrame, deep: int) -> DataFrame:
     node_key = TEST_KEY + ["node_path"]
-    nodes = frontier.withColumn("expr_stmt", is_expr_stmt(F.col("flat"))) \
-        .withColumn("calls", statement_calls(F.col("flat")))
+    nodes = frontier.withColumn("expr_stmt", is_expr_stmt(F.col("flat"), deep)) \
+        .withColumn("calls", statement_calls(F.col("flat"), deep))
     calls = nodes.select(*node_key, "stack", "expr_stmt", F.posexplode("calls").alias("call_ord", "c"))
     calls = calls.select(*node_key, "stack", "expr_stmt", "call_ord", F.col("c.callee").alias("callee"),
                          F.col("c.is_selector").alias("is_selector"), F.col("c.arg_calls").alias("arg_calls"),

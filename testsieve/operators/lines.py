@@ -35,10 +35,8 @@ def file_lines(files: DataFrame, keep=()) -> DataFrame:
     (NULL between declarations); ``decl_kind`` is set on that first line only.
     """
     m = files if "masked" in files.columns else masked_files(files)
-    text_arr = F.split(F.col("content"), "\n", -1)
-    mask_arr = F.split(F.col("masked"), "\n", -1)
-    pairs = F.transform(text_arr, lambda t, i: F.struct(
-        t.alias("text"), F.element_at(mask_arr, i + 1).alias("masked")))
+    # both texts are split once for each file; a lambda around them would split again for every line
+    pairs = F.arrays_zip(F.split(F.col("content"), "\n", -1).alias("text"), F.split(F.col("masked"), "\n", -1).alias("masked"))
     exploded = m.select(*FILE_KEY, *keep, F.posexplode(pairs).alias("pos", "ln"))
     lines = exploded.select(
         *FILE_KEY, *keep,

@@ -56,48 +56,98 @@ def plan_refactoring(analysed: DataFrame, strategy: str = "subtest") -> DataFram
         "end_line")
 
 
-def _continue_to_return(body):
-    """C8 on ``ARRAY<STRUCT<text, masked>>``: unlabelled ``continue`` becomes
-    ``return`` unless it sits inside an inner ``for`` loop (running depth with
-    ``aggregate``)."""
-    init = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("loops"),
-                    F.array().cast("array<string>").alias("out"))
-
-    def step(acc, ln):
-        m = ln["masked"]
-        inner = F.size(acc["loops"]) > 0
-        cont = m.rlike(r"\bcontinue\s*(?:;|}|$)")
-        text = F.when(cont & ~inner, F.regexp_replace(ln["text"], r"\bcontinue\b(?!\s*[A-Za-z_])", "return")) \
-            .otherwise(ln["text"])
-        delta = (F.length(m) - F.length(F.replace(m, F.lit("{"), F.lit("")))) - (
-            F.length(m) - F.length(F.replace(m, F.lit("}"), F.lit(""))))
-        new_depth = acc["depth"] + delta
-        opens_loop = m.rlike(r"^\s*for\b") & (new_depth > acc["depth"])
-        loops = F.filter(acc["loops"], lambda e: e < new_depth)
-        loops = F.when(opens_loop, F.concat(loops, F.array(acc["depth"]))).otherwise(loops)
-        return F.struct(new_depth.alias("depth"), loops.alias("loops"),
-                        F.concat(acc["out"], F.array(text)).alias("out"))
-
-    return F.aggregate(body, init, step)["out"]
+# Pieces of masked code that the rewrite has to tell apart: words, brackets, the rest.
+CODE_PIECES = r"(?s)(\w+|[{}()\[\];\n]|[^\w{}()\[\];\n]+)"
+
+
+def _places(masked):
+    """``ARRAY<STRUCT<piece, at, open>>`` of masked code: text, offset and nesting before the piece."""
+    pieces = F.regexp_extract_all(masked, F.lit(CODE_PIECES), 1)
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("open"))
+
+    def moved(acc, p):
+        step = F.when(p.rlike(r"^[{(\[]$"), 1).when(p.rlike(r"^[})\]]$"), -1).otherwise(0)
+        return F.struct((acc["at"] + F.length(p)).alias("at"), (acc["open"] + step).alias("open"))
+    return pieces, start, moved
+
+
+def body_span(masked):
+    """``STRUCT<first, last>``: offsets of the braces around the body of a loop statement: the
+    last brace that opens at nesting 0, so types and literals in the clause come before it."""
+    pieces, start, moved = _places(masked)
+    init = F.struct(start["at"].alias("at"), start["open"].alias("open"), F.lit(0).alias("first"), F.lit(0).alias("last"))
+
+    def step(acc, p):
+        m = moved(acc, p)
+        return F.struct(m["at"].alias("at"), m["open"].alias("open"),
+                        F.when((p == "{") & (acc["open"] == 0), acc["at"]).otherwise(acc["first"]).alias("first"),
+                        F.when((p == "}") & (m["open"] == 0), acc["at"]).otherwise(acc["last"]).alias("last"))
+    r = F.aggregate(pieces, init, step)
+    return F.struct(r["first"].alias("first"), r["last"].alias("last"))
+
+
+def continue_to_return(text, masked):
+    """An unlabelled ``continue`` of this body becomes ``return``; those of inner ``for``
+    loops, labelled ones and the word inside literals or comments stay. ``masked`` has the
+    offsets of ``text``; each token is replaced at its own place."""
+    pieces, start, moved = _places(masked)
+    # `loop`: nesting of the outermost inner loop that the piece stands in (-1: none);
+    # `pending`: nesting of a `for` clause whose body has not begun (-1: none).
+    init = F.struct(start["at"].alias("at"), start["open"].alias("open"), F.lit(-1).alias("loop"), F.lit(-1).alias("pending"),
+                    F.lit(-1).alias("cont"), F.array().cast("array<int>").alias("hits"))
+
+    def step(acc, p):
+        m = moved(acc, p)
+        inside, blank = acc["loop"] >= 0, ~p.rlike(r"\S") & (p != "\n")
+        # a brace that closes at the clause's nesting may have been that of a type or a
+        # literal: only if another one opens right behind it does the clause go on
+        closed = -acc["pending"] - 2
+        pending = (F.when(closed < 0, acc["pending"]).when(blank, acc["pending"])
+                   .when((p == "{") & (acc["open"] == closed), closed).otherwise(F.lit(-1)))
+        pending = F.when((p == "for") & ~inside & (pending < 0), acc["open"]).when(
+            (p == "\n") & ~inside & (acc["open"] == pending), F.lit(-1)).otherwise(pending)
+        begins = (p == "{") & ~inside & (pending >= 0) & (acc["open"] == pending)
+        closes = (p == "}") & inside & (m["open"] == acc["loop"])
+        loop = F.when(begins, acc["open"]).when(closes, F.lit(-1)).otherwise(acc["loop"])
+        pending = F.when(closes, -m["open"] - 2).otherwise(pending)
+        # a `continue` counts unless a word (its label) follows on the same line
+        settled = (acc["cont"] >= 0) & ~blank
+        hits = F.when(settled & ~p.rlike(r"^[A-Za-z_]"), F.concat(acc["hits"], F.array(acc["cont"]))).otherwise(acc["hits"])
+        cont = F.when((p == "continue") & ~inside, acc["at"]).when(blank, acc["cont"]).otherwise(F.lit(-1))
+        return F.struct(m["at"].alias("at"), m["open"].alias("open"), loop.cast("int").alias("loop"), pending.cast("int").alias("pending"),
+                        cont.cast("int").alias("cont"), hits.alias("hits"))
+
+    done = F.aggregate(pieces, init, step)
+    hits = F.when(done["cont"] >= 0, F.concat(done["hits"], F.array(done["cont"]))).otherwise(done["hits"])
+    size = len("continue")
+    from_ = F.concat(F.array(F.lit(1)), F.transform(hits, lambda h: h + size))
+    kept = F.transform(from_, lambda f, i: F.substring(text, f, F.coalesce(F.get(hits, i), F.length(text) + 1) - f))
+    return F.array_join(kept, "return")
 
 
 def rewrite_runner(stmt_text, stmt_masked, new_key, name_expr, t_var):
-    """Wrap the loop body in ``<t>.Run(<name>, func(<t> *testing.T) {...})``."""
-    lines = F.split(stmt_text, "\n", -1)
-    mlines = F.split(stmt_masked, "\n", -1)
-    n = F.size(lines)
-    head = F.element_at(lines, 1)
-    indent = F.regexp_extract(head, r"^(\s*)", 1)
+    """Wrap the loop body in ``<t>.Run(<name>, func(<t> *testing.T) {...})``. The body is
+    what stands between the braces of :func:`body_span`, on one line or on many."""
+    span = body_span(stmt_masked)
+    first, last = span["first"], span["last"]
+    head = F.substring(stmt_text, F.lit(1), first)
+    indent = F.regexp_extract(head, r"^([ \t]*)", 1)
     head = F.when(new_key.isNotNull(),
                   F.concat(F.regexp_extract(head, r"^(\s*for\s+)", 1), new_key,
                            F.regexp_replace(head, r"^\s*for\s+\w+", ""))).otherwise(head)
-    body = F.arrays_zip(F.slice(lines, 2, n - 2).alias("text"), F.slice(mlines, 2, n - 2).alias("masked"))
-    body = _continue_to_return(body)
-    body = F.transform(body, lambda x: F.concat(F.lit("\t"), x))
+    inner = continue_to_return(F.substring(stmt_text, first + 1, last - first - 1), F.substring(stmt_masked, first + 1, last - first - 1))
+    lines = F.split(inner, "\n", -1)
+    # the rest of the brace's line is the first line of the body, if it holds anything
+    lines = F.when(F.get(lines, F.lit(0)).rlike(r"\S"), F.concat(
+        F.array(F.concat(indent, F.lit("\t"), F.trim(F.get(lines, F.lit(0))))), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))))).otherwise(
+        F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))))
+    lines = F.when(~F.element_at(F.concat(F.array(F.lit("")), lines), -1).rlike(r"\S"), F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
+    body = F.transform(lines, lambda x: F.concat(F.lit("\t"), x))
     run_open = F.concat(indent, F.lit("\t"), t_var, F.lit(".Run("), name_expr, F.lit(", func("), t_var,
                         F.lit(" *testing.T) {"))
     run_close = F.concat(indent, F.lit("\t})"))
-    return F.array_join(F.concat(F.array(head, run_open), body, F.array(run_close, F.element_at(lines, -1))), "\n")
+    tail = F.concat(indent, F.substring(stmt_text, last, F.length(stmt_text)))
+    return F.array_join(F.concat(F.array(head, run_open), body, F.array(run_close, tail)), "\n")
 
 
 def rewrite_tests(plan: DataFrame, stmts: DataFrame, lines: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 All steps are joins, windows and aggregates keyed by the test key
 ``(project, path, func_line)``; types are compared as normalised text, named
-types resolved through the package's ``type`` declarations (one level).
+types resolved through the package's ``type`` declarations.
 """
 
 from __future__ import annotations
@@ -42,21 +42,39 @@ def _elem(t):
             .when(t.rlike(MAP_PREFIX), F.regexp_replace(t, r"^map\[[^\]]*\]", "")))
 
 
-def type_decls(lines: DataFrame) -> DataFrame:
-    """Package-level named types: ``(project, pkg_dir, type_name, underlying)``."""
-    d = dc.decl_texts(lines, ("type",)).filter(F.col("kind") == "type")
-    flat = sm.flatten(F.col("masked"))
-    name = F.regexp_extract(flat, r"^\s*type\s+(\w+)\s*(?:=\s*)?(.*)$", 1)
-    under = F.regexp_extract(flat, r"^\s*type\s+(\w+)\s*(?:=\s*)?(.*)$", 2)
-    return (d.select("project", dc.package_dir(F.col("path")).alias("pkg_dir"),
-                     name.alias("type_name"), normalize_type(under).alias("underlying"))
-            .filter(F.col("type_name") != "")
-            .dropDuplicates(["project", "pkg_dir", "type_name"]))
+def specs(flat, keyword: str, levels: int):
+    """The specifications of a ``type`` or ``var`` declaration, grouped in parentheses or not."""
+    group = rf"^\s*{keyword}\s*\((.*)\)\s*$"
+    many = F.regexp_extract_all(F.regexp_extract(flat, group, 1), F.lit(sm.item_pattern(levels, ";")), 0)
+    one = F.array(F.regexp_replace(flat, rf"^\s*{keyword}\s+", ""))
+    return F.filter(F.transform(F.when(flat.rlike(group), many).otherwise(one), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def type_decls(lines: DataFrame, levels: int | None = None) -> DataFrame:
+    """Package-level named types: ``(project, pkg_dir, type_name, underlying)``. A name of a
+    named type is followed to the end; a name declared twice with different types is left out."""
+    d = dc.decl_texts(lines, ("type",)).filter(F.col("kind") == "type").withColumn("flat", sm.flatten(F.col("masked")))
+    levels = sm.deepest(d) if levels is None else levels
+    d = d.select("project", dc.package_dir(F.col("path")).alias("pkg_dir"), F.explode(specs(F.col("flat"), "type", levels)).alias("spec"))
+    pattern = r"^(\w+)\s*(?:=\s*)?(.*)$"
+    t = (d.select("project", "pkg_dir", F.regexp_extract("spec", pattern, 1).alias("type_name"),
+                  normalize_type(F.regexp_extract("spec", pattern, 2)).alias("underlying"))
+         .filter(F.col("type_name") != "").groupBy("project", "pkg_dir", "type_name")
+         .agg(F.min("underlying").alias("underlying"), F.max("underlying").alias("other"))
+         .filter(F.col("underlying") == F.col("other")).drop("other"))
+    t, open_ = cut_lineage(t), None
+    while True:  # each step halves what is left of every chain of names
+        u = t.select("project", "pkg_dir", F.col("type_name").alias("underlying"), F.col("underlying").alias("next"))
+        stepped = t.join(u, ["project", "pkg_dir", "underlying"], "left")
+        left = stepped.filter(F.col("next").isNotNull()).count()
+        if not left or left == open_:  # what is left then names itself, which is no Go
+            return t
+        t, open_ = cut_lineage(stepped.select("project", "pkg_dir", "type_name", F.coalesce("next", "underlying").alias("underlying"))), left
 
 
 def _resolve(df: DataFrame, col: str, types: DataFrame, out: str) -> DataFrame:
-    """Replace a named type in ``col`` by its package-level underlying type
-    (left equi-join on project, package directory and type name)."""
+    """Replace a named type in ``col`` by its package-level underlying type, followed to the
+    end (left equi-join on project, package directory and type name)."""
     t = types.select(F.col("project").alias("__p"), F.col("pkg_dir").alias("__d"),
                      F.col("type_name").alias("__tn"), F.col("underlying").alias("__u"))
     j = df.withColumn("__pd", dc.package_dir(F.col("path"))).join(
@@ -67,27 +85,27 @@ def _resolve(df: DataFrame, col: str, types: DataFrame, out: str) -> DataFrame:
             .drop("__pd", "__p", "__d", "__tn", "__u"))
 
 
-def literal_parts(expr_col):
+def literal_parts(expr_col, levels: int):
     """(type, elements text) of an expression that is one composite literal."""
-    return (F.regexp_extract(expr_col, sm.LITERAL_PATTERN, 1),
-            F.regexp_extract(expr_col, sm.LITERAL_PATTERN, 2))
+    pattern = sm.literal_pattern(levels)
+    return F.regexp_extract(expr_col, pattern, 1), F.regexp_extract(expr_col, pattern, 2)
 
 
-def top_level_items(elems):
+def top_level_items(elems, levels: int):
     """Top-level comma-separated items of a literal body (nested groups hidden)."""
-    items = F.regexp_extract_all(elems, F.lit(sm.ITEM_PATTERN), 0)
+    items = F.regexp_extract_all(elems, F.lit(sm.item_pattern(levels)), 0)
     return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
 
 
-def _literal_facts(df: DataFrame, expr_col: str, keep_all: bool = False) -> DataFrame:
+def _literal_facts(df: DataFrame, expr_col: str, levels: int, keep_all: bool = False) -> DataFrame:
     """Add literal facts: ``lit_type, lit_container, lit_elem, n_elems, lit_items,
     first_ok``; rows whose expression is not a literal are dropped unless
     ``keep_all``."""
-    ltype, elems = literal_parts(F.col(expr_col))
+    ltype, elems = literal_parts(F.col(expr_col), levels)
     df = df.withColumn("lit_type", normalize_type(ltype)).withColumn("lit_elems", elems)
     if not keep_all:
         df = df.filter(F.col("lit_type") != "")
-    items = top_level_items(F.col("lit_elems"))
+    items = top_level_items(F.col("lit_elems"), levels)
     first = F.trim(F.try_element_at(items, F.lit(1)))
     keyed = first.rlike(r"^[^{]*:")
     container = _container(F.col("lit_type"))
@@ -100,7 +118,7 @@ def _literal_facts(df: DataFrame, expr_col: str, keep_all: bool = False) -> Data
             .withColumn("first_ok", first_ok))
 
 
-def local_literals(stmts: DataFrame) -> DataFrame:
+def local_literals(stmts: DataFrame, levels: int) -> DataFrame:
     """Assignments / ``var`` statements whose single right-hand side is a
     composite literal: ``(test key, stmt_ord, var_name, lit_*)``."""
     flat = F.col("flat")
@@ -113,30 +131,42 @@ def local_literals(stmts: DataFrame) -> DataFrame:
                      F.when(is_var, v_lhs).otherwise(a_lhs).alias("var_name"),
                      F.when(is_var, v_rhs).otherwise(a_rhs).alias("rhs"))
     s = s.filter((F.col("rhs") != "") & ~F.col("var_name").contains(","))
-    return _literal_facts(s, "rhs")
+    return _literal_facts(s, "rhs", levels)
 
 
-def file_var_literals(lines: DataFrame) -> DataFrame:
+def file_var_literals(lines: DataFrame, levels: int | None = None) -> DataFrame:
     """Package-level ``var x = T{...}`` of each file, in file order."""
-    d = dc.decl_texts(lines, ("var",)).filter(F.col("kind") == "var")
-    flat = sm.flatten(F.col("masked"))
-    s = d.select("project", "path", F.col("start_line").alias("decl_ord"),
-                 F.regexp_extract(flat, sm.VAR_PATTERN, 1).alias("var_name"),
-                 F.regexp_extract(flat, sm.VAR_PATTERN, 3).alias("rhs"))
-    s = s.filter(F.col("rhs") != "")
-    return _literal_facts(s, "rhs")
+    d = dc.decl_texts(lines, ("var",)).filter(F.col("kind") == "var").withColumn("flat", sm.flatten(F.col("masked")))
+    levels = sm.deepest(d) if levels is None else levels
+    d = d.select("project", "path", "start_line", F.posexplode(specs(F.col("flat"), "var", levels)).alias("nth", "spec"))
+    spec = F.concat(F.lit("var "), F.col("spec"))
+    s = d.select("project", "path", F.struct("start_line", "nth").alias("decl_ord"),
+                 F.regexp_extract(spec, sm.VAR_PATTERN, 1).alias("var_name"),
+                 normalize_type(F.regexp_extract(spec, sm.VAR_PATTERN, 2)).alias("declared"),
+                 F.regexp_extract(spec, sm.VAR_PATTERN, 3).alias("rhs"))
+    return _literal_facts(s.filter((F.col("rhs") != "") | (F.col("declared") != "")), "rhs", levels, keep_all=True)
+
+
+def local_declarations(stmts: DataFrame) -> DataFrame:
+    """``var x T`` statements of a body: ``(test key, stmt_ord, var_name, declared)``."""
+    flat = F.col("flat")
+    d = stmts.filter(flat.rlike(r"^\s*var\s+\w")).select(
+        *TEST_KEY, "stmt_ord", F.explode(F.split(F.regexp_extract(flat, sm.VAR_PATTERN, 1), r"\s*,\s*")).alias("var_name"),
+        normalize_type(F.regexp_extract(flat, sm.VAR_PATTERN, 2)).alias("declared"))
+    return d.filter((F.col("declared") != "") & (F.col("var_name") != ""))
 
 
-def range_loops(stmts: DataFrame) -> DataFrame:
+def range_loops(stmts: DataFrame, levels: int) -> DataFrame:
     """Top-level ``for ... range`` statements of each function."""
     flat = F.col("flat")
     simple = flat.rlike(sm.SIMPLE_RANGE_PATTERN)
+    whole = sm.range_pattern(levels)
     key = F.when(simple, F.regexp_extract(flat, sm.SIMPLE_RANGE_PATTERN, 1)).otherwise(
-        F.regexp_extract(flat, sm.RANGE_PATTERN, 1))
+        F.regexp_extract(flat, whole, 1))
     val = F.when(simple, F.regexp_extract(flat, sm.SIMPLE_RANGE_PATTERN, 2)).otherwise(
-        F.regexp_extract(flat, sm.RANGE_PATTERN, 2))
+        F.regexp_extract(flat, whole, 2))
     expr = F.when(simple, F.regexp_extract(flat, sm.SIMPLE_RANGE_PATTERN, 3)).otherwise(
-        F.regexp_extract(flat, sm.RANGE_PATTERN, 3))
+        F.regexp_extract(flat, whole, 3))
     r = stmts.filter(flat.rlike(r"^\s*for\s.*\brange\b")).select(
         *TEST_KEY, "stmt_ord", "stmt_line", "end_line", "children", "text",
         F.when(key != "", key).alias("key_var"), F.when(val != "", val).alias("value_var"),
@@ -167,13 +197,14 @@ def scenario_sets(tests: DataFrame, stmts: DataFrame, lines: DataFrame) -> DataF
     picked by a window; scenario literals are found by equi-joins on
     ``(test key, container, element type)`` and ranked by source.
     """
-    types = _keep(type_decls(lines))
+    types = type_decls(lines)
+    levels = sm.deepest(stmts)
     keys = tests.select(*TEST_KEY)
-    loops = range_loops(stmts).join(keys, TEST_KEY, "left_semi")
-    loops = _literal_facts(loops.withColumn("rhs", F.col("range_expr")), "rhs", keep_all=True)
+    loops = range_loops(stmts, levels).join(keys, TEST_KEY, "left_semi")
+    loops = _literal_facts(loops.withColumn("rhs", F.col("range_expr")), "rhs", levels, keep_all=True)
     loops = _keep(_resolve(loops, "lit_elem", types, "lit_elem_id"))
 
-    lits = local_literals(stmts).join(keys, TEST_KEY, "left_semi")
+    lits = local_literals(stmts, levels).join(keys, TEST_KEY, "left_semi")
     lits = _keep(_resolve(lits, "lit_elem", types, "lit_elem_id"))
     fvars = _keep(_resolve(file_var_literals(lines), "lit_elem", types, "lit_elem_id"))
 
@@ -182,14 +213,20 @@ def scenario_sets(tests: DataFrame, stmts: DataFrame, lines: DataFrame) -> DataF
     local = (loops.filter(F.col("range_expr").rlike(r"^\w+$"))
              .select(*TEST_KEY, "stmt_ord", "range_expr")
              .join(lits.select(*TEST_KEY, F.col("stmt_ord").alias("decl_ord"),
-                               F.col("var_name").alias("range_expr"), F.col("lit_type").alias("local_type")),
+                               F.col("var_name").alias("range_expr"), F.col("lit_type").alias("local_type"))
+                   .unionByName(local_declarations(stmts).join(keys, TEST_KEY, "left_semi").select(
+                       *TEST_KEY, F.col("stmt_ord").alias("decl_ord"), F.col("var_name").alias("range_expr"),
+                       F.col("declared").alias("local_type"))),
                    TEST_KEY + ["range_expr"])
              .filter(F.col("decl_ord") < F.col("stmt_ord"))
              .groupBy(*TEST_KEY, "stmt_ord")
              .agg(F.max_by("local_type", "decl_ord").alias("local_type")))
+    # a name that the folder declares with different types stays unresolved
+    var_type = F.when(F.col("declared") != "", F.col("declared")).when(F.col("lit_type") != "", F.col("lit_type"))
     pkg_vars = (fvars.select("project", dc.package_dir(F.col("path")).alias("pkg_dir"),
-                             F.col("var_name").alias("range_expr"), F.col("lit_type").alias("pkg_type"))
-                .groupBy("project", "pkg_dir", "range_expr").agg(F.min("pkg_type").alias("pkg_type")))
+                             F.col("var_name").alias("range_expr"), var_type.alias("pkg_type"))
+                .groupBy("project", "pkg_dir", "range_expr").agg(F.min("pkg_type").alias("pkg_type"), F.max("pkg_type").alias("other"))
+                .filter(F.col("pkg_type") == F.col("other")).drop("other"))
     typed = (loops.join(local, TEST_KEY + ["stmt_ord"], "left")
              .withColumn("pkg_dir", dc.package_dir(F.col("path")))
              .join(pkg_vars, ["project", "pkg_dir", "range_expr"], "left")
@@ -226,15 +263,17 @@ def scenario_sets(tests: DataFrame, stmts: DataFrame, lines: DataFrame) -> DataF
                                  F.col("n_elems"), F.col("first_ok"), F.col("lit_container")))
                 .groupBy(*TEST_KEY)
                 .agg(F.max_by(F.struct("n_elems", "lit_items"), "stmt_ord").alias("local_sc")))
-    # First file-level var literal of the scenario type (equi-join on type).
-    file_sc = (fvars.select("project", "path", "decl_ord", "lit_container", "lit_elem", "lit_elem_id",
-                            "n_elems", "lit_items", "first_ok")
+    # First file-level var literal of the scenario type (equi-join on type); one literal
+    # for each file and type goes into the join.
+    first_vars = (fvars.filter((F.col("lit_type") != "") & F.col("first_ok") & (F.col("n_elems") > 0) & ~F.col("lit_elem").startswith("*"))
+                  .groupBy("project", "path", "lit_container", "lit_elem_id")
+                  .agg(F.min_by(F.struct("n_elems", "lit_items"), "decl_ord").alias("file_sc"), F.min("decl_ord").alias("decl_ord")))
+    file_sc = (first_vars
                .join(r.withColumnRenamed("container", "lit_container")
                      .withColumn("lit_elem_id", F.col("scenario_type")),
                      ["project", "path", "lit_container", "lit_elem_id"])
-               .filter(F.col("first_ok") & (F.col("n_elems") > 0) & ~F.col("lit_elem").startswith("*"))
                .groupBy(*TEST_KEY)
-               .agg(F.min_by(F.struct("n_elems", "lit_items"), "decl_ord").alias("file_sc")))
+               .agg(F.min_by("file_sc", "decl_ord").alias("file_sc")))
     chosen = (runner.select(*TEST_KEY, "stmt_ord", "container", "scenario_type", "map_key",
                             "key_var", "value_var", "children", "clause_sc")
               .join(local_sc, TEST_KEY, "left")
@@ -244,7 +283,7 @@ def scenario_sets(tests: DataFrame, stmts: DataFrame, lines: DataFrame) -> DataF
 
     # Fields of the scenario struct (F15) --------------------------------------
     base = tests.select(*TEST_KEY, "header").join(chosen, TEST_KEY, "left")
-    fields = struct_fields(F.col("scenario_type"))
+    fields = struct_fields(F.col("scenario_type"), levels)
     base = base.withColumn("fields", fields)
     # A10 looks at the underlying type: named field types are resolved through
     # the package's type declarations before testing for a function type.
@@ -261,7 +300,7 @@ def scenario_sets(tests: DataFrame, stmts: DataFrame, lines: DataFrame) -> DataF
                     lambda c: F.coalesce(F.rlike(c["masked"], run_pat), F.lit(False)))
     first_run = F.try_element_at(runs, F.lit(1))
     uses_subtest = tvar.isNotNull() & (F.size(runs) > 0)
-    run_arg_field = F.regexp_extract(first_run["masked"], r"\.\s*Run\s*\(\s*\w+\s*\.\s*(\w+)\s*,", 1)
+    run_arg_field = F.regexp_extract(first_run["masked"], r"\.\s*Run\s*\(\s*\w+(?:\s*\[[^\]]*\])?\s*\.\s*(\w+)\s*,", 1)
     field_names = F.transform("fields", lambda f: f["name"])
     is_struct = F.coalesce(F.col("scenario_type").startswith("struct{"), F.lit(False))
     name_by_words = F.try_element_at(F.transform(F.filter("fields", lambda f: (f["type"] == "string") & (
@@ -293,11 +332,11 @@ def scenario_sets(tests: DataFrame, stmts: DataFrame, lines: DataFrame) -> DataF
     )
 
 
-def struct_fields(struct_text):
+def struct_fields(struct_text, levels: int):
     """``ARRAY<STRUCT<name, type>>`` of a normalised ``struct{...}`` text,
     declaration order; ``a, b int`` gives one entry per name."""
     body = F.regexp_extract(struct_text, r"^struct\{(.*)\}$", 1)
-    decls = F.filter(F.split(body, ";"), lambda x: F.trim(x) != "")
+    decls = F.filter(F.regexp_extract_all(body, F.lit(sm.item_pattern(levels, ";")), 0), lambda x: F.trim(x) != "")
 
     def one(d):
         d = F.regexp_replace(F.trim(d), r"\s*\"+$", "")  # masked tag

@@ -20,41 +20,51 @@ CONTINUATION_END = r"(?:[,+\-*/%&|^<>=!.:]|&&|\|\|)$"
 INC_DEC_END = r"(?:\+\+|--)$"
 
 
-def _balanced(levels: int = 10) -> str:
-    """Regex for text with balanced braces up to ``levels`` deep (possessive)."""
-    b = r"[^{}]*+"
+def balanced(levels: int, kinds: str = r"{}()\[\]") -> str:
+    """Regex for text whose brackets nest up to ``levels`` deep (possessive). The text is
+    well-formed code with literals masked, so counting suffices: kinds need not be told apart."""
+    opening, closing = {"{}": (r"\{", r"\}"), "()": (r"\(", r"\)")}.get(kinds, (r"[{(\[]", r"[})\]]"))
+    b = rf"[^{kinds}]*+"
     for _ in range(levels):
-        b = r"(?:[^{}]++|\{" + b + r"\})*+"
+        b = rf"(?:[^{kinds}]++|{opening}{b}{closing})*+"
     return b
 
 
-BAL = _balanced()
+def deepest(df: DataFrame, column: str = "flat") -> int:
+    """Deepest nesting of brackets in a text column, over all rows: patterns are built for
+    what the corpus has, so there is no depth at which they stop matching."""
+    marks = F.split(F.regexp_replace(F.col(column), r"[^{}()\[\]]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
+    def step(acc, ch):
+        now = acc["now"] + F.when(ch.rlike(r"[{(\[]"), 1).when(ch.rlike(r"[})\]]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+    return int(df.agg(F.max(F.aggregate(marks, start, step)["most"])).first()[0] or 0) + 1
+
+
+def item_pattern(levels: int, separator: str = ",") -> str:
+    """One piece of a list: no separator outside nested groups."""
+    return rf"(?:[^{{}}()\[\]{separator}]++|[{{(\[]" + balanced(levels) + r"[})\]])++"
 
-def _balanced_mixed(levels: int = 8) -> str:
-    """Regex for text with balanced braces and parentheses."""
-    b = r"[^{}()]*+"
-    for _ in range(levels):
-        b = r"(?:[^{}()]++|\{" + b + r"\}|\(" + b + r"\))*+"
-    return b
 
+def range_pattern(levels: int) -> str:
+    """`for k, v := range X {BODY}`; X may itself be a composite literal."""
+    return (r"^\s*for\s+(?:(\w+)\s*(?:,\s*(\w+))?\s*:?=\s*)?range\s+(.*?)\s*\{" + balanced(levels, "{}") + r"\}\s*$")
+
+
+def literal_pattern(levels: int) -> str:
+    """Composite literal `TYPE{ELEMS}` filling a whole expression."""
+    body = balanced(levels, "{}")
+    lit_type = r"(?:\[\d*\]|\[\.\.\.\]|map\[[^\]]+\])*\s*\*?\s*(?:struct\s*\{" + body + r"\}|[\w.]+)"
+    return r"^\s*&?\s*(" + lit_type + r")\s*\{(" + body + r")\}\s*$"
 
-BALX = _balanced_mixed()
-# One top-level item of a literal body: no comma outside nested groups.
-ITEM_PATTERN = r"(?:[^{}(),]++|\{" + BALX + r"\}|\(" + BALX + r"\))++"
 
-# `for k, v := range X {BODY}`; X may itself be a composite literal.
-RANGE_PATTERN = (r"^\s*for\s+(?:(\w+)\s*(?:,\s*(\w+))?\s*:?=\s*)?range\s+(.*?)\s*\{" + BAL + r"\}\s*$")
 SIMPLE_RANGE_PATTERN = r"^\s*for\s+(?:(\w+)\s*(?:,\s*(\w+))?\s*:?=\s*)?range\s+([\w.]+)\s*\{"
 
 # Left-hand side and right-hand side of `a, b := rhs` / `a = rhs` / `var a T = rhs`.
 ASSIGN_PATTERN = r"^\s*(\w+(?:\s*,\s*\w+)*)\s*:?=\s*(.*?)\s*$"
 VAR_PATTERN = r"^\s*var\s+(\w+(?:\s*,\s*\w+)*)(?:\s+([^=]+?))?\s*(?:=\s*(.*?))?\s*$"
 
-# Composite literal `TYPE{ELEMS}` filling a whole expression.
-LIT_TYPE = (r"(?:\[\d*\]|\[\.\.\.\]|map\[[^\]]+\])*\s*\*?\s*(?:struct\s*\{" + BAL + r"\}|[\w.]+)")
-LITERAL_PATTERN = r"^\s*&?\s*(" + LIT_TYPE + r")\s*\{(" + BAL + r")\}\s*$"
-
 # First parameter field of type *testing.T that has a name.
 TESTER_PARAM = r"(?:^|,)\s*(\w+)(?:\s*,\s*\w+)*\s+\*\s*testing\s*\.\s*T\s*(?:,|$)"
 PARAMS_PATTERN = r"^\s*func\s*(?:\([^)]*\)\s*)?\w+\s*(?:\[[^\]]*\])?\s*\(([^)]*)\)"
@@ -67,13 +77,13 @@ def statement_lines(lines: DataFrame) -> DataFrame:
     prev = w.rowsBetween(Window.unboundedPreceding, -1)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     masked = F.col("masked")
-    nonblank = F.trim(masked) != ""
-    prev_code = F.last(F.when(nonblank, F.rtrim(masked)), ignorenulls=True).over(prev)
+    nonblank = masked.rlike(r"\S")
+    prev_code = F.last(F.when(nonblank, F.regexp_replace(masked, r"\s+$", "")), ignorenulls=True).over(prev)
     cont = prev_code.rlike(CONTINUATION_END) & ~prev_code.rlike(INC_DEC_END)
     in_func = ((F.col("cur_kind") == "func") & (F.col("line_no") != F.col("decl_line"))
                & (F.col("depth_before") >= 1))
     closing = ((F.col("depth_before") == 1) & (F.col("depth_after") == 0)
-               & F.ltrim(masked).startswith("}"))
+               & masked.rlike(r"^\s*\}"))
     body = in_func & ~closing
     start = body & nonblank & (F.col("paren_before") == 0) & ~F.coalesce(cont, F.lit(False))
     out = (lines.withColumn("in_body", body)
@@ -88,8 +98,9 @@ def statements(lines: DataFrame) -> DataFrame:
     masked, flat, children)``: one row per top-level body statement.
 
     ``flat`` = masked text on one line (newlines as ``;``, blanks collapsed);
-    ``children`` = first masked line of every direct statement of the first
-    nested block (depth 2), in order.
+    ``children`` = every direct statement of the first nested block (depth 2), in
+    order: its first line and the masked and original text of the line and the next
+    one, so an argument list that begins on the next line is seen.
     """
     sl = statement_lines(lines).filter(F.col("stmt_line").isNotNull())
     g = sl.groupBy(*FUNC_KEY, "stmt_line").agg(
@@ -97,10 +108,11 @@ def statements(lines: DataFrame) -> DataFrame:
             "line_no", "text", "masked", "depth_before", "paren_before", "stmt_start"))).alias("ls"))
     masked = F.array_join(F.transform("ls", lambda x: x["masked"]), "\n")
     text = F.array_join(F.transform("ls", lambda x: x["text"]), "\n")
-    children = F.transform(
-        F.filter("ls", lambda x: x["stmt_start"] & (x["depth_before"] == 2)),
-        lambda x: F.struct(x["line_no"].alias("line_no"), x["masked"].alias("masked"),
-                           x["text"].alias("text")))
+    follow = lambda x, i, f: F.concat_ws(" ", x[f], F.when(x["masked"].rlike(r"\(\s*$"), F.get("ls", i + 1)[f]))
+    children = F.filter(
+        F.transform("ls", lambda x, i: F.when(x["stmt_start"] & (x["depth_before"] == 2), F.struct(
+            x["line_no"].alias("line_no"), follow(x, i, "masked").alias("masked"), follow(x, i, "text").alias("text")))),
+        lambda c: c.isNotNull())
     s = g.select(*FUNC_KEY, "stmt_line", F.element_at(F.col("ls"), -1)["line_no"].alias("end_line"),
                  text.alias("text"), masked.alias("masked"), children.alias("children"))
     w = Window.partitionBy(*FUNC_KEY).orderBy("stmt_line")

@@ -30,7 +30,7 @@ ANALYZE_COLUMNS = ["project", "filePath", "package", "name", "isTableDriven", "s
 class Facts:
     """Fact tables of one corpus.
 
-    Masking runs on the scan side of the single file exchange; the line and
+    Masking runs behind the single file exchange; the line and
     statement facts, read by several joins of the analysis, are materialised
     once as reliable checkpoints in the shared checkpoint folder: later plans
     start from them (short lineage, small plans) and survive lost executors.
@@ -38,8 +38,8 @@ class Facts:
 
     def __init__(self, files: DataFrame, load_errors: DataFrame | None = None, strict_vendor: bool = False,
                  persist: bool = True, store: str = "bucketed"):
-        masked = ln.masked_files(files.select("project", "path", "content"))
-        self.visited = cp.prepare_files(masked, load_errors, strict_vendor)
+        # masked behind the exchange: it carries one text of each file, not two
+        self.visited = cp.prepare_files(files.select("project", "path", "content"), load_errors, strict_vendor)
         self.lines = ln.file_lines(self.visited)
         if persist and store == "bucketed":
             self.lines = store_bucketed(self.lines, "lines", sort=("project", "path", "line_no"))

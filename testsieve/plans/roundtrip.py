@@ -131,12 +131,13 @@ def _stored(spark, sf_dir, kind, build):
     return _STORE[key]
 
 
-def clear_store() -> None:
-    """Unpersist every stored fact table."""
-    for v in _STORE.values():
-        for df in getattr(v, "persisted", []):
-            df.unpersist()
+def clear_store(spark: SparkSession | None = None) -> None:
+    """Forget every stored result (new data under a known path is read again); with a session
+    also drop the fact tables written for it."""
     _STORE.clear()
+    if spark is not None:
+        from testsieve.sources.factstore import release
+        release(spark)
 
 
 def facts(spark, sf_dir):
@@ -413,7 +414,7 @@ def stream_append(spark, sf_dir):
     from testsieve.streaming import append as sa
     base = sk.scratch_dir(spark, "stream")
     runs = fx.run_log(spark, sf_dir)
-    runs.repartition(4, "test_id").write.mode("overwrite").parquet(f"{base}/in")
+    runs.write.mode("overwrite").parquet(f"{base}/in")
     sa.classified_runs_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
     return sa.read_appended(spark, f"{base}/out").select("run_id", "result", "message")
 
@@ -428,7 +429,7 @@ def selector_calls(spark, sf_dir):
     fn = f.funcs.select("project", "path", "func_line", "name", sm.tester_param(F.col("header")).alias("tv"))
     s = f.stmts.join(fn, ["project", "path", "func_line"])
     pat = F.concat(F.lit(r"^\s*"), F.col("tv"), F.lit(r"\s*\.\s*\w+\s*\("))
-    hit = F.coalesce(F.rlike(F.col("flat"), pat) & ex.is_expr_stmt(F.col("flat")), F.lit(False))
+    hit = F.coalesce(F.rlike(F.col("flat"), pat) & ex.is_expr_stmt(F.col("flat"), sm.deepest(f.stmts)), F.lit(False))
     return s.groupBy("path", "name").agg(F.count_if(hit).alias("n_selector_calls"))
 
 
@@ -455,10 +456,11 @@ def resolve_calls(spark, sf_dir):
     """Calls of each chain test's own statements resolved inside the package."""
     from testsieve.operators import expand as ex
     from testsieve.operators import decls as dc_
+    from testsieve.operators import statements as sm
     f = chain_facts(spark, sf_dir)
     tests = f.tests().select("project", "path", "func_line", "name")
     s = f.stmts.join(tests, ["project", "path", "func_line"])
-    calls = s.select("project", "path", "name", F.explode(ex.statement_calls(F.col("flat"))).alias("c"))
+    calls = s.select("project", "path", "name", F.explode(ex.statement_calls(F.col("flat"), sm.deepest(f.stmts))).alias("c"))
     calls = calls.select("project", "path", "name", F.col("c.callee").alias("callee"),
                          F.col("c.is_selector").alias("is_selector"),
                          dc_.package_dir(F.col("path")).alias("pkg_dir"))

@@ -40,8 +40,8 @@ def group_column(by: str):
 def statistics_facts(files: DataFrame, load_errors: DataFrame | None = None,
                      strict_vendor: bool = False) -> DataFrame:
     """Per visited file: ``file_lines``, ``n_tests``, ``test_lines``, ``is_test_file``."""
-    masked = ln.masked_files(files.select("project", "path", "content"))
-    visited = cp.prepare_files(masked, load_errors, strict_vendor)
+    # masked behind the exchange: it carries one text of each file, not two
+    visited = cp.prepare_files(files.select("project", "path", "content"), load_errors, strict_vendor)
     return dc.file_facts(ln.file_lines(visited)).withColumn(
         "is_test_file", F.col("path").endswith("_test.go"))
 

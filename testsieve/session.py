@@ -71,11 +71,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     The cluster names it in ``spark.checkpoint.dir``; read it from the session
     (or from the context, which reads that setting at start-up). Only when it is
-    unset (local tests) a scratch folder is created and set.
+    unset and the master is local (tests) a scratch folder is created and set; on
+    a cluster that would be a folder which other machines do not see, so it is
+    an error there.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="testsieve-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():

@@ -15,22 +15,44 @@ import uuid
 
 from pyspark.sql import DataFrame
 
-from testsieve.session import checkpoint_dir, cut_lineage
+from testsieve.session import checkpoint_dir
 
 
 def store_bucketed(df: DataFrame, name: str, keys=("project", "path"), sort=("project", "path"),
-                   buckets: int | None = None) -> DataFrame:
+                   buckets: int | None = None, bytes_per_bucket: int = 512 << 20) -> DataFrame:
     """Write ``df`` as a bucketed, sorted Parquet table below the shared
-    checkpoint folder and return the table; falls back to a reliable
-    checkpoint when the session has no catalog for bucketed tables."""
+    checkpoint folder and return the table. ``release`` drops it. The number of
+    buckets follows the shuffle partitions, or ``bytes_per_bucket`` of the
+    logical plan's own size estimate if that asks for more."""
     spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(df) // bytes_per_bucket)
     tag = uuid.uuid4().hex[:12]
     path = f"{checkpoint_dir(spark).rstrip('/')}/testsieve-facts/{name}-{tag}"
     table = f"testsieve_{name}_{tag}"
-    try:
-        (df.write.format("parquet").bucketBy(n, *keys).sortBy(*sort)
-         .option("path", path).saveAsTable(table))
-    except Exception:  # noqa: BLE001 - no catalog for bucketed tables
-        return cut_lineage(df)
+    (df.write.format("parquet").bucketBy(int(n), *keys).sortBy(*sort)
+     .option("path", path).saveAsTable(table))
+    _TABLES.append(table)
     return spark.table(table)
+
+
+_TABLES: list[str] = []
+
+
+def release(spark) -> None:
+    """Drop the fact tables that this process has written, with their files."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    while _TABLES:
+        table = _TABLES.pop()
+        location = [r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect() if r.col_name == "Location"]
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        for where in location:
+            path = fs.Path(where)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Bytes of the sources below ``df``, as the optimizer knows them before any run
+    (joins and explodes left out: the largest leaf counts)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return min(max(sizes, default=0), 1 << 50)

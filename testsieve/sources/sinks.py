@@ -34,7 +34,7 @@ def sink_format(path: str) -> str:
     ext = PurePosixPath(path).suffix.lower()
     fmt = {".txt": "Txt", ".csv": "CSV", ".json": "JSON"}.get(ext, "Unknown")
     if fmt == "Unknown":
-        raise ContractError(f"unsupported output format (file {path!r})")
+        raise ContractError(f"no writer for {path!r}: the name must end in .txt, .csv or .json")
     return fmt
 
 
@@ -69,15 +69,25 @@ def csv_frame(df: DataFrame, decimals: int = 1) -> DataFrame:
 
 def existing_csv_header(spark: SparkSession, path: str) -> list[str] | None:
     """Header of CSV data already at ``path`` (None when there is none)."""
-    try:
-        return spark.read.option("header", True).csv(path).columns
-    except Exception:  # noqa: BLE001 - no data at the path
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    # data files only: Spark hides names with a leading dot or underscore; any
+    # other trouble with the target is an error of its own
+    if not files.exists(target):
         return None
+    listed = [target] if files.getFileStatus(target).isFile() else [s.getPath() for s in files.listStatus(target)]
+    if not any(not p.getName().startswith((".", "_")) for p in listed):
+        return None
+    return spark.read.option("header", True).csv(path).columns
 
 
-def write_csv(df: DataFrame, path: str, append: bool = False) -> None:
-    """CSV with header. Appending requires the existing header to be
-    identical, same order; otherwise nothing is written."""
+def write_csv(df: DataFrame, path: str, append: bool = False, expected: T.StructType | None = None) -> None:
+    """CSV with header. With ``expected`` the data must match that
+    schema. Appending requires the existing header to be identical, same order;
+    otherwise nothing is written."""
+    if expected is not None:
+        check_schema(df, expected)
     out = csv_frame(df)
     if append:
         header = existing_csv_header(df.sparkSession, path)

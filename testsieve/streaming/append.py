@@ -32,7 +32,8 @@ def append_stream(spark: SparkSession, source_dir: str, schema, transform, sink_
     q.awaitTermination()
 
 
-def classified_runs_stream(spark: SparkSession, run_log_dir: str, sink_dir: str, checkpoint: str) -> None:
+def classified_runs_stream(spark: SparkSession, run_log_dir: str, sink_dir: str, checkpoint: str,
+                           max_files_per_trigger: int | None = None) -> None:
     """C3/C4 for run logs arriving over time."""
     schema = spark.read.parquet(run_log_dir).schema
     append_stream(spark, run_log_dir, schema,
@@ -41,7 +42,7 @@ def classified_runs_stream(spark: SparkSession, run_log_dir: str, sink_dir: str,
                       rn.cl.run_result(F.col("exit_ok"), F.col("output"), F.col("path"), F.col("test")).alias("result"),
                       rn.cl.run_message(F.col("exit_ok"), F.col("output"), F.col("stderr"), F.col("path"),
                                         F.col("test")).alias("message")),
-                  sink_dir, checkpoint, max_files_per_trigger=1)
+                  sink_dir, checkpoint, max_files_per_trigger)
 
 
 def read_appended(spark: SparkSession, sink_dir: str) -> DataFrame:
