@@ -5,14 +5,19 @@ class, so copies cost nothing further. A class keeps its ``K`` smallest hashes;
 lists of retained values give the classes that overlap.
 
 No link is lost and no list is cut. Two sets with a similarity of at least 0.8 share at least
-``LEAST`` of K retained values (the chance of fewer is below 3e-8 a pair; sets of fewer than K
+``LEAST`` of K retained values (the chance of fewer is 2e-8 a pair; sets of fewer than K
 shingles share 80 in 100 of them for certain), so of its r values a class has to be listed
 only under the r - LEAST + 1 rarest: values that many documents have drop out unless a
-document has little else. Inside a list the members are compared with one pivot first, the
-one that shares most with others; members that come out linked are one component and need
-no comparison with each other. Then all pairs of members from different components are
-compared, in further pivot rounds while these pairs are many. A pair is estimated from the
-union of the two sketches first and confirmed on the full sets last.
+document has little else. A shingle that no other listed class has cannot be shared, and a
+link needs 4 in 9 of the shingles of both sets together in common; so classes with too few
+shareable shingles drop out. Inside a list the members are compared with one pivot first,
+the one that shares most with others; members that come out linked are one component and
+need no comparison with each other. Pivot rounds go on while each takes away half of the
+pairs that are left between components. What is left then is listed anew, by full sets:
+with shingles in order of rarity, two linked sets must share one of the rarest ninth of the
+smaller set and fifth of the larger one, at places that leave enough shingles behind them.
+A pair is estimated from the union of the two sketches first and confirmed on the full sets
+last.
 
 Components come from alternating large-star and small-star steps over the links.
 
@@ -34,10 +39,10 @@ from pyspark.sql import functions as F
 
 from testsieve.llm.common import chain, map_arrow, mix, table, text_slices, word_hashes, written
 
-K = 32
-LEAST = 12
+K = 64
+LEAST = 32
 SMALL_ROWS = 200_000
-PAIR_ROUNDS = 6
+PIVOT_GAIN = 0.5
 
 
 def shingle_sets(column, width: int):
@@ -101,8 +106,53 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
     return met.select("c", "n", weight.alias("weight"), F.explode(F.slice("vs", F.lit(1), F.greatest(F.lit(0), room))).alias("e")).select(F.col("e.v").alias("v"), "c", "n", "weight")
 
 
-def alike_sizes(a: str, b: str) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * 80
+def possible(n: str, shareable: str, n2: str, shareable2: str) -> Column:
+    """Can two classes share 80 in 100 of their united shingles, which is 4 in 9 of the sum?"""
+    return F.least(shareable, shareable2) * 9 >= (F.col(n) + F.col(n2)) * 4
+
+
+def spread(sets: DataFrame) -> DataFrame:
+    """c, s: one row for each shingle of each class."""
+    def run(batches):
+        for b in batches:
+            for c, members in zip(b.column(0), b.column(1)):
+                v = np.frombuffer(members.as_buffer(), "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c.as_py())), pa.array(v)], ["c", "s"])
+
+    return map_arrow(sets.select("c", "members"), run, "c bigint, s bigint")
+
+
+def linkable(sets: DataFrame, rounds: int = 2) -> DataFrame:
+    """c, shareable: classes of which 80 in 100 of the shingles are met in other classes of
+    ``sets``, and how many are; looked at again among those that are left."""
+    left, sizes = sets, sets.select("c", (F.octet_length("members") / 8).cast("long").alias("n"))
+    for _ in range(rounds):
+        rows = spread(left)
+        again = rows.groupBy("s").agg(F.count("*").alias("m")).filter("m > 1").select("s")
+        met = rows.join(again, "s").groupBy("c").agg(F.count("*").alias("shareable"))
+        kept = written(met.join(sizes, "c").filter("shareable * 100 >= n * 80").select("c", "shareable"), "dup-linkable")
+        left = left.join(kept.select("c"), "c", "left_semi")
+    return kept
+
+
+def rare_pairs(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``classes`` (c, n, root) with different roots that may be linked, by the
+    rarest shingles of their full sets. A shingle's place is its rank by rarity in its set; the
+    first one that two sets share has no shared one before it, so min(n - place) bounds what
+    they share."""
+    rows = spread(sets.join(classes.select("c"), "c", "left_semi"))
+    often = rows.groupBy("s").agg(F.count("*").alias("m")).filter("m > 1")
+    by = rows.join(often, "s").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("m", "s"))).alias("shared")).join(classes, "c")
+    # shingles that nobody shares come first
+    listed = (by.select("c", "n", "root", "shared", F.greatest(F.lit(0), F.floor(F.col("n") * 0.2).cast("int") + 1 - (F.col("n").cast("int") - F.size("shared"))).alias("room"))
+              .select("c", "n", "root", F.size("shared").alias("size"), F.posexplode(F.slice("shared", F.lit(1), F.col("room"))).alias("at", "e"))
+              .select("c", "n", "root", F.col("e.s").alias("s"), (F.col("n") - F.col("size") + F.col("at")).alias("place")))
+    listed = written(listed, "dup-rare")
+    x = listed.filter(F.col("place") * 9 <= F.col("n"))
+    y = listed.select("s", *[F.col(k).alias(f"{k}2") for k in ("c", "n", "root", "place")])
+    smaller = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("c") < F.col("c2")))
+    room = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) * 9 >= (F.col("n") + F.col("n2")) * 4
+    return x.join(y, "s").filter(smaller & (F.col("root") != F.col("root2")) & room).select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -177,27 +227,32 @@ def links_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     listed = lists.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1").select("v")
     members = lists.join(listed, "v", "left_semi").select("c").distinct()
     sets = written(full_sets(docs, reps.join(members, "c", "left_semi"), width), "dup-sets")
-    links, done, round_ = None, None, 0
+    alive = linkable(sets)
+    lists = written(lists.join(alive, "c"), "dup-lists")
+    classes = written(classes.select("c", "sketch").join(alive.select("c"), "c", "left_semi"), "dup-alive")
+    sets = written(sets.join(alive.select("c"), "c", "left_semi"), "dup-sets")
+    links, done, round_, before = None, None, 0, None
     while True:
         if links is None:
             placed = lists.withColumn("root", F.col("c"))
         else:
             placed = lists.join(components(links).select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        open_ = placed.groupBy("v").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"),
-                                        F.min(F.struct(-F.col("weight") if round_ == 0 else F.xxhash64("c", F.lit(round_)), "c", "n", "root")).alias("p")).filter("r0 != r1")
         placed = written(placed, "dup-placed") if links is not None else placed
+        order = F.struct(-F.col("weight") if round_ == 0 else F.xxhash64("c", F.lit(round_)), "c", "n", "shareable", "root")
+        open_ = (placed.groupBy("v", "root").agg(F.count("*").alias("m"), F.min(order).alias("p"))
+                 .groupBy("v").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("inside"), F.min("p").alias("p"))
+                 .withColumn("pairs", F.col("m") * F.col("m") - F.col("inside")).filter("pairs > 0").select("v", "p", "m", "pairs"))
         open_ = written(open_, "dup-open")
-        size, rows = open_.agg(F.sum(F.col("m") * F.col("m")), F.sum("m")).first()
-        if not size:
+        left, rows = open_.agg(F.sum("pairs"), F.sum("m")).first()
+        if not left:
             break
-        last = round_ > 0 and (size <= 20 * rows or round_ >= PAIR_ROUNDS)
-        if last:  # every pair of members from different components
-            x = placed.join(open_.select("v"), "v")
-            y = x.select("v", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-            pairs = x.join(y, "v").filter((F.col("root") < F.col("root2")) & alike_sizes("n", "n2"))
-            pairs = pairs.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
+        last = round_ > 0 and (left <= 8 * rows or left > (1 - PIVOT_GAIN) * before)
+        before = left
+        if last:
+            x = placed.join(open_.select("v"), "v", "left_semi").select("c", "n", "root").distinct()
+            pairs = rare_pairs(x, sets)
         else:
-            pairs = placed.join(open_.select("v", "p"), "v").filter((F.col("root") != F.col("p.root")) & alike_sizes("n", "p.n"))
+            pairs = placed.join(open_.select("v", "p"), "v").filter((F.col("root") != F.col("p.root")) & possible("n", "shareable", "p.n", "p.shareable"))
             pairs = pairs.select(F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
