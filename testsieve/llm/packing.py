@@ -26,34 +26,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from testsieve.llm.common import map_arrow, table, written
+from testsieve.llm.common import SLICE_BYTES, map_arrow, table, written
 
 
 class WordIds:
     """Ids of whole texts, encoded one run without blanks at a time and remembered.
 
-    Exact for tokenizers whose tokens never cross white space and which drop it."""
+    Exact for tokenizers whose tokens never cross white space and which drop it. Words not
+    met yet are encoded many at a time, with a special token between them; words that hold a
+    special token's string, or are very long, are encoded one by one and not remembered."""
 
-    def __init__(self, path: str, cache_entries: int = 400_000):
+    def __init__(self, path: str, cache_entries: int = 1_000_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.mark, self.mark_id = min(special.items()) if special else (None, None)
+        self.specials = list(special)
         self.cache: dict[str, bytes] = {}
         self.cache_entries = cache_entries
 
-    def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        cache = self.cache
-        missing = list({w for w in words if w not in cache})
-        once = {}
-        if missing:
-            if len(cache) >= self.cache_entries:
-                cache.clear()
-                missing = list(set(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False)):
-                (cache if len(w) <= 64 else once)[w] = np.array(e.ids, "<u4").tobytes()
-        if once:
-            return np.frombuffer(b"".join([once[w] if w in once else cache[w] for w in words]), "<u4")
-        return np.frombuffer(b"".join([cache[w] for w in words]), "<u4")
+    def odd(self, word: str) -> bool:
+        return len(word) > 64 or self.mark is None or any(s in word for s in self.specials)
+
+    def one(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, missing: list[str]) -> None:
+        for at in range(0, len(missing), 4096):
+            part = missing[at:at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark_id)
+            if len(ends) != len(part) - 1:
+                raise ValueError("the tokenizer does not keep its special token apart")
+            raw, ends = ids.tobytes(), (ends * 4).tolist()
+            self.cache.update(zip(part, [raw[x:y] for x, y in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)])]))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        if len(self.cache) >= self.cache_entries:
+            self.cache.clear()
+        missing = set().union(*split).difference(self.cache)
+        odd = {w for w in missing if self.odd(w)}
+        self.learn(sorted(missing - odd))
+        if not odd:
+            return [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4") for words in split]
+        own = {w: self.one(w) for w in odd}
+        return [np.frombuffer(b"".join([own[w] if w in own else self.cache[w] for w in words]), "<u4") for words in split]
 
 
 _encoders: dict[str, WordIds] = {}
@@ -67,6 +85,18 @@ def encoder(path: str) -> WordIds:
     return _encoders[path]
 
 
+def encoded(enc: WordIds, column: pa.Array):
+    """Ids of each text, some hundred texts at a time."""
+    group, size = [], 0
+    for text in column:
+        group.append(text.as_py() or "")
+        size += len(group[-1])
+        if size >= SLICE_BYTES:
+            yield from enc.encode(group)
+            group, size = [], 0
+    yield from enc.encode(group)
+
+
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> DataFrame:
     """One row per piece; part and nth number the pieces of one length inside a partition."""
     docs = docs.select("doc_id", "text")
@@ -78,8 +108,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> Data
         end = np.array([end_id], "<u4")
         for batch in batches:
             row, piece, start, length, crc, nth = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                ids = np.concatenate([enc.encode(text.as_py() or ""), end])
+            for i, ids in enumerate(encoded(enc, batch.column(1))):
+                ids = np.concatenate([ids, end])
                 for p, at in enumerate(range(0, len(ids), capacity)):
                     own = ids[at:at + capacity]
                     row.append(i)
