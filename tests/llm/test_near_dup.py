@@ -69,7 +69,7 @@ def test_equals_all_pairs(spark, seed, width):
 
 
 def test_last_round_and_shuffled_joins(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "PAIR_ROUNDS", 1)
+    monkeypatch.setattr(near_dup, "PIVOT_GAIN", 1.0)
     monkeypatch.setattr(near_dup, "small", lambda df, rows=0: df)
     rows = rows_of(4)
     got = near_dup.near_duplicates(docs(spark, rows), 4).drop("t").collect()

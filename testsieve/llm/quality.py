@@ -52,13 +52,18 @@ def words(data: np.ndarray, offsets: np.ndarray):
     return out, docs
 
 
-def index_vectors() -> np.ndarray:
-    """The random index vector of each bucket: +1 or -1 in a few places."""
+def index_places() -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Where the random index vector of each bucket has +1 or -1, and which."""
     n = 1 << BUCKET_BITS
-    out = np.zeros((n, WIDTH), np.float32)
-    for s in range(NONZERO):
-        h = mix(np.arange(n, dtype=np.uint64) * np.uint64(NONZERO) + np.uint64(s + 1))
-        np.add.at(out, (np.arange(n), (h % np.uint64(WIDTH)).astype(np.int64)), np.where(h >> np.uint64(63), 1.0, -1.0))
+    h = [mix(np.arange(n, dtype=np.uint64) * np.uint64(NONZERO) + np.uint64(s + 1)) for s in range(NONZERO)]
+    return [(x % np.uint64(WIDTH)).astype(np.int64) for x in h], [np.where(x >> np.uint64(63), 1.0, -1.0) for x in h]
+
+
+def index_vectors() -> np.ndarray:
+    """The random index vectors as a table."""
+    out = np.zeros((1 << BUCKET_BITS, WIDTH), np.float32)
+    for place, sign in zip(*index_places()):
+        np.add.at(out, (np.arange(len(out)), place), sign)
     return out
 
 
@@ -66,22 +71,21 @@ def context_sums(docs: DataFrame) -> DataFrame:
     """bucket, vector: summed index vectors of the neighbours, a row per task and bucket met."""
 
     def run(batches):
-        n, index = 1 << BUCKET_BITS, index_vectors()
-        total, any_rows = np.zeros((n, WIDTH)), False
+        n = 1 << BUCKET_BITS
+        # each bucket's places and signs; a place that is hit twice counts twice
+        place, sign = index_places()
+        total, any_rows = np.zeros(n * WIDTH), False
         for batch in batches:
-            for _, data, offsets in text_slices(batch.column(0)):
+            for _, data, offsets in text_slices(batch.column(0), 1 << 20):
                 w, doc = words(data, offsets)
                 any_rows = any_rows or len(w) > 0
                 for d in range(1, NEIGHBOURS + 1):
                     own = doc[d:] == doc[:-d]
                     a, b = w[:-d][own], w[d:][own]
-                    pairs, count = np.unique(np.concatenate([a << BUCKET_BITS | b, b << BUCKET_BITS | a]), return_counts=True)
-                    word, near = pairs >> BUCKET_BITS, pairs & (n - 1)
-                    edges = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
-                    for at in range(0, len(edges), 1024):  # a bounded block of vectors at a time
-                        stop = edges[at + 1024] if at + 1024 < len(edges) else len(word)
-                        own = slice(edges[at], stop)
-                        total[word[edges[at:at + 1024]]] += np.add.reduceat(index[near[own]] * count[own, None], edges[at:at + 1024] - edges[at], axis=0)
+                    word, near = np.concatenate([a, b]) * WIDTH, np.concatenate([b, a])
+                    for s in range(NONZERO):
+                        total += np.bincount(word + place[s][near], sign[s][near], n * WIDTH)
+        total = total.reshape(n, WIDTH)
         if any_rows:
             met = np.flatnonzero(np.abs(total).sum(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(list(total[met].astype("<f4").tobytes()[i * 4 * WIDTH:(i + 1) * 4 * WIDTH] for i in range(len(met))), pa.binary())], ["bucket", "vector"])
