@@ -88,7 +88,9 @@ def context_sums(docs: DataFrame) -> DataFrame:
         total = total.reshape(n, WIDTH)
         if any_rows:
             met = np.flatnonzero(np.abs(total).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(list(total[met].astype("<f4").tobytes()[i * 4 * WIDTH:(i + 1) * 4 * WIDTH] for i in range(len(met))), pa.binary())], ["bucket", "vector"])
+            raw, size = total[met].astype("<f4").tobytes(), 4 * WIDTH
+            vectors = pa.array([raw[i:i + size] for i in range(0, len(raw), size)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), vectors], ["bucket", "vector"])
 
     return map_arrow(docs.select("text"), run, "bucket int, vector binary")
 
