@@ -82,8 +82,7 @@ def body_span(masked):
         return F.struct(m["at"].alias("at"), m["open"].alias("open"),
                         F.when((p == "{") & (acc["open"] == 0), acc["at"]).otherwise(acc["first"]).alias("first"),
                         F.when((p == "}") & (m["open"] == 0), acc["at"]).otherwise(acc["last"]).alias("last"))
-    r = F.aggregate(pieces, init, step)
-    return F.struct(r["first"].alias("first"), r["last"].alias("last"))
+    return F.aggregate(pieces, init, step, lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last")))
 
 
 def continue_to_return(text, masked):
@@ -117,37 +116,42 @@ def continue_to_return(text, masked):
         return F.struct(m["at"].alias("at"), m["open"].alias("open"), loop.cast("int").alias("loop"), pending.cast("int").alias("pending"),
                         cont.cast("int").alias("cont"), hits.alias("hits"))
 
-    done = F.aggregate(pieces, init, step)
-    hits = F.when(done["cont"] >= 0, F.concat(done["hits"], F.array(done["cont"]))).otherwise(done["hits"])
     size = len("continue")
-    from_ = F.concat(F.array(F.lit(1)), F.transform(hits, lambda h: h + size))
-    kept = F.transform(from_, lambda f, i: F.substring(text, f, F.coalesce(F.get(hits, i), F.length(text) + 1) - f))
-    return F.array_join(kept, "return")
-
-
-def rewrite_runner(stmt_text, stmt_masked, new_key, name_expr, t_var):
-    """Wrap the loop body in ``<t>.Run(<name>, func(<t> *testing.T) {...})``. The body is
-    what stands between the braces of :func:`body_span`, on one line or on many."""
-    span = body_span(stmt_masked)
-    first, last = span["first"], span["last"]
-    head = F.substring(stmt_text, F.lit(1), first)
-    indent = F.regexp_extract(head, r"^([ \t]*)", 1)
-    head = F.when(new_key.isNotNull(),
-                  F.concat(F.regexp_extract(head, r"^(\s*for\s+)", 1), new_key,
-                           F.regexp_replace(head, r"^\s*for\s+\w+", ""))).otherwise(head)
-    inner = continue_to_return(F.substring(stmt_text, first + 1, last - first - 1), F.substring(stmt_masked, first + 1, last - first - 1))
-    lines = F.split(inner, "\n", -1)
+
+    def finish(done):
+        hits = F.when(done["cont"] >= 0, F.concat(done["hits"], F.array(done["cont"]))).otherwise(done["hits"])
+        cuts = F.concat(F.array(F.lit(1 - size)), hits, F.array(F.length(text) + 1))
+        return F.array_join(F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda c, i: F.substring(
+            text, c + size, F.get(cuts, i + 1) - c - size)), "return")
+
+    return F.aggregate(pieces, init, step, finish)
+
+
+def rewrite_runner(df: DataFrame) -> DataFrame:
+    """Add ``new_runner``, the loop ``text`` with its body wrapped in
+    ``<t>.Run(<name>, func(<t> *testing.T) {...})``. The body is what stands between the
+    braces of :func:`body_span`, on one line or on many. Each step is a column of its own, so
+    the folds over the code run once for each statement."""
+    df = df.withColumn("span", body_span(F.col("masked")))
+    first, last = F.col("span.first"), F.col("span.last")
+    inside = last - first - 1
+    df = df.withColumn("inner", continue_to_return(F.substring(F.col("text"), first + 1, inside), F.substring(F.col("masked"), first + 1, inside)))
+    df = df.withColumn("head", F.substring(F.col("text"), F.lit(1), first)).withColumn("indent", F.regexp_extract("head", r"^([ \t]*)", 1))
+    df = df.withColumn("body", F.split("inner", "\n", -1))
     # the rest of the brace's line is the first line of the body, if it holds anything
-    lines = F.when(F.get(lines, F.lit(0)).rlike(r"\S"), F.concat(
-        F.array(F.concat(indent, F.lit("\t"), F.trim(F.get(lines, F.lit(0))))), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))))).otherwise(
-        F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))))
-    lines = F.when(~F.element_at(F.concat(F.array(F.lit("")), lines), -1).rlike(r"\S"), F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
-    body = F.transform(lines, lambda x: F.concat(F.lit("\t"), x))
-    run_open = F.concat(indent, F.lit("\t"), t_var, F.lit(".Run("), name_expr, F.lit(", func("), t_var,
-                        F.lit(" *testing.T) {"))
-    run_close = F.concat(indent, F.lit("\t})"))
-    tail = F.concat(indent, F.substring(stmt_text, last, F.length(stmt_text)))
-    return F.array_join(F.concat(F.array(head, run_open), body, F.array(run_close, tail)), "\n")
+    begin = F.get("body", F.lit(0))
+    more = F.slice("body", F.lit(2), F.greatest(F.size("body") - 1, F.lit(0)))
+    df = df.withColumn("body", F.when(begin.rlike(r"\S"), F.concat(
+        F.array(F.concat("indent", F.lit("\t"), F.trim(begin))), more)).otherwise(more))
+    df = df.withColumn("body", F.when((F.size("body") > 0) & ~F.element_at("body", -1).rlike(r"\S"),
+                                      F.slice("body", F.lit(1), F.size("body") - 1)).otherwise(F.col("body")))
+    head = F.when(F.col("new_key").isNotNull(), F.concat(
+        F.regexp_extract("head", r"^(\s*for\s+)", 1), "new_key", F.regexp_replace("head", r"^\s*for\s+\w+", ""))).otherwise(F.col("head"))
+    run_open = F.concat("indent", F.lit("\t"), "t_var", F.lit(".Run("), "name_expr", F.lit(", func("), "t_var", F.lit(" *testing.T) {"))
+    tail = F.concat("indent", F.substring(F.col("text"), last, F.length("text")))
+    body = F.transform("body", lambda x: F.concat(F.lit("\t"), x))
+    whole = F.array_join(F.concat(F.array(head, run_open), body, F.array(F.concat("indent", F.lit("\t})")), tail)), "\n")
+    return df.withColumn("new_runner", whole).drop("span", "inner", "head", "indent", "body")
 
 
 def rewrite_tests(plan: DataFrame, stmts: DataFrame, lines: DataFrame) -> DataFrame:
@@ -157,8 +161,7 @@ def rewrite_tests(plan: DataFrame, stmts: DataFrame, lines: DataFrame) -> DataFr
     runner = stmts.select(*TEST_KEY, F.col("stmt_ord").alias("runner_ord"), "stmt_line",
                           F.col("end_line").alias("stmt_end"), "text", "masked")
     r = ok.join(runner, TEST_KEY + ["runner_ord"])
-    r = r.withColumn("new_runner", rewrite_runner(F.col("text"), F.col("masked"), F.col("new_key"),
-                                                  F.col("name_expr"), F.col("t_var")))
+    r = rewrite_runner(r)
     fl = (lines.select("project", "path", F.col("decl_line").alias("func_line"), "line_no", "text")
           .join(ok.select(*TEST_KEY), TEST_KEY, "left_semi")
           .groupBy(*TEST_KEY)
