@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testsieve.llm.common import id_remainder, map_arrow, mix, ship, table, text_slices
+from testsieve.llm.common import id_remainder, map_arrow, mix, table, text_slices
 
 SIZES = (3, 4, 5)
 FEATURE_BITS = 20
