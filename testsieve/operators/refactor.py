@@ -172,6 +172,9 @@ def rewrite_tests(plan: DataFrame, stmts: DataFrame, lines: DataFrame) -> DataFr
     after = F.transform(F.filter("fl", lambda x: (x["line_no"] > F.col("stmt_end"))
                                  & (x["line_no"] <= F.col("end_line"))), lambda x: x["text"])
     body = F.array_join(F.concat(before, F.array(F.col("new_runner")), after), "\n")
+    # a function on one line: its runner is a piece of that line
+    body = F.when(F.col("stmt_line") == F.col("func_line"), F.replace(
+        F.element_at("fl", 1)["text"], F.col("text"), F.col("new_runner"))).otherwise(body)
     return j.select(*TEST_KEY, "name", body.alias("refactored"), "end_line", "runner_ord",
                     F.col("masked").alias("runner_masked"))
 

@@ -72,7 +72,7 @@ PARAMS_PATTERN = r"^\s*func\s*(?:\([^)]*\)\s*)?\w+\s*(?:\[[^\]]*\])?\s*\(([^)]*)
 
 def statement_lines(lines: DataFrame) -> DataFrame:
     """Lines of function bodies with ``stmt_start`` and the enclosing top-level
-    statement line ``stmt_line`` (depth 1)."""
+    statement line ``stmt_line`` (depth 1; the `func` line of a function on one line)."""
     w = Window.partitionBy(*FILE_KEY).orderBy("line_no")
     prev = w.rowsBetween(Window.unboundedPreceding, -1)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -84,15 +84,38 @@ def statement_lines(lines: DataFrame) -> DataFrame:
                & (F.col("depth_before") >= 1))
     closing = ((F.col("depth_before") == 1) & (F.col("depth_after") == 0)
                & masked.rlike(r"^\s*\}"))
-    body = in_func & ~closing
+    one_line = ((F.col("cur_kind") == "func") & (F.col("line_no") == F.col("decl_line"))
+                & (F.col("depth_before") == 0) & (F.col("depth_after") == 0) & masked.rlike(r"\}\s*$"))
+    body = (in_func & ~closing) | one_line
     start = body & nonblank & (F.col("paren_before") == 0) & ~F.coalesce(cont, F.lit(False))
     out = (lines.withColumn("in_body", body)
            .withColumn("stmt_start", start))
-    top = F.when(F.col("stmt_start") & (F.col("depth_before") == 1), F.col("line_no"))
+    top = F.when(one_line | (F.col("stmt_start") & (F.col("depth_before") == 1)), F.col("line_no"))
     out = out.withColumn("stmt_line", F.last(top, ignorenulls=True).over(run))
     return out.filter("in_body").withColumn("func_line", F.col("decl_line"))
 
 
+def one_line_body(text, masked):
+    """``ARRAY<STRUCT<text, masked>>``: the statements between the braces of a function on one
+    line, cut at each `;` outside brackets. ``masked`` has the offsets of ``text``."""
+    from testsieve.operators.refactor import body_span
+    span = body_span(masked)
+    first, size = span["first"] + 1, span["last"] - span["first"] - 1
+    pieces = F.regexp_extract_all(F.substring(masked, first, size), F.lit(r"(?s)([{}()\[\];]|[^{}()\[\];]+)"), 1)
+    start = F.struct(first.alias("at"), F.lit(0).alias("open"), F.array(span["first"]).alias("cuts"))
+
+    def step(acc, p):
+        turn = F.when(p.rlike(r"^[{(\[]$"), 1).when(p.rlike(r"^[})\]]$"), -1).otherwise(0)
+        return F.struct((acc["at"] + F.length(p)).alias("at"), (acc["open"] + turn).alias("open"),
+                        F.when((p == ";") & (acc["open"] == 0), F.concat(acc["cuts"], F.array(acc["at"])))
+                        .otherwise(acc["cuts"]).alias("cuts"))
+    cuts = F.aggregate(pieces, start, step, lambda r: F.concat(r["cuts"], F.array(r["at"])))
+    cut = lambda s, a, b: F.substring(s, a + 1, b - a - 1)
+    found = F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda i: F.struct(
+        cut(text, F.get(cuts, i - 1), F.get(cuts, i)).alias("text"), cut(masked, F.get(cuts, i - 1), F.get(cuts, i)).alias("masked")))
+    return F.filter(found, lambda x: x["masked"].rlike(r"\S"))
+
+
 def statements(lines: DataFrame) -> DataFrame:
     """``stmt(project, path, func_line, stmt_line, stmt_ord, end_line, text,
     masked, flat, children)``: one row per top-level body statement.
@@ -115,8 +138,12 @@ def statements(lines: DataFrame) -> DataFrame:
         lambda c: c.isNotNull())
     s = g.select(*FUNC_KEY, "stmt_line", F.element_at(F.col("ls"), -1)["line_no"].alias("end_line"),
                  text.alias("text"), masked.alias("masked"), children.alias("children"))
-    w = Window.partitionBy(*FUNC_KEY).orderBy("stmt_line")
-    return s.withColumn("stmt_ord", F.row_number().over(w)).withColumn("flat", flatten(F.col("masked")))
+    own = F.struct("text", "masked")
+    parts = F.when(F.col("stmt_line") == F.col("func_line"), one_line_body(F.col("text"), F.col("masked"))).otherwise(F.array(own))
+    s = s.select(*FUNC_KEY, "stmt_line", "end_line", "children", F.posexplode(parts).alias("part", "own"))
+    w = Window.partitionBy(*FUNC_KEY).orderBy("stmt_line", "part")
+    return (s.select(*FUNC_KEY, "stmt_line", "end_line", "own.text", "own.masked", "children", F.row_number().over(w).alias("stmt_ord"))
+            .withColumn("flat", flatten(F.col("masked"))))
 
 
 def flatten(masked):

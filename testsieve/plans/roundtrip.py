@@ -206,12 +206,12 @@ def runner_loop(spark, sf_dir):
 
 
 def stmt_counts(spark, sf_dir):
-    """top-level statements per function (functions with a body)."""
+    """top-level statements per function; an empty body has 0."""
     from testsieve.operators import statements as sm
     fx_ = facts(spark, sf_dir)
     n = sm.count_statements(fx_.stmts)
-    return (fx_.funcs.join(n, ["project", "path", "func_line"])
-            .select("path", "name", F.col("n_statements").cast("long")))
+    return (fx_.funcs.join(n, ["project", "path", "func_line"], "left")
+            .select("path", "name", F.coalesce("n_statements", F.lit(0)).cast("long").alias("n_statements")))
 
 
 def tester_param(spark, sf_dir):
@@ -243,12 +243,12 @@ def _expansion(spark, sf_dir):
 
 
 def expand_calls(spark, sf_dir):
-    """Expanded nodes and deepest level per test."""
+    """Expanded nodes and deepest level per test (0 and 0 without statements)."""
     from testsieve.operators import expand as ex
     tests, nodes = _expansion(spark, sf_dir)
     s = ex.expansion_summary(nodes)
-    return (tests.select("project", "path", "func_line", "name").join(s, ["project", "path", "func_line"])
-            .select("path", "name", F.col("n_nodes").cast("long"), F.col("max_level").cast("long")))
+    return (tests.select("project", "path", "func_line", "name").join(s, ["project", "path", "func_line"], "left")
+            .select("path", "name", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_nodes", "max_level"))))
 
 
 def expansion_preorder(spark, sf_dir):
@@ -257,8 +257,8 @@ def expansion_preorder(spark, sf_dir):
     seq = nodes.groupBy("project", "path", "func_line").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_path", F.regexp_replace("text", r"^\s+|\s+$", "").alias("t")))),
                                  lambda x: x["t"]), " > ").alias("preorder"))
-    return (tests.select("project", "path", "func_line", "name").join(seq, ["project", "path", "func_line"])
-            .select("path", "name", "preorder"))
+    return (tests.select("project", "path", "func_line", "name").join(seq, ["project", "path", "func_line"], "left")
+            .select("path", "name", F.coalesce("preorder", F.lit("")).alias("preorder")))
 
 
 # ---------------------------------------------------------------- refactoring
@@ -427,7 +427,7 @@ def selector_calls(spark, sf_dir):
     from testsieve.operators import statements as sm
     f = facts(spark, sf_dir)
     fn = f.funcs.select("project", "path", "func_line", "name", sm.tester_param(F.col("header")).alias("tv"))
-    s = f.stmts.join(fn, ["project", "path", "func_line"])
+    s = fn.join(f.stmts, ["project", "path", "func_line"], "left")
     pat = F.concat(F.lit(r"^\s*"), F.col("tv"), F.lit(r"\s*\.\s*\w+\s*\("))
     hit = F.coalesce(F.rlike(F.col("flat"), pat) & ex.is_expr_stmt(F.col("flat"), sm.deepest(f.stmts)), F.lit(False))
     return s.groupBy("path", "name").agg(F.count_if(hit).alias("n_selector_calls"))
@@ -494,8 +494,8 @@ def expansion_json(spark, sf_dir):
     from testsieve.operators import expand as ex
     tests, nodes = _expansion(spark, sf_dir)
     j = ex.expansion_json(nodes)
-    return (tests.select("project", "path", "func_line", "name").join(j, ["project", "path", "func_line"])
-            .select("path", "name", "json"))
+    return (tests.select("project", "path", "func_line", "name").join(j, ["project", "path", "func_line"], "left")
+            .select("path", "name", F.coalesce("json", F.lit("[]")).alias("json")))
 
 
 def rewrite_reanalysis(spark, sf_dir):
