@@ -109,6 +109,22 @@ def refactoring(facts: Facts, analysed: DataFrame, strategy: str = "subtest"):
     return plan, rewritten
 
 
+def document_texts(facts: Facts, analysed: DataFrame, rewritten: DataFrame | None = None) -> DataFrame:
+    """the analysis with the source texts of its documents: ``func_text``, ``runner`` and,
+    with the rewritten functions, ``refactored``."""
+    runner = facts.stmts.select(*TEST_KEY, F.col("stmt_ord").alias("runner_ord"),
+                                F.regexp_replace("text", r"^\s+|\s+$", "").alias("runner"))
+    spans = analysed.select(*TEST_KEY, "end_line")
+    text = (facts.lines.select("project", "path", F.col("decl_line").alias("func_line"), "line_no", "text")
+            .join(spans, TEST_KEY).filter(F.col("line_no") <= F.col("end_line")).groupBy(*TEST_KEY)
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))),
+                                          lambda x: x["text"]), "\n").alias("func_text")))
+    a = analysed.join(runner, TEST_KEY + ["runner_ord"], "left").join(text, TEST_KEY, "left")
+    if rewritten is not None:
+        a = a.join(rewritten.select(*TEST_KEY, "refactored"), TEST_KEY, "left")
+    return a
+
+
 def refactor_results(plan: DataFrame, run_log: DataFrame | None) -> DataFrame:
     """Refactor columns of the report: outcomes only for generated rewrites
     (the reference runs a test only after a successful generation)."""

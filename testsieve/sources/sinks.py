@@ -111,7 +111,8 @@ def json_documents(analysed: DataFrame, nodes: DataFrame | None = None,
                    refactor: DataFrame | None = None) -> DataFrame:
     """one nested document per test with the reference's field names, and
     ``doc_key`` = ``<project>/<project>_<package>_<test>.json`` (S11). The file
-    path is part of the row, so same-named packages do not collide."""
+    path is part of the row, so same-named packages do not collide. The source texts are those
+    of :func:`testsieve.plans.analyze.document_texts`; a document without them has the header."""
     a = analysed
     if refactor is not None:
         a = a.join(refactor, ["project", "path", "func_line"], "left")
@@ -121,12 +122,16 @@ def json_documents(analysed: DataFrame, nodes: DataFrame | None = None,
         return F.coalesce(F.col(name), default) if name in a.columns else default
     test_case = F.struct(F.col("name").alias("name"), c("package", F.lit("")).alias("package"),
                          F.col("path").alias("filePath"), F.col("project").alias("project"),
-                         c("header_text", F.lit("")).alias("funcDecl"))
+                         c("func_text", c("header_text", F.lit(""))).alias("funcDecl"))
+    refactorings = F.array().cast("array<struct<refactored:string,filePath:string>>")
+    if "refactored" in a.columns:
+        refactorings = F.when(F.col("refactored").isNotNull(), F.array(F.struct(
+            F.col("refactored").alias("refactored"), F.col("path").alias("filePath")))).otherwise(refactorings)
     scenario_set = F.struct(
         c("scenario_type", F.lit("")).alias("scenarioType"),
         c("data_structure", F.lit("none")).alias("dataStructure"),
         c("scenarios", empty).alias("scenarios"),
-        F.lit("").alias("runner"),
+        c("runner", F.lit("")).alias("runner"),
         c("name_field", F.lit("")).alias("nameField"),
         c("expected_fields", empty).alias("expectedFields"),
         c("has_function_fields", F.lit(False)).alias("hasFunctionFields"),
@@ -135,7 +140,7 @@ def json_documents(analysed: DataFrame, nodes: DataFrame | None = None,
     refactor_result = F.struct(
         c("strategy", F.lit("none")).alias("strategy"),
         c("generation_status", F.lit("none")).alias("status"),
-        F.array().cast("array<struct<refactored:string,filePath:string>>").alias("refactorings"),
+        refactorings.alias("refactorings"),
         c("original_result", F.lit("notRun")).alias("originalTestResult"),
         c("refactored_result", F.lit("notRun")).alias("refactoredTestResult"))
     key = F.concat(F.col("project"), F.lit("/"), F.col("project"), F.lit("_"),
