@@ -1,19 +1,21 @@
 """Language-model scores with a weighted backoff automaton.
 
-States are the contexts seen in training (the previous word, and the empty context); an arc
-of a state is a word seen behind it, weighted with its smoothed log10 probability; a word
-without an arc follows the state's failure arc, weighted with the log10 of the share of
-probability that the state leaves to shorter contexts. One traversal of a text from left
-to right carries the state and adds up the weights on its way.
+States are the contexts seen in training (the previous ``order - 1`` words and fewer, down to
+the empty context; the beginning of a text is a word of its own, and contexts do not reach
+beyond it); an arc of a state is a word seen behind it, weighted with its smoothed log10
+probability; a word without an arc follows the state's failure arc to the context without its
+first word, weighted with the log10 of the share of probability that the state leaves to shorter
+contexts, and from there on, until a state has an arc. One traversal of a text from left to right
+carries the states and adds up the weights on its way.
 
-Smoothing: with counts c, N training tokens and V distinct ones,
+Smoothing: with counts c, N training tokens and V distinct ones, and h' = h without its first word,
 
     p(w)     = (c(w) - D1) / N, and D1 V / N for the class of unknown words
-    p(w | h) = s(h) c(hw) / c(h) + (1 - s(h)) p(w),   1 - s(h) = D2 c(h) ** (g - 1)
+    p(w | h) = s(h) c(hw) / c(h) + (1 - s(h)) p(w | h'),   1 - s(h) = Dn c(h) ** (gn - 1)
 
 where D = n1 / (n1 + 2 n2) are the discounts that the numbers of n-grams met once and twice
-give, and g is chosen so that the contexts' c(h) ** g add up to the number of distinct
-pairs (the share of events at which a context met something new). All counts come from all
+give, and gn is chosen so that the contexts' c(h) ** gn add up to the number of distinct
+n-grams (the share of events at which a context met something new). All counts come from all
 training rows. p(w) and p(w | h) add up to 1 over the V known tokens and the unknown class.
 
 The automaton grows with the corpus, so it is never held in one place. Texts are cut into
@@ -30,6 +32,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -38,6 +42,7 @@ from pyspark.sql import functions as F
 
 from testsieve.llm.common import chain, id_remainder, map_arrow, mix, ship, table, text_slices, word_hashes, written
 
+ORDER = 3
 CHUNK_BYTES = 8 << 20
 KEYS_PER_BUCKET = 1_000_000
 END, BEGIN = (mix(np.array([i], np.uint64))[0] for i in (0xE0D, 0xBE61))
@@ -103,15 +108,23 @@ def chunks(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, f"chunk bigint, ids array<{id_type}>, train binary, sizes binary, vocabulary binary, codes binary")
 
 
-def grams(vocabulary: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Hash of (previous token, token) at every token."""
+def grams(vocabulary: np.ndarray, codes: np.ndarray, sizes: np.ndarray, order: int):
+    """For each n from 2: n, the tokens that end an n-gram (those with n - 1 tokens before them,
+    the beginning included) and the n-grams' hashes, odd if they end a text (no contexts)."""
     tokens = vocabulary[codes]
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    place = np.arange(len(tokens)) - np.repeat(first, sizes)
+    ends = (tokens == END).astype(np.uint64)
     before = np.concatenate([[BEGIN], tokens[:-1]])
-    before[np.cumsum(sizes)[:-1]] = BEGIN
-    return chain(before, tokens)
+    before[first] = BEGIN
+    for n in range(2, order + 1):
+        whole = (chain(before, tokens) & ~np.uint64(1)) | ends
+        at = np.flatnonzero(place >= n - 2)
+        yield n, at, whole[at]
+        before = np.concatenate([whole[:1], whole[:-1]])
 
 
-def requests(rows: DataFrame, bits: int) -> DataFrame:
+def requests(rows: DataFrame, bits: int, order: int) -> DataFrame:
     """n, bucket, chunk, keys, counts: the n-grams that a chunk needs, with its training counts."""
 
     def run(batches):
@@ -119,12 +132,9 @@ def requests(rows: DataFrame, bits: int) -> DataFrame:
             for r in b.to_pylist():
                 codes, sizes, vocabulary = unpack(r["codes"], "<u4"), unpack(r["sizes"], "<u4").astype(np.int64), unpack_sorted(r["vocabulary"])
                 train = np.repeat(np.frombuffer(r["train"], np.uint8).astype(bool), sizes)
-                for n in (1, 2):
-                    if n == 1:
-                        keys, at = vocabulary, codes
-                    else:
-                        keys, at = np.unique(grams(vocabulary, codes, sizes), return_inverse=True)
-                    counts = np.bincount(at[train], minlength=len(keys))
+                longer = ((n, train[at], *np.unique(g, return_inverse=True)) for n, at, g in grams(vocabulary, codes, sizes, order))
+                for n, seen, keys, at in itertools.chain([(1, train, vocabulary, codes)], longer):
+                    counts = np.bincount(at[seen], minlength=len(keys))
                     edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
                     edges = np.concatenate([[0], edges, [len(keys)]]).astype(np.int64)
                     full = np.flatnonzero(np.diff(edges))
@@ -139,7 +149,8 @@ def requests(rows: DataFrame, bits: int) -> DataFrame:
 
 def answers(asked: DataFrame) -> DataFrame:
     """n, bucket, chunk, totals (one for each key asked for); and for each bucket a row with
-    chunk null and stats: keys met once, twice, at all, tokens, and a histogram of counts."""
+    chunk null and stats: keys met once, twice, at all, tokens, and a histogram of the counts
+    (beyond single tokens, of those that are contexts)."""
 
     def add(rows: pa.Table) -> pa.Table:
         n, bucket = rows.column("n")[0].as_py(), rows.column("bucket")[0].as_py()
@@ -149,9 +160,10 @@ def answers(asked: DataFrame) -> DataFrame:
         kinds, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, np.concatenate(counts), len(kinds)).astype(np.int64)
         met = total[total > 0]
-        scale = np.floor(np.log2(np.maximum(met, 1))).astype(int)
+        states = met if n == 1 else total[(total > 0) & (kinds & np.uint64(1) == 0)]
+        scale = np.floor(np.log2(np.maximum(states, 1))).astype(int)
         stats = [float((met == 1).sum()), float((met == 2).sum()), float(len(met)), float(met.sum()),
-                 *np.bincount(scale, minlength=64).astype(float), *np.bincount(scale, met, 64).astype(float)]
+                 *np.bincount(scale, minlength=64).astype(float), *np.bincount(scale, states, 64).astype(float)]
         packed = [pack(part, "<u8") for part in np.split(total[at], ends[:-1])]
         m = len(packed) + 1
         return pa.table({"n": pa.array([n] * m, pa.int32()), "bucket": pa.array([bucket] * m, pa.int32()),
@@ -166,21 +178,28 @@ def answers(asked: DataFrame) -> DataFrame:
 class Smoothing:
     """The model's numbers that hold for every state."""
 
-    def __init__(self, stats: dict[int, np.ndarray], texts: int):
-        one, two = (stats.get(n, np.zeros(132)) for n in (1, 2))
+    def __init__(self, stats: dict[int, np.ndarray], texts: int, order: int = 2):
+        every = [stats.get(n, np.zeros(132)) for n in range(1, order + 1)]
+        one = every[0]
         discount = lambda s: s[0] / (s[0] + 2 * s[1]) if s[0] else 0.5
-        self.tokens, self.distinct, self.texts = int(one[3]), int(one[2]), texts
-        self.d1, self.d2 = min(discount(one), 0.999), min(max(discount(two), 0.01), 0.999)
-        # contexts: the distinct words (not the end) and the beginning of a text
-        many, size = one[4:68], one[68:132] / np.maximum(one[4:68], 1)
+        self.tokens, self.distinct, self.texts, self.order = int(one[3]), int(one[2]), texts, order
+        self.d1 = min(discount(one), 0.999)
+        self.discounts = {n: min(max(discount(s), 0.01), 0.999) for n, s in enumerate(every, 1)}
+        # contexts of pairs: the distinct words (not the end, but as often) and the beginning of a text
+        self.growths = {n: self.exponent(every[n - 2], every[n - 1][2]) for n in range(2, order + 1)}
+        self.growth = self.growths.get(2)
+
+    @staticmethod
+    def exponent(contexts: np.ndarray, distinct: float) -> float:
+        many, size = contexts[4:68], contexts[68:132] / np.maximum(contexts[4:68], 1)
         low, high = 0.0, 1.0
         for _ in range(60):
             g = (low + high) / 2
-            if (many * np.where(many > 0, np.maximum(size, 1) ** g, 0)).sum() < two[2]:
+            if (many * np.where(many > 0, np.maximum(size, 1) ** g, 0)).sum() < distinct:
                 low = g
             else:
                 high = g
-        self.growth = (low + high) / 2
+        return (low + high) / 2
 
     def single(self, c: np.ndarray) -> np.ndarray:
         """p(w) from the counts of tokens."""
@@ -188,38 +207,46 @@ class Smoothing:
             return np.ones(len(c))
         return np.where(c > 0, np.maximum(c - self.d1, 1e-9), self.d1 * self.distinct) / self.tokens
 
-    def left(self, c: np.ndarray) -> np.ndarray:
-        """Weight of the failure arc of a state: what it leaves to the empty context."""
-        return np.where(c > 0, np.minimum(self.d2 * np.maximum(c, 1) ** (self.growth - 1), 1.0), 1.0)
+    def left(self, c: np.ndarray, n: int) -> np.ndarray:
+        """Weight of the failure arc of a state of n - 1 words: what it leaves to the shorter context."""
+        return np.where(c > 0, np.minimum(self.discounts[n] * np.maximum(c, 1) ** (self.growths[n] - 1), 1.0), 1.0)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
 
 
-def walk(c1: np.ndarray, c2: np.ndarray, sizes: np.ndarray, model: Smoothing):
-    """(log10 weight, failure arc taken) at every token of the texts of a chunk."""
-    state = np.concatenate([[model.texts], c1[:-1]])  # count of the state each token is met in
-    state[np.cumsum(sizes)[:-1]] = model.texts
-    empty, left = model.single(c1), model.left(state)
-    arc = c2 > 0
-    weight = np.where(arc, np.log10((1 - left) * c2 / np.maximum(state, 1) + left * empty), np.log10(left) + np.log10(empty))
-    return weight, ~arc
-
-
-def scored(docs: DataFrame) -> DataFrame:
+def walk(c1: np.ndarray, longer: list, sizes: np.ndarray, model: Smoothing):
+    """(log10 weight, failure arcs taken) at every token of the texts of a chunk. ``longer`` has for
+    each n from 2 the tokens that end an n-gram and the n-grams' counts."""
+    weight, failures = np.log10(model.single(c1)), np.zeros(len(c1), np.int64)
+    shorter = c1  # counts of the n-grams one word shorter, at their last token
+    for n, at, c in longer:
+        state = np.concatenate([[model.texts], shorter[:-1]])  # count of the state each token is met in
+        if n == 2:
+            state[np.cumsum(sizes)[:-1]] = model.texts
+        state = state[at]
+        left, arc = model.left(state, n), c > 0
+        weight[at] = np.where(arc, np.log10((1 - left) * c / np.maximum(state, 1) + left * 10 ** weight[at]), np.log10(left) + weight[at])
+        failures[at] += ~arc
+        shorter = np.zeros(len(c1), np.int64)
+        shorter[at] = c
+    return weight, failures
+
+
+def scored(docs: DataFrame, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_failures."""
     spark = docs.sparkSession
     rows = written(chunks(docs), "lm-chunks")
     count = rows.count()
     # about KEYS_PER_BUCKET keys meet in a bucket
     bits = max(3, int(np.ceil(np.log2(max(1, count * CHUNK_BYTES / 8 / KEYS_PER_BUCKET)))))
-    got = written(answers(requests(rows, bits)), "lm-answers")
+    got = written(answers(requests(rows, bits, order)), "lm-answers")
     sums = (got.filter("chunk is null").select("n", F.posexplode("stats").alias("i", "v")).groupBy("n", "i").agg(F.sum("v").alias("v")).collect())
     stats: dict[int, np.ndarray] = {}
     for r in sums:  # 132 numbers for each n
         stats.setdefault(r.n, np.zeros(132))[r.i] = r.v
     texts = rows.select(F.sum(F.length(F.replace(F.hex("train"), F.lit("00"), F.lit(""))) / 2)).first()[0]
-    model = Smoothing(stats, int(texts or 0))
+    model = Smoothing(stats, int(texts or 0), order)
     id_type = docs.schema["doc_id"].dataType
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_failures"]
 
@@ -227,17 +254,18 @@ def scored(docs: DataFrame) -> DataFrame:
         r = chunk.to_pylist()[0]
         ids = chunk.column("ids").combine_chunks().flatten()
         codes, sizes, vocabulary = unpack(r["codes"], "<u4"), unpack(r["sizes"], "<u4").astype(np.int64), unpack_sorted(r["vocabulary"])
-        parts: dict[int, list] = {1: [], 2: []}
+        parts: dict[int, list] = {n: [] for n in range(1, order + 1)}
         for t in sorted(zip(*(totals.column(c).to_pylist() for c in ("n", "bucket", "totals"))), key=lambda t: t[:2]):
             parts[t[0]].append(unpack(t[2], "<u8"))
         c1 = np.concatenate(parts[1])[codes].astype(np.int64)
-        c2 = np.concatenate(parts[2])[np.unique(grams(vocabulary, codes, sizes), return_inverse=True)[1]].astype(np.int64)
-        weight, failed = walk(c1, c2, sizes, model)
+        counts = lambda n, g: np.concatenate(parts[n])[np.unique(g, return_inverse=True)[1]].astype(np.int64) if len(g) else np.zeros(0, np.int64)
+        longer = ((n, at, counts(n, g)) for n, at, g in grams(vocabulary, codes, sizes, order))
+        weight, failed = walk(c1, longer, sizes, model)
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         add = lambda x: np.add.reduceat(x, first)
         train = np.frombuffer(r["train"], np.uint8) == 1
         return pa.table([ids, pa.array(~train), pa.array(sizes), pa.array(add((c1 > 0).astype(np.int64))), pa.array(np.full(len(sizes), model.tokens)),
-                         pa.array(add(model.base(c1))), pa.array(add(weight)), pa.array(add(failed.astype(np.int64)))], names=names)
+                         pa.array(add(model.base(c1))), pa.array(add(weight)), pa.array(add(failed))], names=names)
 
     ship(spark)
     schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_failures bigint"
@@ -246,4 +274,4 @@ def scored(docs: DataFrame) -> DataFrame:
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(table(spark, sf_dir, "documents"))
+    return scored(table(spark, sf_dir, "documents"), ORDER)
