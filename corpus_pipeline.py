@@ -34,9 +34,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of each group the document with the smallest id stays; of repeated rows one."""
-    judged = near_dup.near_duplicates(docs, SHINGLE)
-    gone = written(judged.filter(~F.col("kept")).select("t").distinct(), "pipeline-copies")
+    """Operator 7: of each group the document with the smallest id stays (ids that are null come
+    last), of texts that share it one; of repeated rows one."""
+    judged = near_dup.judged(docs, SHINGLE)
+    gone = written(judged.filter(~F.col("chosen")).select("t").distinct(), "pipeline-copies")
     left = without(docs, gone, "t")
     return left.dropDuplicates(["doc_id", "text"]) if repeated(docs) else left
 

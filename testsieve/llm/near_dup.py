@@ -266,19 +266,28 @@ def links_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     return components(links) if links is not None else classes.select(F.col("c").alias("node"), F.col("c").alias("root")).limit(0)
 
 
-def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id, t (hash of id and text), n_shingles, component_id, kept of every row."""
+def judged(docs: DataFrame, width: int = 4) -> DataFrame:
+    """doc_id, t (hash of id and text), n_shingles, component_id, kept, chosen of every row.
+    ``kept`` goes by the id, so rows that share the smallest one are all kept; ``chosen`` are
+    the rows of one id and text of each component."""
     rows = written(sketches(docs, width), "dup-sketches")
     classes = written(rows.filter("c is not null").groupBy("c").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         .select("c", "rep.doc_id", "rep.t", "n", "sketch"), "dup-classes")
     roots = written(links_of(docs, classes, width), "dup-roots")
-    placed = classes.select("c", "doc_id").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    names = placed.join(least, "root").select("c", "component_id")
+    placed = classes.select("c", "doc_id", "t").join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    least = placed.groupBy("root").agg(
+        F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first"))
+    names = placed.join(least, "root").select("c", "component_id", F.col("first.t").alias("first"))
     out = rows.select("doc_id", "t", "c", F.col("n").alias("n_shingles")).join(names, "c", "left")
     component = F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "t", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "t", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
+                      (F.col("c").isNull() | (F.col("t") == F.col("first"))).alias("chosen"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
+    """doc_id, t (hash of id and text), n_shingles, component_id, kept of every row."""
+    return judged(docs, width).drop("chosen")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
