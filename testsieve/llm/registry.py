@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from testsieve.llm import chat, decontam, fingerprints, lm_score, near_dup, packing, quality, sharding, token_counts, toxicity
+from testsieve.llm import centroids, chat, decontam, fingerprints, lm_score, near_dup, packing, prefix_trie, quality, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_sharding": sharding.op10_sharding,
+    "op11_centroids": centroids.op11_centroids,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 
 SQL: dict[str, str] = {
     "op2_decontamination": decontam.OP2_SQL,
     "op6_chat": chat.OP6_SQL,
+    "op11_centroids": centroids.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
 }
