@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from testsieve.llm import centroids, chat, decontam, fingerprints, lm_score, near_dup, packing, prefix_trie, quality, sharding, token_counts, toxicity
+from testsieve.llm import centroids, chat, decontam, fingerprints, lm_score, near_dup, packing, prefix_trie, quality, sharding, suffixes, token_counts, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_sharding": sharding.op10_sharding,
     "op11_centroids": centroids.op11_centroids,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_suffix_dedup": suffixes.op13_suffix_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -24,4 +25,5 @@ SQL: dict[str, str] = {
     "op6_chat": chat.OP6_SQL,
     "op11_centroids": centroids.OP11_SQL,
     "op12_prefix_trie": prefix_trie.OP12_SQL,
+    "op13_suffix_dedup": suffixes.OP13_SQL,
 }
