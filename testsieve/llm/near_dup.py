@@ -12,8 +12,10 @@ document has little else. A shingle that no other listed class has cannot be sha
 link needs 4 in 9 of the shingles of both sets together in common; so classes with too few
 shareable shingles drop out. Inside a list the members are compared with one pivot first,
 the one that shares most with others; members that come out linked are one component and
-need no comparison with each other. Pivot rounds go on while each takes away half of the
-pairs that are left between components. What is left then is listed anew, by full sets:
+need no comparison with each other. In further rounds a list's members are compared with
+``PIVOTS`` members, drawn anew each round, of its largest component and of one drawn
+component; rounds go on while each takes away a tenth of the pairs that are left between
+components. What is left then is listed anew, by full sets:
 with shingles in order of rarity, two linked sets must share one of the rarest ninth of the
 smaller set and fifth of the larger one, at places that leave enough shingles behind them.
 A pair is estimated from the union of the two sketches first and confirmed on the full sets
@@ -42,28 +44,35 @@ from testsieve.llm.common import chain, map_arrow, mix, table, text_slices, word
 K = 64
 LEAST = 32
 SMALL_ROWS = 200_000
-PIVOT_GAIN = 0.5
-
-
-def shingle_sets(column, width: int):
-    """Sorted distinct shingle hashes (63 bits) of each text of an Arrow column."""
-    for _, data, offsets in text_slices(column):
+#: Bytes of text whose shingles a task holds together.
+SLICE = 1 << 18
+#: Pivots that a component sends into a round, and the share of the open pairs that a round has
+#: to take away for another round to follow.
+PIVOTS = 4
+PIVOT_GAIN = 0.1
+
+
+def shingle_slices(column, width: int):
+    """(first row, sets) of runs of texts with ``SLICE`` bytes or a single long one; a set is the
+    sorted distinct shingle hashes (63 bits) of a text."""
+    for first, data, offsets in text_slices(column, SLICE):
         h, doc = word_hashes(data, offsets)
         edges = np.searchsorted(doc, np.arange(len(offsets)))
         full = h
         for j in range(1, width):
             full = chain(full[:-1], h[j:]) if len(full) > 1 else full[:0]
-        full = full >> np.uint64(1)
+        full, sets = full >> np.uint64(1), []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if b - a >= width:
-                yield np.unique(full[a:b - width + 1])
+                sets.append(np.unique(full[a:b - width + 1]))
             elif b > a:
                 one = h[a:a + 1]
                 for j in range(a + 1, b):
                     one = chain(one, h[j:j + 1])
-                yield mix(one + np.uint64(b - a)) >> np.uint64(1)
+                sets.append(mix(one + np.uint64(b - a)) >> np.uint64(1))
             else:
-                yield np.zeros(0, np.uint64)
+                sets.append(np.zeros(0, np.uint64))
+        yield first, sets
 
 
 def class_of(shingles: np.ndarray) -> int | None:
@@ -78,10 +87,11 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sets = list(shingle_sets(b.column(1), width))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([s[:K].astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "t", "c", "n", "sketch"])
+            for first, sets in shingle_slices(b.column(1), width):
+                own = b.slice(first, len(sets))
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0), own.column(2), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([s[:K].astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "t", "c", "n", "sketch"])
 
     return map_arrow(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t bigint, c bigint, n bigint, sketch array<bigint>")
 
@@ -174,9 +184,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sets = list(shingle_sets(b.column(1), width))
-            keep = [class_of(s) == c for s, c in zip(sets, b.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["c", "members"]).filter(pa.array(keep, pa.bool_()))
+            for first, sets in shingle_slices(b.column(1), width):
+                c = b.column(0).slice(first, len(sets))
+                keep = [class_of(s) == x for s, x in zip(sets, c.to_pylist())]
+                yield pa.RecordBatch.from_arrays([c, pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["c", "members"]).filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(rows, run, "c bigint, members binary").groupBy("c").agg(F.first("members").alias("members"))
 
@@ -220,6 +231,12 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
+def pivot_pairs(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a class (c, n, shareable, root) and a pivot p of another component."""
+    met = met.filter((F.col("root") != F.col("other")) & possible("n", "shareable", "p.n", "p.shareable"))
+    return met.select(F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b")).distinct()
+
+
 def links_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """node, root over all classes that are linked with another."""
     lists = written(inverted_lists(classes), "dup-lists")
@@ -238,10 +255,11 @@ def links_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
         else:
             placed = lists.join(components(links).select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
         placed = written(placed, "dup-placed") if links is not None else placed
-        order = F.struct(-F.col("weight") if round_ == 0 else F.xxhash64("c", F.lit(round_)), "c", "n", "shareable", "root")
-        open_ = (placed.groupBy("v", "root").agg(F.count("*").alias("m"), F.min(order).alias("p"))
-                 .groupBy("v").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("inside"), F.min("p").alias("p"))
-                 .withColumn("pairs", F.col("m") * F.col("m") - F.col("inside")).filter("pairs > 0").select("v", "p", "m", "pairs"))
+        # of each list its largest component and one drawn anew each round
+        chosen = F.array_distinct(F.array(F.max(F.struct("m", "root"))["root"], F.min(F.struct(F.xxhash64("root", F.lit(round_)).alias("h"), "root"))["root"]))
+        open_ = (placed.groupBy("v", "root").agg(F.count("*").alias("m"), F.min(F.struct(-F.col("weight"), "c", "n", "shareable")).alias("p"))
+                 .groupBy("v").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("inside"), F.min(F.struct("p", "root")).alias("first"), chosen.alias("roots"))
+                 .withColumn("pairs", F.col("m") * F.col("m") - F.col("inside")).filter("pairs > 0").select("v", "first", "roots", "m", "pairs"))
         open_ = written(open_, "dup-open")
         left, rows = open_.agg(F.sum("pairs"), F.sum("m")).first()
         if not left:
@@ -251,9 +269,15 @@ def links_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
         if last:
             x = placed.join(open_.select("v"), "v", "left_semi").select("c", "n", "root").distinct()
             pairs = rare_pairs(x, sets)
+        elif round_ == 0:
+            p = open_.select("v", F.col("first.root").alias("other"), F.col("first.p").alias("p"))
+            pairs = pivot_pairs(placed.join(p, "v").select("c", "n", "shareable", "root", "other", "p"))
         else:
-            pairs = placed.join(open_.select("v", "p"), "v").filter((F.col("root") != F.col("p.root")) & possible("n", "shareable", "p.n", "p.shareable"))
-            pairs = pairs.select(F.least("c", "p.c").alias("a"), F.greatest("c", "p.c").alias("b")).distinct()
+            members = placed.join(open_.select("v"), "v", "left_semi").select("c", "n", "shareable", "root").distinct()
+            drawn = members.groupBy("root").agg(F.array_distinct(F.array(*[
+                F.min(F.struct(F.xxhash64("c", F.lit(PIVOTS * round_ + j)).alias("h"), "c", "n", "shareable")) for j in range(PIVOTS)])).alias("ps"))
+            met = placed.join(open_.select("v", F.explode("roots").alias("other")), "v").filter("root != other").select("c", "n", "shareable", "root", "other").distinct()
+            pairs = pivot_pairs(met.join(drawn.select(F.col("root").alias("other"), F.explode("ps").alias("p")), "other"))
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = written(estimated(pairs, classes), "dup-pairs")

@@ -27,6 +27,9 @@ SIZES = (3, 4, 5)
 FEATURE_BITS = 20
 MAX_TRAIN = 8_000
 
+#: Bytes of text whose n-grams a task holds together (several 64-bit values for each byte).
+SLICE = 1 << 18
+
 _lower: np.ndarray | None = None
 
 
@@ -124,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN):
     def features(batches):
         for batch in batches:
             label, k = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            for first, data, offsets in text_slices(batch.column(0)):
+            for first, data, offsets in text_slices(batch.column(0), SLICE):
                 doc, feature = present(data, offsets)
                 ends = np.searchsorted(doc, np.arange(len(offsets)))
                 blobs = [feature[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
@@ -152,7 +155,7 @@ def scorer(model):
         wanted, weight = np.zeros(1 << FEATURE_BITS, bool), np.zeros(1 << FEATURE_BITS, np.float32)
         wanted[ids], weight[ids] = True, weights
         out = np.full(len(column), bias)
-        for first, data, offsets in text_slices(column):
+        for first, data, offsets in text_slices(column, SLICE):
             doc, feature = present(data, offsets, wanted)
             out[first:first + len(offsets) - 1] += np.bincount(doc, weight[feature], len(offsets) - 1)
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
