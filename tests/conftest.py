@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -11,8 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from testsieve.session import get_session, checkpoint_dir
     s = get_session("local[*]", 8, app_name="testsieve-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="testsieve-tests-", dir="/tmp"))
     checkpoint_dir(s)
     yield s
 

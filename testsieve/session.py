@@ -66,6 +66,10 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Scratch folders of local sessions that name no folder, by application.
+_scratch: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
@@ -76,12 +80,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     an error there.
     """
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or _scratch.get(sc.applicationId) or sc.getCheckpointDir()
     if not d:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        d = tempfile.mkdtemp(prefix="testsieve-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
+        # a running session takes no change of spark.checkpoint.dir
+        d = _scratch[sc.applicationId] = tempfile.mkdtemp(prefix="testsieve-ckpt-", dir="/tmp")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d

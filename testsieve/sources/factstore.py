@@ -18,14 +18,22 @@ from pyspark.sql import DataFrame
 from testsieve.session import checkpoint_dir
 
 
+def bucket_count(estimate: int | None, partitions: int, most: int, bytes_per_bucket: int) -> int:
+    """How many buckets a table gets: the shuffle partitions, or ``bytes_per_bucket`` of the
+    estimated bytes if that asks for more, but no more than the session allows. Beyond that a
+    bucket grows, as one sorted file that readers split by row group."""
+    wanted = max(partitions, (estimate or 0) // bytes_per_bucket)
+    return max(1, min(wanted, most))
+
+
 def store_bucketed(df: DataFrame, name: str, keys=("project", "path"), sort=("project", "path"),
                    buckets: int | None = None, bytes_per_bucket: int = 512 << 20) -> DataFrame:
     """Write ``df`` as a bucketed, sorted Parquet table below the shared
-    checkpoint folder and return the table. ``release`` drops it. The number of
-    buckets follows the shuffle partitions, or ``bytes_per_bucket`` of the
-    logical plan's own size estimate if that asks for more."""
+    checkpoint folder and return the table. ``release`` drops it. See :func:`bucket_count`;
+    the estimate is the logical plan's own."""
     spark = df.sparkSession
-    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), estimated_bytes(df) // bytes_per_bucket)
+    n = buckets or bucket_count(estimated_bytes(df), int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")), bytes_per_bucket)
     tag = uuid.uuid4().hex[:12]
     path = f"{checkpoint_dir(spark).rstrip('/')}/testsieve-facts/{name}-{tag}"
     table = f"testsieve_{name}_{tag}"
@@ -50,9 +58,13 @@ def release(spark) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def estimated_bytes(df: DataFrame) -> int:
+#: What Spark takes for the size of a leaf without statistics, and more.
+_UNKNOWN = 1 << 60
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
     """Bytes of the sources below ``df``, as the optimizer knows them before any run
-    (joins and explodes left out: the largest leaf counts)."""
+    (joins and explodes left out: the largest leaf counts); None if no leaf has statistics."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    return min(max(sizes, default=0), 1 << 50)
+    return max((s for s in sizes if s < _UNKNOWN), default=None)
