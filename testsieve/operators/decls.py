@@ -32,7 +32,7 @@ def decl_groups(lines: DataFrame) -> DataFrame:
     code = F.when(F.col("masked").rlike(r"\S"), F.col("line_no"))
     g = (lines
          .groupBy("project", "path", F.col("decl_line").alias("start_line"))
-         .agg(F.max("decl_kind").alias("kind"),
+         .agg(F.max("decl_kind").alias("kind"), F.first("pkg").alias("pkg"),
               F.min(F.when(closed, F.col("line_no"))).alias("end_line"),
               F.max(code).alias("max_code"),
               F.array_sort(F.collect_list(F.when(in_header & F.col("decl_line").isNotNull(),
@@ -42,7 +42,7 @@ def decl_groups(lines: DataFrame) -> DataFrame:
     # Continuation lines after the declaration end belong to the gap, not to it.
     hdr = F.filter("hdr", lambda h: h["line_no"] <= F.col("end_line"))
     return g.select(
-        *DECL_KEY, "kind", "end_line", "max_code",
+        *DECL_KEY, "pkg", "kind", "end_line", "max_code",
         F.array_join(F.transform(hdr, lambda h: h["masked"]), " ").alias("header"),
         F.array_join(F.transform(hdr, lambda h: h["text"]), " ").alias("header_text"),
     )
@@ -60,9 +60,9 @@ def with_func_names(decls: DataFrame) -> DataFrame:
 
 
 def func_decls(lines: DataFrame) -> DataFrame:
-    """top-level function declarations with name, receiver flag and line span."""
+    """top-level function declarations with name, receiver flag, line span and package."""
     d = with_func_names(declarations(lines).filter(F.col("kind") == "func"))
-    return d.select(*DECL_KEY, "end_line", "header", "header_text", "name", "is_method")
+    return d.select(*DECL_KEY, "end_line", "header", "header_text", "name", "is_method", "pkg")
 
 
 def with_test_flags(funcs: DataFrame) -> DataFrame:
@@ -132,20 +132,23 @@ def imports(lines: DataFrame) -> DataFrame:
 
 def decl_texts(lines: DataFrame, kinds=("type", "var")) -> DataFrame:
     """Full masked text of package-level declarations of the given kinds:
-    ``(project, path, start_line, kind, masked, text)``."""
+    ``(project, path, start_line, pkg, kind, masked, text)``."""
     sel = lines.filter(F.col("cur_kind").isin(list(kinds)) & F.col("decl_line").isNotNull())
     g = sel.groupBy("project", "path", F.col("decl_line").alias("start_line")).agg(
-        F.max("decl_kind").alias("kind"),
+        F.max("decl_kind").alias("kind"), F.first("pkg").alias("pkg"),
         F.array_sort(F.collect_list(F.struct("line_no", "masked", "text"))).alias("ls"))
     return g.select(
-        *DECL_KEY, "kind",
+        *DECL_KEY, "pkg", "kind",
         F.array_join(F.transform("ls", lambda x: x["masked"]), "\n").alias("masked"),
         F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("text"))
 
 
-def package_dir(path_col):
-    """Package key of a file: its directory."""
-    return F.regexp_extract(path_col, r"^(.*)/[^/]*$", 1)
+def import_names(lines: DataFrame) -> DataFrame:
+    """``(project, path, aliases)``: the names by which a file calls its imports: the alias, or
+    the last part of the path that is not a version."""
+    path = F.regexp_replace(F.regexp_replace("import_path", r"`", ""), r"(?:/v\d+|\.v\d+)$", "")
+    named = imports(lines).select(*FILE_KEY, F.coalesce("alias", F.regexp_extract(path, r"([\w]+)$", 1)).alias("a")).filter("a not in ('', '_', '.')")
+    return named.groupBy(*FILE_KEY).agg(F.array_sort(F.collect_set("a")).alias("aliases"))
 
 
 def file_info(lines: DataFrame) -> DataFrame:

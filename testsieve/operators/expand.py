@@ -1,18 +1,22 @@
 """Helper-call expansion (J1, R1-R6, W6) as an iterated join.
 
 A node is a statement of the expansion tree, addressed by ``path ARRAY<INT>``
-below its test (pre-order = order by ``path``). Level ``d`` nodes are joined
-with the calls found in their text, the calls with the function declarations
-of the same package (J1), and the entered callees with their body statements,
-which become level ``d + 1``. The loop ends when a level is empty; every level
-is checkpointed in the session's checkpoint folder so the lineage stays short
-and lost executors recompute nothing older than one level.
+below its test (pre-order = order by ``path``). The calls of all statements are
+resolved once (J1, :func:`resolved_calls`). Level ``d`` nodes are joined with
+the resolved calls of the statement that their text stands in, and the entered
+callees with their body statements, which become level ``d + 1``. The loop ends
+when a level is empty; every level is checkpointed in the session's checkpoint
+folder so the lineage stays short and lost executors recompute nothing older
+than one level.
 
 Semantics kept from the reference:
 
 * every call found in a statement becomes a node below it, except when the
   statement *is* that call (R5);
-* a callee is entered when it resolves inside the same package (and, with
+* a call resolves inside the package of its file (F9: folder and package clause):
+  a plain name to a function, unless a local name hides it; ``x.m()`` to a method
+  of the type of ``x``, not when ``x`` is an import or a type of another package;
+* a callee is entered when it resolves (and, with
   ``test_only``, in a ``_test.go`` file) and its name is not on the call stack
   (R2); callees entered by earlier calls of the same statement stay on the
   stack for the later ones (sibling rule, evaluated with ``aggregate``);
@@ -28,9 +32,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testsieve.operators import decls as dc
+from testsieve.operators import exprtypes as et
 from testsieve.operators import statements as sm
-from testsieve.session import checkpoint_dir
+from testsieve.session import checkpoint_dir, cut_lineage
 
 TEST_KEY = ["project", "path", "func_line"]
 # Fixed list: Go keywords and forms that look like calls but are not.
@@ -39,6 +43,7 @@ NOT_CALLEES = ["func", "if", "for", "switch", "select", "go", "defer", "return",
 
 
 LITERAL_CALLEE = "funcLit"
+FUNC_KEY = ["project", "path", "func_line"]
 
 
 class CallPatterns:
@@ -48,10 +53,12 @@ class CallPatterns:
     def __init__(self, levels: int):
         group = r"\(" + sm.balanced(levels, "()") + r"\)"
         callee = r"[A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*"
-        # A whole call: callee expression and its balanced argument list. Scanning left
-        # to right, non-overlapping matches are exactly the outermost calls.
-        self.call = r"(?<![\w.])" + callee + r"\s*" + group
-        self.parts = r"^(" + callee + r")\s*\((.*)\)$"
+        # A whole call: callee expression and its balanced argument list; of a chain
+        # `a().b()` the last one is the call. Scanning left to right, non-overlapping
+        # matches are exactly the outermost calls.
+        self.call = r"(?<![\w.])" + callee + r"\s*" + group + r"(?:\s*\.\s*" + callee + r"\s*" + group + r")*+"
+        # owner, name and arguments of the (last) call
+        self.parts = r"^(?:(.*)\.)?\s*([A-Za-z_]\w*)\s*\((" + sm.balanced(levels, "()") + r")\)$"
         self.whole = r"^\s*" + self.call + r"\s*$"
         # An immediately invoked function literal `func(...) ... { body }(...)`.
         head = r"func\s*" + group + r"[^{}()]*(?:" + group + r"[^{}()]*)?"
@@ -73,17 +80,17 @@ def statement_calls(flat, levels: int):
     none = F.array().cast("array<string>")
 
     def one(span):
-        iife = span.rlike(r"^func\b")
-        callee_expr = F.regexp_extract(span, pt.parts, 1)
-        args = F.regexp_extract_all(F.regexp_extract(span, pt.parts, 2), F.lit(pt.item), 0)
+        # a literal that is not invoked has only its header here; the calls in its body follow
+        iife = span.rlike(pt.literal_body)
+        owner = F.regexp_replace(F.regexp_extract(span, pt.parts, 1), r"\s+", "")
+        args = F.regexp_extract_all(F.regexp_extract(span, pt.parts, 3), F.lit(pt.item), 0)
         arg_calls = F.filter(F.transform(args, lambda a: F.trim(a)), lambda a: a.rlike(pt.whole))
         body = F.regexp_extract_all(F.regexp_extract(span, pt.literal_body, 1), F.lit(pt.statement), 0)
         body = F.filter(F.transform(body, lambda b: F.trim(b)), lambda b: b != "")
         return F.struct(F.when(iife, F.lit(LITERAL_CALLEE)).otherwise(
-                            F.regexp_extract(callee_expr, r"(\w+)$", 1)).alias("callee"),
-                        F.when(iife, F.lit("")).otherwise(F.regexp_replace(
-                            F.regexp_extract(callee_expr, r"^(.*)\.\s*\w+$", 1), r"\s+", "")).alias("owner"),
-                        (~iife & callee_expr.contains(".")).alias("is_selector"),
+                            F.regexp_extract(span, pt.parts, 2)).alias("callee"),
+                        F.when(iife, F.lit("")).otherwise(owner).alias("owner"),
+                        (~iife & (owner != "")).alias("is_selector"),
                         F.when(iife, none).otherwise(F.filter(
                             arg_calls, lambda a: ~F.regexp_extract(a, r"^\s*(\w+)", 1).isin(NOT_CALLEES)))
                         .alias("arg_calls"),
@@ -98,23 +105,68 @@ def is_expr_stmt(flat, levels: int):
     return flat.rlike(pt.whole) | flat.rlike(pt.whole_literal)
 
 
-def definitions(funcs: DataFrame, test_only: bool = True) -> DataFrame:
-    """J1 build side: ``(project, pkg_dir, callee, is_selector) -> function``.
-
-    Plain calls resolve to functions, selector calls to methods of the same
-    package. A name declared twice is ``ambiguous`` and is not expanded.
-    """
-    f = funcs
-    if test_only:
-        f = f.filter(F.col("path").endswith("_test.go"))
-    f = f.select("project", dc.package_dir(F.col("path")).alias("pkg_dir"),
-                 F.col("name").alias("callee"), F.col("is_method").alias("is_selector"),
-                 F.col("path").alias("def_path"), F.col("func_line").alias("def_line"))
-    return (f.groupBy("project", "pkg_dir", "callee", "is_selector")
-            .agg(F.count(F.lit(1)).alias("n_defs"),
-                 F.min("def_path").alias("def_path"), F.min("def_line").alias("def_line"))
-            .withColumn("resolution", F.when(F.col("n_defs") == 1, F.lit("resolved"))
-                        .otherwise(F.lit("ambiguous"))))
+def all_calls(stmts: DataFrame, levels: int) -> DataFrame:
+    """``(project, path, func_line, pkg, stmt_ord, nested, callee, owner, is_selector)`` of the
+    calls that an expansion can meet in a statement: its own, those that are arguments of calls
+    (R3) and those in the body of an invoked literal (R4), to any depth (``nested``)."""
+    at = FUNC_KEY + ["pkg", "stmt_ord"]
+    texts, nested, found = stmts.filter(F.col("flat").contains("(")).select(*at, "flat"), 0, None
+    while True:
+        calls = cut_lineage(texts.select(*at, F.lit(nested).alias("nested"), F.explode(statement_calls(F.col("flat"), levels)).alias("c")).select(*at, "nested", "c.*"))
+        own = calls.filter(F.col("callee") != LITERAL_CALLEE).drop("arg_calls", "literal_body")
+        found = own if found is None else found.unionByName(own)
+        texts = calls.select(*at, F.explode(F.concat("arg_calls", "literal_body")).alias("flat"))
+        if texts.isEmpty():
+            return found
+        nested += 1
+
+
+def _unique(defs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key: a name that is declared more than once is ``ambiguous``."""
+    return defs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_defs"), F.min(F.struct("def_path", "def_line")).alias("d")).select(
+        *keys, F.when(F.col("n_defs") == 1, F.lit("resolved")).otherwise(F.lit("ambiguous")).alias("resolution"), "d.def_path", "d.def_line")
+
+
+def resolved_calls(calls: DataFrame, stmts: DataFrame, funcs: DataFrame, levels: int, types: DataFrame | None = None,
+                   file_vars: DataFrame | None = None, test_only: bool = True) -> DataFrame:
+    """``(project, path, func_line, stmt_ord, owner, callee, resolution, def_path, def_line)``
+    of the distinct calls that name something of their package; all others have no row.
+
+    Calls that no function or method of the package can answer drop out in the first join, so
+    ``t.Log`` or calls on imports never meet under one key. ``types`` and ``file_vars`` are the
+    package's declarations; without them only what functions declare is known."""
+    key = FUNC_KEY + ["pkg", "stmt_ord", "owner", "callee"]
+    index = cut_lineage(et.function_index(funcs, levels))
+    entered = index.filter(F.col("path").endswith("_test.go")) if test_only else index
+    defs = entered.select("project", "pkg", F.col("name").alias("callee"), F.col("path").alias("def_path"), F.col("func_line").cast("int").alias("def_line"), "recv")
+    calls = calls.select(*key).distinct()
+    plain = calls.filter("owner = ''").join(_unique(defs.filter("recv = ''").drop("recv"), ["project", "pkg", "callee"]), ["project", "pkg", "callee"])
+    methods = defs.filter("recv != ''").select("project", "pkg", "callee").distinct()
+    selected = calls.filter("owner != ''").join(methods, ["project", "pkg", "callee"], "left_semi")
+    plain, selected = cut_lineage(plain), cut_lineage(selected)
+    used = plain.select(*FUNC_KEY).unionByName(selected.select(*FUNC_KEY)).distinct()
+    locals_ = cut_lineage(et.local_defs(stmts.join(used, FUNC_KEY, "left_semi"), index.join(used, FUNC_KEY, "left_semi"), levels))
+    hidden = locals_.select(*FUNC_KEY, F.col("name").alias("callee"), "at")
+    hidden = plain.select(*key).join(hidden, FUNC_KEY + ["callee"]).filter("at <= stmt_ord").select(*key).distinct()
+    columns = FUNC_KEY + ["stmt_ord", "owner", "callee", "resolution", "def_path", "def_line"]
+    out = plain.join(hidden, key, "left_anti").select(*columns)
+    if selected.isEmpty():
+        return out
+    if types is None:
+        types = funcs.select("project", "pkg", F.col("name").alias("type_name"), F.col("name").alias("underlying")).limit(0)
+    if file_vars is None:
+        file_vars = funcs.select("project", "pkg", "path", "name", F.col("name").alias("type"), F.col("name").alias("expr")).limit(0)
+    members = et.members(types, index, levels)
+    owners = selected.select(*FUNC_KEY, "pkg", "stmt_ord", "owner").distinct().join(index.select(*FUNC_KEY, "aliases"), FUNC_KEY)
+    owners = owners.select(F.concat_ws("|", "path", "func_line", "stmt_ord", "owner").alias("eid"), *FUNC_KEY, "pkg", "aliases", F.col("stmt_ord").alias("at"),
+                           F.lit(True).alias("within"), F.col("owner").alias("expr"), F.lit(0).alias("nth"))
+    typed = et.types_of(owners, locals_, file_vars, index, types, members, levels)
+    callable_ = members.filter("call").filter(F.col("def_path").endswith("_test.go")) if test_only else members.filter("call")
+    nearest = callable_.join(callable_.groupBy("project", "pkg", "type_name", "member").agg(F.min("depth").alias("depth")), ["project", "pkg", "type_name", "member", "depth"])
+    named = _unique(nearest.withColumnRenamed("member", "callee"), ["project", "pkg", "type_name", "callee"])
+    found = (selected.withColumn("eid", F.concat_ws("|", "path", "func_line", "stmt_ord", "owner")).join(typed, "eid")
+             .withColumn("type_name", F.regexp_replace("type", r"^\*", "")).join(named, ["project", "pkg", "type_name", "callee"]))
+    return cut_lineage(out.unionByName(found.select(*columns)))
 
 
 def _fold_stack(calls):
@@ -143,31 +195,40 @@ def _fold_stack(calls):
 
 
 def expand(tests: DataFrame, stmts: DataFrame, funcs: DataFrame, spark: SparkSession,
-           test_only: bool = True) -> DataFrame:
+           test_only: bool = True, resolved: DataFrame | None = None, levels_deep: int | None = None,
+           roots: DataFrame | None = None) -> DataFrame:
     """All nodes of the expansion trees of ``tests``:
-    ``(project, path, func_line, node_path, level, kind, text, callee)``.
+    ``(project, path, func_line, node_path, level, kind, text, flat, callee)``.
 
     ``tests`` holds the test keys; ``stmts`` the statement facts of every
-    function (``flat`` text); ``funcs`` the declarations (``func_line``).
+    function (``flat`` text); ``funcs`` the declarations (``func_line``);
+    ``resolved`` their calls (:func:`resolved_calls`); ``roots`` (test key and
+    ``stmt_ord``) the statements to expand, all if not given.
     """
     checkpoint_dir(spark)
     # every text of the tree is a piece of some statement, so this depth holds for all levels
-    levels_deep = sm.deepest(stmts)
+    levels_deep = sm.deepest(stmts) if levels_deep is None else levels_deep
+    if resolved is None:
+        resolved = resolved_calls(all_calls(stmts, levels_deep), stmts, funcs, levels_deep, test_only=test_only)
     # Both sides are read once per level: keep them for the whole loop.
-    defs = definitions(funcs, test_only).persist(StorageLevel.MEMORY_AND_DISK)
+    defs = resolved.select("project", F.col("path").alias("ctx_path"), F.col("func_line").alias("ctx_line"), F.col("stmt_ord").alias("ctx_ord"),
+                           "owner", "callee", "resolution", "def_path", "def_line").persist(StorageLevel.MEMORY_AND_DISK)
     body = stmts.select(F.col("project").alias("b_project"), F.col("path").alias("def_path"),
                         F.col("func_line").alias("def_line"), F.col("stmt_ord").alias("b_ord"),
                         F.col("text").alias("b_text"), F.col("flat").alias("b_flat")
                         ).persist(StorageLevel.MEMORY_AND_DISK)
-    level0 = (stmts.join(tests.select(*TEST_KEY), TEST_KEY, "left_semi")
-              .select(*TEST_KEY, F.array(F.col("stmt_ord") - 1).alias("node_path"),
-                      F.array().cast("array<string>").alias("stack"),
-                      F.lit("stmt").alias("kind"), "text", "flat", F.lit(None).cast("string").alias("callee")))
+    first = stmts.join(tests.select(*TEST_KEY), TEST_KEY, "left_semi")
+    first = first if roots is None else first.join(roots, TEST_KEY + ["stmt_ord"], "left_semi")
+    level0 = first.select(*TEST_KEY, F.array(F.col("stmt_ord") - 1).alias("node_path"),
+                          F.array().cast("array<string>").alias("stack"), F.lit("stmt").alias("kind"), "text", "flat",
+                          F.lit(None).cast("string").alias("callee"), F.col("path").alias("ctx_path"),
+                          F.col("func_line").alias("ctx_line"), F.col("stmt_ord").alias("ctx_ord"))
+    inner = ["stack", "ctx_path", "ctx_line", "ctx_ord"]
     frontier = _cut(level0)
-    levels = [frontier.drop("stack", "flat")]
+    levels = [frontier.drop(*inner)]
     while not frontier.isEmpty():
         nxt = _cut(_next_level(frontier, defs, body, levels_deep))
-        levels.append(nxt.drop("stack", "flat"))
+        levels.append(nxt.drop(*inner))
         frontier = nxt.filter(F.col("kind") == "stmt")
     defs.unpersist()
     body.unpersist()
@@ -179,20 +240,19 @@ def expand(tests: DataFrame, stmts: DataFrame, funcs: DataFrame, spark: SparkSes
 
 def _cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of one level (see :func:`testsieve.session.cut_lineage`)."""
-    from testsieve.session import cut_lineage
     return cut_lineage(df)
 
 
 def _next_level(frontier: DataFrame, defs: DataFrame, body: DataFrame, deep: int) -> DataFrame:
-    node_key = TEST_KEY + ["node_path"]
+    ctx = ["ctx_path", "ctx_line", "ctx_ord"]
+    node_key = TEST_KEY + ["node_path", *ctx]
     nodes = frontier.withColumn("expr_stmt", is_expr_stmt(F.col("flat"), deep)) \
         .withColumn("calls", statement_calls(F.col("flat"), deep))
     calls = nodes.select(*node_key, "stack", "expr_stmt", F.posexplode("calls").alias("call_ord", "c"))
     calls = calls.select(*node_key, "stack", "expr_stmt", "call_ord", F.col("c.callee").alias("callee"),
-                         F.col("c.is_selector").alias("is_selector"), F.col("c.arg_calls").alias("arg_calls"),
-                         F.col("c.literal_body").alias("literal_body"),
-                         dc.package_dir(F.col("path")).alias("pkg_dir"))
-    resolved = calls.join(defs, ["project", "pkg_dir", "callee", "is_selector"], "left")
+                         F.col("c.owner").alias("owner"), F.col("c.arg_calls").alias("arg_calls"),
+                         F.col("c.literal_body").alias("literal_body"))
+    resolved = calls.join(defs, ["project", *ctx, "owner", "callee"], "left")
     per_node = resolved.groupBy(*node_key, "stack", "expr_stmt").agg(
         F.array_sort(F.collect_list(F.struct("call_ord", "callee", "resolution", "def_path", "def_line",
                                              "arg_calls", "literal_body"))).alias("rc"))
@@ -202,25 +262,25 @@ def _next_level(frontier: DataFrame, defs: DataFrame, body: DataFrame, deep: int
     call_nodes = c.filter(~F.col("expr_stmt")).select(
         *TEST_KEY, F.concat("node_path", F.array(F.col("call_ord"))).alias("node_path"),
         F.col("inner_stack").alias("stack"), F.lit("call").alias("kind"),
-        F.concat(F.col("callee"), F.lit("(...)")).alias("text"), F.lit("").alias("flat"), "callee")
+        F.concat(F.col("callee"), F.lit("(...)")).alias("text"), F.lit("").alias("flat"), "callee", *ctx)
     base_path = F.when(F.col("expr_stmt"), F.col("node_path")).otherwise(
         F.concat("node_path", F.array(F.col("call_ord"))))
     # Argument calls come first below the call, as statements of their own,
     # with the stack as it was when the call was reached.
-    arg_nodes = c.select(*TEST_KEY, base_path.alias("base_path"), "outer_stack",
+    arg_nodes = c.select(*TEST_KEY, *ctx, base_path.alias("base_path"), "outer_stack",
                          F.posexplode("arg_calls").alias("arg_ord", "arg"))
     arg_nodes = arg_nodes.select(
         *TEST_KEY, F.concat("base_path", F.array(F.col("arg_ord"))).alias("node_path"),
         F.col("outer_stack").alias("stack"), F.lit("stmt").alias("kind"), F.col("arg").alias("text"),
-        F.col("arg").alias("flat"), F.lit(None).cast("string").alias("callee"))
+        F.col("arg").alias("flat"), F.lit(None).cast("string").alias("callee"), *ctx)
     # An entered literal's own body statements become its children.
     lit_children = (c.filter(F.col("entered") & (F.col("callee") == LITERAL_CALLEE))
-                    .select(*TEST_KEY, base_path.alias("base_path"), "inner_stack", "callee",
+                    .select(*TEST_KEY, *ctx, base_path.alias("base_path"), "inner_stack", "callee",
                             F.posexplode("literal_body").alias("b_ord", "b")))
     lit_children = lit_children.select(
         *TEST_KEY, F.concat("base_path", F.array(F.col("b_ord"))).alias("node_path"),
         F.col("inner_stack").alias("stack"), F.lit("stmt").alias("kind"), F.col("b").alias("text"),
-        F.col("b").alias("flat"), "callee")
+        F.col("b").alias("flat"), "callee", *ctx)
     entered = c.filter(F.col("entered") & (F.col("callee") != LITERAL_CALLEE)).select(
         *TEST_KEY, base_path.alias("base_path"), "inner_stack", "callee", "def_path", "def_line",
         F.size("arg_calls").alias("n_args"))
@@ -230,7 +290,8 @@ def _next_level(frontier: DataFrame, defs: DataFrame, body: DataFrame, deep: int
     children = children.select(
         *TEST_KEY, F.concat("base_path", F.array(F.col("b_ord") - 1 + F.col("n_args"))).alias("node_path"),
         F.col("inner_stack").alias("stack"), F.lit("stmt").alias("kind"),
-        F.col("b_text").alias("text"), F.col("b_flat").alias("flat"), "callee")
+        F.col("b_text").alias("text"), F.col("b_flat").alias("flat"), "callee",
+        entered["def_path"].alias("ctx_path"), entered["def_line"].alias("ctx_line"), F.col("b_ord").alias("ctx_ord"))
     return call_nodes.unionByName(arg_nodes).unionByName(lit_children).unionByName(children)
 
 
@@ -270,3 +331,20 @@ def expansion_json(nodes: DataFrame) -> DataFrame:
         done = (lv.groupBy(*TEST_KEY, parent.alias("node_path"))
                 .agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("node_path").alias("p"), "j"))),
                                  lambda x: x["j"]).alias("kids")))
+
+
+def expansion_rows(trees: DataFrame, keys: list[str], tree: str = "ParsedStatements") -> DataFrame:
+    """The nodes of trees read back from documents: ``(keys, node_path, level, text)``.
+    ``tree`` is a VARIANT holding ``[{"stmt": ..., "children": [...]}]`` of any depth; each round
+    takes apart the children of one level."""
+    kids = trees.select(*keys, F.array().cast("array<int>").alias("node_path"), F.variant_get(tree, "$", "array<variant>").alias("kids"))
+    out = None
+    while True:
+        nodes = kids.select(*keys, "node_path", F.posexplode("kids").alias("pos", "v"))
+        nodes = cut_lineage(nodes.select(*keys, F.concat("node_path", F.array("pos")).alias("node_path"),
+                                         F.variant_get("v", "$.stmt", "string").alias("text"), F.try_variant_get("v", "$.children", "array<variant>").alias("kids")))
+        found = nodes.select(*keys, "node_path", (F.size("node_path") - 1).cast("int").alias("level"), "text")
+        out = found if out is None else out.unionByName(found)
+        kids = nodes.filter("kids is not null").select(*keys, "node_path", "kids")
+        if kids.isEmpty():
+            return out

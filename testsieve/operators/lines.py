@@ -28,18 +28,21 @@ def masked_files(files: DataFrame) -> DataFrame:
 
 
 def file_lines(files: DataFrame, keep=()) -> DataFrame:
-    """``line(project, path, line_no, text, masked, depth_before, depth_after,
+    """``line(project, path, pkg, line_no, text, masked, depth_before, depth_after,
     paren_before, decl_kind, decl_line)`` for every line of every file.
 
     ``decl_line`` is the first line of the enclosing top-level declaration
     (NULL between declarations); ``decl_kind`` is set on that first line only.
     """
     m = files if "masked" in files.columns else masked_files(files)
+    # files of one folder and package clause are a package; p and p_test are two
+    clause = F.regexp_extract(F.col("masked"), r"(?m)^[ \t]*package[ \t]+(\w+)", 1)
+    m = m.withColumn("pkg", F.concat(F.regexp_extract(F.col("path"), r"^(.*)/[^/]*$", 1), F.lit("#"), clause))
     # both texts are split once for each file; a lambda around them would split again for every line
     pairs = F.arrays_zip(F.split(F.col("content"), "\n", -1).alias("text"), F.split(F.col("masked"), "\n", -1).alias("masked"))
-    exploded = m.select(*FILE_KEY, *keep, F.posexplode(pairs).alias("pos", "ln"))
+    exploded = m.select(*FILE_KEY, "pkg", *keep, F.posexplode(pairs).alias("pos", "ln"))
     lines = exploded.select(
-        *FILE_KEY, *keep,
+        *FILE_KEY, "pkg", *keep,
         (F.col("pos") + 1).alias("line_no"),
         F.col("ln.text").alias("text"),
         F.col("ln.masked").alias("masked"),

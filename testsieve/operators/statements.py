@@ -95,20 +95,29 @@ def statement_lines(lines: DataFrame) -> DataFrame:
     return out.filter("in_body").withColumn("func_line", F.col("decl_line"))
 
 
-def one_line_body(text, masked):
-    """``ARRAY<STRUCT<text, masked>>``: the statements between the braces of a function on one
-    line, cut at each `;` outside brackets. ``masked`` has the offsets of ``text``."""
-    from testsieve.operators.refactor import body_span
-    span = body_span(masked)
-    first, size = span["first"] + 1, span["last"] - span["first"] - 1
-    pieces = F.regexp_extract_all(F.substring(masked, first, size), F.lit(r"(?s)([{}()\[\];]|[^{}()\[\];]+)"), 1)
-    start = F.struct(first.alias("at"), F.lit(0).alias("open"), F.array(span["first"]).alias("cuts"))
+#: A statement that has a clause before its block, in which `;` separates no statements.
+CLAUSE_START = r"^\s*(?:\w+\s*:\s*)?(?:for|if|switch|select)\b"
+
+
+def cut_statements(text, masked, before, size):
+    """``ARRAY<STRUCT<text, masked>>``: the statements in ``size`` characters behind the first
+    ``before`` ones, cut at each `;` outside brackets that is not in the clause of a `for`,
+    `if`, `switch` or `select`. ``masked`` has the offsets of ``text``."""
+    pieces = F.regexp_extract_all(F.substring(masked, before + 1, size), F.lit(r"(?s)([{}()\[\];]|[^{}()\[\];]+)"), 1)
+    # `fresh`: nothing of the statement has been met; `clause`: its block has not begun
+    start = F.struct((before + 1).alias("at"), F.lit(0).alias("open"), F.lit(True).alias("fresh"), F.lit(False).alias("clause"),
+                     F.array(before).alias("cuts"))
 
     def step(acc, p):
         turn = F.when(p.rlike(r"^[{(\[]$"), 1).when(p.rlike(r"^[})\]]$"), -1).otherwise(0)
+        outside = acc["open"] == 0
+        clause = (F.when(acc["fresh"] & p.rlike(CLAUSE_START), True).when(outside & p.rlike(r"^\s*else\s+if\b"), True)
+                  .when(outside & (p == "{"), False).otherwise(acc["clause"]))
+        cut = outside & (p == ";") & ~acc["clause"]
         return F.struct((acc["at"] + F.length(p)).alias("at"), (acc["open"] + turn).alias("open"),
-                        F.when((p == ";") & (acc["open"] == 0), F.concat(acc["cuts"], F.array(acc["at"])))
-                        .otherwise(acc["cuts"]).alias("cuts"))
+                        F.when(cut, True).otherwise(acc["fresh"] & ~p.rlike(r"\S")).alias("fresh"),
+                        (clause & ~cut).alias("clause"),
+                        F.when(cut, F.concat(acc["cuts"], F.array(acc["at"]))).otherwise(acc["cuts"]).alias("cuts"))
     cuts = F.aggregate(pieces, start, step, lambda r: F.concat(r["cuts"], F.array(r["at"])))
     cut = lambda s, a, b: F.substring(s, a + 1, b - a - 1)
     found = F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda i: F.struct(
@@ -116,18 +125,27 @@ def one_line_body(text, masked):
     return F.filter(found, lambda x: x["masked"].rlike(r"\S"))
 
 
+def block_statements(text, masked):
+    """The statements between the braces of a statement or function on one line."""
+    from testsieve.operators.refactor import body_span
+    span = body_span(masked)
+    return cut_statements(text, masked, span["first"], span["last"] - span["first"] - 1)
+
+
 def statements(lines: DataFrame) -> DataFrame:
-    """``stmt(project, path, func_line, stmt_line, stmt_ord, end_line, text,
-    masked, flat, children)``: one row per top-level body statement.
+    """``stmt(project, path, func_line, pkg, stmt_line, stmt_ord, end_line, text,
+    masked, flat, children)``: one row per top-level body statement; statements that share a
+    line are rows of their own.
 
     ``flat`` = masked text on one line (newlines as ``;``, blanks collapsed);
     ``children`` = every direct statement of the first nested block (depth 2), in
     order: its first line and the masked and original text of the line and the next
-    one, so an argument list that begins on the next line is seen.
+    one, so an argument list that begins on the next line is seen. A block on one line has
+    its statements as children too.
     """
     sl = statement_lines(lines).filter(F.col("stmt_line").isNotNull())
     g = sl.groupBy(*FUNC_KEY, "stmt_line").agg(
-        F.array_sort(F.collect_list(F.struct(
+        F.first("pkg").alias("pkg"), F.array_sort(F.collect_list(F.struct(
             "line_no", "text", "masked", "depth_before", "paren_before", "stmt_start"))).alias("ls"))
     masked = F.array_join(F.transform("ls", lambda x: x["masked"]), "\n")
     text = F.array_join(F.transform("ls", lambda x: x["text"]), "\n")
@@ -136,13 +154,25 @@ def statements(lines: DataFrame) -> DataFrame:
         F.transform("ls", lambda x, i: F.when(x["stmt_start"] & (x["depth_before"] == 2), F.struct(
             x["line_no"].alias("line_no"), follow(x, i, "masked").alias("masked"), follow(x, i, "text").alias("text")))),
         lambda c: c.isNotNull())
-    s = g.select(*FUNC_KEY, "stmt_line", F.element_at(F.col("ls"), -1)["line_no"].alias("end_line"),
+    s = g.select(*FUNC_KEY, "pkg", "stmt_line", F.element_at(F.col("ls"), -1)["line_no"].alias("end_line"),
                  text.alias("text"), masked.alias("masked"), children.alias("children"))
     own = F.struct("text", "masked")
-    parts = F.when(F.col("stmt_line") == F.col("func_line"), one_line_body(F.col("text"), F.col("masked"))).otherwise(F.array(own))
-    s = s.select(*FUNC_KEY, "stmt_line", "end_line", "children", F.posexplode(parts).alias("part", "own"))
+    parts = (F.when(F.col("stmt_line") == F.col("func_line"), block_statements(F.col("text"), F.col("masked")))
+             .when(F.col("masked").contains(";"), cut_statements(F.col("text"), F.col("masked"), F.lit(0), F.length("masked")))
+             .otherwise(F.array(own)))
+    s = s.select(*FUNC_KEY, "pkg", "stmt_line", "end_line", "children", F.posexplode(parts).alias("part", "own"))
+    text, masked = F.col("own.text"), F.col("own.masked")
+    several = F.flatten(F.transform("children", lambda c: F.when(c["masked"].contains(";"), F.transform(
+        cut_statements(c["text"], c["masked"], F.lit(0), F.length(c["masked"])),
+        lambda x: F.struct(c["line_no"].alias("line_no"), x["masked"].alias("masked"), x["text"].alias("text")))).otherwise(F.array(c))))
+    on_one_line = F.transform(block_statements(text, masked), lambda x: F.struct(
+        F.col("stmt_line").alias("line_no"), x["masked"].alias("masked"), x["text"].alias("text")))
+    one_line = ~masked.contains("\n") & masked.rlike(CLAUSE_START + r".*\{.*\}\s*$")
+    children = F.when(one_line, on_one_line).when(~masked.contains("\n"), F.slice("children", 1, 0)).when(
+        F.exists("children", lambda c: c["masked"].contains(";")), several).otherwise(F.col("children"))
+    s = s.withColumn("children", children)
     w = Window.partitionBy(*FUNC_KEY).orderBy("stmt_line", "part")
-    return (s.select(*FUNC_KEY, "stmt_line", "end_line", "own.text", "own.masked", "children", F.row_number().over(w).alias("stmt_ord"))
+    return (s.select(*FUNC_KEY, "pkg", "stmt_line", "end_line", "own.text", "own.masked", "children", F.row_number().over(w).alias("stmt_ord"))
             .withColumn("flat", flatten(F.col("masked"))))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from testsieve.operators import decls as dc
+from testsieve.operators import expand as ex
 from testsieve.operators import lines as ln
 from testsieve.operators import scenarios as sc
 from testsieve.operators import statements as sm
@@ -45,13 +46,45 @@ class Facts:
             self.lines = store_bucketed(self.lines, "lines", sort=("project", "path", "line_no"))
         elif persist:
             self.lines = cut_lineage(self.lines)
-        self.funcs = dc.func_decls(self.lines).withColumnRenamed("start_line", "func_line")
+        self.funcs = (dc.func_decls(self.lines).withColumnRenamed("start_line", "func_line")
+                      .join(dc.import_names(self.lines), ["project", "path"], "left")
+                      .withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))))
         if persist:
             self.funcs = cut_lineage(self.funcs)
         self.stmts = sm.statements(self.lines)
         if persist:
             self.stmts = cut_lineage(self.stmts)
-        self.persisted = []
+        self._kept: dict = {}
+
+    def _once(self, name: str, build):
+        if name not in self._kept:
+            self._kept[name] = build()
+        return self._kept[name]
+
+    def levels(self) -> int:
+        """Deepest nesting of brackets in any statement: what patterns have to match."""
+        return self._once("levels", lambda: sm.deepest(self.stmts))
+
+    def types(self) -> DataFrame:
+        return self._once("types", lambda: sc.type_decls(self.lines))
+
+    def file_vars(self) -> DataFrame:
+        """Package-level variables with their literals."""
+        return self._once("file_vars", lambda: cut_lineage(sc.file_var_literals(self.lines)))
+
+    def all_calls(self) -> DataFrame:
+        """Every call that an expansion can meet, of every function."""
+        return self._once("all_calls", lambda: ex.all_calls(self.stmts, self.levels()))
+
+    def calls(self) -> DataFrame:
+        """The calls that resolve inside their package (test files only)."""
+        return self._once("calls", lambda: ex.resolved_calls(
+            self.all_calls(), self.stmts, self.funcs, self.levels(), self.types(), sc.variables(self.file_vars())))
+
+    def expand(self, roots: DataFrame | None = None) -> DataFrame:
+        """The expansion trees of all tests (or of some of their statements)."""
+        return ex.expand(self.tests(), self.stmts, self.funcs, self.stmts.sparkSession, resolved=self.calls(),
+                         levels_deep=self.levels(), roots=roots)
 
     def tests(self) -> DataFrame:
         t = dc.valid_tests(self.funcs.withColumnRenamed("func_line", "start_line"))
@@ -61,7 +94,7 @@ class Facts:
 def analysis(facts: Facts) -> DataFrame:
     """Per valid test: test case columns + scenario set + imports."""
     tests = facts.tests()
-    ss = sc.scenario_sets(tests, facts.stmts, facts.lines)
+    ss = sc.scenario_sets(tests, facts.stmts, facts.lines, facts)
     info = dc.file_info(facts.lines)
     return (tests.select(*TEST_KEY, "name", "end_line", "header", "header_text", "bad_format", "test_lines")
             .join(ss, TEST_KEY, "left")

@@ -231,8 +231,8 @@ FROM an WHERE v IN (0, 1, 2)
 
 STMT_COUNTS = f"""
 WITH {SHAPES_CTE}
-SELECT path, name, CAST(CASE WHEN v IN (0, 1, 2) THEN 2 WHEN v IN (3, 4, 5, 8) THEN 1 END AS BIGINT) AS n_statements
-FROM fn WHERE visited AND v IN (0, 1, 2, 3, 4, 5, 8)
+SELECT path, name, CAST(CASE WHEN v IN (0, 1, 2) THEN 2 WHEN v IN (3, 4, 5, 8) THEN 1 ELSE 0 END AS BIGINT) AS n_statements
+FROM fn WHERE visited
 """
 
 TESTER_PARAM = f"""
@@ -403,7 +403,7 @@ FROM ch
 SELECTOR_CALLS = f"""
 WITH {SHAPES_CTE}
 SELECT path, name, CAST(CASE WHEN v IN (3, 4, 5) THEN 1 ELSE 0 END AS BIGINT) AS n_selector_calls
-FROM fn WHERE visited AND v IN (0, 1, 2, 3, 4, 5, 8)
+FROM fn WHERE visited
 """
 
 STRUCT_FIELDS = f"""
@@ -432,16 +432,119 @@ FROM fn WHERE visited AND valid
 """
 FUNC_TEXT = "SELECT path, name, 'func ' || text_ws0 AS text_ws FROM (" + FUNC_TEXT + ")"
 
+# Every function of a chain has one call; helper i begins in line 9 + 4 i.
 RESOLVE_CALLS = f"""
-WITH {CHAINS_CTE}
-SELECT path, name, CASE WHEN l >= 1 THEN 'h' || CAST(p AS VARCHAR) || '_0' ELSE 'Log' END AS callee,
-       CASE WHEN l >= 1 THEN 'resolved' ELSE 'unresolved' END AS resolution
-FROM ch
+WITH {CHAINS_CTE},
+fns AS (SELECT ch.*, i FROM ch, LATERAL (SELECT unnest(range(-1, l)) AS i)),
+calls AS (
+  SELECT path, CASE WHEN i < 0 THEN 'TestC' || CAST(p AS VARCHAR) ELSE 'h' || CAST(p AS VARCHAR) || '_' || CAST(i AS VARCHAR) END AS name,
+         p, CASE WHEN i < l - 1 THEN i + 1 WHEN l > 0 AND cyc THEN 0 END AS callee_no
+  FROM fns)
+SELECT path, name, 1 AS stmt_ord, CASE WHEN callee_no IS NULL THEN 't' ELSE '' END AS owner,
+       CASE WHEN callee_no IS NULL THEN 'Log' ELSE 'h' || CAST(p AS VARCHAR) || '_' || CAST(callee_no AS VARCHAR) END AS callee,
+       CASE WHEN callee_no IS NULL THEN 'unresolved' ELSE 'resolved' END AS resolution,
+       CASE WHEN callee_no IS NULL THEN '' ELSE path END AS def_path,
+       CAST(CASE WHEN callee_no IS NULL THEN 0 ELSE 9 + 4 * callee_no END AS INTEGER) AS def_line
+FROM calls
+"""
+
+# The owner corpus: one file for each customer, shape c % 8 (FIXTURES B.3).
+OWNERS_CTE = """
+ow AS (
+  SELECT c_custkey AS c, c_custkey // 8 AS g, c_custkey % 8 AS v, CAST(c_custkey AS VARCHAR) AS cs, CAST(c_custkey // 8 AS VARCHAR) AS gs,
+         '/src/own/pkg' || CAST((c_custkey // 8) % 40 AS VARCHAR) || '/o' || CAST(c_custkey AS VARCHAR) || '_test.go' AS path
+  FROM customer
+)
+"""
+
+CALL_OWNERS = f"""
+WITH {OWNERS_CTE},
+calls AS (
+  SELECT path, 'TestO' || cs AS name, 1 AS stmt_ord, 'fmt' AS owner, 'Println' AS callee, 'unresolved' AS resolution, 0 AS def_line FROM ow WHERE v = 0
+  UNION ALL SELECT path, 'dup' || gs, 1, 't', 'Log', 'unresolved', 0 FROM ow WHERE v = 0
+  UNION ALL SELECT path, 'TestO' || cs, 1, '', 'twin' || gs, 'resolved', 12 FROM ow WHERE v IN (1, 2)
+  UNION ALL SELECT path, 'twin' || gs, 1, 't', 'Helper', 'unresolved', 0 FROM ow WHERE v IN (1, 2)
+  UNION ALL SELECT path, 'twin' || gs, 2, 't', 'Log', 'unresolved', 0 FROM ow WHERE v = 2
+  UNION ALL SELECT path, 'TestO' || cs, 2, 'x', 'Do' || cs, 'resolved', 20 FROM ow WHERE v = 3
+  UNION ALL SELECT path, 'TestO' || cs, 2, 'o', 'Deep' || cs, 'resolved', 12 FROM ow WHERE v = 4
+  UNION ALL SELECT path, 'TestO' || cs, 3, 'o.f', 'Deep' || cs, 'resolved', 12 FROM ow WHERE v = 4
+  UNION ALL SELECT path, 'TestO' || cs, 1, 'New' || cs || '().With' || cs || '(1)', 'With' || cs, 'resolved', 16 FROM ow WHERE v = 5
+  UNION ALL SELECT path, 'TestO' || cs, 2, '', 'hid' || cs, 'unresolved', 0 FROM ow WHERE v = 6
+  UNION ALL SELECT path, 'hid' || cs, 1, 't', 'Helper', 'unresolved', 0 FROM ow WHERE v = 6
+  UNION ALL SELECT path, 'TestO' || cs, 1, '', 'dup' || gs, 'ambiguous', 0 FROM ow WHERE v = 7
+  UNION ALL SELECT path, 'dup' || gs, 1, 't', 'Helper', 'unresolved', 0 FROM ow WHERE v = 7)
+SELECT path, name, stmt_ord, owner, callee, resolution, CASE WHEN resolution = 'resolved' THEN path ELSE '' END AS def_path, def_line
+FROM calls
+"""
+
+OWNER_EXPANSION = f"""
+WITH {OWNERS_CTE}
+SELECT path, 'TestO' || cs AS name, CAST(CASE v WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 2 WHEN 6 THEN 2 ELSE 1 END AS BIGINT) AS n_nodes,
+       CAST(CASE WHEN v IN (0, 6, 7) THEN 0 ELSE 1 END AS BIGINT) AS max_level
+FROM ow
+"""
+
+# The table corpus: one file for each customer, shape c % 8, n scenarios (FIXTURES B.4).
+TABLES_CTE = """
+tb AS (
+  SELECT c_custkey % 8 AS v, (c_custkey // 8) % 5 AS n, CAST(c_custkey AS VARCHAR) AS cs,
+         '/src/tab/pkg' || CAST((c_custkey // 8) % 40 AS VARCHAR) || '/t' || CAST(c_custkey AS VARCHAR) || '_test.go' AS path
+  FROM customer
+),
+ts AS (
+  SELECT path, 'TestT' || cs AS name, v, n, CASE WHEN v = 6 THEN n + 1 WHEN v IN (4, 5) THEN 0 ELSE n END AS found FROM tb
+  UNION ALL SELECT path, 'TestN' || cs, -1, 0, 0 FROM tb WHERE v = 0
+)
+"""
+
+SCENARIO_ORIGIN = f"""
+WITH {TABLES_CTE}
+SELECT path, name, CASE WHEN found = 0 THEN '' WHEN v = 0 THEN 'clause' WHEN v = 1 THEN 'local' WHEN v = 3 THEN 'file' ELSE 'helper' END AS scenario_source,
+       CAST(found AS BIGINT) AS n_scenarios,
+       CASE WHEN found = 0 THEN '' ELSE '{{' || repeat(chr(34), CASE WHEN v = 6 THEN 7 ELSE 4 END) || ', 1}}' END AS first_scenario
+FROM ts
+"""
+
+RANGE_RESOLUTION = f"""
+WITH {TABLES_CTE}
+SELECT path, name, CASE WHEN v = -1 THEN 'none' WHEN v = 5 THEN 'unresolved' ELSE 'resolved' END AS range_resolution,
+       CASE WHEN v IN (-1, 5) THEN 'none' ELSE 'structList' END AS container,
+       CASE WHEN v IN (-1, 5) THEN '' ELSE 'struct{{name string;want int}}' END AS scenario_type
+FROM ts
 """
 
 ENCLOSING_FUNCTION = f"""
 WITH {SHAPES_CTE}
-SELECT path, name, CAST(1 AS BIGINT) AS n_log_lines FROM fn WHERE visited AND v IN (0, 1, 2, 3)
+SELECT path, name, lines AS n_lines, CAST(CASE WHEN v IN (0, 1, 2, 3) THEN 1 ELSE 0 END AS BIGINT) AS n_log_lines
+FROM fn WHERE visited
+"""
+
+# The first function of a file begins in line 8, an empty line follows each.
+POSITION_OWNER = f"""
+WITH {SHAPES_CTE},
+spans AS (
+  SELECT path, name, lines, 8 + coalesce(sum(lines + 1) OVER (PARTITION BY path ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_line
+  FROM fn WHERE visited),
+pos AS (SELECT fn.path, 1 + (l_linenumber * 7 + l_orderkey) % 70 AS line, count(*) AS m FROM lineitem JOIN fn ON k = l_orderkey GROUP BY ALL)
+SELECT p.path, coalesce(s.name, '') AS name, CAST(sum(m) AS BIGINT) AS n_positions
+FROM pos p LEFT JOIN spans s ON s.path = p.path AND p.line BETWEEN s.start_line AND s.start_line + s.lines - 1
+GROUP BY p.path, coalesce(s.name, '')
+"""
+
+ARRAY_APPEND = """
+SELECT CAST(p_partkey % 3 AS INTEGER) AS part, p_partkey % 3 = 1 AS nested, count(*) AS n_rows,
+       '{"p":' || CAST(min(p_partkey) AS VARCHAR) || '}' AS first_element, '{"p":' || CAST(max(p_partkey) AS VARCHAR) || '}' AS last_element
+FROM part GROUP BY p_partkey % 3
+"""
+
+# Statements, subtests and scenarios of the five shapes of the packed corpus (FIXTURES B.5).
+PACKED_STATEMENTS = """
+SELECT '/src/packed/pkg' || CAST(c_custkey % 40 AS VARCHAR) || '/p' || CAST(c_custkey AS VARCHAR) || '_test.go' AS path,
+       'TestP' || CAST(c_custkey AS VARCHAR) AS name,
+       CAST(CASE c_custkey % 5 WHEN 1 THEN 2 WHEN 3 THEN 2 ELSE 3 END AS BIGINT) AS n_statements, c_custkey % 5 IN (1, 3) AS uses_subtest,
+       CAST(CASE c_custkey % 5 WHEN 1 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS BIGINT) AS n_scenarios,
+       CASE c_custkey % 5 WHEN 1 THEN 'name' WHEN 3 THEN 'map key' ELSE '' END AS name_field
+FROM customer
 """
 
 RANGE_TYPES = f"""
@@ -470,6 +573,10 @@ SELECT path, name,
 FROM ch
 """
 
+PARSED_STATEMENTS = f"""
+SELECT path, name, n_nodes, max_level, preorder FROM ({EXPAND_CALLS}) JOIN ({EXPANSION_PREORDER}) USING (path, name)
+"""
+
 # ---------------------------------------------------------------- direct (DT)
 
 PATH_ROOT = """
@@ -585,7 +692,15 @@ ORACLES: dict[str, str] = {
     "struct_fields": STRUCT_FIELDS,
     "func_text": FUNC_TEXT,
     "resolve_calls": RESOLVE_CALLS,
+    "call_owners": CALL_OWNERS,
+    "owner_expansion": OWNER_EXPANSION,
+    "scenario_origin": SCENARIO_ORIGIN,
+    "range_resolution": RANGE_RESOLUTION,
     "enclosing_function": ENCLOSING_FUNCTION,
+    "position_owner": POSITION_OWNER,
+    "parsed_statements": PARSED_STATEMENTS,
+    "array_append": ARRAY_APPEND,
+    "packed_statements": PACKED_STATEMENTS,
     "range_types": RANGE_TYPES,
     "function_fields": FUNCTION_FIELDS,
     "custom_task": CUSTOM_TASK,

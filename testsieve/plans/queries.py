@@ -62,7 +62,15 @@ _QUERIES: dict[str, Query] = {
     "struct_fields": rt.struct_fields,
     "func_text": rt.func_text,
     "resolve_calls": rt.resolve_calls,
+    "call_owners": rt.call_owners,
+    "owner_expansion": rt.owner_expansion,
+    "scenario_origin": rt.scenario_origin,
+    "range_resolution": rt.range_resolution,
     "enclosing_function": rt.enclosing_function,
+    "position_owner": rt.position_owner,
+    "parsed_statements": rt.parsed_statements,
+    "array_append": rt.array_append,
+    "packed_statements": rt.packed_statements,
     "range_types": rt.range_types,
     "function_fields": rt.function_fields,
     "custom_task": rt.custom_task,

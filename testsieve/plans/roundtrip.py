@@ -235,11 +235,8 @@ def chain_facts(spark, sf_dir):
 
 
 def _expansion(spark, sf_dir):
-    from testsieve.operators import expand as ex
     f = chain_facts(spark, sf_dir)
-    tests = f.tests()
-    nodes = _stored(spark, sf_dir, "expansion", lambda: ex.expand(tests, f.stmts, f.funcs, spark))
-    return tests, nodes
+    return f.tests(), _stored(spark, sf_dir, "expansion", f.expand)
 
 
 def expand_calls(spark, sf_dir):
@@ -431,7 +428,7 @@ def selector_calls(spark, sf_dir):
     fn = f.funcs.select("project", "path", "func_line", "name", sm.tester_param(F.col("header")).alias("tv"))
     s = fn.join(f.stmts, ["project", "path", "func_line"], "left")
     pat = F.concat(F.lit(r"^\s*"), F.col("tv"), F.lit(r"\s*\.\s*\w+\s*\("))
-    hit = F.coalesce(F.rlike(F.col("flat"), pat) & ex.is_expr_stmt(F.col("flat"), sm.deepest(f.stmts)), F.lit(False))
+    hit = F.coalesce(F.rlike(F.col("flat"), pat) & ex.is_expr_stmt(F.col("flat"), f.levels()), F.lit(False))
     return s.groupBy("path", "name").agg(F.count_if(hit).alias("n_selector_calls"))
 
 
@@ -454,30 +451,135 @@ def func_text(spark, sf_dir):
         F.array_join(F.transform("ls", lambda x: x["text"]), "\n"), r"\s+", " ")).alias("text_ws"))
 
 
+def _call_resolutions(f):
+    """Every call that an expansion can meet, of every function, with its resolution and
+    the function that it names (empty if there is none or more than one)."""
+    key = ["project", "path", "func_line"]
+    of = f.funcs.select("project", F.col("path").alias("def_path"), F.col("func_line").cast("int").alias("def_line"), F.col("name").alias("target"), F.col("path").alias("target_path"))
+    named = f.calls().join(of, ["project", "def_path", "def_line"], "left")
+    calls = f.all_calls().join(f.funcs.select(*key, "name"), key)
+    r = calls.join(named, [*key, "stmt_ord", "owner", "callee"], "left")
+    only = F.col("resolution") == "resolved"
+    return r.select("path", "name", F.col("stmt_ord").cast("int").alias("stmt_ord"), "owner", "callee", F.coalesce("resolution", F.lit("unresolved")).alias("resolution"),
+                    F.when(only, F.col("target_path")).otherwise(F.lit("")).alias("def_path"),
+                    F.when(only, F.col("def_line")).otherwise(F.lit(0)).cast("int").alias("def_line"))
+
+
 def resolve_calls(spark, sf_dir):
-    """Calls of each chain test's own statements resolved inside the package."""
+    """The calls of all functions of the chain corpus, resolved inside their packages."""
+    return _call_resolutions(chain_facts(spark, sf_dir))
+
+
+def owner_facts(spark, sf_dir):
+    from testsieve.plans.analyze import Facts
+    return _stored(spark, sf_dir, "owners", lambda: Facts(fx.owner_corpus(spark, sf_dir), None))
+
+
+def call_owners(spark, sf_dir):
+    """Calls on imports, receivers, fields, results and embedded types, names hidden by
+    local ones, declared twice or in the other package of a folder."""
+    return _call_resolutions(owner_facts(spark, sf_dir))
+
+
+def owner_expansion(spark, sf_dir):
+    """R1 with J1: nodes and deepest level of the tests of the owner corpus."""
     from testsieve.operators import expand as ex
-    from testsieve.operators import decls as dc_
-    from testsieve.operators import statements as sm
-    f = chain_facts(spark, sf_dir)
-    tests = f.tests().select("project", "path", "func_line", "name")
-    s = f.stmts.join(tests, ["project", "path", "func_line"])
-    calls = s.select("project", "path", "name", F.explode(ex.statement_calls(F.col("flat"), sm.deepest(f.stmts))).alias("c"))
-    calls = calls.select("project", "path", "name", F.col("c.callee").alias("callee"),
-                         F.col("c.is_selector").alias("is_selector"),
-                         dc_.package_dir(F.col("path")).alias("pkg_dir"))
-    r = calls.join(ex.definitions(f.funcs), ["project", "pkg_dir", "callee", "is_selector"], "left")
-    return r.select("path", "name", "callee", F.coalesce("resolution", F.lit("unresolved")).alias("resolution"))
+    f = owner_facts(spark, sf_dir)
+    s = ex.expansion_summary(_stored(spark, sf_dir, "owner expansion", f.expand))
+    return (f.tests().select("project", "path", "func_line", "name").join(s, ["project", "path", "func_line"], "left")
+            .select("path", "name", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_nodes", "max_level"))))
+
+
+def table_facts(spark, sf_dir):
+    from testsieve.plans.analyze import Facts
+    return _stored(spark, sf_dir, "tables", lambda: Facts(fx.table_corpus(spark, sf_dir), None))
+
+
+def _tables_analysed(spark, sf_dir):
+    from testsieve.plans import analyze as an
+    from testsieve.session import cut_lineage
+    return _stored(spark, sf_dir, "tables analysis", lambda: cut_lineage(an.analysis(table_facts(spark, sf_dir))))
+
+
+def scenario_origin(spark, sf_dir):
+    """Where the scenarios of each test stand (clause, local, helper, file), how many
+    they are and the first of them (masked)."""
+    return _tables_analysed(spark, sf_dir).select(
+        "path", "name", "scenario_source", F.col("scenario_count").alias("n_scenarios"),
+        F.coalesce(F.try_element_at("scenarios", F.lit(1)), F.lit("")).alias("first_scenario"))
+
+
+def range_resolution(spark, sf_dir):
+    """Is the type of the ranged expression found, through results, assignments, fields
+    and parts of lists, and which container is it."""
+    return _tables_analysed(spark, sf_dir).select(
+        "path", "name", "range_resolution", F.col("data_structure").alias("container"), F.coalesce("scenario_type", F.lit("")).alias("scenario_type"))
 
 
 def enclosing_function(spark, sf_dir):
-    """Lines calling ``t.Log`` attributed to their enclosing top-level function."""
+    """Every line of every file attributed to the function that holds it; how many of a
+    function's lines call ``t.Log``."""
+    from testsieve.operators import positions as ps
+    f = facts(spark, sf_dir)
+    log = F.col("masked").rlike(r"\bt\s*\.\s*Log\s*\(")
+    ls = f.lines.select("project", "path", F.col("line_no").alias("line"), log.alias("log"))
+    spans = f.funcs.select("project", "path", F.col("func_line").alias("start_line"), "end_line", "name")
+    j = ps.outermost(ls, spans).filter("name is not null")
+    return j.groupBy("path", "name").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("log").alias("n_log_lines"))
+
+
+def position_owner(spark, sf_dir):
+    """Positions that messages name, attributed to the outermost function around them;
+    those outside of functions and in files that are not visited have none."""
+    from testsieve.operators import positions as ps
     f = facts(spark, sf_dir)
-    ls = f.lines.filter(F.col("masked").rlike(r"\bt\s*\.\s*Log\s*\(")).select(
-        "project", "path", F.col("decl_line").alias("func_line"), "line_no")
-    fn = f.funcs.select("project", "path", "func_line", "end_line", "name")
-    j = ls.join(fn, ["project", "path", "func_line"]).filter(F.col("line_no") <= F.col("end_line"))
-    return j.groupBy("path", "name").agg(F.count(F.lit(1)).alias("n_log_lines"))
+    p = ps.positions_in(fx.messages(spark, sf_dir), "message", keep=("project",))
+    p = p.groupBy("project", "path", "line").agg(F.count(F.lit(1)).alias("m"))
+    spans = f.funcs.select("project", "path", F.col("func_line").alias("start_line"), "end_line", "name")
+    return (ps.outermost(p, spans).groupBy("path", F.coalesce("name", F.lit("")).alias("name"))
+            .agg(F.sum("m").alias("n_positions")))
+
+
+def parsed_statements(spark, sf_dir):
+    """Documents with the expansion trees written as JSON, read back, and the trees taken
+    apart into nodes again."""
+    from testsieve.operators import expand as ex
+    from testsieve.sources import sinks as sk
+    tests, nodes = _expansion(spark, sf_dir)
+    out = sk.scratch_dir(spark, "trees")
+    sk.write_json_documents(sk.json_documents(tests, nodes), out)
+    docs = sk.read_json_documents(spark, out).select(F.col("TestCase.filePath").alias("path"), F.col("TestCase.name").alias("name"), "ParsedStatements")
+    rows = ex.expansion_rows(docs, ["path", "name"])
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("node_path", "text"))), lambda x: x["text"])
+    return rows.groupBy("path", "name").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("level").cast("long").alias("max_level"),
+                                            F.array_join(texts, " > ").alias("preorder"))
+
+
+def array_append(spark, sf_dir):
+    """Three appends to one JSON array, the second as one nested element, read in order."""
+    from testsieve.sources import jsonarray as ja
+    from testsieve.sources import sinks as sk
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("p"))
+    parts = parts.withColumn("element", F.to_json(F.struct("p")))
+    out = sk.scratch_dir(spark, "array")
+    for i in range(3):
+        ja.append_elements(parts.filter(F.col("p") % 3 == i), out, ["p"], flatten=i != 1)
+    rows = ja.read_elements(spark, out)
+    return rows.groupBy("part", "nested").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min_by("element", "place").alias("first_element"), F.max_by("element", "place").alias("last_element"))
+
+
+def packed_statements(spark, sf_dir):
+    """Statements that share a line, blocks on one line and clauses with `;`."""
+    from testsieve.operators import statements as sm
+    from testsieve.plans import analyze as an
+    from testsieve.session import cut_lineage
+    f = _stored(spark, sf_dir, "packed", lambda: an.Facts(fx.packed_corpus(spark, sf_dir), None))
+    a = _stored(spark, sf_dir, "packed analysis", lambda: cut_lineage(an.analysis(f)))
+    n = sm.count_statements(f.stmts)
+    return a.join(n, ["project", "path", "func_line"], "left").select(
+        "path", "name", F.coalesce("n_statements", F.lit(0)).cast("long").alias("n_statements"), "uses_subtest",
+        F.col("scenario_count").alias("n_scenarios"), "name_field")
 
 
 def range_types(spark, sf_dir):

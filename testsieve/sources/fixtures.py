@@ -254,3 +254,125 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             ext = F.when(F.col("doc_id") % 5 == i, F.lit(e)).otherwise(ext)
     name = F.when(ext.isNull(), F.col("source")).otherwise(F.concat(F.col("source"), F.lit("."), ext))
     return d.select("doc_id", name.alias("file_name"))
+
+
+# ---------------------------------------------------------------- calls and their owners
+
+N_OWNER_PKGS = 40
+
+
+def _text(template: str, **parts) -> F.Column:
+    """Column of a template: ``@name@`` stands for the column ``parts[name]``."""
+    pieces = template.split("@")
+    return F.concat(*[F.lit(p) if i % 2 == 0 else parts[p].cast("string") for i, p in enumerate(pieces)])
+
+
+# Bodies of the eight shapes of the owner corpus (`c`: the key, `g`: its group of eight).
+_OWNER_SHAPES = [
+    "type R@c@ struct {\n\tx int\n}\n\nfunc (r *R@c@) Println(n int) {\n\t_ = n\n}\n\n"
+    "func dup@g@(t *testing.T) {\n\tt.Log()\n}\n\nfunc TestO@c@(t *testing.T) {\n\tfmt.Println(@c@)\n}",
+    "func TestO@c@(t *testing.T) {\n\ttwin@g@(t)\n}\n\nfunc twin@g@(t *testing.T) {\n\tt.Helper()\n}",
+    "func TestO@c@(t *testing.T) {\n\ttwin@g@(t)\n}\n\nfunc twin@g@(t *testing.T) {\n\tt.Helper()\n\tt.Log()\n}",
+    "type A@c@ struct {\n\tn int\n}\n\ntype B@c@ struct {\n\tn int\n}\n\nfunc (a A@c@) Do@c@() {\n\t_ = a\n}\n\n"
+    "func (b *B@c@) Do@c@() {\n\t_ = b\n\t_ = b.n\n}\n\nfunc TestO@c@(t *testing.T) {\n\tx := &B@c@{n: 1}\n\tx.Do@c@()\n}",
+    "type In@c@ struct {\n\tn int\n}\n\nfunc (i *In@c@) Deep@c@() {\n\t_ = i\n}\n\ntype Out@c@ struct {\n\tIn@c@\n\tf In@c@\n}\n\n"
+    "func TestO@c@(t *testing.T) {\n\tvar o Out@c@\n\to.Deep@c@()\n\to.f.Deep@c@()\n}",
+    "type S@c@ struct {\n\tn int\n}\n\nfunc New@c@() *S@c@ {\n\treturn nil\n}\n\nfunc (s *S@c@) With@c@(n int) *S@c@ {\n\treturn s\n}\n\n"
+    "func TestO@c@(t *testing.T) {\n\tNew@c@().With@c@(1).With@c@(2)\n}",
+    "func hid@c@(t *testing.T) {\n\tt.Helper()\n}\n\nfunc TestO@c@(t *testing.T) {\n\thid@c@ := func(t *testing.T) {}\n\thid@c@(t)\n}",
+    "func TestO@c@(t *testing.T) {\n\tdup@g@(t)\n}\n\nfunc dup@g@(t *testing.T) {\n\tt.Helper()\n}",
+]
+
+
+def owner_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file for each customer: what a call belongs to, in the eight ways of
+    ``_OWNER_SHAPES``; shape 1 is in the ``_test`` package of its folder."""
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c")).withColumn("g", F.floor(F.col("c") / 8))
+    pkg = (F.col("g") % N_OWNER_PKGS).cast("string")
+    body = F.lit(None).cast("string")
+    for i, shape in enumerate(_OWNER_SHAPES):
+        body = F.when(F.col("c") % 8 == i, _text(shape, c=F.col("c"), g=F.col("g"))).otherwise(body)
+    head = F.concat(F.lit("package own"), pkg, F.when(F.col("c") % 8 == 1, F.lit("_test")).otherwise(F.lit("")),
+                    F.lit('\n\nimport (\n\t"fmt"\n\t"testing"\n)\n\n'))
+    return rows.select(F.lit("own").alias("project"), F.concat(F.lit("/src/own/pkg"), pkg, F.lit("/o"), F.col("c").cast("string"), F.lit("_test.go")).alias("path"),
+                       F.concat(head, body, F.lit("\n")).alias("content"))
+
+
+# ---------------------------------------------------------------- where scenarios stand
+
+# Bodies of the eight shapes of the table corpus; `@rows@` are n scenarios, `@more@` n + 1.
+_TABLE_SHAPES = [
+    "func TestT@c@(t *testing.T) {\n\tfor _, tt := range []row@c@{\n@rows@\t} {\n\t\tt.Log(tt.name)\n\t}\n}\n\n"
+    "func TestN@c@(t *testing.T) {\n\tt.Skip()\n}",
+    "func TestT@c@(t *testing.T) {\n\ttests := []row@c@{\n@rows@\t}\n\tfor _, tt := range tests {\n\t\tt.Log(tt.name)\n\t}\n}",
+    "func TestT@c@(t *testing.T) {\n\ttests := build@c@()\n\tfor _, tt := range tests {\n\t\tt.Log(tt.name)\n\t}\n}\n\n"
+    "func build@c@() []row@c@ {\n\trows := []row@c@{\n@rows@\t}\n\treturn rows\n}",
+    "var cases@c@ = []row@c@{\n@rows@}\n\nfunc TestT@c@(t *testing.T) {\n\tfor _, tt := range cases@c@ {\n\t\tt.Log(tt.name)\n\t}\n}",
+    "func (s *suite@c@) cases() []row@c@ {\n\treturn []row@c@{\n@rows@\t}\n}\n\nfunc TestT@c@(t *testing.T) {\n\ts := &suite@c@{}\n"
+    "\tfor _, tt := range s.@member@ {\n\t\tt.Log(tt.name)\n\t}\n}",
+    "func TestT@c@(t *testing.T) {\n\tfor _, tt := range ext.Cases() {\n\t\tt.Log(tt)\n\t}\n}",
+    "func TestT@c@(t *testing.T) {\n\ttests := []row@c@{\n@rows@\t}\n\tsetup@c@(t)\n\tfor _, tt := range tests {\n\t\tt.Log(tt.name)\n\t}\n}\n\n"
+    "func setup@c@(t *testing.T) {\n\tt.Helper()\n\textra := []row@c@{\n@more@\t}\n\t_ = extra\n}",
+    "func TestT@c@(t *testing.T) {\n\tbase := build@c@()\n\tall := append(base, base[0])\n\tfor _, tt := range all[1:] {\n\t\tt.Log(tt.name)\n\t}\n}\n\n"
+    "func build@c@() (rows []row@c@) {\n\trows = []row@c@{\n@rows@\t}\n\treturn\n}",
+]
+
+
+def table_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file for each customer: a table-driven test whose scenarios stand where the shape
+    ``c % 8`` puts them, ``(c div 8) % 5`` of them."""
+    c, g = F.col("c"), F.col("g")
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c")).withColumn("g", F.floor(c / 8))
+    n = g % 5
+
+    def scenarios(count, letter):
+        each = F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(F.lit(f'\t\t{{"{letter}'), (i % 10).cast("string"), F.lit('", 1},\n')))
+        return F.when(count > 0, F.array_join(each, "")).otherwise(F.lit(""))
+    parts = {"c": c, "rows": scenarios(n.cast("int"), "a"), "more": scenarios((n + 1).cast("int"), "long"),
+             "member": F.when(g % 2 == 0, F.lit("cases()")).otherwise(F.lit("rows"))}
+    body = F.lit(None).cast("string")
+    for i, shape in enumerate(_TABLE_SHAPES):
+        body = F.when(c % 8 == i, _text(shape, **parts)).otherwise(body)
+    pkg = (g % N_OWNER_PKGS).cast("string")
+    head = F.concat(F.lit("package tab"), pkg, F.lit('\n\nimport (\n\text "example.com/x/ext/v2"\n\t"testing"\n)\n\n'),
+                    _text("type row@c@ struct {\n\tname string\n\twant int\n}\n\ntype suite@c@ struct {\n\trows []row@c@\n}\n\n", c=c))
+    return rows.select(F.lit("tab").alias("project"), F.concat(F.lit("/src/tab/pkg"), pkg, F.lit("/t"), c.cast("string"), F.lit("_test.go")).alias("path"),
+                       F.concat(head, body, F.lit("\n")).alias("content"))
+
+
+# ---------------------------------------------------------------- messages with positions
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(project, message)`` for each line item: a message that names a line of the file of
+    order ``l_orderkey``, as a failing test or a load error prints it."""
+    li = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    keyed = _shape_keys(li, "l_linenumber")
+    line = 1 + (F.col("l_linenumber") * 7 + F.col("k")) % 70
+    return keyed.select("project", F.concat(F.lit("    "), _shape_path(), F.lit(":"), line.cast("string"), F.lit(":3: got 1, want 2")).alias("message"))
+
+
+# ---------------------------------------------------------------- packed statements
+
+# Bodies of the five shapes of the packed corpus.
+_PACKED_SHAPES = [
+    "func TestP@c@(t *testing.T) {\n\ta := 1; b := 2\n\t_ = a + b\n}",
+    'func TestP@c@(t *testing.T) {\n\ttests := []struct{ name string }{ {"a;"}, {"b"} }\n'
+    "\tfor _, tt := range tests { t.Run(tt.name, func(t *testing.T) { t.Log(tt.name); t.Log(1) }) }\n}",
+    "func TestP@c@(t *testing.T) {\n\tfor i := 0; i < 3; i++ { t.Log(i); t.Log(i) }\n"
+    "\tif x := 1; x > 0 { t.Log(x) } else if y := x; y > 0 { t.Log(y) }\n"
+    "\tswitch z := 2; z {\n\tcase 1:\n\t\tt.Log(z); t.Log(z)\n\t}\n}",
+    'func TestP@c@(t *testing.T) {\n\ttests := map[string]int{"a": 1}\n\tfor name, want := range tests {\n'
+    "\t\t_ = want; t.Run(name, func(t *testing.T) {})\n\t}\n}",
+    "func TestP@c@(t *testing.T) { a := 1; t.Log(a); t.Skip() }",
+]
+
+
+def packed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file for each customer with a test of the shape ``c % 5``."""
+    c = F.col("c")
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"))
+    body = F.lit(None).cast("string")
+    for i, shape in enumerate(_PACKED_SHAPES):
+        body = F.when(c % 5 == i, _text(shape, c=c)).otherwise(body)
+    return rows.select(F.lit("packed").alias("project"), F.concat(F.lit("/src/packed/pkg"), (c % N_OWNER_PKGS).cast("string"), F.lit("/p"), c.cast("string"), F.lit("_test.go")).alias("path"),
+                       F.concat(F.lit('package packed\n\nimport "testing"\n\n'), body, F.lit("\n")).alias("content"))

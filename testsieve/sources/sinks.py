@@ -111,7 +111,8 @@ def json_documents(analysed: DataFrame, nodes: DataFrame | None = None,
                    refactor: DataFrame | None = None) -> DataFrame:
     """one nested document per test with the reference's field names, and
     ``doc_key`` = ``<project>/<project>_<package>_<test>.json`` (S11). The file
-    path is part of the row, so same-named packages do not collide. The source texts are those
+    path is part of the row, so same-named packages do not collide. With ``nodes`` (an expansion)
+    it holds the tree as ``ParsedStatements``, a VARIANT. The source texts are those
     of :func:`testsieve.plans.analyze.document_texts`; a document without them has the header."""
     a = analysed
     if refactor is not None:
@@ -145,10 +146,16 @@ def json_documents(analysed: DataFrame, nodes: DataFrame | None = None,
         c("refactored_result", F.lit("notRun")).alias("refactoredTestResult"))
     key = F.concat(F.col("project"), F.lit("/"), F.col("project"), F.lit("_"),
                    c("package", F.lit("")), F.lit("_"), F.col("name"), F.lit(".json"))
-    return a.select(
-        "project", "path", key.alias("doc_key"),
+    docs = a.select(
+        "project", "path", "func_line", key.alias("doc_key"),
         test_case.alias("TestCase"), scenario_set.alias("ScenarioSet"),
         c("imports", empty).alias("ImportedPackages"), refactor_result.alias("RefactorResult"))
+    if nodes is not None:
+        from testsieve.operators.expand import expansion_json
+        trees = expansion_json(nodes).select("project", "path", "func_line", F.parse_json("json").alias("ParsedStatements"))
+        docs = docs.join(trees, ["project", "path", "func_line"], "left").withColumn(
+            "ParsedStatements", F.coalesce("ParsedStatements", F.parse_json(F.lit("[]"))))
+    return docs.drop("func_line")
 
 
 def write_json_documents(docs: DataFrame, path: str, append: bool = False) -> None:
@@ -174,6 +181,7 @@ DOCUMENT_SCHEMA = T.StructType([
             T.StructField("refactored", T.StringType()), T.StructField("filePath", T.StringType())]))),
         T.StructField("originalTestResult", T.StringType()),
         T.StructField("refactoredTestResult", T.StringType())])),
+    T.StructField("ParsedStatements", T.VariantType()),
     T.StructField("project", T.StringType()),
 ])
 
