@@ -52,11 +52,12 @@ class CallPatterns:
 
     def __init__(self, levels: int):
         group = r"\(" + sm.balanced(levels, "()") + r"\)"
-        callee = r"[A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*"
+        index, braces = r"\[" + sm.balanced(levels) + r"\]", r"\{" + sm.balanced(levels) + r"\}"
+        callee = r"[A-Za-z_]\w*(?:\s*(?:(?:" + index + "|" + braces + r")\s*)*\.\s*[A-Za-z_]\w*)*"
         # A whole call: callee expression and its balanced argument list; of a chain
         # `a().b()` the last one is the call. Scanning left to right, non-overlapping
         # matches are exactly the outermost calls.
-        self.call = r"(?<![\w.])" + callee + r"\s*" + group + r"(?:\s*\.\s*" + callee + r"\s*" + group + r")*+"
+        self.call = r"(?<![\w.])" + callee + r"\s*" + group + r"(?:\s*(?:" + index + r"\s*)*\.\s*" + callee + r"\s*" + group + r")*+"
         # owner, name and arguments of the (last) call
         self.parts = r"^(?:(.*)\.)?\s*([A-Za-z_]\w*)\s*\((" + sm.balanced(levels, "()") + r")\)$"
         self.whole = r"^\s*" + self.call + r"\s*$"

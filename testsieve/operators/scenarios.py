@@ -84,28 +84,29 @@ def top_level_items(elems, levels: int):
     return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
 
 
-def _literal_facts(df: DataFrame, expr_col: str, levels: int, keep_all: bool = False) -> DataFrame:
+def _literal_facts(df: DataFrame, expr_col: str, levels: int, types: DataFrame, keep_all: bool = False) -> DataFrame:
     """Add literal facts: ``lit_type, lit_container, lit_elem, n_elems, lit_items,
     first_ok``; rows whose expression is not a literal are dropped unless
-    ``keep_all``."""
+    ``keep_all``. A named list or map type is followed to what it names."""
     ltype, elems = literal_parts(F.col(expr_col), levels)
     df = df.withColumn("lit_type", normalize_type(ltype)).withColumn("lit_elems", elems)
     if not keep_all:
         df = df.filter(F.col("lit_type") != "")
+    df = _resolve(df, "lit_type", types, "lit_under")
     items = top_level_items(F.col("lit_elems"), levels)
     first = F.trim(F.try_element_at(items, F.lit(1)))
     keyed = first.rlike(r"^[^{]*:")
-    container = _container(F.col("lit_type"))
+    container = _container(F.col("lit_under"))
     first_ok = (F.size(items) > 0) & ~first.startswith("&") & F.when(
         container == "map", keyed).otherwise(~keyed)
     return (df.withColumn("lit_container", container)
-            .withColumn("lit_elem", _elem(F.col("lit_type")))
+            .withColumn("lit_elem", _elem(F.col("lit_under")))
             .withColumn("n_elems", F.size(items).cast("long"))
             .withColumn("lit_items", F.transform(items, lambda x: F.trim(x)))
-            .withColumn("first_ok", first_ok))
+            .withColumn("first_ok", first_ok).drop("lit_under"))
 
 
-def local_literals(stmts: DataFrame, levels: int) -> DataFrame:
+def local_literals(stmts: DataFrame, levels: int, types: DataFrame) -> DataFrame:
     """Assignments / ``var`` statements whose single right-hand side is a
     composite literal: ``(test key, stmt_ord, var_name, lit_*)``."""
     flat = F.col("flat")
@@ -118,10 +119,10 @@ def local_literals(stmts: DataFrame, levels: int) -> DataFrame:
                      F.when(is_var, v_lhs).otherwise(a_lhs).alias("var_name"),
                      F.when(is_var, v_rhs).otherwise(a_rhs).alias("rhs"))
     s = s.filter((F.col("rhs") != "") & ~F.col("var_name").contains(","))
-    return _literal_facts(s, "rhs", levels)
+    return _literal_facts(s, "rhs", levels, types)
 
 
-def file_var_literals(lines: DataFrame, levels: int | None = None) -> DataFrame:
+def file_var_literals(lines: DataFrame, types: DataFrame, levels: int | None = None) -> DataFrame:
     """Package-level ``var x = T{...}`` of each file, in file order."""
     d = dc.decl_texts(lines, ("var",)).filter(F.col("kind") == "var").withColumn("flat", sm.flatten(F.col("masked")))
     levels = sm.deepest(d) if levels is None else levels
@@ -131,7 +132,7 @@ def file_var_literals(lines: DataFrame, levels: int | None = None) -> DataFrame:
                  F.regexp_extract(spec, sm.VAR_PATTERN, 1).alias("var_name"),
                  normalize_type(F.regexp_extract(spec, sm.VAR_PATTERN, 2)).alias("declared"),
                  F.regexp_extract(spec, sm.VAR_PATTERN, 3).alias("rhs"))
-    return _literal_facts(s.filter((F.col("rhs") != "") | (F.col("declared") != "")), "rhs", levels, keep_all=True)
+    return _literal_facts(s.filter((F.col("rhs") != "") | (F.col("declared") != "")), "rhs", levels, types, keep_all=True)
 
 
 def local_declarations(stmts: DataFrame) -> DataFrame:
@@ -215,7 +216,7 @@ def helper_literals(runner: DataFrame, facts, types: DataFrame, levels: int) ->
     if roots.isEmpty():
         return None
     nodes = facts.expand(roots).filter("kind = 'stmt' and level > 0").join(facts.tests().select(*TEST_KEY, "pkg"), TEST_KEY)
-    lits = local_literals(nodes.select(*TEST_KEY, "pkg", F.col("node_path").alias("stmt_ord"), "flat"), levels)
+    lits = local_literals(nodes.select(*TEST_KEY, "pkg", F.col("node_path").alias("stmt_ord"), "flat"), levels, types)
     return _resolve(lits, "lit_elem", types, "lit_elem_id").withColumnRenamed("stmt_ord", "node_path")
 
 
@@ -237,12 +238,12 @@ def scenario_sets(tests: DataFrame, stmts: DataFrame, lines: DataFrame, facts=No
     levels = sm.deepest(stmts) if facts is None else facts.levels()
     keys = tests.select(*TEST_KEY)
     loops = range_loops(stmts, levels).join(keys, TEST_KEY, "left_semi")
-    loops = _literal_facts(loops.withColumn("rhs", F.col("range_expr")), "rhs", levels, keep_all=True)
+    loops = _literal_facts(loops.withColumn("rhs", F.col("range_expr")), "rhs", levels, types, keep_all=True)
     loops = _keep(_resolve(loops, "lit_elem", types, "lit_elem_id"))
 
-    lits = local_literals(stmts, levels).join(keys, TEST_KEY, "left_semi")
+    lits = local_literals(stmts, levels, types).join(keys, TEST_KEY, "left_semi")
     lits = _keep(_resolve(lits, "lit_elem", types, "lit_elem_id"))
-    file_level = file_var_literals(lines) if facts is None else facts.file_vars()
+    file_level = file_var_literals(lines, types) if facts is None else facts.file_vars()
     fvars = _keep(_resolve(file_level, "lit_elem", types, "lit_elem_id"))
 
     # Type of the ranged expression: literal in the clause, else the

@@ -70,7 +70,7 @@ class Facts:
 
     def file_vars(self) -> DataFrame:
         """Package-level variables with their literals."""
-        return self._once("file_vars", lambda: cut_lineage(sc.file_var_literals(self.lines)))
+        return self._once("file_vars", lambda: cut_lineage(sc.file_var_literals(self.lines, self.types())))
 
     def all_calls(self) -> DataFrame:
         """Every call that an expansion can meet, of every function."""

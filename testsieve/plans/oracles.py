@@ -705,6 +705,8 @@ ORACLES: dict[str, str] = {
     "function_fields": FUNCTION_FIELDS,
     "custom_task": CUSTOM_TASK,
     "stream_append": "SELECT run_id, result, message FROM (" + RUN_MESSAGES + ")",
+    "stream_statistics": "SELECT * FROM (" + STATISTICS + ") WHERE totalFiles > 0",
+    "stream_func_decls": FUNC_DECLS,
     "report_text": REPORT_TEXT,
     "json_roundtrip": JSON_ROUNDTRIP,
     "json_flatten": JSON_FLATTEN,

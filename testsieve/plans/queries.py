@@ -75,6 +75,8 @@ _QUERIES: dict[str, Query] = {
     "function_fields": rt.function_fields,
     "custom_task": rt.custom_task,
     "stream_append": rt.stream_append,
+    "stream_statistics": rt.stream_statistics,
+    "stream_func_decls": rt.stream_func_decls,
     "report_text": rt.report_text,
     "json_roundtrip": rt.json_roundtrip,
     "append_contract": rt.append_contract,

@@ -418,6 +418,39 @@ def stream_append(spark, sf_dir):
     return sa.read_appended(spark, f"{base}/out").select("run_id", "result", "message")
 
 
+def _streamed(spark, sf_dir):
+    """The shape corpus as a stream in two steps: every file in a first revision (a third of them
+    with another text, some that are taken away again), then the changed files."""
+    from testsieve.sources import sinks as sk
+    from testsieve.streaming import files as sf
+
+    def build():
+        base = sk.scratch_dir(spark, "files")
+        files, errs = shapes(spark, sf_dir)
+        f_no = F.regexp_extract(F.col("path"), r"/f(\d+)(?:_test)?\.go$", 1).cast("long")
+        older = F.when(f_no % 3 == 1, F.concat(F.col("content"), F.lit("\nfunc TestOld(t *testing.T) {\n\tt.Log(1)\n}\n"))).otherwise(F.col("content"))
+        gone = files.filter(f_no % 7 == 2).withColumn("path", F.concat(F.substring_index("path", "/f", 1), F.lit("/gone"), f_no.cast("string"), F.lit("_test.go")))
+        first = files.withColumn("content", older).unionByName(gone).withColumn("revision", F.lit(1).cast("long"))
+        second = files.filter(f_no % 3 == 1).unionByName(gone.withColumn("content", F.lit(None).cast("string"))).withColumn("revision", F.lit(2).cast("long"))
+        for rows in (first, second):
+            rows.select("project", "path", "content", "revision").write.mode("append").parquet(f"{base}/in")
+            sf.file_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", errs)
+        return f"{base}/out"
+    return _stored(spark, sf_dir, "streamed", build)
+
+
+def stream_statistics(spark, sf_dir):
+    """Statistics of a stream of source files after changes and removals."""
+    from testsieve.streaming import files as sf
+    return sf.statistics(spark, _streamed(spark, sf_dir)).filter("totalFiles > 0")
+
+
+def stream_func_decls(spark, sf_dir):
+    """Functions of a stream of source files after changes and removals."""
+    from testsieve.streaming import files as sf
+    return sf.func_decls(spark, _streamed(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- more fact queries
 
 def selector_calls(spark, sf_dir):
