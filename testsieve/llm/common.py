@@ -8,6 +8,7 @@ Hashes are 64-bit and the same on every machine (no use of Python's ``hash``).
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -49,6 +50,18 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "16m"):
+    """Bounds the bytes of the record batches of what runs inside, for rows that hold much."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testsieve.llm.common import chain, map_arrow, mix, table, text_slices, word_hashes, written
+from testsieve.llm.common import chain, map_arrow, mix, small_batches, table, text_slices, word_hashes, written
 
 K = 64
 LEAST = 32
@@ -188,6 +188,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 c = b.column(0).slice(first, len(sets))
                 keep = [class_of(s) == x for s, x in zip(sets, c.to_pylist())]
                 yield pa.RecordBatch.from_arrays([c, pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["c", "members"]).filter(pa.array(keep, pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return map_arrow(rows, run, "c bigint, members binary").groupBy("c").agg(F.first("members").alias("members"))
 
@@ -205,6 +206,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= 80 * (len(x) + len(y) - common))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return map_arrow(both.select("a", "b", "ma", "mb"), run, "a bigint, b bigint")
 
@@ -294,6 +296,11 @@ def judged(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, t (hash of id and text), n_shingles, component_id, kept, chosen of every row.
     ``kept`` goes by the id, so rows that share the smallest one are all kept; ``chosen`` are
     the rows of one id and text of each component."""
+    with small_batches(docs.sparkSession):
+        return _judged(docs, width)
+
+
+def _judged(docs: DataFrame, width: int) -> DataFrame:
     rows = written(sketches(docs, width), "dup-sketches")
     classes = written(rows.filter("c is not null").groupBy("c").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testsieve.llm.common import id_remainder, map_arrow, mix, table, text_slices
+from testsieve.llm.common import id_remainder, map_arrow, mix, small_batches, table, text_slices
 
 SIZES = (3, 4, 5)
 FEATURE_BITS = 20
@@ -29,6 +29,8 @@ MAX_TRAIN = 8_000
 
 #: Bytes of text whose n-grams a task holds together (several 64-bit values for each byte).
 SLICE = 1 << 18
+#: Entries of the training matrix that a step of the fit looks at together.
+BLOCK = 1 << 20
 
 _lower: np.ndarray | None = None
 
@@ -96,24 +98,32 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, least_ratio: float = 1.0, le
     ratio = np.log((p / (labels.sum() + 2)) / (q / ((1 - labels).sum() + 2)))
     use = (np.abs(ratio) >= least_ratio) & (p + q - 2 >= least_docs)
     ids = np.flatnonzero(use)
-    column = np.full(size, -1, np.int64)
+    column = np.full(size, -1, np.int32)
     column[ids] = np.arange(len(ids))
     active = [column[own[use[own]]] for own in rows]
+    sizes = [len(a) for a in active]
     col = np.concatenate(active)
-    doc = np.repeat(np.arange(len(rows)), [len(a) for a in active])
-    x = ratio[ids][col] / max(np.abs(ratio[ids]).max(), 1e-9) if len(ids) else np.zeros(0)
+    del active
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    # a feature's value is the same in every text that has it: its scaled log-count ratio
+    scale = ratio[ids] / max(np.abs(ratio[ids]).max(), 1e-9) if len(ids) else np.zeros(0)
+    blocks = [slice(at, at + BLOCK) for at in range(0, len(col), BLOCK)]
     w, b, n = np.zeros(len(ids)), np.log(share / (1 - share)), len(labels)
     m, v, mb, vb = np.zeros(len(ids)), np.zeros(len(ids)), 0.0, 0.0
     for t in range(1, steps + 1):  # full-batch Adam: the same result on every run
-        z = np.bincount(doc, w[col] * x, n) + b
+        z, value = np.full(n, b), w * scale
+        for own in blocks:
+            z += np.bincount(doc[own], value[col[own]], n)
         g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / n
-        gw, gb = np.bincount(col, g[doc] * x, len(ids)) + l2 * w, g.sum()
+        met = np.zeros(len(ids))
+        for own in blocks:
+            met += np.bincount(col[own], g[doc[own]], len(ids))
+        gw, gb = met * scale + l2 * w, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         f, s = 1 - 0.9 ** t, 1 - 0.999 ** t
         w = w - 0.1 * (m / f) / (np.sqrt(v / s) + 1e-8)
         b = b - 0.1 * (mb / f) / (np.sqrt(vb / s) + 1e-8)
-    scale = ratio[ids] / max(np.abs(ratio[ids]).max(), 1e-9) if len(ids) else np.zeros(0)
     return ids, (w * scale).astype(np.float32), float(b)
 
 
@@ -133,14 +143,18 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN):
                 blobs = [feature[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 at = slice(first, first + len(blobs))
                 yield pa.RecordBatch.from_arrays([pa.array(label[at].astype(np.int32)), pa.array(k[at]), pa.array(blobs, pa.binary())], ["label", "k", "features"])
+        pa.default_memory_pool().release_unused()
 
     def learn(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("k").to_numpy(), kind="stable")  # independent of arrival
         blobs = [b.as_buffer() for b in rows.column("features")]
         ids, weights, bias = fit([np.frombuffer(blobs[i], "<u4") for i in order], rows.column("label").to_numpy()[order].astype(np.float64))
+        del blobs, rows
+        pa.default_memory_pool().release_unused()  # the worker lives on
         return pa.table({"ids": [ids.astype("<i8").tobytes()], "weights": [weights.tobytes()], "bias": [bias]})
 
-    got = (map_arrow(sample, features, "label int, k bigint, features binary").groupBy().applyInArrow(learn, "ids binary, weights binary, bias double").collect())
+    with small_batches(docs.sparkSession):
+        got = (map_arrow(sample, features, "label int, k bigint, features binary").groupBy().applyInArrow(learn, "ids binary, weights binary, bias double").collect())
     if not got:
         return np.zeros(0, np.int64), np.zeros(0, np.float32), -40.0
     r = got[0]
@@ -185,6 +199,7 @@ def clean(docs: DataFrame, model, threshold: float) -> DataFrame:
         for b in batches:
             keep = score(b.column(b.schema.get_field_index("text"))) < threshold
             yield b.filter(pa.array(keep))
+        pa.default_memory_pool().release_unused()
 
     return map_arrow(docs, run, docs.schema)
 
