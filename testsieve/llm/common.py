@@ -51,7 +51,7 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
 
 
 @contextlib.contextmanager
-def small_batches(spark: SparkSession, size: str = "16m"):
+def small_batches(spark: SparkSession, size: str = "4m"):
     """Bounds the bytes of the record batches of what runs inside, for rows that hold much."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
@@ -111,7 +111,7 @@ _inverses = np.ones(1, np.uint64)
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n, 2 * len(_powers), 1 << 16)  # grows with the slices that are met
         with np.errstate(over="ignore"):
             p = np.full(size, _BASE, np.uint64)
             q = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
