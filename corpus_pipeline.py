@@ -9,6 +9,8 @@ by one. Labels of ids that a stage no longer sees are not used. Empty tables pas
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,20 +21,35 @@ from testsieve.llm.common import table, written
 TOXIC, QUALITY = 0.3, 0.3
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE = 5
+#: Bytes of a record batch between Spark and Python in every stage. Batches are held several at
+#: once on either side, and a stage's executors still hold what the stages before have left.
+BATCH = "4m"
+
+
+def lean(stage):
+    """``stage`` with the session set to small record batches, for what it runs and returns."""
+    @functools.wraps(stage)
+    def run_lean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+        return stage(spark, docs, sf_dir)
+    return run_lean
 
 
+@lean
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4, trained on all labels of the documents at hand."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     return toxicity.clean(docs, toxicity.train(docs, labels), TOXIC)
 
 
+@lean
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8, trained on all labels of the documents at hand."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     return quality.good(docs, quality.train(docs, labels), QUALITY)
 
 
+@lean
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: of each group the document with the smallest id stays (ids that are null come
     last), of texts that share it one; of repeated rows one."""
@@ -54,6 +71,7 @@ def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["_gone"], "left_anti")
 
 
+@lean
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: a document with any benchmark window goes."""
     judged = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -61,6 +79,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return without(docs, gone, "k")
 
 
+@lean
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     import public_tokenizers
