@@ -644,7 +644,7 @@ def rewrite_reanalysis(spark, sf_dir):
     from testsieve.plans import analyze as an
     f, _, _, rewritten = _refactor(spark, sf_dir)
     files = rf.patched_files(f.lines, rewritten)
-    f2 = an.Facts(files, None, persist=False)
+    f2 = an.Facts(files, None, store="checkpoint")
     # Functions after a rewritten one move down, so the patched corpus is
     # joined back by name (unique per file for functions without receiver).
     fk = ["project", "path", "func_line"]
