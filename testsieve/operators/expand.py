@@ -208,6 +208,8 @@ def expand(tests: DataFrame, stmts: DataFrame, funcs: DataFrame, spark: SparkSes
     """
     checkpoint_dir(spark)
     # every text of the tree is a piece of some statement, so this depth holds for all levels
+    if resolved is None:
+        stmts, funcs = cut_lineage(stmts), cut_lineage(funcs)
     levels_deep = sm.deepest(stmts) if levels_deep is None else levels_deep
     if resolved is None:
         resolved = resolved_calls(all_calls(stmts, levels_deep), stmts, funcs, levels_deep, test_only=test_only)

@@ -55,8 +55,11 @@ class Facts:
         if persist:
             self.stmts = cut_lineage(self.stmts)
         self._kept: dict = {}
+        self._lazy = not persist
 
     def _once(self, name: str, build):
+        if self._lazy:  # what follows reads these several times
+            self._lazy, self.funcs, self.stmts = False, cut_lineage(self.funcs), cut_lineage(self.stmts)
         if name not in self._kept:
             self._kept[name] = build()
         return self._kept[name]
@@ -93,6 +96,7 @@ class Facts:
 
 def analysis(facts: Facts) -> DataFrame:
     """Per valid test: test case columns + scenario set + imports."""
+    facts.levels()  # facts that are not kept yet are materialised here, once
     tests = facts.tests()
     ss = sc.scenario_sets(tests, facts.stmts, facts.lines, facts)
     info = dc.file_info(facts.lines)
