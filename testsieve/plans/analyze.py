@@ -59,7 +59,8 @@ class Facts:
 
     def _once(self, name: str, build):
         if self._lazy:  # what follows reads these several times
-            self._lazy, self.funcs, self.stmts = False, cut_lineage(self.funcs), cut_lineage(self.stmts)
+            self._lazy, self.lines = False, cut_lineage(self.lines)
+            self.funcs, self.stmts = cut_lineage(self.funcs), cut_lineage(self.stmts)
         if name not in self._kept:
             self._kept[name] = build()
         return self._kept[name]
