@@ -9,6 +9,7 @@ Hashes are 64-bit and the same on every machine (no use of Python's ``hash``).
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -62,6 +63,15 @@ def small_batches(spark: SparkSession, size: str = "4m"):
         spark.conf.set(key, before)
 
 
+def give_back() -> None:
+    """At the end of a task's work: what it has freed goes back to the system, as the worker
+    lives on and shares its executor's memory with the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

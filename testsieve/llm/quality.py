@@ -5,8 +5,9 @@ the sum of the index vectors of its neighbours over all documents, scaled to len
 its own index vector. Words fall into 2**14 hash buckets (a word met often all but owns its
 bucket), so the vectors are a table of fixed size whatever the input; each task adds up its
 own part and the parts are summed by bucket. A document is the mean and the spread of the
-vectors of its words. A two-layer network is trained in numpy on at most ``max_train``
-labelled rows (smallest hash of the id); its temperature is fitted on rows left out.
+vectors of its words. A two-layer network is trained in numpy on the labelled ids with the
+smallest ``max_train`` hashes, and of their rows the ``max_train`` with the smallest hash of id
+and text (rows that repeat both teach once); its temperature is fitted on rows left out.
 
 Words are runs of letters, of digits, or of one other sign; line ends count; a word that
 repeats one of the two before it becomes a marker word.
@@ -14,7 +15,7 @@ repeats one of the two before it becomes a marker word.
 Defined results: null text counts as empty and is scored as a document without words;
 labels of null or for unknown ids are not used, conflicting labels of an id count as 0;
 without both classes the score is the share of label 1 (0.5 without labels); repeated rows
-and null ids are rows of their own; other columns are ignored.
+and null ids are scored as rows of their own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testsieve.llm.common import id_remainder, map_arrow, mix, runs, ship, span_hashes, table, text_slices
+from testsieve.llm.common import give_back, id_remainder, map_arrow, mix, runs, ship, span_hashes, table, text_slices
 
 BUCKET_BITS = 14
 WIDTH = 48
@@ -91,6 +92,7 @@ def context_sums(docs: DataFrame) -> DataFrame:
             raw, size = total[met].astype("<f4").tobytes(), 4 * WIDTH
             vectors = pa.array([raw[i:i + size] for i in range(0, len(raw), size)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), vectors], ["bucket", "vector"])
+        give_back()
 
     return map_arrow(docs.select("text"), run, "bucket int, vector binary")
 
@@ -146,7 +148,7 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, seed: int = 7):
         self.share = float(y.mean()) if len(y) else 0.5
-        self.trained = 0 < self.share < 1 and len(y) >= 20
+        self.trained = len(y) > 0 and 0 < self.share < 1
         if not self.trained:
             return
         rng = np.random.Generator(np.random.PCG64(seed))
@@ -201,7 +203,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN):
             x = pool(b.column(0), shared.value)
             yield pa.RecordBatch.from_arrays([pa.array([r.astype("<f4").tobytes() for r in x], pa.binary()), b.column(1), b.column(2)], ["x", "label", "k"])
 
-    got = sorted(map_arrow(sample, run, "x binary, label int, k bigint").collect(), key=lambda r: r.k)
+    # an id may stand in many rows: at most max_train rows, whatever their ids
+    pooled = map_arrow(sample, run, "x binary, label int, k bigint").dropDuplicates(["k"])
+    got = pooled.orderBy("k").limit(max_train).collect()
+    shared.unpersist()
     x = np.frombuffer(b"".join(r.x for r in got), "<f4").reshape(-1, 2 * WIDTH + 1).astype(np.float64)
     return vectors, Network(x, np.array([r.label for r in got], np.float64))
 
@@ -228,6 +233,7 @@ def good(docs: DataFrame, model, threshold: float) -> DataFrame:
         for b in batches:
             keep = network.score(pool(b.column(b.schema.get_field_index("text")), vectors)) >= threshold
             yield b.filter(pa.array(keep))
+        give_back()
 
     return map_arrow(docs, run, docs.schema)
 
