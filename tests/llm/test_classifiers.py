@@ -45,3 +45,32 @@ def test_without_labels_or_with_one_class(spark, train, score, none):
     d = docs(spark, ROWS)
     assert {round(r.score, 6) for r in score(d, train(d, labels(spark, []))).collect()} == {none}
     assert {round(r.score, 6) for r in score(d, train(d, labels(spark, [(1, 1), (2, 1)]))).collect()} == {1.0}
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_training_is_bounded_in_rows(spark, module, monkeypatch):
+    """An id that stands in many rows brings at most ``max_train`` rows to the fit; repeated rows
+    teach once, and the same rows teach whatever their order."""
+    seen = []
+    if module is toxicity:
+        given = toxicity.learnt
+        monkeypatch.setattr(toxicity, "learnt", lambda sample, *a: seen.append(sample.count()) or given(sample, *a))
+    else:
+        given = quality.Network
+        monkeypatch.setattr(quality, "Network", lambda x, y, *a: seen.append(len(y)) or given(x, y, *a))
+    rows = [(i % 2, ("vile clod " if i % 2 else "kind word ") * (1 + i // 2)) for i in range(300)]
+    own = labels(spark, [(0, 0), (1, 1)])
+    for given_rows in (rows, rows[::-1] + rows):
+        module.train(docs(spark, given_rows), own, max_train=100)
+        module.train(docs(spark, given_rows), own, max_train=1000)
+    assert seen == [100, 300, 100, 300]
+
+
+def test_few_labels_of_both_classes_train(spark):
+    """No least number of labels: a few rows of both classes already tell texts apart."""
+    for module in (toxicity, quality):
+        d = docs(spark, ROWS[:12])
+        extra = {"least_docs": 1, "least_ratio": 0.5} if module is toxicity else {}
+        model = module.train(d, labels(spark, [(i, i % 2) for i in range(1, 7)]), **extra)
+        by = {r.doc_id: r.score for r in module.scored(d, model).collect()}
+        assert min(by[i] for i in range(1, 12, 2)) > max(by[i] for i in range(2, 12, 2))

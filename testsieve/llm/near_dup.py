@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testsieve.llm.common import chain, map_arrow, mix, small_batches, table, text_slices, word_hashes, written
+from testsieve.llm.common import chain, give_back, map_arrow, mix, small_batches, table, text_slices, word_hashes, written
 
 K = 64
 LEAST = 32
@@ -92,7 +92,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [own.column(0), own.column(2), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([s[:K].astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "t", "c", "n", "sketch"])
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return map_arrow(docs, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t bigint, c bigint, n bigint, sketch array<bigint>")
 
@@ -189,7 +189,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 c = b.column(0).slice(first, len(sets))
                 keep = [class_of(s) == x for s, x in zip(sets, c.to_pylist())]
                 yield pa.RecordBatch.from_arrays([c, pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["c", "members"]).filter(pa.array(keep, pa.bool_()))
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return map_arrow(rows, run, "c bigint, members binary").groupBy("c").agg(F.first("members").alias("members"))
 
@@ -207,7 +207,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= 80 * (len(x) + len(y) - common))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-        pa.default_memory_pool().release_unused()  # the worker lives on
+        give_back()
 
     return map_arrow(both.select("a", "b", "ma", "mb"), run, "a bigint, b bigint")
 
