@@ -26,7 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from testsieve.llm.common import SLICE_BYTES, map_arrow, table, written
+from testsieve.llm.common import give_back, map_arrow, table, written
+
+#: Bytes of text that are cut into words together.
+SLICE = 1 << 20
 
 
 class WordIds:
@@ -34,15 +37,18 @@ class WordIds:
 
     Exact for tokenizers whose tokens never cross white space and which drop it. Words not
     met yet are encoded many at a time, with a special token between them; words that hold a
-    special token's string, or are very long, are encoded one by one and not remembered."""
+    special token's string, or are very long, are encoded one by one and not remembered. Words
+    are remembered in two generations of about ``cache_entries`` each: a full one becomes the
+    older, and words of the older one that are not met before the next is full are forgotten."""
 
-    def __init__(self, path: str, cache_entries: int = 1_000_000):
+    def __init__(self, path: str, cache_entries: int = 400_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.mark, self.mark_id = min(special.items()) if special else (None, None)
         self.specials = list(special)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_entries = cache_entries
 
     def odd(self, word: str) -> bool:
@@ -64,8 +70,11 @@ class WordIds:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.cache) >= self.cache_entries:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
         missing = set().union(*split).difference(self.cache)
+        again = missing.intersection(self.older)
+        self.cache.update((w, self.older.pop(w)) for w in again)
+        missing -= again
         odd = {w for w in missing if self.odd(w)}
         self.learn(sorted(missing - odd))
         if not odd:
@@ -91,7 +100,7 @@ def encoded(enc: WordIds, column: pa.Array):
     for text in column:
         group.append(text.as_py() or "")
         size += len(group[-1])
-        if size >= SLICE_BYTES:
+        if size >= SLICE:
             yield from enc.encode(group)
             group, size = [], 0
     yield from enc.encode(group)
@@ -124,6 +133,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int) -> Data
                  pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(row), pa.int32()),
                  pa.array(nth, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+            give_back()
 
     return map_arrow(docs, run, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint")
 
