@@ -31,29 +31,34 @@ ANALYZE_COLUMNS = ["project", "filePath", "package", "name", "isTableDriven", "s
 class Facts:
     """Fact tables of one corpus.
 
-    Masking runs behind the single file exchange; the line and
+    Masking runs behind the single file exchange; the line, function and
     statement facts, read by several joins of the analysis, are materialised
-    once as reliable checkpoints in the shared checkpoint folder: later plans
-    start from them (short lineage, small plans) and survive lost executors.
+    once as bucketed tables (or reliable checkpoints) in the shared checkpoint
+    folder: later plans start from them (short lineage, small plans), read the
+    columns they use only and survive lost executors.
     """
 
     def __init__(self, files: DataFrame, load_errors: DataFrame | None = None, strict_vendor: bool = False,
                  persist: bool = True, store: str = "bucketed"):
         # masked behind the exchange: it carries one text of each file, not two
-        self.visited = cp.prepare_files(files.select("project", "path", "content"), load_errors, strict_vendor)
+        files = files.select("project", "path", "content")
+        parts = cp.file_partitions(cp.skip_vendor(files, strict_vendor))
+        self.visited = cp.prepare_files(files, load_errors, strict_vendor, parts)
         self.lines = ln.file_lines(self.visited)
-        if persist and store == "bucketed":
-            self.lines = store_bucketed(self.lines, "lines", sort=("project", "path", "line_no"))
-        elif persist:
-            self.lines = cut_lineage(self.lines)
+        most = int(files.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+        bucketed = persist and store == "bucketed"
+
+        def kept(df, name, *order):
+            # buckets are the partitions, so each task writes one file and what reads it is as small
+            if not bucketed:
+                return cut_lineage(df) if persist else df
+            return store_bucketed(df, name, sort=("project", "path", *order), buckets=min(parts, most))
+        self.lines = kept(self.lines, "lines", "line_no")
         self.funcs = (dc.func_decls(self.lines).withColumnRenamed("start_line", "func_line")
                       .join(dc.import_names(self.lines), ["project", "path"], "left")
                       .withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))))
-        if persist:
-            self.funcs = cut_lineage(self.funcs)
-        self.stmts = sm.statements(self.lines)
-        if persist:
-            self.stmts = cut_lineage(self.stmts)
+        self.funcs = kept(self.funcs, "funcs", "func_line")
+        self.stmts = kept(sm.statements(self.lines), "stmts", "func_line", "stmt_ord")
         self._kept: dict = {}
         self._lazy = not persist
 

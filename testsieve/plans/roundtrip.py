@@ -54,7 +54,7 @@ def distinct_files(spark, sf_dir):
     files, errs = shapes(spark, sf_dir)
     f_no = F.regexp_extract(F.col("path"), r"/f(\d+)(?:_test)?\.go$", 1).cast("long")
     twice = files.unionByName(files.filter(f_no % 7 == 0))
-    return _per_project_files(cp.prepare_files(twice, errs).select("project", "path"))
+    return _per_project_files(cp.prepare_files(twice.select("project", "path"), errs))
 
 
 def statistics_by_dir(spark, sf_dir):
@@ -374,8 +374,9 @@ def json_roundtrip(spark, sf_dir):
 def append_contract(spark, sf_dir):
     """Two appends with the same header are kept, an append with a
     reordered header is refused; the CSV read back holds both batches."""
+    from testsieve.session import cut_lineage
     from testsieve.sources import sinks as sk
-    stats = q_stats(spark, sf_dir)
+    stats = cut_lineage(q_stats(spark, sf_dir))  # both appends write the same rows
     out = sk.scratch_dir(spark, "csv")
     sk.write_csv(stats, out)
     sk.write_csv(stats, out, append=True)
@@ -644,7 +645,7 @@ def rewrite_reanalysis(spark, sf_dir):
     from testsieve.plans import analyze as an
     f, _, _, rewritten = _refactor(spark, sf_dir)
     files = rf.patched_files(f.lines, rewritten)
-    f2 = an.Facts(files, None, store="checkpoint")
+    f2 = an.Facts(files, None)
     # Functions after a rewritten one move down, so the patched corpus is
     # joined back by name (unique per file for functions without receiver).
     fk = ["project", "path", "func_line"]

@@ -36,7 +36,7 @@ def run_task(task: CorpusTask, files: DataFrame, load_errors: DataFrame | None =
              by: str = "project") -> DataFrame:
     """Visit the corpus like the built-in jobs (vendor / error filters, one row
     per file), extract per file, reduce per group."""
-    visited = cp.prepare_files(ln.masked_files(files.select("project", "path", "content")), load_errors)
+    visited = ln.masked_files(cp.prepare_files(files.select("project", "path", "content"), load_errors))
     src = ln.file_lines(visited) if task.on_lines else visited
     rows = src.transform(task.extract).withColumn("group", group_column(by))
     return rows.transform(task.report)

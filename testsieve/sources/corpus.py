@@ -89,7 +89,33 @@ def relative_path(path_col, project_col):
 
 
 
+#: Bytes of text whose lines one task sorts: as rows with their keys they take some twenty times
+#: as much. Below ``LEAST_TEXT`` a task is not worth its start.
+MOST_TEXT, LEAST_TEXT = 16 << 20, 1 << 20
+
+
+def partitions_of(n_bytes: int, partitions: int) -> int:
+    """Tasks for so many bytes of text: ``partitions`` of them, fewer if the text is little (two
+    at least, as a single one would not be dealt by key), more if it is much."""
+    return max(2, min(partitions, n_bytes // LEAST_TEXT), -(-n_bytes // MOST_TEXT))
+
+
+def file_partitions(files: DataFrame) -> int:
+    """:func:`partitions_of` the bytes of all texts, added up by one scan. Neither the size of
+    the sources nor that of a shuffle tells it: both are compressed."""
+    n_bytes = files.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    usual = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_of(n_bytes, usual)
+    # as many as a shuffle has: files that come from one by the same key would keep its
+    # partitions, which adaptive execution coalesces by their compressed size
+    return n + 1 if n == usual else n
+
+
 def prepare_files(files: DataFrame, load_errors: DataFrame | None = None,
-                  strict_vendor: bool = False) -> DataFrame:
-    """S2 + S3 + S6 in one pass: the visited files."""
-    return distinct_files(skip_error_files(skip_vendor(files, strict_vendor), load_errors))
+                  strict_vendor: bool = False, partitions: int | None = None) -> DataFrame:
+    """S2 + S3 + S6: the visited files, in as many partitions by file key as their text asks for
+    (:func:`file_partitions`, unless given), so what is sorted per file stays in memory."""
+    kept = skip_vendor(files, strict_vendor)
+    if "content" in files.columns:
+        kept = kept.repartition(partitions or file_partitions(kept), *FILE_KEY)
+    return distinct_files(skip_error_files(kept, load_errors))

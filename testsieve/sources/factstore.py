@@ -15,6 +15,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+from testsieve import session
 from testsieve.session import checkpoint_dir
 
 
@@ -47,8 +48,11 @@ _TABLES: list[str] = []
 
 
 def release(spark) -> None:
-    """Drop the fact tables that this process has written, with their files."""
+    """Drop the fact tables and lineage cuts that this process has written, with their files."""
     fs = spark._jvm.org.apache.hadoop.fs
+    while session._cuts:
+        path = fs.Path(session._cuts.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     while _TABLES:
         table = _TABLES.pop()
         location = [r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect() if r.col_name == "Location"]

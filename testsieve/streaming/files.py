@@ -36,10 +36,10 @@ DELTA_SCHEMA = "project string, " + ", ".join(f"{c} bigint" for c in SUMS)
 def file_records(files: DataFrame) -> DataFrame:
     """Facts of each file (``FACT_SCHEMA``) from rows (project, path, content, revision), one for
     each file; a file without content is not ``present``."""
-    lines = ln.file_lines(files.filter("content is not null").select("project", "path", "content"))
-    functions = dc.func_decls(lines).groupBy(*FILE_KEY).agg(F.array_sort(F.collect_list(F.struct(
-        "start_line", "name", F.col("end_line").cast("int").alias("end_line"), "is_method"))).alias("fs"))
-    facts = dc.file_facts(lines).join(functions, FILE_KEY, "left")
+    present = files.filter("content is not null").select("project", "path", "content")
+    lines = ln.file_lines(present.repartition(cp.file_partitions(present), *FILE_KEY))
+    facts = dc.file_facts(lines, F.array_sort(F.collect_list(F.when((F.col("kind") == "func") & F.col("start_line").isNotNull(), F.struct(
+        "start_line", "name", F.col("end_line").cast("int").alias("end_line"), "is_method")))).alias("fs"))
     shaped = F.transform(F.coalesce("fs", F.array().cast("array<struct<start_line:int,name:string,end_line:int,is_method:boolean>>")), lambda f: F.struct(
         f["name"].alias("name"), f["start_line"].cast("int").alias("start_line"), f["end_line"].alias("end_line"), f["is_method"].alias("is_method")))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
