@@ -65,3 +65,28 @@ def test_pieces_are_the_tokenizers(spark):
     bound = max(math.ceil(sum(ends.values()) / 64), sum(r.length > 32 for r in got))
     assert max(ends.values()) <= 64 and len(ends) <= bound * 11 / 9 + 2
     assert packing.packed(docs(spark, []), path).count() == 0
+
+
+def test_plain_text_is_cut_without_the_whole_tokenizer(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, t = packing.WordIds(path, 50), Tokenizer.from_file(path)
+    rng = random.Random(7)
+    plain = ["".join(rng.choice("abcSTLREéÉßÿ'''.,!$<|>01²  \n\t\r") for _ in range(rng.randint(0, 90))).replace("²", "") for _ in range(300)]
+    other = ["Σας 中文 ﬁ á x\x1cy don't", "a<|endoftext|>b Don'T <|endoftext|> é", "İ ſs ½   it's " + "q" * 200, ""]
+    want = [t.encode(x, add_special_tokens=False).ids for x in plain + other]
+    assert [x.tolist() for x in words.encode(plain + other)] == want
+    assert [x.tolist() for x in words.encode(plain[::-1])] == want[len(plain) - 1::-1]  # remembered or forgotten
+    assert "q" * 200 not in words.words and "q" * 200 not in words.words.older
+
+    def whole(*a, **k):
+        raise AssertionError("plain text needs the model only")
+    monkeypatch.setattr(packing.WordIds, "one", whole)
+    monkeypatch.setattr(packing.WordIds, "learn", lambda self, missing: whole() if missing else None)
+    fresh = packing.WordIds(path)
+    assert [x.tolist() for x in fresh.encode(plain)] == want[:len(plain)]
+    # generations are bounded: a full one becomes the older, what that held goes
+    small = packing.Remembered(str.encode, 3)
+    for i in range(20):
+        small = small.renewed()
+        assert small[f"w{i}"] == f"w{i}".encode() and small["again"] == b"again"
+        assert len(small) + len(small.older) <= 8

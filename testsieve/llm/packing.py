@@ -18,6 +18,8 @@ ids are rows of their own; an empty table gives no rows; other columns are ignor
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from bisect import insort
 
@@ -30,33 +32,79 @@ from testsieve.llm.common import give_back, map_arrow, table, written
 
 #: Bytes of text that are cut into words together.
 SLICE = 1 << 20
+#: Words, and pieces of them, in a generation of what a worker remembers.
+CACHE = 200_000
+
+#: How a tokenizer cuts text into the pieces that its model encodes, if ``PIECES`` does the same
+#: for ``PLAIN`` text (printable ASCII, the letters of Latin-1, white space of ASCII).
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_PLAIN = "!-~À-ÖØ-öø-ÿ"
+PLAIN = re.compile(f"[{_PLAIN}\\t-\\r ]*")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+#: Longer words and pieces are not remembered.
+LONG = 64
+
+
+class Remembered(dict):
+    """Ids by text, in two generations of about ``entries`` each: a full one becomes the older,
+    and texts of the older one that are not met before the next is full are forgotten. ``ids``
+    encodes a text that neither has."""
+
+    def __init__(self, ids, entries: int, older: dict | None = None):
+        super().__init__()
+        self.ids, self.entries, self.older = ids, entries, {} if older is None else older
+
+    def __missing__(self, text: str) -> bytes:
+        own = self.older.pop(text, None)
+        if own is None:
+            own = self.ids(text)
+        if len(text) <= LONG:
+            self[text] = own
+        return own
+
+    def renewed(self) -> Remembered:
+        """What to go on with: a new generation if this one is full."""
+        if len(self) < self.entries:
+            return self
+        self.older = {}
+        return Remembered(self.ids, self.entries, self)
 
 
 class WordIds:
     """Ids of whole texts, encoded one run without blanks at a time and remembered.
 
-    Exact for tokenizers whose tokens never cross white space and which drop it. Words not
-    met yet are encoded many at a time, with a special token between them; words that hold a
-    special token's string, or are very long, are encoded one by one and not remembered. Words
-    are remembered in two generations of about ``cache_entries`` each: a full one becomes the
-    older, and words of the older one that are not met before the next is full are forgotten."""
+    Exact for tokenizers whose tokens never cross white space and which drop it. If the
+    tokenizer cuts text as ``PIECES`` does, plain text is cut here and its model encodes each
+    piece that is not remembered. Other words are encoded many at a time, with a special token
+    between them; those that hold a special token's string, or are very long, are encoded one by
+    one and not remembered."""
 
-    def __init__(self, path: str, cache_entries: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, cache_entries: int = CACHE):
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.mark, self.mark_id = min(special.items()) if special else (None, None)
         self.specials = list(special)
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.cache_entries = cache_entries
+        rules = json.loads(self.tokenizer.to_str())
+        self.cuts = (rules["normalizer"], rules["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
+        self.model, self.bytes = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.words, self.pieces = Remembered(self.one, cache_entries), Remembered(self.piece, cache_entries)
 
     def odd(self, word: str) -> bool:
-        return len(word) > 64 or self.mark is None or any(s in word for s in self.specials)
+        return len(word) > LONG or self.mark is None or any(s in word for s in self.specials)
 
     def one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = self.bytes.pre_tokenize_str(piece)[0][0]
+        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+
     def learn(self, missing: list[str]) -> None:
         for at in range(0, len(missing), 4096):
             part = missing[at:at + 4096]
@@ -65,22 +113,26 @@ class WordIds:
             if len(ends) != len(part) - 1:
                 raise ValueError("the tokenizer does not keep its special token apart")
             raw, ends = ids.tobytes(), (ends * 4).tolist()
-            self.cache.update(zip(part, [raw[x:y] for x, y in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)])]))
+            self.words.update(zip(part, [raw[x:y] for x, y in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)])]))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def by_word(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) >= self.cache_entries:
-            self.older, self.cache = self.cache, {}
-        missing = set().union(*split).difference(self.cache)
-        again = missing.intersection(self.older)
-        self.cache.update((w, self.older.pop(w)) for w in again)
-        missing -= again
-        odd = {w for w in missing if self.odd(w)}
-        self.learn(sorted(missing - odd))
-        if not odd:
-            return [np.frombuffer(b"".join(map(self.cache.__getitem__, words)), "<u4") for words in split]
-        own = {w: self.one(w) for w in odd}
-        return [np.frombuffer(b"".join([own[w] if w in own else self.cache[w] for w in words]), "<u4") for words in split]
+        self.words = known = self.words.renewed()
+        missing = {w for w in set().union(*split) if w not in known and w not in known.older}
+        own = {w for w in missing if self.odd(w)}
+        plain = {w for w in missing - own if self.cuts and PLAIN.fullmatch(w)}
+        self.learn(sorted(missing - own - plain))
+        own, plain = {w: self.one(w) for w in own}, {w: self.by_piece(w) for w in plain}
+        return [b"".join([own[w] if w in own else plain[w] if w in plain else known[w] for w in words]) for words in split]
+
+    def by_piece(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PIECES.findall(text.lower())))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        self.pieces = self.pieces.renewed()
+        plain = [self.cuts and PLAIN.fullmatch(t) is not None and not any(s in t for s in self.specials) for t in texts]
+        rest = iter(self.by_word([t for t, p in zip(texts, plain) if not p]))
+        return [np.frombuffer(self.by_piece(t) if p else next(rest), "<u4") for t, p in zip(texts, plain)]
 
 
 _encoders: dict[str, WordIds] = {}
