@@ -43,38 +43,38 @@ def _shape_keys(orders: DataFrame, *keep: str) -> DataFrame:
 
 
 def _rows(template: str) -> str:
-    """SQL text: ``n`` scenario rows built from ``template`` (``@i@`` = row index)."""
+    """SQL text: ``s.n`` scenario rows built from ``template`` (``@i@`` = row index)."""
     body = template.replace("@i@", "', cast(i AS string), '")
-    return ("CASE WHEN n > 0 THEN concat(array_join(transform(sequence(0, n - 1), "
+    return ("CASE WHEN s.n > 0 THEN concat(array_join(transform(sequence(0, s.n - 1), "
             "i -> concat('" + body + "')), '\\n'), '\\n') ELSE '' END")
 
 
 _STRUCT_ROW = '\\t\\t{"s{@i@", 1}, // }'
 _MAP_ROW = '\\t\\t"s{@i@": {1},'
 
-# Text of each function shape; `k` is the key, `n` the scenario count.
+# Text of each function shape of a struct `s`; `k` is the key, `n` the scenario count.
 _FUNC_SQL = """
-CASE v
- WHEN 0 THEN concat('func TestK', k, '(t *testing.T) {\\n',
+CASE s.v
+ WHEN 0 THEN concat('func TestK', s.k, '(t *testing.T) {\\n',
    '\\ttests := []struct {\\n\\t\\tname string\\n\\t\\twant int\\n\\t}{\\n',
    @STRUCT_ROWS@,
    '\\t}\\n\\tfor _, tt := range tests {\\n\\t\\tt.Log(tt.name, tt.want)\\n\\t}\\n}')
- WHEN 1 THEN concat('func TestK', k, '(t *testing.T) {\\n',
+ WHEN 1 THEN concat('func TestK', s.k, '(t *testing.T) {\\n',
    '\\ttests := []struct {\\n\\t\\tname string\\n\\t\\twant int\\n\\t}{\\n',
    @STRUCT_ROWS@,
    '\\t}\\n\\tfor _, tt := range tests {\\n',
    '\\t\\tt.Run(tt.name, func(t *testing.T) {\\n\\t\\t\\tt.Log(tt.want)\\n\\t\\t})\\n\\t}\\n}')
- WHEN 2 THEN concat('func TestK', k, '(t *testing.T) {\\n',
+ WHEN 2 THEN concat('func TestK', s.k, '(t *testing.T) {\\n',
    '\\ttests := map[string]struct {\\n\\t\\twant int\\n\\t}{\\n',
    @MAP_ROWS@,
    '\\t}\\n\\tfor name, tt := range tests {\\n\\t\\tt.Log(name, tt.want)\\n\\t}\\n}')
- WHEN 3 THEN concat('func TestK', k, '(t *testing.T) {\\n\\tt.Log("}")\\n}')
- WHEN 4 THEN concat('func Test_', k, '(t *testing.T) {\\n\\tt.Skip()\\n}')
- WHEN 5 THEN concat('func helper', k, '(t *testing.T) {\\n\\tt.Helper()\\n}')
- WHEN 6 THEN concat('func (s *S) TestK', k, '(t *testing.T) {\\n}')
- WHEN 7 THEN concat('func TestK', k, '(t *testing.T, x int) {\\n}')
- WHEN 8 THEN concat('func TestK', k, '(t *testing.T) error {\\n\\treturn nil\\n}')
- ELSE concat('func TestK', k, '(m *testing.M) {\\n}')
+ WHEN 3 THEN concat('func TestK', s.k, '(t *testing.T) {\\n\\tt.Log("}")\\n}')
+ WHEN 4 THEN concat('func Test_', s.k, '(t *testing.T) {\\n\\tt.Skip()\\n}')
+ WHEN 5 THEN concat('func helper', s.k, '(t *testing.T) {\\n\\tt.Helper()\\n}')
+ WHEN 6 THEN concat('func (s *S) TestK', s.k, '(t *testing.T) {\\n}')
+ WHEN 7 THEN concat('func TestK', s.k, '(t *testing.T, x int) {\\n}')
+ WHEN 8 THEN concat('func TestK', s.k, '(t *testing.T) error {\\n\\treturn nil\\n}')
+ ELSE concat('func TestK', s.k, '(m *testing.M) {\\n}')
 END
 """.replace("@STRUCT_ROWS@", _rows(_STRUCT_ROW)).replace("@MAP_ROWS@", _rows(_MAP_ROW))
 
@@ -97,25 +97,32 @@ def _shape_name():
 
 
 def shape_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One generated function per order: keys + function text."""
+    """One generated function per order: its keys."""
     keys = _shape_keys(_table(spark, sf_dir, "orders").select("o_orderkey"))
-    return keys.withColumn("path", _shape_path()).withColumn("func_text", F.expr(_FUNC_SQL))
+    return keys.withColumn("path", _shape_path())
+
+
+#: Functions whose keys one task groups into files. A table of keys is read by few tasks, as it
+#: is small; their texts are not.
+FUNCS_PER_TASK = 50_000
 
 
 def shape_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``source_file(project, path, content)``: five functions per file.
 
-    Assembled with one bounded group per file (at most five rows each).
+    Assembled with one bounded group per file (at most five rows each). The keys are dealt by
+    file number before anything is made of them: names and texts are not the work of the few
+    tasks that read the table.
     """
-    funcs = shape_functions(spark, sf_dir)
-    # Grouped by the file key alone, so the engine's per-file steps reuse this
-    # partitioning instead of shuffling the text a second time.
-    grouped = funcs.groupBy("project", "path").agg(
-        F.first("package").alias("package"),
-        F.array_sort(F.collect_list(F.struct("k", "func_text"))).alias("fs"))
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
+    tasks = max(1, -(-orders.count() // FUNCS_PER_TASK))
+    dealt = orders.withColumn("file", F.floor(F.col("o_orderkey") / FUNCS_PER_FILE)).repartition(tasks, "file")
+    funcs = _shape_keys(dealt, "file").withColumn("path", _shape_path())
+    grouped = funcs.groupBy("file", "project", "path").agg(
+        F.first("package").alias("package"), F.array_sort(F.collect_list(F.struct("k", "v", "n"))).alias("fs"))
     header = F.concat(F.lit("package "), F.col("package"),
                       F.lit('\n\nimport (\n\t"testing"\n\tstr "strings"\n)\n\n'))
-    body = F.array_join(F.transform("fs", lambda s: s["func_text"]), "\n\n")
+    body = F.array_join(F.expr(f"transform(fs, s -> {_FUNC_SQL})"), "\n\n")
     content = F.concat(header, body, F.lit("\n\n// trailing }\n"))
     return grouped.select("project", "path", content.alias("content"))
 
