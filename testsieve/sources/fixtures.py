@@ -107,6 +107,11 @@ def shape_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 FUNCS_PER_TASK = 50_000
 
 
+def _dealt(keys: DataFrame, by: str) -> DataFrame:
+    """The keys in tasks of ``FUNCS_PER_TASK``, however few row groups the table has."""
+    return keys.repartition(max(1, -(-keys.count() // FUNCS_PER_TASK)), by)
+
+
 def shape_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``source_file(project, path, content)``: five functions per file.
 
@@ -115,8 +120,7 @@ def shape_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks that read the table.
     """
     orders = _table(spark, sf_dir, "orders").select("o_orderkey")
-    tasks = max(1, -(-orders.count() // FUNCS_PER_TASK))
-    dealt = orders.withColumn("file", F.floor(F.col("o_orderkey") / FUNCS_PER_FILE)).repartition(tasks, "file")
+    dealt = _dealt(orders.withColumn("file", F.floor(F.col("o_orderkey") / FUNCS_PER_FILE)), "file")
     funcs = _shape_keys(dealt, "file").withColumn("path", _shape_path())
     grouped = funcs.groupBy("file", "project", "path").agg(
         F.first("package").alias("package"), F.array_sort(F.collect_list(F.struct("k", "v", "n"))).alias("fs"))
@@ -154,7 +158,7 @@ def chain_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``p % 4 = 0`` (a cycle) and ``t.Log()`` otherwise.
     """
     p = F.col("p_partkey")
-    parts = _table(spark, sf_dir, "part").select(p.alias("p"))
+    parts = _dealt(_table(spark, sf_dir, "part").select(p.alias("p")), "p")
     L = F.col("p") % 6
     ps = F.col("p").cast("string")
     test_body = F.when(L >= 1, F.concat(F.lit("\th"), ps, F.lit("_0(t)"))).otherwise(F.lit("\tt.Log()"))
@@ -294,7 +298,7 @@ _OWNER_SHAPES = [
 def owner_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file for each customer: what a call belongs to, in the eight ways of
     ``_OWNER_SHAPES``; shape 1 is in the ``_test`` package of its folder."""
-    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c")).withColumn("g", F.floor(F.col("c") / 8))
+    rows = _dealt(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c")), "c").withColumn("g", F.floor(F.col("c") / 8))
     pkg = (F.col("g") % N_OWNER_PKGS).cast("string")
     body = F.lit(None).cast("string")
     for i, shape in enumerate(_OWNER_SHAPES):
@@ -329,7 +333,7 @@ def table_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file for each customer: a table-driven test whose scenarios stand where the shape
     ``c % 8`` puts them, ``(c div 8) % 5`` of them."""
     c, g = F.col("c"), F.col("g")
-    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c")).withColumn("g", F.floor(c / 8))
+    rows = _dealt(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c")), "c").withColumn("g", F.floor(c / 8))
     n = g % 5
 
     def scenarios(count, letter):
@@ -377,7 +381,7 @@ _PACKED_SHAPES = [
 def packed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file for each customer with a test of the shape ``c % 5``."""
     c = F.col("c")
-    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"))
+    rows = _dealt(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c")), "c")
     body = F.lit(None).cast("string")
     for i, shape in enumerate(_PACKED_SHAPES):
         body = F.when(c % 5 == i, _text(shape, c=c)).otherwise(body)
