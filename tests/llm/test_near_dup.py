@@ -76,6 +76,41 @@ def test_last_round_and_shuffled_joins(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute(rows, 4)
 
 
+def copies_of_lost(rng, count, length, changes):
+    """Copies of one text that is not among them, few of them linked with each other."""
+    lost = [f"w{j}" for j in range(length)]
+    for _ in range(count):
+        w = list(lost)
+        for j in rng.sample(range(length), changes):
+            w[j] = f"x{rng.randrange(10 ** 6)}"
+        yield " ".join(w)
+
+
+def test_copies_of_a_lost_text_are_not_paired_with_each_other(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = list(enumerate(copies_of_lost(rng, 240, 100, 3)))
+    made, rare = [], near_dup.rare_pairs
+
+    def counted(*args):
+        made.append(rare(*args).count())
+        return rare(*args)
+    monkeypatch.setattr(near_dup, "rare_pairs", counted)
+    got = near_dup.near_duplicates(docs(spark, rows), 4).drop("t").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 4)
+    assert sum(made) < 240
+
+
+@pytest.mark.parametrize("crowd", [0, 3])
+def test_crowds_equal_all_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(near_dup, "PIVOT_GAIN", 1.0)
+    monkeypatch.setattr(near_dup, "CROWD", crowd)
+    monkeypatch.setattr(near_dup, "CROWDS", crowd)
+    rng = random.Random(7)
+    rows = rows_of(5) + [(2000 + i, t) for i, t in enumerate([*copies_of_lost(rng, 60, 40, 1), *copies_of_lost(rng, 60, 60, 2)])]
+    got = near_dup.near_duplicates(docs(spark, rows), 4).drop("t").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 4)
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, 2000 + i) for i in range(1, 80)]

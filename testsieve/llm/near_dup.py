@@ -18,6 +18,10 @@ component; rounds go on while each takes away a tenth of the pairs that are left
 components. What is left then is listed anew, by full sets:
 with shingles in order of rarity, two linked sets must share one of the rarest ninth of the
 smaller set and fifth of the larger one, at places that leave enough shingles behind them.
+Lists of rare shingles that are long make crowds, as copies of a lost original do that are not
+linked with each other; there, sets are listed by what they have and lack against the crowd's
+usual shingles, of which two linked sets must share some unless both are linked with the one
+nearest to the usual (:func:`crowd_pairs`).
 A pair is estimated from the union of the two sketches first and confirmed on the full sets
 last.
 
@@ -50,6 +54,10 @@ SLICE = 1 << 18
 #: to take away for another round to follow.
 PIVOTS = 4
 PIVOT_GAIN = 0.1
+#: Smaller sets in a list of rare shingles up to which its members are paired as they stand.
+CROWD = 8
+#: Crowds whose usual shingles are broadcast.
+CROWDS = 2_000
 
 
 def shingle_slices(column, width: int):
@@ -159,11 +167,56 @@ def rare_pairs(classes: DataFrame, sets: DataFrame) -> DataFrame:
               .select("c", "n", "root", F.size("shared").alias("size"), F.posexplode(F.slice("shared", F.lit(1), F.col("room"))).alias("at", "e"))
               .select("c", "n", "root", F.col("e.s").alias("s"), (F.col("n") - F.col("size") + F.col("at")).alias("place")))
     listed = written(listed, "dup-rare")
-    x = listed.filter(F.col("place") * 9 <= F.col("n"))
-    y = listed.select("s", *[F.col(k).alias(f"{k}2") for k in ("c", "n", "root", "place")])
+    small_end = F.col("place") * 9 <= F.col("n")
+    met = listed.groupBy("s").agg(F.count_if(small_end).alias("small"), F.min("c").alias("anchor"), F.count("*").alias("m")).filter("small > 0 and m > 1")
+    # one row meets at most CROWD others in a list; what stands in a longer one is a crowd
+    long_ = met.filter(F.col("small") > CROWD).select("s", "anchor")
+    listed = listed.join(met.select("s", "small"), "s")
+    x = listed.filter(small_end & (F.col("small") <= CROWD))
+    y = listed.filter(F.col("small") <= CROWD).select("s", *[F.col(k).alias(f"{k}2") for k in ("c", "n", "root", "place")])
     smaller = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("c") < F.col("c2")))
     room = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) * 9 >= (F.col("n") + F.col("n2")) * 4
-    return x.join(y, "s").filter(smaller & (F.col("root") != F.col("root2")) & room).select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
+    pairs = x.join(y, "s").filter(smaller & (F.col("root") != F.col("root2")) & room).select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b"))
+    crowds = components(listed.join(long_, "s").select(F.col("c").alias("a"), F.col("anchor").alias("b")))
+    members = written(crowds.select(F.col("node").alias("c"), F.col("root").alias("crowd")).join(classes, "c"), "dup-crowds")
+    if not members.isEmpty():
+        pairs = pairs.unionByName(crowd_pairs(members, rows))
+    return pairs.distinct()
+
+
+def crowd_pairs(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``members`` (c, crowd, n, root) of one crowd with different roots that may
+    be linked; ``rows`` are (c, s). A set is taken as its difference from the shingles that more
+    than half of the crowd have: d shingles too many or missing. Two sets that share k of theirs
+    differ in d + d2 - 2k shingles and are linked if 9 times that is at most n + n2; with
+    e = 9d - n, if 18k >= e + e2. Sets that need to share none are linked with the least e as
+    well, so all others have to share one, of which few have the rare ones."""
+    sets = rows.join(members.select("c", "crowd"), "c")
+    counts = sets.groupBy("crowd", "s").agg(F.count("*").alias("m")).join(small(members.groupBy("crowd").agg(F.count("*").alias("size")), CROWDS), "crowd")
+    common = F.col("m") * 2 > F.col("size")
+    usual = counts.filter(common).groupBy("crowd").agg(F.collect_list(F.struct((F.col("size") - F.col("m")).alias("m"), "s")).alias("usual"))
+    usual = small(written(usual, "dup-usual"), CROWDS)
+    own = sets.join(counts, ["crowd", "s"]).groupBy("c").agg(
+        F.collect_list(F.when(~common, F.struct("m", "s"))).alias("extra"), F.collect_list(F.when(common, F.struct((F.col("size") - F.col("m")).alias("m"), "s"))).alias("has"))
+    none = F.array().cast("array<struct<m:bigint,s:bigint>>")
+    differing = (members.join(own, "c").join(usual, "crowd", "left")
+                 .withColumn("diff", F.concat("extra", F.array_except(F.coalesce("usual", none), "has"))).withColumn("d", F.size("diff"))
+                 .withColumn("e", F.col("d") * 9 - F.col("n")).select("crowd", "c", "root", "d", "e", F.array_sort(F.filter("diff", lambda x: x["m"] > 1)).alias("shared")))
+    differing = written(differing, "dup-differing")
+    least = differing.groupBy("crowd").agg(F.min(F.struct("e", "c", "root")).alias("least"))
+    by = differing.join(small(least, CROWDS), "crowd")
+    star = by.filter((F.col("e") + F.col("least.e") <= 0) & (F.col("root") != F.col("least.root"))).select(
+        F.least("c", "least.c").alias("a"), F.greatest("c", "least.c").alias("b"))
+    # of two that have to share k the first shared one has k - 1 shared ones behind it in both
+    listed = by.select("crowd", "c", "root", "d", "e", F.col("least.e").alias("low"), F.size("shared").alias("size"), F.posexplode("shared").alias("at", "x")).select(
+        "crowd", "c", "root", "e", "low", F.col("x.s").alias("s"), (F.col("size") - F.col("at")).cast("long").alias("behind"))
+    listed = written(listed.filter(F.col("behind") * 18 >= F.col("e") + F.col("low")).drop("low"), "dup-differences")
+    x = listed.filter(F.col("behind") * 9 >= F.col("e"))
+    y = listed.select("crowd", "s", *[F.col(k).alias(f"{k}2") for k in ("c", "root", "e", "behind")])
+    lower = (F.col("e") < F.col("e2")) | ((F.col("e") == F.col("e2")) & (F.col("c") < F.col("c2")))
+    needed = F.col("e") + F.col("e2")
+    pairs = x.join(y, ["crowd", "s"]).filter(lower & (needed > 0) & (F.col("root") != F.col("root2")) & (F.least("behind", "behind2") * 18 >= needed))
+    return star.unionByName(pairs.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")))
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
