@@ -22,7 +22,8 @@ The automaton grows with the corpus, so it is never held in one place. Texts are
 chunks of about ``CHUNK_BYTES``; a chunk is one row of sorted distinct 64-bit n-gram
 hashes. Chunks send the n-grams they need, with their own training counts, to buckets of
 the hash range; buckets add up the counts and send each chunk the totals of what it asked
-for; chunks then walk their texts. Frequent words are added up inside chunks first.
+for; chunks then walk their texts. Frequent words are added up inside chunks first. Orders are
+asked for one after the other, and what was sent for one is deleted before the next.
 
 Defined results: null text is an empty text (its end token alone); a null id counts as
 empty text for the split (held out); repeated rows and ids are rows of their own; without
@@ -32,7 +33,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import itertools
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -124,25 +125,28 @@ def grams(vocabulary: np.ndarray, codes: np.ndarray, sizes: np.ndarray, order: i
         before = np.concatenate([whole[:1], whole[:-1]])
 
 
-def requests(rows: DataFrame, bits: int, order: int) -> DataFrame:
-    """n, bucket, chunk, keys, counts: the n-grams that a chunk needs, with its training counts."""
+def requests(rows: DataFrame, bits: int, n: int) -> DataFrame:
+    """n, bucket, chunk, keys, counts: the n-grams of ``n`` words that a chunk needs, with its
+    training counts."""
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 codes, sizes, vocabulary = unpack(r["codes"], "<u4"), unpack(r["sizes"], "<u4").astype(np.int64), unpack_sorted(r["vocabulary"])
                 train = np.repeat(np.frombuffer(r["train"], np.uint8).astype(bool), sizes)
-                longer = ((n, train[at], *np.unique(g, return_inverse=True)) for n, at, g in grams(vocabulary, codes, sizes, order))
-                for n, seen, keys, at in itertools.chain([(1, train, vocabulary, codes)], longer):
-                    counts = np.bincount(at[seen], minlength=len(keys))
-                    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
-                    edges = np.concatenate([[0], edges, [len(keys)]]).astype(np.int64)
-                    full = np.flatnonzero(np.diff(edges))
-                    cells = [slice(edges[i], edges[i + 1]) for i in full]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([n] * len(full), pa.int32()), pa.array(full.astype(np.int32)), pa.array([r["chunk"]] * len(full), pa.int64()),
-                         pa.array([pack_sorted(keys[c]) for c in cells], pa.binary()), pa.array([pack(counts[c], "<u4") for c in cells], pa.binary())],
-                        ["n", "bucket", "chunk", "keys", "counts"])
+                seen, keys, at = train, vocabulary, codes
+                for m, last, g in grams(vocabulary, codes, sizes, n):
+                    if m == n:
+                        seen, (keys, at) = train[last], np.unique(g, return_inverse=True)
+                counts = np.bincount(at[seen], minlength=len(keys))
+                edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else []
+                edges = np.concatenate([[0], edges, [len(keys)]]).astype(np.int64)
+                full = np.flatnonzero(np.diff(edges))
+                cells = [slice(edges[i], edges[i + 1]) for i in full]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([n] * len(full), pa.int32()), pa.array(full.astype(np.int32)), pa.array([r["chunk"]] * len(full), pa.int64()),
+                     pa.array([pack_sorted(keys[c]) for c in cells], pa.binary()), pa.array([pack(counts[c], "<u4") for c in cells], pa.binary())],
+                    ["n", "bucket", "chunk", "keys", "counts"])
 
     return map_arrow(rows, run, "n int, bucket int, chunk bigint, keys binary, counts binary")
 
@@ -240,7 +244,8 @@ def scored(docs: DataFrame, order: int = 2) -> DataFrame:
     count = rows.count()
     # about KEYS_PER_BUCKET keys meet in a bucket
     bits = max(3, int(np.ceil(np.log2(max(1, count * CHUNK_BYTES / 8 / KEYS_PER_BUCKET)))))
-    got = written(answers(requests(rows, bits, order)), "lm-answers")
+    # one order after the other, so that only one order's n-grams are on the executors' disks
+    got = functools.reduce(DataFrame.unionByName, [written(answers(requests(rows, bits, n)), f"lm-answers-{n}") for n in range(1, order + 1)])
     sums = (got.filter("chunk is null").select("n", F.posexplode("stats").alias("i", "v")).groupBy("n", "i").agg(F.sum("v").alias("v")).collect())
     stats: dict[int, np.ndarray] = {}
     for r in sums:  # 132 numbers for each n
