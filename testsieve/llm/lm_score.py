@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testsieve.llm.common import chain, id_remainder, map_arrow, mix, ship, table, text_slices, word_hashes, written
+from testsieve.llm.common import chain, give_back, id_remainder, map_arrow, mix, ship, table, text_slices, word_hashes, written
 
 ORDER = 3
 CHUNK_BYTES = 8 << 20
@@ -105,6 +105,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                     yield flush()
         if held:
             yield flush()
+        give_back()
 
     return map_arrow(docs, run, f"chunk bigint, ids array<{id_type}>, train binary, sizes binary, vocabulary binary, codes binary")
 
@@ -147,6 +148,8 @@ def requests(rows: DataFrame, bits: int, n: int) -> DataFrame:
                     [pa.array([n] * len(full), pa.int32()), pa.array(full.astype(np.int32)), pa.array([r["chunk"]] * len(full), pa.int64()),
                      pa.array([pack_sorted(keys[c]) for c in cells], pa.binary()), pa.array([pack(counts[c], "<u4") for c in cells], pa.binary())],
                     ["n", "bucket", "chunk", "keys", "counts"])
+                del codes, vocabulary, seen, keys, at, counts
+                give_back()
 
     return map_arrow(rows, run, "n int, bucket int, chunk bigint, keys binary, counts binary")
 
@@ -169,6 +172,8 @@ def answers(asked: DataFrame) -> DataFrame:
         stats = [float((met == 1).sum()), float((met == 2).sum()), float(len(met)), float(met.sum()),
                  *np.bincount(scale, minlength=64).astype(float), *np.bincount(scale, states, 64).astype(float)]
         packed = [pack(part, "<u8") for part in np.split(total[at], ends[:-1])]
+        del keys, counts, kinds, at, total, met, states
+        give_back()
         m = len(packed) + 1
         return pa.table({"n": pa.array([n] * m, pa.int32()), "bucket": pa.array([bucket] * m, pa.int32()),
                          "chunk": pa.array([*rows.column("chunk").to_pylist(), None], pa.int64()),
@@ -269,8 +274,12 @@ def scored(docs: DataFrame, order: int = 2) -> DataFrame:
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         add = lambda x: np.add.reduceat(x, first)
         train = np.frombuffer(r["train"], np.uint8) == 1
-        return pa.table([ids, pa.array(~train), pa.array(sizes), pa.array(add((c1 > 0).astype(np.int64))), pa.array(np.full(len(sizes), model.tokens)),
-                         pa.array(add(model.base(c1))), pa.array(add(weight)), pa.array(add(failed))], names=names)
+        out = pa.table([ids, pa.array(~train), pa.array(sizes), pa.array(add((c1 > 0).astype(np.int64))), pa.array(np.full(len(sizes), model.tokens)),
+                        pa.array(add(model.base(c1))), pa.array(add(weight)), pa.array(add(failed))], names=names)
+        del codes, vocabulary, c1, weight, failed
+        parts.clear()
+        give_back()
+        return out
 
     ship(spark)
     schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_failures bigint"
