@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from testsieve.llm.common import chain, give_back, map_arrow, mix, small_batches, table, text_slices, word_hashes, written
+from testsieve.llm.common import chain, drop_garbage, give_back, map_arrow, mix, small_batches, table, text_slices, word_hashes, written
 
 K = 64
 LEAST = 32
@@ -281,6 +281,7 @@ def components(links: DataFrame) -> DataFrame:
         following = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
         edges = written(following.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
         last, state = state, mark(edges)
+        drop_garbage(links.sparkSession)
         if state == last:
             break
     roots = edges.select(F.col("v").alias("node")).distinct()
@@ -301,16 +302,17 @@ def links_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     members = lists.join(listed, "v", "left_semi").select("c").distinct()
     sets = written(full_sets(docs, reps.join(members, "c", "left_semi"), width), "dup-sets")
     alive = linkable(sets)
+    drop_garbage(docs.sparkSession)
     lists = written(lists.join(alive, "c"), "dup-lists")
     classes = written(classes.select("c", "sketch").join(alive.select("c"), "c", "left_semi"), "dup-alive")
     sets = written(sets.join(alive.select("c"), "c", "left_semi"), "dup-sets")
-    links, done, round_, before = None, None, 0, None
+    roots, done, round_, before = None, None, 0, None
     while True:
-        if links is None:
+        if roots is None:
             placed = lists.withColumn("root", F.col("c"))
         else:
-            placed = lists.join(components(links).select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        placed = written(placed, "dup-placed") if links is not None else placed
+            placed = lists.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+            placed = written(placed, "dup-placed")
         # of each list its largest component and one drawn anew each round
         chosen = F.array_distinct(F.array(F.max(F.struct("m", "root"))["root"], F.min(F.struct(F.xxhash64("root", F.lit(round_)).alias("h"), "root"))["root"]))
         open_ = (placed.groupBy("v", "root").agg(F.count("*").alias("m"), F.min(F.struct(-F.col("weight"), "c", "n", "shareable")).alias("p"))
@@ -338,12 +340,13 @@ def links_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = written(estimated(pairs, classes), "dup-pairs")
         found = written(confirmed(pairs, sets), "dup-links")
-        links = found if links is None else links.unionByName(found)
+        # the components so far stand for the links so far
+        roots = components(found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         done = pairs if done is None else done.unionByName(pairs)
         if last:
             break
         round_ += 1
-    return components(links) if links is not None else classes.select(F.col("c").alias("node"), F.col("c").alias("root")).limit(0)
+    return roots if roots is not None else classes.select(F.col("c").alias("node"), F.col("c").alias("root")).limit(0)
 
 
 def judged(docs: DataFrame, width: int = 4) -> DataFrame:
