@@ -78,6 +78,11 @@ def parse_strategy(raw: Column) -> Column:
     return _decode(raw, REFACTOR_STRATEGIES, "none")
 
 
+def strategy_named(text: str | None) -> str:
+    """:func:`parse_strategy` of one text, without a job."""
+    return {v.lower(): v for v in REFACTOR_STRATEGIES}.get((text or "").lower(), "none")
+
+
 def file_extension(path: Column) -> Column:
     """Extension of the last path element from its final dot (``""`` if none)."""
     base = F.regexp_extract(path, r"([^/]*)$", 1)

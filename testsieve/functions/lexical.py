@@ -58,8 +58,8 @@ def mask(content: Column) -> Column:
 
 
 def count_char(s: Column, ch: str) -> Column:
-    """Occurrences of one character in ``s``."""
-    return F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))
+    """Occurrences of one ASCII character in ``s``."""
+    return F.octet_length(s) - F.octet_length(F.replace(s, F.lit(ch), F.lit("")))
 
 
 def brace_delta(masked_line: Column) -> Column:

@@ -153,10 +153,11 @@ def import_names(lines: DataFrame) -> DataFrame:
 
 
 def file_info(lines: DataFrame) -> DataFrame:
-    """Package clause and ordered imports of each file in one aggregation over
-    the lines (same partitioning, no exchange)."""
+    """Package clause and ordered imports of each file that has any, in one aggregation over
+    the lines that can hold them (same partitioning, no exchange)."""
     pk = F.regexp_extract(F.col("masked"), r"^\s*package\s+(\w+)", 1)
-    is_imp = (F.col("cur_kind") == "import") & (F.col("depth_before") == 0)
+    is_imp = F.coalesce((F.col("cur_kind") == "import") & (F.col("depth_before") == 0), F.lit(False))
+    lines = lines.filter(is_imp | F.col("masked").rlike(r"^\s*package\s"))
     _, spec = import_spec(F.col("masked"), F.col("text"))
     imp = F.when(is_imp & (spec != ""), F.struct(F.col("line_no"), F.trim(spec, F.lit('"')).alias("p")))
     return lines.groupBy(*FILE_KEY).agg(

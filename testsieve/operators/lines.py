@@ -49,13 +49,14 @@ def file_lines(files: DataFrame, keep=()) -> DataFrame:
     )
     w = file_window()
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    delta = lx.brace_delta(F.col("masked"))
-    pdelta = lx.paren_delta(F.col("masked"))
+    # counted once for each line, in front of the window
+    lines = lines.withColumns({"braces": lx.brace_delta(F.col("masked")), "parens": lx.paren_delta(F.col("masked"))})
     lines = (lines
-             .withColumn("depth_after", F.sum(delta).over(run))
-             .withColumn("depth_before", F.col("depth_after") - delta)
-             .withColumn("paren_after", F.sum(pdelta).over(run))
-             .withColumn("paren_before", F.col("paren_after") - pdelta))
+             .withColumn("depth_after", F.sum("braces").over(run))
+             .withColumn("depth_before", F.col("depth_after") - F.col("braces"))
+             .withColumn("paren_after", F.sum("parens").over(run))
+             .withColumn("paren_before", F.col("paren_after") - F.col("parens"))
+             .drop("braces", "parens"))
     kind = F.regexp_extract(F.col("masked"), DECL_PATTERN, 1)
     starts = (F.col("depth_before") == 0) & (F.col("paren_before") == 0) & (kind != "")
     lines = lines.withColumn("decl_kind", F.when(starts, kind))

@@ -31,7 +31,7 @@ def refactor_tester(header):
 
 def plan_refactoring(analysed: DataFrame, strategy: str = "subtest") -> DataFrame:
     """Per test ``strategy, generation_status, name_expr, t_var``."""
-    strat = cl.parse_strategy(F.lit(strategy))
+    strat = F.lit(cl.strategy_named(strategy))
     candidate = (F.coalesce(F.col("is_table_driven"), F.lit(False))
                  & ~F.coalesce(F.col("uses_subtest"), F.lit(False)))
     first_string = F.try_element_at(F.transform(F.filter(F.coalesce("fields", F.array().cast(
@@ -58,11 +58,13 @@ def plan_refactoring(analysed: DataFrame, strategy: str = "subtest") -> DataFram
 
 # Pieces of masked code that the rewrite has to tell apart: words, brackets, the rest.
 CODE_PIECES = r"(?s)(\w+|[{}()\[\];\n]|[^\w{}()\[\];\n]+)"
+# The same for what looks at brackets only.
+BRACKET_PIECES = r"(?s)([{}()\[\]]|[^{}()\[\]]+)"
 
 
-def _places(masked):
+def _places(masked, pieces=CODE_PIECES):
     """``ARRAY<STRUCT<piece, at, open>>`` of masked code: text, offset and nesting before the piece."""
-    pieces = F.regexp_extract_all(masked, F.lit(CODE_PIECES), 1)
+    pieces = F.regexp_extract_all(masked, F.lit(pieces), 1)
     start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("open"))
 
     def moved(acc, p):
@@ -74,7 +76,7 @@ def _places(masked):
 def body_span(masked):
     """``STRUCT<first, last>``: offsets of the braces around the body of a loop statement: the
     last brace that opens at nesting 0, so types and literals in the clause come before it."""
-    pieces, start, moved = _places(masked)
+    pieces, start, moved = _places(masked, BRACKET_PIECES)
     init = F.struct(start["at"].alias("at"), start["open"].alias("open"), F.lit(0).alias("first"), F.lit(0).alias("last"))
 
     def step(acc, p):
@@ -124,7 +126,8 @@ def continue_to_return(text, masked):
         return F.array_join(F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda c, i: F.substring(
             text, c + size, F.get(cuts, i + 1) - c - size)), "return")
 
-    return F.aggregate(pieces, init, step, finish)
+    # most bodies have no such word: nothing in them is looked at piece by piece
+    return F.when(masked.contains("continue"), F.aggregate(pieces, init, step, finish)).otherwise(text)
 
 
 def rewrite_runner(df: DataFrame) -> DataFrame:
@@ -163,7 +166,7 @@ def rewrite_tests(plan: DataFrame, stmts: DataFrame, lines: DataFrame) -> DataFr
     r = ok.join(runner, TEST_KEY + ["runner_ord"])
     r = rewrite_runner(r)
     fl = (lines.select("project", "path", F.col("decl_line").alias("func_line"), "line_no", "text")
-          .join(ok.select(*TEST_KEY), TEST_KEY, "left_semi")
+          .join(ok.select(*TEST_KEY).hint("shuffle_hash"), TEST_KEY, "left_semi")
           .groupBy(*TEST_KEY)
           .agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("fl")))
     j = r.join(fl, TEST_KEY)
@@ -208,8 +211,9 @@ def patched_files(lines: DataFrame, rewritten: DataFrame) -> DataFrame:
     its new text, as a new ``(project, path, content)`` table. One aggregation
     per file on the line facts' own partitioning."""
     p = rewritten.select("project", "path", F.col("func_line").alias("decl_line"), "refactored", "end_line")
+    # a task's new texts are as bounded as its lines: they are hashed, the lines are not sorted
     j = lines.select("project", "path", "decl_line", "line_no", "text").join(
-        p, ["project", "path", "decl_line"], "left")
+        p.hint("shuffle_hash"), ["project", "path", "decl_line"], "left")
     inside = F.col("refactored").isNotNull() & (F.col("line_no") <= F.col("end_line"))
     txt = (F.when(inside & (F.col("line_no") == F.col("decl_line")), F.col("refactored"))
            .when(inside, F.lit(None)).otherwise(F.col("text")))

@@ -20,8 +20,9 @@ from testsieve.session import cut_lineage
 TEST_KEY = ["project", "path", "func_line"]
 
 MAP_PREFIX = r"^map\[([^\]]*)\]"
-EXPECTED_WORDS = ("expect", "want", "result")
-NAME_WORDS = ("name", "desc")
+# Words in any case; `lower` would have each process build Spark's tables of cases first (some 7 s).
+EXPECTED_WORDS = r"(?i)expect|want|result"
+NAME_WORDS = r"(?i)name|desc"
 
 
 def _container(t):
@@ -115,9 +116,10 @@ def local_literals(stmts: DataFrame, levels: int, types: DataFrame) -> DataFrame
     v_lhs = F.regexp_extract(flat, sm.VAR_PATTERN, 1)
     v_rhs = F.regexp_extract(flat, sm.VAR_PATTERN, 3)
     is_var = flat.rlike(r"^\s*var\s")
-    s = stmts.select(*TEST_KEY, "pkg", "stmt_ord",
-                     F.when(is_var, v_lhs).otherwise(a_lhs).alias("var_name"),
-                     F.when(is_var, v_rhs).otherwise(a_rhs).alias("rhs"))
+    s = stmts.filter(flat.contains("="))  # else nothing is set
+    s = s.select(*TEST_KEY, "pkg", "stmt_ord",
+                 F.when(is_var, v_lhs).otherwise(a_lhs).alias("var_name"),
+                 F.when(is_var, v_rhs).otherwise(a_rhs).alias("rhs"))
     s = s.filter((F.col("rhs") != "") & ~F.col("var_name").contains(","))
     return _literal_facts(s, "rhs", levels, types)
 
@@ -189,6 +191,8 @@ def range_expression_types(loops: DataFrame, facts) -> DataFrame | None:
     """J4 of ranged expressions that are neither a literal nor a name set to one: results of
     calls, fields, parts of lists, names set to any of these, to any length of such a chain.
     ``(test key, stmt_ord, expr_type)``, or None if there are none."""
+    if loops.isEmpty():
+        return None
     index = cut_lineage(et.function_index(facts.funcs, facts.levels()))
     exprs = cut_lineage(loops.join(index.select(*TEST_KEY, "aliases"), TEST_KEY).select(
         F.concat_ws("|", "path", "func_line", "stmt_ord").alias("eid"), *TEST_KEY, "pkg", "aliases", F.col("stmt_ord").alias("at"),
@@ -270,6 +274,7 @@ def scenario_sets(tests: DataFrame, stmts: DataFrame, lines: DataFrame, facts=No
              .withColumn("range_type", F.coalesce(F.when(F.col("lit_type") != "", F.col("lit_type")),
                                                   "local_type", "pkg_type")))
     if facts is not None:
+        typed = _keep(typed)  # read below and by what looks for the loops that are left
         followed = range_expression_types(typed.filter("range_type is null"), facts)
         if followed is not None:
             typed = (typed.join(followed, TEST_KEY + ["stmt_ord"], "left")
@@ -355,17 +360,15 @@ def scenario_sets(tests: DataFrame, stmts: DataFrame, lines: DataFrame, facts=No
     run_arg_field = F.regexp_extract(first_run["masked"], r"\.\s*Run\s*\(\s*\w+(?:\s*\[[^\]]*\])?\s*\.\s*(\w+)\s*,", 1)
     field_names = F.transform("fields", lambda f: f["name"])
     is_struct = F.coalesce(F.col("scenario_type").startswith("struct{"), F.lit(False))
-    name_by_words = F.try_element_at(F.transform(F.filter("fields", lambda f: (f["type"] == "string") & (
-        F.lower(f["name"]).contains(NAME_WORDS[0]) | F.lower(f["name"]).contains(NAME_WORDS[1]))),
-        lambda f: f["name"]), F.lit(1))
+    name_by_words = F.try_element_at(F.transform(F.filter(
+        "fields", lambda f: (f["type"] == "string") & f["name"].rlike(NAME_WORDS)), lambda f: f["name"]), F.lit(1))
     name_field = (F.when((F.col("container") == "map") & (F.col("map_key") == "string"), F.lit("map key"))
                   .when(~is_struct, F.lit(""))
                   .when(uses_subtest, F.when(F.array_contains(field_names, run_arg_field), run_arg_field)
                         .otherwise(F.lit("")))
                   .otherwise(F.coalesce(name_by_words, F.lit(""))))
-    expected = F.when(is_struct, F.transform(F.filter("fields", lambda f: F.lower(f["name"]).contains(
-        EXPECTED_WORDS[0]) | F.lower(f["name"]).contains(EXPECTED_WORDS[1]) | F.lower(f["name"]).contains(
-        EXPECTED_WORDS[2])), lambda f: f["name"])).otherwise(F.array().cast("array<string>"))
+    expected = F.when(is_struct, F.transform(F.filter(
+        "fields", lambda f: f["name"].rlike(EXPECTED_WORDS)), lambda f: f["name"])).otherwise(F.array().cast("array<string>"))
     has_func = is_struct & F.coalesce(F.col("func_field"), F.lit(False))
     count = F.coalesce(F.col("sc.n_elems"), F.lit(0)).cast("long")
     ds = F.coalesce(F.col("container"), F.lit("none"))

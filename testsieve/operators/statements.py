@@ -33,7 +33,9 @@ def balanced(levels: int, kinds: str = r"{}()\[\]") -> str:
 def deepest(df: DataFrame, column: str = "flat") -> int:
     """Deepest nesting of brackets in a text column, over all rows: patterns are built for
     what the corpus has, so there is no depth at which they stop matching."""
-    marks = F.split(F.regexp_replace(F.col(column), r"[^{}()\[\]]", ""), "")
+    # statements share few nestings: each is folded once
+    df = df.select(F.regexp_replace(F.col(column), r"[^{}()\[\]]+", "").alias("marks")).distinct()
+    marks = F.split("marks", "")
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
     def step(acc, ch):
@@ -78,8 +80,9 @@ def statement_lines(lines: DataFrame) -> DataFrame:
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     masked = F.col("masked")
     nonblank = masked.rlike(r"\S")
-    prev_code = F.last(F.when(nonblank, F.regexp_replace(masked, r"\s+$", "")), ignorenulls=True).over(prev)
-    cont = prev_code.rlike(CONTINUATION_END) & ~prev_code.rlike(INC_DEC_END)
+    code = F.regexp_replace(masked, r"\s+$", "")
+    goes_on = code.rlike(CONTINUATION_END) & ~code.rlike(INC_DEC_END)
+    cont = F.last(F.when(nonblank, goes_on), ignorenulls=True).over(prev)
     in_func = ((F.col("cur_kind") == "func") & (F.col("line_no") != F.col("decl_line"))
                & (F.col("depth_before") >= 1))
     closing = ((F.col("depth_before") == 1) & (F.col("depth_after") == 0)
@@ -179,13 +182,14 @@ def statements(lines: DataFrame) -> DataFrame:
 def flatten(masked):
     """One-line form of masked text: newlines become ``;`` separators, then
     separators next to braces, commas and other separators are dropped."""
+    one = F.trim(F.regexp_replace(masked, r"\s+", " "))  # nothing to separate
     s = F.regexp_replace(masked, r"\n", " ; ")
     s = F.regexp_replace(s, r"\s+", " ")
     s = F.regexp_replace(s, r"(?:\s*;\s*)+", "; ")
     s = F.regexp_replace(s, r"([{(,\[])\s*;\s*", "$1 ")
     s = F.regexp_replace(s, r"\s*;\s*([})\]])", " $1")
     s = F.regexp_replace(s, r"^\s*;\s*|\s*;\s*$", "")
-    return F.trim(s)
+    return F.when(masked.contains("\n") | masked.contains(";"), F.trim(s)).otherwise(one)
 
 
 def tester_param(header) -> F.Column:

@@ -108,7 +108,8 @@ def analysis(facts: Facts) -> DataFrame:
     info = dc.file_info(facts.lines)
     return (tests.select(*TEST_KEY, "name", "end_line", "header", "header_text", "bad_format", "test_lines")
             .join(ss, TEST_KEY, "left")
-            .join(info, ["project", "path"], "left"))
+            .join(info, ["project", "path"], "left")
+            .withColumn("imports", F.coalesce("imports", F.array().cast("array<string>"))))
 
 
 def analyze_report(analysed: DataFrame, refactor: DataFrame | None = None) -> DataFrame:

@@ -143,9 +143,11 @@ def clear_store(spark: SparkSession | None = None) -> None:
 def facts(spark, sf_dir):
     from testsieve.plans.analyze import Facts
 
+    from testsieve.session import cut_lineage
+
     def build():
         files, errs = shapes(spark, sf_dir)
-        return Facts(files, errs)
+        return Facts(cut_lineage(files), errs)  # the texts are made once: they are measured, then read
     return _stored(spark, sf_dir, "shapes", build)
 
 
@@ -643,16 +645,21 @@ def rewrite_reanalysis(spark, sf_dir):
     body too."""
     from testsieve.operators import refactor as rf
     from testsieve.plans import analyze as an
+    from testsieve.session import cut_lineage
+    from testsieve.sources.factstore import collected_in_memory
     f, _, _, rewritten = _refactor(spark, sf_dir)
-    files = rf.patched_files(f.lines, rewritten)
+    # both are read several times: the functions are rewritten once, the files patched once
+    with collected_in_memory(spark):
+        rewritten = cut_lineage(rewritten)
+        files = cut_lineage(rf.patched_files(f.lines, rewritten))
     f2 = an.Facts(files, None)
     # Functions after a rewritten one move down, so the patched corpus is
     # joined back by name (unique per file for functions without receiver).
     fk = ["project", "path", "func_line"]
     nk = ["project", "path", "name"]
     a2 = an.analysis(f2).select(*nk, F.col("uses_subtest").alias("uses_subtest_after"))
-    named_a = f.stmts.join(f.funcs.select(*fk, "name"), fk)
-    named_b = f2.stmts.join(f2.funcs.select(*fk, "name"), fk)
+    names = rewritten.select(*nk).distinct()
+    named_a, named_b = (x.stmts.join(x.funcs.join(names, nk, "left_semi").select(*fk, "name"), fk) for x in (f, f2))
     keys = rewritten.select(*nk, F.col("runner_masked").alias("stmt_masked"))
     pos = rf.stmt_at_same_position(named_a, keys, named_b)
     out = rewritten.select(*nk).join(a2, nk, "left").join(pos, nk, "left")

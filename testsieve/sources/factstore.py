@@ -12,6 +12,7 @@ hash as bucketing, so the write produces about one file per bucket.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 
@@ -27,6 +28,26 @@ def bucket_count(estimate: int | None, partitions: int, most: int, bytes_per_buc
     return max(1, min(wanted, most))
 
 
+#: Groups that one task collects in memory where its text is bounded, before it sorts instead.
+GROUPS_IN_MEMORY = 1 << 17
+
+
+@contextmanager
+def collected_in_memory(spark):
+    """Inside, aggregates that collect rows sort them only beyond ``GROUPS_IN_MEMORY`` groups a
+    task, not beyond 128. Only for what runs on the partitions of files, which
+    ``corpus.file_partitions`` bounds by their text."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name, None)
+    if before is None:
+        spark.conf.set(name, str(GROUPS_IN_MEMORY))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+
+
 def store_bucketed(df: DataFrame, name: str, keys=("project", "path"), sort=("project", "path"),
                    buckets: int | None = None, bytes_per_bucket: int = 512 << 20) -> DataFrame:
     """Write ``df`` as a bucketed, sorted Parquet table below the shared
@@ -38,8 +59,9 @@ def store_bucketed(df: DataFrame, name: str, keys=("project", "path"), sort=("pr
     tag = uuid.uuid4().hex[:12]
     path = f"{checkpoint_dir(spark).rstrip('/')}/testsieve-facts/{name}-{tag}"
     table = f"testsieve_{name}_{tag}"
-    (df.write.format("parquet").bucketBy(int(n), *keys).sortBy(*sort)
-     .option("path", path).saveAsTable(table))
+    with collected_in_memory(spark):
+        (df.write.format("parquet").bucketBy(int(n), *keys).sortBy(*sort)
+         .option("path", path).saveAsTable(table))
     _TABLES.append(table)
     return spark.table(table)
 
