@@ -44,7 +44,7 @@ class Facts:
         files = files.select("project", "path", "content")
         parts = cp.file_partitions(cp.skip_vendor(files, strict_vendor))
         self.visited = cp.prepare_files(files, load_errors, strict_vendor, parts)
-        self.lines = ln.file_lines(self.visited)
+        self.lines = ln.file_lines(self.visited, counted=True)
         most = int(files.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets"))
         bucketed = persist and store == "bucketed"
 
